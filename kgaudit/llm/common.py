@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,15 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back.
 
-    This cuts the lineage; the copy outlives any executor. What the plan has left in shuffle files is freed.
+    This cuts the lineage; the copy outlives any executor.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Free the shuffle files of plans that nothing refers to any more, as those whose result has been cut."""
+    for _ in range(2):  # what the first collection frees lets go of more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table made by ``cut`` that no plan reads any more."""
     spark = df.sparkSession

@@ -23,7 +23,6 @@ for the smallest doc_id; a repeat inside one document stays unless a smaller doc
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgaudit.llm.common import Rolling, cut, table, text_bytes
+from kgaudit.llm.common import Rolling, cut, release, table, text_bytes
 
 LENGTH, GRAM, HALF, CHUNK = 50, 20, 32, 1 << 18
 SIDE = LENGTH - GRAM + 1
-NODES = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("check", pa.int64()), ("settled", pa.bool_())])
-NODES_SQL = "key long, doc_id long, start long, windows long, check long, settled boolean"
+#: place holds start, whether settled, and number of windows.
+NODES = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("check", pa.int64())])
+NODES_SQL = "key long, doc_id long, place long, check long"
+WINDOWS_BITS = 20
+RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("settled", pa.bool_())])
+RUNS_SQL = "doc_id long, start long, windows long, settled boolean"
+SETTLED, WINDOWS = np.int64(1 << WINDOWS_BITS), np.int64((1 << WINDOWS_BITS) - 1)
 MASK = np.uint64(CHUNK * 2 - 1)
 _rolling: list[Rolling] = []
 
@@ -75,37 +79,29 @@ def mixed_length(n: np.ndarray) -> np.ndarray:
     return n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def runs_of(start: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted nodes of one document with adjacent ones joined."""
-    new = np.flatnonzero(np.concatenate([[True], start[1:] > start[:-1] + windows[:-1]]))
-    ends = np.append(new[1:] - 1, len(start) - 1)
-    return start[new], start[ends] + windows[ends] - start[new]
-
-
 def settle_inside(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """Nodes of a batch, with those that a smaller document of the batch has settled and joined to runs."""
-    size = [len(p[1]) for p in parts]
-    doc = np.repeat(np.array([p[0] for p in parts], np.int64), size)
-    start, windows, key, check = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in ((1, np.int64), (2, np.int64), (3, np.uint64), (4, np.uint64)))
+    doc = np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])
+    start, windows, key, check = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
+    by_doc = np.argsort(doc, kind="stable")
+    order = by_doc[np.argsort(check[by_doc], kind="stable")]
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(check[order]) != 0]))
+    first = np.repeat(order[begins], np.diff(np.append(begins, len(order))))
     settled = np.zeros(len(doc), bool)
-    if len(doc):
-        by_doc = np.argsort(doc, kind="stable")
-        order = by_doc[np.argsort(check[by_doc], kind="stable")]
-        begins = np.flatnonzero(np.concatenate([[True], np.diff(check[order]) != 0]))
-        first = np.repeat(order[begins], np.diff(np.append(begins, len(order))))
-        settled[order] = (doc[order] > doc[first]) & (key[order] == key[first])
-    out = [(key[~settled].view(np.int64), doc[~settled], start[~settled], windows[~settled], check[~settled].view(np.int64), np.zeros((~settled).sum(), bool))]
+    settled[order] = (doc[order] > doc[first]) & (key[order] == key[first])
+    unsettled = ~settled
+    out = [(key[unsettled].view(np.int64), doc[unsettled], start[unsettled] << (WINDOWS_BITS + 1) | windows[unsettled], check[unsettled].view(np.int64))]
     doc, start, windows = doc[settled], start[settled], windows[settled]
     if len(doc):
         order = np.lexsort((start, doc))
         doc, start, windows = doc[order], start[order], windows[order]
-        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + windows[:-1])]))
+        far = start >> (WINDOWS_BITS - 1)  # a run's windows must fit their bits
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + windows[:-1]) | (far[1:] != far[:-1])]))
         last = np.append(new[1:] - 1, len(doc) - 1)
         doc, length, start = doc[new], start[last] + windows[last] - start[new], start[new]
-        with np.errstate(over="ignore"):
-            spread = (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)).view(np.int64)
-        out.append((spread, doc, start, length, np.zeros(len(doc), np.int64), np.ones(len(doc), bool)))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]), f.type) for i, f in enumerate(NODES)], schema=NODES)
+        spread = (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)).view(np.int64)
+        out.append((spread, doc, start << (WINDOWS_BITS + 1) | SETTLED | length, np.zeros(len(doc), np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(4)], schema=NODES)
 
 
 def initial(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,19 +150,18 @@ def sort_buckets(refine: bool):
     Gives the settled nodes, and with ``refine`` the unsettled ones of buckets in which several documents are left.
     """
 
-    def some(key, doc, start, windows, check, settled):
-        given = settled
+    def some(key, doc, place, check):
         new_class = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(check) != 0)])
         lowest = doc[np.maximum.accumulate(np.where(new_class, np.arange(len(key)), 0))]
-        settled = given | (doc > lowest)
+        settled = (place & SETTLED > 0) | (doc > lowest)
         keep = settled
         if refine:
             new_key = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
             low = np.minimum.reduceat(np.where(settled, np.iinfo(np.int64).max, doc), new_key)
             high = np.maximum.reduceat(np.where(settled, np.iinfo(np.int64).min, doc), new_key)
             keep = settled | np.repeat(low < high, np.diff(np.append(new_key, len(key))))
-        columns = (key, doc, start, windows, check, settled)
-        return pa.RecordBatch.from_arrays([pa.array(c[keep], f.type) for c, f in zip(columns, NODES, strict=True)], schema=NODES)
+        columns = (doc, place >> (WINDOWS_BITS + 1), place & WINDOWS, settled)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep], f.type) for c, f in zip(columns, RUNS, strict=True)], schema=RUNS)
 
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -200,12 +195,14 @@ def settled_windows(docs: DataFrame) -> DataFrame:
 
     def sorted_in(nodes: DataFrame, refine: bool) -> DataFrame:
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return nodes.repartition(n, "key").sortWithinPartitions("key", "check", "doc_id").mapInArrow(sort_buckets(refine), NODES_SQL)
+        return nodes.repartition(n, "key").sortWithinPartitions("key", "check", "doc_id").mapInArrow(sort_buckets(refine), RUNS_SQL)
 
-    first = cut(sorted_in(texts.mapInArrow(initial, NODES_SQL), True).select("doc_id", "start", "windows", "settled"))
+    first = cut(sorted_in(texts.mapInArrow(initial, NODES_SQL), True))
+    release(docs.sparkSession)
     open_nodes = first.filter("not settled").groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("sizes"))
-    second = cut(sorted_in(texts.join(open_nodes, "doc_id").mapInArrow(refined, NODES_SQL), False).select("doc_id", "start", "windows"))
-    return first.filter("settled").select("doc_id", "start", "windows").union(second)
+    second = cut(sorted_in(texts.join(open_nodes, "doc_id").mapInArrow(refined, NODES_SQL), False))
+    release(docs.sparkSession)
+    return first.filter("settled").union(second).select("doc_id", "start", "windows")
 
 
 def removal(docs: DataFrame) -> DataFrame:
@@ -237,6 +234,3 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = removal(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
