@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+from kgaudit.llm.decontaminate import op3_benchmark_decontamination
+from kgaudit.llm.embeddings import op8_embedding_near_dedup
+from kgaudit.llm.licenses import op1_license_scan
+from kgaudit.llm.mixing import op5_mix_sources
+from kgaudit.llm.pii import op6_pii
+from kgaudit.llm.quality import op4_quality_classifier
 from kgaudit.llm.simhash import op7_simhash_near_dedup
 from kgaudit.llm.substrings import op9_suffix_array_dedup
+from kgaudit.llm.urls import op2_url_filter
+from kgaudit.llm.warc import OP10_SQL, op10_warc
 
 
 def queries() -> dict:
-    ops = (op7_simhash_near_dedup, op9_suffix_array_dedup)
+    ops = (
+        op1_license_scan,
+        op2_url_filter,
+        op3_benchmark_decontamination,
+        op4_quality_classifier,
+        op5_mix_sources,
+        op6_pii,
+        op7_simhash_near_dedup,
+        op8_embedding_near_dedup,
+        op9_suffix_array_dedup,
+        op10_warc,
+    )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": OP10_SQL}

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kgaudit.llm.common import Rolling, cut, mix, table, text_bytes
 
-BUCKET_BITS, SCALE, PRIOR, MAX_LABELLED, SEED, SPAN = 16, 100.0, 16, 20_000, 11, 1 << 16
+BUCKET_BITS, SCALE, PRIOR, MAX_LABELLED, LOSS, SEED, SPAN = 16, 100.0, 16, 20_000, 0.01, 11, 1 << 16
 _state: list = []
 
 
@@ -127,7 +127,11 @@ def weights(texts: DataFrame, ratio: np.ndarray) -> DataFrame:
 
 
 def best_cut(weighed: DataFrame) -> float:
-    """The weight that best parts held-out good from bad documents; half-way of the widest gap among equals."""
+    """The weight that parts held-out good from bad documents.
+
+    Of all cuts that lose at most ``LOSS`` more than the best one, that in the middle of the widest gap, so that
+    documents a little unlike the labelled ones fall on the right side.
+    """
     rows = weighed.filter("role in (0, 2) and log_weight is not null").select("role", "log_weight").collect()  # of the bounded labelled sample
     good, bad = (np.sort([r["log_weight"] for r in rows if r["role"] == x]) for x in (0, 2))
     if not len(good) or not len(bad):
@@ -136,7 +140,7 @@ def best_cut(weighed: DataFrame) -> float:
     at = np.concatenate([[every[0] - 1], (every[1:] + every[:-1]) / 2, [every[-1] + 1]])
     lost = np.searchsorted(good, at) / len(good) + 1 - np.searchsorted(bad, at) / len(bad)
     gap = np.concatenate([[0], np.diff(every), [0]])
-    return float(at[np.lexsort((-gap, lost))[0]])
+    return float(at[np.argmax(np.where(lost <= lost.min() + LOSS, gap, -1))])
 
 
 def kth_largest(scored: DataFrame, k: int) -> float:
