@@ -1,0 +1,473 @@
+"""The operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeats and extra columns."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from kgaudit.llm import decontaminate, embeddings, licenses, mixing, pii, quality, simhash, substrings, urls, warc
+from kgaudit.llm.common import components
+
+random.seed(3)
+SYLLABLES = "an ber ti on el ra mo su ke lin dor fa".split()
+
+
+def word():
+    return "".join(random.choice(SYLLABLES) for _ in range(random.randint(1, 3)))
+
+
+def text(n):
+    return " ".join(word() for _ in range(n))
+
+
+def docs_of(spark, texts, sources=None):
+    rows = [(i, t, "x", sources[i] if sources else "s0", len(t or "")) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, key string, source string, n_chars long"  # key: a name that operators use inside
+    return spark.createDataFrame(rows, schema)
+
+
+def edge_texts():
+    base = text(120)
+    near = base.split()
+    near[60] = "changed"
+    return [None, "", " \n\t ", "one", "one two", base, base, " ".join(near), base.upper(), "a " * 400, text(30) + " " + base[:200], "né " * 40 + "ß", text(5000), "x" * 3000, None]
+
+
+def rows(df, *columns):
+    return {r[0]: tuple(r)[1:] for r in df.select(*columns).collect()}
+
+
+# 1 ---------------------------------------------------------------------------------------------------------------
+
+
+def brute_licenses(t):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    hits = []
+    for phrase, label in licenses.BASE.items():
+        p = phrase.split()
+        hits += [(i, label) for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
+    at = [i for i, _ in hits]
+    return len(words), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))
+
+
+def test_license_scan(spark):
+    texts = [*edge_texts(), "The MIT License; mit license MIT-license. CC BY cc-by, GNU General Public License", "gnu gnu general public license apache  license", "SPDX-License-Identifier: (MIT OR GPL-2.0-only) AND Apache-2.0 WITH LLVM-exception\nmit license", "spdx-license-identifier: AND ("]
+    got = rows(licenses.license_scan(docs_of(spark, texts)), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    for i, t in enumerate(texts):
+        assert got[i][:5] == brute_licenses(t), t
+        assert set(filter(None, got[i][4].split(","))) <= set(filter(None, got[i][5].split(",")))
+        assert 0 <= got[i][6] <= 1
+    assert got[len(texts) - 2][5] == "apache,gpl,mit"
+    assert licenses.license_scan(docs_of(spark, [])).count() == 0
+
+
+def test_expressions():
+    assert licenses.postfix("mit or ( gpl and bsd )".split()) == ["mit", "gpl", "bsd", "and", "or"]
+    assert licenses.postfix("mit or gpl and bsd".split()) == ["mit", "gpl", "bsd", "and", "or"]
+    assert licenses.postfix("gpl with x or mit".split()) == ["gpl", "x", "with", "mit", "or"]
+    assert licenses.postfix(["and"]) is None
+    assert licenses.postfix("mit is free".split()) == ["mit"]
+    assert licenses.evaluate(["mit", "gpl", "or"]) == ({"mit", "gpl"}, 0.1)
+    assert licenses.evaluate(["mit", "gpl", "and"]) == ({"mit", "gpl"}, 0.8)
+
+
+# 2 ---------------------------------------------------------------------------------------------------------------
+
+
+def brute_rule(url):
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=(0, None, None))
+    return host, path, best[1], best[2]
+
+
+def test_url_filter(spark):
+    link = '<LINK href="{}" rel="canonical">'.format
+    pages = [
+        (0, "http://A.Example.ORG/es/1?x", None),
+        (1, "https://x.net/a", link("http://example.org/es/9")),  # alias of a blocked url
+        (2, "https://y.net/b", link("https://x.net/a#f")),  # alias of the alias
+        (3, "https://z.com/fr/", link("http://example.org/es/9")),  # allowed by a rule: joins the component
+        (4, "https://w.net/", '<meta http-equiv="refresh" content="0; url=/c">'),
+        (5, "https://v.net/", link("http://q.com/de/1")),
+        (6, None, link("http://q.com/de/1")),
+        (7, "no scheme", ""),
+        (8, "http://org", "x"),
+        (9, "http://example.org/en/12", "x"),
+        (10, "https://v.net/", None),
+        (11, "ftp://org/?a=/", ""),
+    ]
+    df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, rule int")
+    got = rows(urls.url_verdicts(df, urls.rule_table(spark)), "page_id", "host", "path", "rule", "verdict")
+    for page_id, url, _ in pages:
+        host, path, rule, verdict = brute_rule(url)
+        assert got[page_id][:3] == (host, path, rule)
+        assert verdict is None or got[page_id][3] == verdict
+    assert [got[i][3] for i in (1, 2, 3, 4, 5, 6, 7, 10)] == ["allow", "allow", "allow", "allow", "block", "allow", "allow", "block"]
+    only = df.filter("page_id <> 3")
+    assert [rows(urls.url_verdicts(only, urls.rule_table(spark)), "page_id", "verdict")[i][0] for i in (1, 2)] == ["block", "block"]
+    assert urls.url_verdicts(df.limit(0), urls.rule_table(spark)).count() == 0
+
+
+def test_components(spark):
+    n, pairs = 60, [(random.randrange(60), random.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(40, 58)]
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    got = rows(components(spark.createDataFrame(pairs, "a long, b long")), "node", "root")
+    for node in {x for a, b in pairs if a != b for x in (a, b)}:
+        assert got[node][0] == label[node]
+
+
+# 3 ---------------------------------------------------------------------------------------------------------------
+
+
+def brute_tiling(item, words, least):
+    free_item, free_text, covered = [True] * len(item), [True] * len(words), 0
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(item)):
+            for t in range(len(words)):
+                n = 0
+                while p + n < len(item) and t + n < len(words) and free_item[p + n] and free_text[t + n] and item[p + n] == words[t + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, t)
+        n, p, t = best
+        if n < least:
+            return covered
+        covered += n
+        for i in range(n):
+            free_item[p + i] = free_text[t + i] = False
+
+
+def test_tiling():
+    for _ in range(60):
+        item, words = ([random.choice("abc") for _ in range(random.randint(5, 14))] for _ in range(2))
+        code = lambda ws: np.array([xxhash.xxh64_intdigest(w) for w in ws], np.uint64)
+        tiles = decontaminate.tiling(code(item), code(words), 3)
+        for p, t, n in tiles:
+            assert item[p : p + n] == words[t : t + n]
+        marked = [i for p, _, n in tiles for i in range(p, p + n)]
+        assert len(marked) == len(set(marked))
+        longest = max((n for _, _, n in tiles), default=0)
+        assert (longest >= 3) == (brute_tiling(item, words, 3) > 0)
+
+
+def test_decontamination(spark):
+    items = [(0, text(30)), (1, text(24)), (2, None), (3, ""), (4, "only four words here"), (5, text(40))]
+    a = items[0][1].split()
+    reordered = " ".join(["pre", *a[15:], text(20), *a[:15]])
+    texts = [*edge_texts(), f"{text(50)} {items[1][1].upper()}! {text(9)}", reordered, " ".join(a[:12]), "x only four words here y", text(3000) + " " + items[5][1]]
+    n = len(texts) - 5
+    table = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
+    for most in (10**6, 1):  # both ways of joining
+        found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs_of(spark, texts), table, max_broadcast_words=most).collect()}
+        assert found == {(n, 1), (n + 1, 0), (n + 3, 4), (n + 4, 5)}
+    kept = {r["doc_id"] for r in decontaminate.clean(docs_of(spark, texts), table).collect()}
+    assert kept == set(range(len(texts))) - {n, n + 1, n + 3, n + 4}
+    assert decontaminate.contamination(docs_of(spark, []), table).count() == 0
+    assert decontaminate.contamination(docs_of(spark, texts), table.limit(0)).count() == 0
+
+
+# 4 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_quality(spark):
+    good = [text(random.randint(20, 90)) for _ in range(160)]
+    bad = [" ".join(w.upper() + "!!" for w in text(40).split()) for _ in range(30)] + [" ".join([word()] * 50) for _ in range(30)]
+    texts = good + bad + [None, "", "  "]
+    labels = [(i, 1) for i in range(80)] + [(i, 0) for i in list(range(160, 175)) + list(range(190, 205))] + [(None, 1), (3, None)]
+    table = spark.createDataFrame([(*x, 0) for x in labels], "doc_id long, quality int, toxic int")
+    found = rows(quality.quality_sample(docs_of(spark, texts), table), "doc_id", "log_weight", "score", "selected")
+    right = sum(found[i][2] for i in range(80, 160)) + sum(not found[i][2] for i in [*range(175, 190), *range(205, 220)])
+    assert right >= 0.95 * 110  # on documents without labels
+    assert [found[i] for i in (220, 221, 222)] == [(None, None, False)] * 3
+    assert found == rows(quality.quality_sample(docs_of(spark, texts), table), "doc_id", "log_weight", "score", "selected")
+    assert quality.keep_good(docs_of(spark, texts), table).columns == docs_of(spark, []).columns
+    unlabelled = rows(quality.quality_sample(docs_of(spark, texts), table.limit(0)), "doc_id", "selected")
+    assert all(unlabelled[i][0] for i in range(220))
+    assert quality.quality_sample(docs_of(spark, []), table).count() == 0
+
+
+def test_kth_largest(spark):
+    values = [random.gauss(0, 50) for _ in range(500)] + [7.5] * 20
+    df = spark.createDataFrame([(v,) for v in values], "score double")
+    for k in (1, 17, 300, 520):
+        assert quality.kth_largest(df, k) == sorted(values, reverse=True)[k - 1]
+
+
+# 5 ---------------------------------------------------------------------------------------------------------------
+
+
+def brute_targets(sizes):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    total, full, target = 1.5 * sum(sizes.values()), set(), {}
+    while True:
+        rest = total - sum(2 * sizes[s] for s in full)
+        share = sum(w for s, w in weight.items() if s not in full)
+        target = {s: 2.0 * sizes[s] if s in full else rest * w / share for s, w in weight.items()}
+        over = {s for s in names if s not in full and target[s] > 2 * sizes[s] + 1e-9}
+        if not over:
+            return target
+        full |= over
+
+
+def test_mixing(spark):
+    names = ["s1", "s0", "é", None, "hot", "z"]
+    texts = [text(random.randint(0, 60)) for _ in range(300)] + [None, "", text(4000)]
+    sources = [random.choice(["hot", *names]) for _ in texts]
+    df = docs_of(spark, texts, sources)
+    placed, pieces = mixing.mixture(df, block_words=16, shard_blocks_=32)
+    pieces = pieces.toPandas()
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
+    by_source = {}
+    for i, s in enumerate(sources):
+        by_source[s] = by_source.get(s, 0) + size[i]
+    target = brute_targets(by_source)
+    got = rows(placed, "doc_id", "size", "source", "source_size", "target")
+    taken = pieces.groupby("doc_id")["words"].sum().to_dict()
+    for i, (n, s, total, t) in got.items():
+        assert (n, s, total) == (size[i], sources[i], by_source[sources[i]])
+        assert t == pytest.approx(target[s])
+        assert taken.get(i, 0) <= 2 * n
+    for s, t in target.items():
+        assert abs(sum(taken.get(i, 0) for i in got if sources[i] == s) - t) <= 1
+    blocks = pieces.groupby("shard").apply(lambda g: len(set(zip(g["source"].fillna("-"), g["block"]))))
+    assert len(blocks) > 4 and blocks.max() - blocks.min() <= 1  # shards hold equal numbers of blocks
+    assert pieces.groupby([pieces["source"].fillna("-"), "block"])["shard"].nunique().max() == 1  # and these are disjoint
+    again = mixing.mixture(df.repartition(7), block_words=16, shard_blocks_=32)[1].toPandas()
+    order = ["doc_id", "block", "first"]
+    assert pieces.sort_values(order)[[*order, "shard", "words"]].values.tolist() == again.sort_values(order)[[*order, "shard", "words"]].values.tolist()
+    mixed = mixing.mixed_corpus(df).toPandas()
+    assert mixed["text"].map(lambda t: len(t.split())).sum() == sum(taken.values())
+    assert mixing.mixture(docs_of(spark, []))[1].count() == 0
+
+
+def test_hypergeometric(spark):
+    from pyspark.sql import functions as F
+
+    n, marked, draws = 60, 25, 20
+    df = spark.range(4000).select(mixing.hypergeometric(F.lit(marked), F.lit(n), F.lit(draws), mixing.uniform(F.lit(1), F.col("id"))).alias("k"))
+    got = df.toPandas()["k"]
+    assert got.min() >= 0 and got.max() <= draws
+    mean, var = draws * marked / n, draws * marked / n * (1 - marked / n) * (n - draws) / (n - 1)
+    assert abs(got.mean() - mean) < 0.15 and abs(got.var() - var) < 0.35
+
+
+# 6 ---------------------------------------------------------------------------------------------------------------
+
+
+def brute_pii(t):
+    t, out = t or "", []
+    luhn = lambda d: sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+        out.append(f"email:{m.start()}:{m.end()}")
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(f"ip:{m.start()}:{m.end()}")
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(d) <= 19 and luhn(d):
+            out.append(f"card:{m.start()}:{m.end()}")
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append(f"phone:{m.start()}:{m.end()}")
+    return out
+
+
+def test_pii(spark):
+    made = ["mail a.b@c.de, x@y.z@w.v..q é@a.b b@c", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255 9.9.9", "4111 1111 1111 1111 and 4111-1111-1111-1112 4111111111111111", "+1 (988) 555-2485 then 555-2485 and +12 3 +49 30 1234567890123", "a@" * 50 + "b.c", "ü +1-800-555-0199 ü 1.1.1.1@x.y"]
+    random_texts = ["".join(random.choice("12 .@+-(ab") for _ in range(80)) for _ in range(300)]
+    texts = [*edge_texts(), *made, *random_texts]
+    got = rows(pii.pii_spans(docs_of(spark, texts)), "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    for i, t in enumerate(texts):
+        want = brute_pii(t)
+        assert got[i][:4] == tuple(sum(s.startswith(k) for s in want) for k in ("email:", "ip:", "card:", "phone:")), t
+        assert got[i][4] == hashlib.sha256(",".join(want).encode()).hexdigest(), t
+        assert set(want) <= set(filter(None, got[i][5].split(",")))
+    assert pii.pii_spans(docs_of(spark, [])).count() == 0
+    masked = pii.masked(docs_of(spark, texts))
+    assert masked.columns == docs_of(spark, []).columns
+    after = rows(masked, "doc_id", "text", "n_chars")
+    assert after[0][0] is None and "[CARD]" in after[len(edge_texts()) + 2][0]
+    assert all(n == len(t) for t, n in after.values() if t is not None)
+
+
+def test_pii_long_runs_are_linear():
+    for t in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" * 50_000, "a@" * 100_000):
+        pii.base_spans(t)
+
+
+def test_skip_links_carry_labels():
+    seen = [f"{text(20)} call +1 ({random.randint(200, 999)}) 555-{random.randint(1000, 9999)} or user{i}.{i}@mail{i}.example.com {text(5)}" for i in range(200)]
+    model = pii.train(seen + [f"{text(10)} {i} items {i * 7}" for i in range(50)])
+    t = "write to user7.42@mail.example.com today; user7.42@mail said so; 12 items"
+    (base, every), = pii.find_all([t], model)
+    assert [t[a:b] for _, a, b in base] == ["user7.42@mail.example.com"]
+    assert "user7.42@mail" in [t[a:b] for _, a, b in every] and "12" not in [t[a:b] for _, a, b in every]
+
+
+# 7 ---------------------------------------------------------------------------------------------------------------
+
+
+def brute_fingerprint(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    if not words:
+        return 0
+    runs = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    h = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark):
+    base = text(300).split()
+    texts = edge_texts()
+    for i in range(60):
+        some = list(base)
+        for _ in range(i % 4):
+            some[random.randrange(len(some))] = word()
+        texts.append(" ".join(some))
+    texts += [text(random.randint(1, 6)) for _ in range(40)]
+    prints = [brute_fingerprint(t) for t in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i, p in enumerate(prints):
+            for j, q in enumerate(prints):
+                if (p ^ q).bit_count() <= 3:
+                    label[i] = label[j] = min(label[i], label[j])
+    got = rows(simhash.simhash_components(docs_of(spark, texts)), "doc_id", "fp", "component_id")
+    assert {i: (v[0] % 2**64, v[1]) for i, v in got.items()} == {i: (p, label[i]) for i, p in enumerate(prints)}
+    kept = {r["doc_id"] for r in simhash.keep_one(docs_of(spark, texts)).collect()}
+    assert kept == set(label)
+    assert simhash.simhash_components(docs_of(spark, [])).count() == 0
+
+
+def test_near_pairs_at_every_distance(spark):
+    rng = random.Random(5)
+    prints, want = [], set()
+    for i in range(60):
+        p = rng.getrandbits(64)
+        q = p
+        for bit in rng.sample(range(64), i % 6):
+            q ^= 1 << bit
+        prints += [p, q]
+        if 0 < i % 6 <= 3:
+            want.add((2 * i, 2 * i + 1))
+    signed = [(i, p - 2**64 if p >= 2**63 else p) for i, p in enumerate(prints)]
+    got = simhash.near_pairs(spark.createDataFrame(signed, "id long, fp long").dropDuplicates(["fp"])).collect()
+    assert {tuple(sorted(r)) for r in got} == want
+
+
+# 8 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(4)
+    vectors = []
+    for size in (1, 1, 3, 40, 900):
+        centre = rng.standard_normal(16)
+        vectors += [(centre + rng.standard_normal(16) * 0.12).tolist() for _ in range(size)]
+    vectors += [rng.standard_normal(16).tolist() for _ in range(200)]
+    vectors += [vectors[0], vectors[0], [0.0] * 16, None, [], [None] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [1.0] * 4, [2.0] * 4]
+    df = spark.createDataFrame([(i, v, 0, "x") for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int, id string")
+    found, recall = embeddings.near_links(df)
+    got = rows(found, "vec_id", "n_links", "component_id")
+    good = [v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v) for v in vectors]
+    want = np.zeros(len(vectors), int)
+    for i, v in enumerate(vectors):
+        for j, w in enumerate(vectors):
+            if i != j and good[i] and good[j] and len(v) == len(w) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.9:
+                want[i] += 1
+    have = np.array([got[i][0] for i in range(len(vectors))])
+    assert len(got) == len(vectors) and (have <= want).all() and have.sum() >= 0.97 * want.sum() and recall >= 0.9
+    assert all(got[i] == (0, i) for i in range(len(vectors)) if not good[i])
+    assert got[len(vectors) - 1] == (1, len(vectors) - 2)
+    assert embeddings.near_links(df.limit(0))[0].count() == 0
+
+
+# 9 ---------------------------------------------------------------------------------------------------------------
+
+
+def brute_substrings(texts):
+    seen, out = {}, []
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if seen.setdefault(b[p : p + 50], i) < i:
+                gone[p : p + 50] = True
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out.append((len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [substrings.CHUNK, 256])
+def test_substrings(spark, chunk):
+    passage = text(40)
+    texts = edge_texts()
+    for i in range(60):
+        texts.append(text(random.randint(0, 40)) + passage[random.randint(0, 40) : random.randint(60, len(passage))] + text(random.randint(0, 40)))
+    texts += ["ab" * 60, "ab" * 70, "b" + "ab" * 40, "é" * 60, "x" * 49, "x" * 50, "x" * 51]
+    want = brute_substrings(texts)
+    docs = docs_of(spark, texts)
+    parts = list(docs.select("doc_id", "text").toPandas().itertuples(index=False))
+    if chunk != substrings.CHUNK:  # texts of several pieces, without Spark
+        old, substrings.CHUNK = substrings.CHUNK, chunk
+        try:
+            for doc_id, t in parts:
+                data = (t or "").encode()
+                starts = np.concatenate([np.zeros(0, int), *(np.repeat(a[0] - np.cumsum(a[1]) + a[1], a[1]) + np.arange(a[1].sum()) for a in substrings.anchors(data))])
+                assert starts.tolist() == list(range(max(0, len(data) - 49)))
+        finally:
+            substrings.CHUNK = old
+        return
+    found = substrings.removal(docs).toPandas().set_index("doc_id")
+    for i, w in enumerate(want):
+        r = found.loc[i]
+        assert (r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) == w, texts[i]
+    assert substrings.removal(docs_of(spark, [])).count() == 0
+
+
+# 10 --------------------------------------------------------------------------------------------------------------
+
+
+def test_warc(spark, tmp_path):
+    long = "<p>" + "ü" * 120_000
+    html = [None, "", "a", "x" * 1000, "x" * 1000, "x" * 999, "x" * 999, long, long, "\r\n\r\nWARC/1.1\r\n" + "0\r\n\r\n" * 400, "é" * 700, "x" * 1000]
+    pages = [(i, None if i == 2 else f"http://e.org/{i}\r\nX: 1", h, "x") for i, h in enumerate(html)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, digest string").repartition(3)
+    warc.write_archives(df, f"file://{tmp_path}/a")
+    got = rows(warc.resolved(warc.read_archives(spark, f"file://{tmp_path}/a")), "page_id", "bytes", "sha1", "kind", "refers_to", "complete")
+    last = {}
+    for i, h in enumerate(html):
+        last[h or ""] = i
+    for i, h in enumerate(html):
+        b = (h or "").encode()
+        again = len(b) >= 1000 and last[h] != i
+        assert got[i] == (len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", last[h] if again else None, True), i
+    assert warc.segments(spark, f"file://{tmp_path}/a").filter("number > 1").count() > 3
+    warc.write_archives(df.limit(0), f"file://{tmp_path}/b")
+
+
+def test_warc_gaps(spark, tmp_path):
+    made = list(warc.page_records(5, "u", b"y" * 100_000, "d", None)) + list(warc.page_records(6, "u", b"ok", "d", None))
+    for name, kept in (("all", made), ("gap", [r for r in made if b"WARC-Segment-Number: 2\r\n" not in r])):
+        lines = spark.createDataFrame([(r,) for r in kept], "v binary").selectExpr("cast(v as string) v").coalesce(1)
+        lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(f"file://{tmp_path}/{name}")
+        got = rows(warc.read_archives(spark, f"file://{tmp_path}/{name}"), "page_id", "bytes", "complete")
+        assert got == {5: (100_000, True) if name == "all" else (None, False), 6: (2, True)}
+    with pytest.raises(ValueError):
+        list(warc.parse(b"HTTP/1.1 200\r\n\r\n"))
+    assert warc.unchunked(warc.chunked(b"a" * 20_000)) == b"a" * 20_000
