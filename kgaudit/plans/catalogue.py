@@ -1,11 +1,562 @@
-"""Registry of the audit queries."""
+"""Registry of the audit queries, each over whole tables, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from kgaudit.functions import ids
+from kgaudit.functions import text as tx
+from kgaudit.operators import evidence, graph, learning, nli, ontology, rules
+from kgaudit.plans import audit, commerce
+from kgaudit.plans.commerce import EDGES_SQL, PLACES_SQL
+from kgaudit.session import table
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# Audit -----------------------------------------------------------------------------------------------------------
+
+FACTS_SQL = """prov AS (SELECT l_orderkey AS claim_id, CASE WHEN l_returnflag = 'R' AND l_quantity <= 3 THEN 'retracted' WHEN l_returnflag = 'A' AND l_quantity <= 3 THEN 'concern' ELSE 'clean' END AS status, CAST(year(l_shipdate) AS INT) AS y FROM lineitem),
+a AS (SELECT claim_id, count(*) AS n, count(*) FILTER (status = 'retracted') AS nr, count(*) FILTER (status = 'concern') AS nc, min(y) AS fp,
+  min(y) FILTER (status = 'clean') AS so, max(y) FILTER (status = 'clean') AS sn, min(y) FILTER (status = 'retracted') AS er, max(y) FILTER (status = 'retracted') AS lr,
+  min(y) FILTER (status = 'concern') AS fc, max(y) FILTER (status = 'concern') AS lc FROM prov GROUP BY claim_id),
+f AS (SELECT o_orderkey AS claim_id, coalesce(n, 0) AS n, coalesce(nr, 0) AS nr, coalesce(nc, 0) AS nc, fp, so, sn, er, lr, fc, lc FROM orders LEFT JOIN a ON o_orderkey = claim_id),
+r AS (SELECT *, nr > 0 AS retraction_gate, nc > 0 AS expression_of_concern, n >= 2 AS multi_source_bonus, n <= 0 AS minimal_evidence,
+  coalesce(2001 - sn <= 5, false) AS temporal_recent_support_bonus, coalesce(2001 - sn > 10, false) AS temporal_only_old_support_penalty,
+  coalesce(sn - so >= 10, false) AND lr IS NULL AND lc IS NULL AS temporal_longstanding_support_bonus,
+  coalesce(lr >= fp, false) AS temporal_retraction_after_publication, lr IS NOT NULL AND coalesce(sn <= lr, true) AS temporal_no_support_since_retraction FROM f),
+w AS (SELECT *, CASE WHEN retraction_gate THEN -1.5::DOUBLE ELSE 0 END AS w1, CASE WHEN expression_of_concern THEN -0.5::DOUBLE ELSE 0 END AS w2,
+  CASE WHEN multi_source_bonus AND NOT retraction_gate THEN 0.2::DOUBLE ELSE 0 END AS w3, CASE WHEN minimal_evidence THEN -0.6::DOUBLE ELSE 0 END AS w4,
+  CASE WHEN temporal_recent_support_bonus AND NOT temporal_retraction_after_publication THEN 0.2::DOUBLE ELSE 0 END AS w5,
+  CASE WHEN temporal_only_old_support_penalty THEN -0.2::DOUBLE ELSE 0 END AS w6,
+  CASE WHEN temporal_longstanding_support_bonus AND NOT temporal_retraction_after_publication THEN 0.3::DOUBLE ELSE 0 END AS w7,
+  CASE WHEN temporal_retraction_after_publication THEN -0.4::DOUBLE ELSE 0 END AS w8, CASE WHEN temporal_no_support_since_retraction THEN -0.25::DOUBLE ELSE 0 END AS w9 FROM r),
+s AS (SELECT *, 0.0::DOUBLE + w1 + w2 + w3 + w4 + w5 + w6 + w7 + w8 + w9 AS score FROM w),
+v0 AS (SELECT *, CASE WHEN score >= 0 THEN 'PASS' WHEN score >= -0.4::DOUBLE THEN 'WARN' ELSE 'FAIL' END AS v FROM s),
+v AS (SELECT *, CASE WHEN nr > 0 THEN 'FAIL' WHEN v = 'PASS' AND (nc > 0 OR n < 2) THEN 'WARN' ELSE v END AS verdict FROM v0)"""
+
+
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_evidence(commerce.claims(spark, sf_dir), commerce.provenance(spark, sf_dir), commerce.AS_OF_YEAR)
+
+
+@query(f"WITH {FACTS_SQL} SELECT claim_id, score, verdict FROM v")
+def audit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1-R7, A5-A7, gates 1-3."""
+    return audited(spark, sf_dir).select("claim_id", "score", "verdict")
+
+
+RULE_IDS = tuple(r.id for r in audit.EVIDENCE_RULES)
+
+
+@query(f"WITH {FACTS_SQL} " + " UNION ALL ".join(f"SELECT claim_id, '{r}' AS rule_id, CAST(w{i} AS DOUBLE) AS feature FROM w" for i, r in enumerate(RULE_IDS, 1)))
+def rule_features_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each claim and rule."""
+    return audited(spark, sf_dir).select("claim_id", F.explode("features").alias("rule_id", "feature"))
+
+
+@query(
+    f"WITH {FACTS_SQL} "
+    + " UNION ALL ".join(
+        f"SELECT claim_id, '{r.id}' AS rule_id, CASE WHEN {' OR '.join(rules.Attacks.of(audit.EVIDENCE_RULES).by_target[r.id]) or 'false'} THEN 'OUT' ELSE 'IN' END AS label FROM r WHERE {r.id}" for r in audit.EVIDENCE_RULES
+    )
+)
+def argumentation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grounded labels of the rules that fire."""
+    return audited(spark, sf_dir).select("claim_id", F.explode("trace").alias("t")).select("claim_id", "t.rule_id", "t.label")
+
+
+@query(f"""WITH {FACTS_SQL} SELECT claim_id, 'gate:retraction' AS gate FROM v WHERE nr > 0
+UNION ALL SELECT claim_id, 'gate:expression_of_concern' FROM v WHERE nr = 0 AND nc > 0 AND v = 'PASS'
+UNION ALL SELECT claim_id, 'gate:positive_evidence_required' FROM v WHERE nr = 0 AND v = 'PASS' AND nc = 0 AND n < 2""")
+def gate_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gates that open for each claim."""
+    return audited(spark, sf_dir).select("claim_id", F.explode("gate_trace").alias("gate"))
+
+
+@query(f"""WITH {FACTS_SQL} SELECT claim_id, so IS NOT NULL AS has_support, CAST(2001 - sn AS DOUBLE) AS newest_age, CAST(sn - so AS DOUBLE) AS span,
+coalesce(lr >= fp, false) AS retraction_after_publication, CASE WHEN er >= fp THEN CAST(er - fp AS DOUBLE) END AS retraction_lag, coalesce(sn <= lr, true) AS no_support_after,
+coalesce(sn > fc, false) AS support_after_concern, coalesce(so < er, false) AS supported_before FROM f""")
+def temporal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6."""
+    groups = audit.evidence_groups(commerce.claims(spark, sf_dir), commerce.provenance(spark, sf_dir), commerce.AS_OF_YEAR)
+    names = {"has_support": "has_support", "support_newest_age_years": "newest_age", "support_span_years": "span", "has_retraction_after_publication": "retraction_after_publication", "earliest_retraction_lag_years": "retraction_lag", "no_support_after_retraction": "no_support_after", "has_support_after_concern": "support_after_concern", "was_supported_before_retraction": "supported_before"}
+    return groups.select("claim_id", *(F.col(f"temporal.{a}").alias(b) for a, b in names.items()))
+
+
+@query("SELECT l_orderkey AS claim_id, CAST(floor(sum(CAST(floor(1e6 * CASE WHEN 2001 - year(l_shipdate) <= 0 THEN 1.0 ELSE greatest(pow(0.5, (2001 - year(l_shipdate)) / 10.0::DOUBLE), 0.1) END + 0.5) AS BIGINT))) AS BIGINT) AS decay_millionths FROM lineitem GROUP BY 1")
+def freshness_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X39, summed over a claim's citations in whole millionths."""
+    age = (F.lit(commerce.AS_OF_YEAR) - F.col("pub_year")).cast("double")
+    return commerce.provenance(spark, sf_dir).groupBy("claim_id").agg(F.sum(F.floor(1e6 * evidence.decay(age) + 0.5).cast("long")).alias("decay_millionths"))
+
+
+@query(f"""WITH {FACTS_SQL}, gone AS (SELECT DISTINCT l_orderkey AS claim_id FROM lineitem WHERE l_tax >= 0.08 OR (l_returnflag = 'R' AND l_quantity <= 3))
+SELECT f.claim_id, g.claim_id IS NOT NULL AS fails FROM f LEFT JOIN gone g ON f.claim_id = g.claim_id""")
+def simulated_retractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What if every line of the highest tax were retracted: which claims the retraction gate fails."""
+    prov = commerce.provenance(spark, sf_dir)
+    line = table(spark, sf_dir, "lineitem").filter("l_tax >= 0.08")
+    listed = line.select(F.concat(F.lit("LINE:"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).alias("identifier"))
+    out = audit.audit_evidence(commerce.claims(spark, sf_dir), audit.simulated_retraction(prov, listed), commerce.AS_OF_YEAR)
+    return out.select("claim_id", F.array_contains("gate_trace", "gate:retraction").alias("fails"))
+
+
+# Identifiers -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {EDGES_SQL}, n AS (SELECT subject AS id FROM edges UNION SELECT object FROM edges)
+SELECT id, CASE split_part(id, ':', 1) WHEN 'CUST' THEN 'customer' WHEN 'ORD' THEN 'order' WHEN 'PART' THEN 'part' WHEN 'SUPP' THEN 'supplier' WHEN 'NAT' THEN 'nation' ELSE 'region' END AS category FROM n""")
+def category_from_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 for every node of the graph."""
+    edges = commerce.edges(spark, sf_dir)
+    nodes = edges.select(F.explode(F.array("subject", "object")).alias("id")).distinct()
+    return nodes.select("id", ids.category_of(F.col("id"), commerce.CATEGORIES).alias("category"))
+
+
+@query("SELECT p_partkey, 'assoc:' || substr(sha256(p_name || '|' || p_brand || '|' || p_type), 1, 16) AS association_id, 'claim-' || substr(sha1(p_name), 1, 10) AS claim_id FROM part")
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers by content."""
+    part = table(spark, sf_dir, "part")
+    return part.select("p_partkey", ids.association_id(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("association_id"), ids.claim_id(F.col("p_name")).alias("claim_id"))
+
+
+@query("SELECT s_suppkey, unnest(range(8)) AS i, CAST(('0x' || substr(sha256('SUPP:' || s_suppkey || '|' || unnest(range(8))), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS x FROM supplier")
+def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S30, the first eight numbers of each supplier's vector."""
+    supplier = table(spark, sf_dir, "supplier")
+    return supplier.select("s_suppkey", F.posexplode(ids.hash_embedding(F.concat(F.lit("SUPP:"), F.col("s_suppkey").cast("string")), 8)).alias("i", "x")).select("s_suppkey", F.col("i").cast("long").alias("i"), "x")
+
+
+@query("""WITH u AS (SELECT page_id, url AS id FROM pages) SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://doi\\.org/') THEN 'doi' ELSE 'url' END AS kind, contains(lower(url), 'retract') OR contains(lower(url), 'concern') AS flagged FROM pages""")
+def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X3, X4 over the urls of pages."""
+    url = F.col("url")
+    kind = F.when(url.rlike(r"(?i)^https?://doi\.org/"), "doi").otherwise("url")
+    return table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), (ids.status_hint(url) != "clean").alias("flagged"))
+
+
+# Graph -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {EDGES_SQL} SELECT e.subject, e.predicate, e.object FROM edges e JOIN (SELECT DISTINCT 'PART:' || l_partkey AS subject, 'SUPP:' || l_suppkey AS object FROM lineitem WHERE l_quantity > 25) q ON e.subject = q.subject AND e.object = q.object AND e.predicate = 'supplied_by'")
+def query_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: a request for each part and supplier of a large line."""
+    line = table(spark, sf_dir, "lineitem").filter("l_quantity > 25").select("l_partkey", "l_suppkey").distinct()
+    requests = line.select(F.concat_ws("-", "l_partkey", "l_suppkey").alias("request_id"), commerce.named("PART:", "l_partkey").alias("subject"), commerce.named("SUPP:", "l_suppkey").alias("object"), F.lit("supplied_by").alias("predicate"))
+    return graph.query_edges(requests, commerce.edges(spark, sf_dir)).select("subject", "predicate", "object")
+
+
+@query(f"WITH {EDGES_SQL} SELECT CAST(substr(subject, 5) AS BIGINT) AS request_id, predicate, object FROM edges WHERE predicate = 'contains' UNION ALL SELECT CAST(substr(object, 5) AS BIGINT), predicate, subject FROM edges WHERE predicate = 'placed'")
+def ego_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4 around every order."""
+    requests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), commerce.named("ORD:", "o_orderkey").alias("node"))
+    _, found = graph.ego(requests, commerce.edges(spark, sf_dir), 1)
+    return found.select("request_id", "predicate", F.when(F.col("predicate") == "placed", F.col("subject")).otherwise(F.col("object")).alias("object"))
+
+
+@query("SELECT DISTINCT l_orderkey AS request_id, 'PART:' || l_partkey AS node, 1 AS dist FROM lineitem UNION SELECT DISTINCT l.l_orderkey, 'SUPP:' || s.l_suppkey, 2 FROM lineitem l JOIN lineitem s ON l.l_partkey = s.l_partkey UNION SELECT o_orderkey, 'ORD:' || o_orderkey, 0 FROM orders")
+def ego_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4, two hops along edge direction from every order."""
+    requests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), commerce.named("ORD:", "o_orderkey").alias("node"))
+    nodes, _ = graph.ego(requests, commerce.edges(spark, sf_dir), 2, "outgoing")
+    return nodes.select("request_id", "node", "dist")
+
+
+BFS_SQL = f"""WITH {PLACES_SQL},
+s0 AS (SELECT pair_id, subject AS node, 0 AS d, 1::BIGINT AS n FROM pairs),
+s1 AS (SELECT pair_id, next AS node, 1 AS d, sum(n)::BIGINT AS n FROM s0 JOIN steps USING (node) GROUP BY 1, 2),
+s2 AS (SELECT pair_id, next AS node, 2 AS d, sum(n)::BIGINT AS n FROM s1 JOIN steps USING (node) WHERE (pair_id, next) NOT IN (SELECT (pair_id, node) FROM s0) GROUP BY 1, 2),
+s AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2),
+o0 AS (SELECT pair_id, object AS node, 0 AS d, 1::BIGINT AS n FROM pairs),
+o1 AS (SELECT pair_id, next AS node, 1 AS d, sum(n)::BIGINT AS n FROM o0 JOIN steps USING (node) GROUP BY 1, 2),
+o2 AS (SELECT pair_id, next AS node, 2 AS d, sum(n)::BIGINT AS n FROM o1 JOIN steps USING (node) WHERE (pair_id, next) NOT IN (SELECT (pair_id, node) FROM o0) GROUP BY 1, 2),
+o AS (SELECT * FROM o0 UNION ALL SELECT * FROM o1 UNION ALL SELECT * FROM o2),
+apart AS (SELECT p.pair_id, s.d AS apart FROM pairs p JOIN s ON s.pair_id = p.pair_id AND s.node = p.object),
+b AS (SELECT pair_id, node, s.d AS dist_s, o.d AS dist_o, s.n AS paths_s, o.n AS paths_o FROM s FULL JOIN o USING (pair_id, node))"""
+
+
+@query(BFS_SQL + """ SELECT pair_id, node, coalesce(dist_s, -1) AS dist_s, coalesce(dist_o, -1) AS dist_o, coalesce(paths_s, 0) AS paths_s, coalesce(paths_o, 0) AS paths_o,
+CASE WHEN dist_s + dist_o = apart THEN paths_s * paths_o ELSE 0 END AS paths_on_shortest FROM b LEFT JOIN apart USING (pair_id)""")
+def pair_bfs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G8, G9 between nations that follow each other."""
+    found = graph.pair_distances(commerce.place_pairs(spark, sf_dir), commerce.place_edges(spark, sf_dir), 2)
+    return found.na.fill(-1, ["dist_s", "dist_o"]).na.fill(0, ["paths_s", "paths_o"]).select("pair_id", "node", "dist_s", "dist_o", "paths_s", "paths_o", "paths_on_shortest")
+
+
+@query(BFS_SQL + """ SELECT e.subject, e.object, u.pair_id FROM e JOIN b u ON u.node = e.subject JOIN b v ON v.node = e.object AND v.pair_id = u.pair_id JOIN apart a ON a.pair_id = u.pair_id
+WHERE u.dist_s + 1 + v.dist_o = a.apart OR v.dist_s + 1 + u.dist_o = a.apart""")
+def edges_on_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G14."""
+    return graph.edges_on_shortest_paths(commerce.place_pairs(spark, sf_dir), commerce.place_edges(spark, sf_dir), 2).select("pair_id", "subject", "object")
+
+
+@query(f"WITH {EDGES_SQL}, n AS (SELECT subject AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT object, 0, 1 FROM edges) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, count(*) AS degree FROM n GROUP BY 1")
+def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G6."""
+    return graph.degrees(commerce.edges(spark, sf_dir))
+
+
+CO_SQL = "c AS (SELECT DISTINCT a.l_partkey AS x, b.l_partkey AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey), adj AS (SELECT x AS n, y AS m FROM c UNION SELECT y, x FROM c)"
+
+
+@query(f"""WITH {CO_SQL}, d AS (SELECT n, count(*) AS d FROM adj GROUP BY 1),
+t AS (SELECT a.n, count(*) AS t FROM adj a JOIN d ON d.n = a.n AND d.d BETWEEN 2 AND 100 JOIN adj b ON b.n = a.n AND a.m < b.m JOIN c ON c.x = a.m AND c.y = b.m GROUP BY 1)
+SELECT 'PART:' || d.n AS node, d AS simple_degree, CAST(CASE WHEN d BETWEEN 2 AND 100 THEN floor(1e9 * (2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1))) + 0.5) ELSE 0 END AS BIGINT) AS clustering_billionths FROM d LEFT JOIN t ON d.n = t.n""")
+def clustering_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G7 over parts that are ordered together."""
+    found = graph.clustering(commerce.co_order_edges(spark, sf_dir))
+    return found.select("node", "simple_degree", F.floor(F.col("clustering") * 1e9 + 0.5).cast("long").alias("clustering_billionths"))
+
+
+@query("""WITH e AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2), z AS (SELECT 'PART:' || l_partkey AS node, n FROM e UNION ALL SELECT 'SUPP:' || l_suppkey, n FROM e)
+SELECT node, CAST(sum(n) AS DOUBLE) AS weight_sum, count(*) AS weight_count FROM z GROUP BY 1""")
+def ppi_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G10 with line counts as weights."""
+    supply = commerce.supply_edges(spark, sf_dir)
+    edges = supply.select(commerce.named("PART:", "l_partkey").alias("subject"), commerce.named("SUPP:", "l_suppkey").alias("object"), "n_sources")
+    return graph.weight_at_nodes(edges, F.col("n_sources"))
+
+
+@query(f"""WITH {EDGES_SQL} SELECT o_orderkey AS request_id, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) THEN 2 ELSE -1 END AS hops FROM orders""")
+def path_to_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hops along edge direction from every order to the nearest supplier."""
+    edges = commerce.edges(spark, sf_dir).filter("predicate in ('contains', 'supplied_by')")
+    starts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), commerce.named("ORD:", "o_orderkey").alias("node"))
+    near = graph.distances(starts, graph.neighbours(edges, "outgoing"), 2)
+    hit = near.filter(ids.category_of(F.col("node"), commerce.CATEGORIES) == "supplier").groupBy("request_id").agg(F.min("dist").alias("hops"))
+    return starts.select("request_id").join(hit, "request_id", "left").na.fill(-1, ["hops"])
+
+
+@query("""WITH a AS (SELECT l_partkey, l_suppkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R' AND l_quantity <= 3) AS nr, count(*) FILTER (l_returnflag = 'N' AND l_quantity <= 3) AS nx FROM lineitem GROUP BY 1, 2)
+SELECT 'PART:' || l_partkey || '|SUPP:' || l_suppkey AS association_id, n AS n_publications, nr AS n_retracted, nx AS n_citing_retracted, CASE WHEN nr > 0 THEN nr / n END AS retracted_support_ratio, CASE WHEN nx > 0 THEN nx / n END AS citing_retracted_ratio FROM a""")
+def reified_support_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as the publications of part-supplier associations."""
+    line = table(spark, sf_dir, "lineitem")
+    assoc = F.concat(commerce.named("PART:", "l_partkey"), F.lit("|"), commerce.named("SUPP:", "l_suppkey"))
+    lines = line.select(assoc.alias("association_id"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("pub_id"), (commerce.line_status() == "retracted").alias("retracted"), F.when((F.col("l_returnflag") == "N") & (F.col("l_quantity") <= 3), 1).otherwise(0).alias("cites_retracted_count"))
+    return graph.support_ratios(lines.select("association_id").distinct(), lines.select("association_id", "pub_id"), lines.select("pub_id", "retracted", "cites_retracted_count"))
+
+
+@query(f"""WITH r AS (SELECT o_custkey AS pair_id, o_orderkey AS ord, CASE WHEN o_orderstatus = 'F' THEN 100.0 ELSE 0 END + CASE WHEN o_orderstatus = 'P' THEN 50.0 ELSE 0 END + CASE WHEN o_totalprice > 200000 THEN 10.0 ELSE 0 END AS p FROM orders),
+k AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY p DESC, ord) AS rn FROM r WHERE p > 0) SELECT pair_id, ord, CAST(p AS DOUBLE) AS relevance FROM k WHERE rn <= 5""")
+def focus_edges_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most relevant orders of every customer."""
+    no = F.lit(False)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pair_id"), F.col("o_orderkey").alias("ord"), (F.col("o_orderstatus") == "F").alias("is_claim_edge"), (F.col("o_orderstatus") == "P").alias("on_path"), (F.col("o_totalprice") > 200000).alias("touches_endpoint"), no.alias("touches_evidence"), no.alias("shares_source"), no.alias("flagged"), F.lit(0.0).alias("rule_sum"), F.lit(0.0).alias("suspicion"))
+    return graph.focus_edges(orders, 5).select("pair_id", "ord", "relevance")
+
+
+@query("""WITH c AS (SELECT event_id, user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS l, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS f FROM events)
+SELECT user_id, event_type, event_id, value FROM c WHERE l = 1""")
+def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state that events leave, keyed by user and type."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    return graph.upsert(events.filter("event_type = 'view'"), events.filter("event_type <> 'view'"), ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS f FROM events) WHERE f = 1")
+def upsert_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S14."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    return graph.upsert(events.limit(0), events, ["user_id", "event_type"], "event_id", first_wins=True)
+
+
+@query("""WITH p AS (SELECT 'USER:' || user_id AS subject, event_type AS predicate, 'K:' || json_extract_string(props, '$.k') AS object, 'PMID:' || event_id AS pmid FROM events)
+SELECT subject, predicate, object, count(*) AS mentions, count(DISTINCT pmid) AS n_sources, min(pmid) AS first_source FROM p WHERE object IS NOT NULL GROUP BY 1, 2, 3""")
+def lit_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9: triples from the events' json."""
+    events = table(spark, sf_dir, "events")
+    rows = events.select(commerce.named("USER:", "user_id").alias("subject"), F.col("event_type").alias("predicate"), F.concat(F.lit("K:"), F.get_json_object("props", "$.k")).alias("object"), commerce.named("PMID:", "event_id").alias("pmid"))
+    return graph.literature_triples(rows).select("subject", "predicate", "object", "mentions", F.size("sources").cast("long").alias("n_sources"), F.col("sources")[0].alias("first_source"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 'association' ELSE 'direct' END AS route FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10) AND l_suppkey IN (SELECT s_suppkey FROM supplier)")
+def route_assoc_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with both ends known, by whether they have support."""
+    line = table(spark, sf_dir, "lineitem")
+    part = table(spark, sf_dir, "part").filter("p_size > 10").select(F.col("p_partkey").alias("l_partkey"))
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
+    known = line.join(part, "l_partkey", "left_semi").join(supplier, "l_suppkey", "left_semi")
+    return known.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.when(F.col("l_quantity") > 25, "association").otherwise("direct").alias("route"))
+
+
+@query("""SELECT s_nationkey, CAST(count(*) AS BIGINT) AS unlinked FROM (SELECT s.s_suppkey, s.s_nationkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM lineitem l JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey = s_suppkey AND o_orderstatus = 'P' AND l_returnflag = 'R' AND l_quantity <= 1)) GROUP BY 1""")
+def leakage_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers by nation that no returned single piece of a pending order names."""
+    pending = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    links = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity <= 1").join(pending, "l_orderkey", "left_semi").select(F.col("l_suppkey").alias("s_suppkey"))
+    return ontology.unlinked(table(spark, sf_dir, "supplier"), links, ["s_suppkey"]).groupBy("s_nationkey").agg(F.count("*").alias("unlinked"))
+
+
+# Ontology --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def sibling_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of one region are siblings."""
+    nation = table(spark, sf_dir, "nation")
+    return ontology.sibling_pairs(nation.select(F.col("n_nationkey").alias("term"), commerce.named("REG:", "n_regionkey").alias("ancestor")), ["REG:none"])
+
+
+@query("SELECT c_custkey AS pair_id, c_nationkey % 5 = n_regionkey AS property_chain_support, c_nationkey % 5 <> n_regionkey AS property_chain_conflict FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def property_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer located_in nation part_of region, against a claimed region."""
+    customer = table(spark, sf_dir, "customer")
+    pairs = customer.select(F.col("c_custkey").alias("pair_id"), commerce.named("CUST:", "c_custkey").alias("subject"), commerce.named("REG:", F.col("c_nationkey") % 5).alias("object"))
+    chains = spark.createDataFrame([("in_region", "located_in", "part_of")], "chain_id string, first string, second string")
+    edges = commerce.edges(spark, sf_dir).filter("predicate in ('located_in', 'part_of')")
+    return ontology.property_chains(pairs, edges, chains).select("pair_id", "property_chain_support", "property_chain_conflict")
+
+
+@query(f"""WITH {EDGES_SQL} SELECT predicate, split_part(subject, ':', 1) AS subject_class, split_part(object, ':', 1) AS object_class, count(*) AS n,
+predicate <> 'located_in' OR split_part(subject, ':', 1) = 'SUPP' AS domain_valid, predicate <> 'contains' AS range_valid FROM edges GROUP BY 1, 2, 3, 5, 6""")
+def domain_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 over every edge of the graph, by classes."""
+    axioms = spark.createDataFrame([(1, "x:LOCATED_IN", ["SUPP"], ["NAT"]), (2, "contains", ["ORD"], ["SUPP"]), (3, "placed", [], [])], "ord int, predicate string, domain array<string>, range array<string>")
+    edges = commerce.edges(spark, sf_dir).select("predicate", F.substring_index("subject", ":", 1).alias("subject_class"), F.substring_index("object", ":", 1).alias("object_class"))
+    counted = edges.groupBy("predicate", "subject_class", "object_class").agg(F.count("*").alias("n"))
+    return ontology.domain_range(counted, axioms).select("predicate", "subject_class", "object_class", "n", "domain_valid", "range_valid")
+
+
+@query("SELECT o_orderkey, o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' OR o_orderstatus = 'P' AND o_orderpriority = '5-LOW' AS violation FROM orders")
+def disjointness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 with order status and priority as classes."""
+    classes = spark.createDataFrame([("F", ["1-URGENT"]), ("5-LOW", ["P"])], "name string, disjoint_with array<string>")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("subject_class"), F.col("o_orderpriority").alias("object_class"))
+    return ontology.disjoint_pairs(rows, classes).select("o_orderkey", F.col("disjoint_pair_violation").alias("violation"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag = 'R' AND l_linestatus <> 'F' AS universal_violation, l_returnflag = 'A' AND l_quantity <= 3 AS existential_violation FROM lineitem")
+def restrictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4 over lines."""
+    axioms = spark.createDataFrame([("universal", "R", "status", ["F"], False), ("existential", "A", "any", [], True)], "kind string, on_class string, on_property string, allowed array<string>, requires_evidence boolean")
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    rows = table(spark, sf_dir, "lineitem").select(*keys, F.concat_ws("-", *keys).alias("row_id"), F.col("l_returnflag").alias("subject_class"), F.lit("has_status").alias("predicate"), F.col("l_linestatus").alias("object_class"), (F.col("l_quantity") > 3).alias("has_evidence"))
+    return ontology.restrictions(rows, axioms).select(*keys, "universal_violation", "existential_violation")
+
+
+# Text ------------------------------------------------------------------------------------------------------------
+
+SENTENCES_SQL = """flat AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t FROM documents WHERE lang = 'en'),
+parts AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM flat),
+sent AS (SELECT doc_id, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS ord, len(l) AS total, l FROM parts)"""
+
+
+def english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").filter("lang = 'en'")
+
+
+@query(f"WITH {SENTENCES_SQL} SELECT doc_id, CAST(ord AS INT) AS ord, sentence FROM sent")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X26."""
+    return english(spark, sf_dir).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("ord", "sentence"))
+
+
+@query("""SELECT doc_id, regexp_matches(lower(text), '\\bof\\b') AS of_hedge, regexp_matches(lower(text), '\\b(of|to)\\b') AS hedged, regexp_matches(lower(text), '\\bthis,') AS negated_form,
+CASE WHEN contains(lower(text), 'from') OR contains(lower(text), 'with') THEN 'positive' WHEN contains(lower(text), 'that') OR contains(lower(text), 'was') THEN 'negative' END AS polarity,
+CASE WHEN contains(lower(text), 'from') THEN 'froms' WHEN contains(lower(text), 'with') THEN 'withs' WHEN contains(lower(text), 'that') THEN 'thats' WHEN contains(lower(text), 'was') THEN 'wass' END AS named,
+CASE WHEN contains(translate(lower(text), '_-', '  '), 'from') OR contains(translate(lower(text), '_-', '  '), 'that') THEN 'causal' WHEN contains(translate(lower(text), '_-', '  '), 'and the') THEN 'association'
+ WHEN contains(lower(text), 'with') OR contains(lower(text), 'was') THEN 'causal' ELSE 'unknown' END AS class FROM documents WHERE lang = 'en'""")
+def text_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X18, X19, X23, X27 with words of the documents."""
+    text, words = F.col("text"), commerce.WORDS
+    return english(spark, sf_dir).select("doc_id", F.array_contains(tx.hedging_terms(text, words), "of").alias("of_hedge"), tx.is_hedged(text, words).alias("hedged"), F.lower(text).rlike(r"\bthis,").alias("negated_form"), tx.polarity(text, words).alias("polarity"), tx.named_predicate(text, words).alias("named"), tx.predicate_class(text, words).alias("class"))
+
+
+def _hits(words: tuple[str, ...]) -> str:
+    return " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in words)
+
+
+@query(f"""WITH d AS (SELECT doc_id, ' ' || ' ' || lower(text) AS t FROM documents), h AS (SELECT doc_id, t, {_hits(tx.DEFAULT.human)} AS human, {_hits(tx.DEFAULT.animal)} AS animal FROM d)
+SELECT doc_id, CASE WHEN {' OR '.join(f"contains(t, '{w}')" for w in tx.DEFAULT.review)} THEN 'review' WHEN human > animal THEN 'primary_human' WHEN animal > 0 THEN 'animal' WHEN human > 0 THEN 'primary_human' ELSE 'unknown' END AS paper_type FROM h""")
+def paper_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X24."""
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.paper_type(none, none, F.col("text")).alias("paper_type"))
+
+
+NLI_SQL = f"""{SENTENCES_SQL},
+lab AS (SELECT doc_id, ord, sentence, total, list_position(l, sentence) - 1 AS place, lower(sentence) AS t FROM sent),
+sec AS (SELECT *, CASE WHEN contains(t, 'of the') THEN 'results' WHEN contains(t, 'to the') THEN 'conclusion' WHEN place / total < 0.2 THEN 'introduction' WHEN place / total > 0.8 THEN 'conclusion' WHEN place / total > 0.5 THEN 'results' ELSE 'abstract' END AS section,
+ CASE WHEN contains(translate(t, '_-', '  '), 'from') OR contains(translate(t, '_-', '  '), 'that') THEN 'causal' WHEN contains(translate(t, '_-', '  '), 'and the') THEN 'association' WHEN contains(t, 'with') OR contains(t, 'was') THEN 'causal' ELSE 'unknown' END AS class,
+ CASE WHEN contains(t, 'from') OR contains(t, 'with') THEN 'positive' WHEN contains(t, 'that') OR contains(t, 'was') THEN 'negative' END AS pol FROM lab),
+wt AS (SELECT *, CASE WHEN pol IS NULL THEN 'NEI' WHEN pol = 'positive' THEN 'SUPPORT' ELSE 'REFUTE' END AS label,
+ CASE section WHEN 'introduction' THEN 70 WHEN 'abstract' THEN 85 ELSE 100 END * CASE class WHEN 'causal' THEN 12 WHEN 'association' THEN 5 ELSE 7 END AS weight FROM sec)"""
+
+
+def nli_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with label and weight in whole thousandths; the claim is causal and positive, and both of its terms count as found."""
+    none = F.lit(None).cast("string")
+    papers = english(spark, sf_dir).select(F.col("doc_id").alias("paper_id"), none.alias("title"), none.alias("journal"), F.col("text").alias("abstract"))
+    rows = nli.paper_sentences(papers, commerce.WORDS)
+    polarity = tx.polarity(F.col("sentence"), commerce.WORDS)
+    weight = F.round(tx.lookup(F.col("section"), tx.SECTION_WEIGHTS) * tx.predicate_factor(F.col("sentence_class"), F.lit("causal")) * 1000).cast("int")
+    return rows.select(F.col("paper_id").alias("doc_id"), "ord", "section", F.col("sentence_class").alias("class"), tx.nli_label(F.lit(True), polarity, F.lit("positive")).alias("label"), weight.alias("weight"))
+
+
+@query(f"WITH {NLI_SQL} SELECT doc_id, CAST(ord AS INT) AS ord, section, class, label, CAST(weight AS INT) AS weight FROM wt")
+def nli_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X25-X29, X32."""
+    return nli_sentences(spark, sf_dir)
+
+
+@query(f"""WITH {NLI_SQL}, r AS (SELECT *, weight * CASE label WHEN 'SUPPORT' THEN 8 WHEN 'REFUTE' THEN 1 ELSE 0 END AS p, weight * CASE label WHEN 'REFUTE' THEN 8 WHEN 'SUPPORT' THEN 1 ELSE 0 END AS q FROM wt),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, ord) AS pr, row_number() OVER (PARTITION BY doc_id ORDER BY q DESC, ord) AS qr FROM r)
+SELECT doc_id, count(*) AS sentences, CAST(sum(p) FILTER (pr <= 3) AS BIGINT) AS s_pos, CAST(sum(q) FILTER (qr <= 3) AS BIGINT) AS s_neg, count(*) FILTER (label = 'SUPPORT') AS n_support, count(*) FILTER (class = 'association') AS n_association FROM k GROUP BY 1""")
+def nli_paper_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the three best sentences for and against, in whole ten-thousandths."""
+    rows = nli_sentences(spark, sf_dir)
+    p = lambda mine, other: F.col("weight") * F.when(F.col("label") == mine, 8).when(F.col("label") == other, 1).otherwise(0)
+    rows = rows.withColumns({"p": p("SUPPORT", "REFUTE"), "q": p("REFUTE", "SUPPORT")})
+    rank = lambda c: F.row_number().over(W.partitionBy("doc_id").orderBy(F.col(c).desc(), "ord"))
+    ranked = rows.withColumns({"pr": rank("p"), "qr": rank("q")})
+    top = lambda c, r: F.sum(F.when(F.col(r) <= 3, F.col(c))).cast("long")
+    return ranked.groupBy("doc_id").agg(F.count("*").alias("sentences"), top("p", "pr").alias("s_pos"), top("q", "qr").alias("s_neg"), F.count_if(F.col("label") == "SUPPORT").alias("n_support"), F.count_if(F.col("class") == "association").alias("n_association"))
+
+
+SPOTTED = ("the", "that", "from", "with")
+
+
+@query(f"""WITH w AS (SELECT unnest({list(SPOTTED)}) AS label), m AS (SELECT doc_id, label, instr(lower(text), label) AS pos FROM documents, w WHERE contains(lower(text), label)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, label) AS r FROM m) SELECT doc_id, CAST(r AS INT) AS rank, label FROM k WHERE r <= 2""")
+def entity_spotting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two dictionary labels of every document, by where they stand."""
+    text = F.lower("text")
+    places = F.array(*(F.struct(F.instr(text, w).alias("at"), F.lit(w).alias("label")) for w in SPOTTED))
+    found = F.slice(F.array_sort(F.filter(places, lambda p: p["at"] > 0)), 1, 2)
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("i", "p")).select("doc_id", (F.col("i") + 1).alias("rank"), "p.label")
+
+
+# Learning --------------------------------------------------------------------------------------------------------
+
+SUPPLY_SQL = """e AS (SELECT l_partkey, l_suppkey, count(*) AS n, sum(CAST(round(l_discount * 100) AS BIGINT)) AS dp, count(*) FILTER (l_returnflag = 'R' AND l_quantity <= 3) AS nr FROM lineitem GROUP BY 1, 2),
+x AS (SELECT *, CASE WHEN dp > 9 * n THEN 'type_violation' WHEN nr > 0 THEN 'retracted_support' WHEN (l_partkey + l_suppkey) % 7 = 0 THEN 'ontology_mismatch' WHEN n <= 1 AND dp > 5 * n THEN 'weak_evidence' END AS reason FROM e)"""
+
+
+def labelled_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = commerce.supply_edges(spark, sf_dir)
+    mean = F.col("discount_points") / F.col("n_sources")
+    c = {"violation": mean > 9, "retracted": F.col("n_retracted") > 0, "mismatch": (F.col("l_partkey") + F.col("l_suppkey")) % 7 == 0, "sources": F.col("n_sources"), "confidence": F.when(mean > 5, 0.4).otherwise(0.95)}
+    reason = learning.edge_reasons(c)
+    return edges.withColumn("reason", reason).withColumn("y", learning.edge_label(F.col("reason"), c))
+
+
+@query(f"WITH {SUPPLY_SQL} SELECT l_partkey, l_suppkey, reason, CASE WHEN reason IS NOT NULL THEN 1 WHEN n >= 2 AND dp <= 5 * n THEN 0 ELSE -1 END AS y FROM x")
+def edge_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML13."""
+    return labelled_edges(spark, sf_dir).select("l_partkey", "l_suppkey", "reason", F.coalesce("y", F.lit(-1)).alias("y"))
+
+
+@query(f"WITH {SUPPLY_SQL} SELECT reason, count(*) AS n FROM x WHERE reason IS NOT NULL GROUP BY 1")
+def reason_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A17."""
+    return learning.reason_counts(labelled_edges(spark, sf_dir))
+
+
+SCORED_SQL = "z AS (SELECT l.doc_id, (d.n_chars % 100) / 100.0::DOUBLE AS p, l.quality AS y, d.source FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score that is a function of a document's length, against its label."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
+    return table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", ((F.col("n_chars") % 100) / 100.0).alias("p"), F.col("quality").alias("y"), "source")
+
+
+MILLION = lambda c, name: F.floor(c * 1e6 + 0.5).cast("long").alias(name)
+
+
+@query(f"""WITH {SCORED_SQL}, b AS (SELECT least(CAST(floor(p * 10) AS INT), 9) AS bin, count(*) AS n, avg(CAST(y AS DOUBLE)) AS a, avg(p) AS c FROM z GROUP BY 1)
+SELECT CAST(floor(1e6 * sum(n * abs(a - c)) / sum(n) + 0.5) AS BIGINT) AS ece, CAST(floor(1e6 * max(abs(a - c)) + 0.5) AS BIGINT) AS mce FROM b""")
+def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14, in whole millionths."""
+    return learning.calibration_error(scored(spark, sf_dir)).select(MILLION(F.col("ece"), "ece"), MILLION(F.col("mce"), "mce"))
+
+
+@query(f"""WITH {SCORED_SQL}, r AS (SELECT source, y, row_number() OVER (PARTITION BY source ORDER BY p DESC, doc_id) AS r FROM z), b AS (SELECT source, min(r) AS r FROM r WHERE y = 1 GROUP BY 1)
+SELECT count(*) AS groups, count(*) FILTER (r <= 1) AS hits_1, count(*) FILTER (r <= 3) AS hits_3, count(*) FILTER (r <= 5) AS hits_5 FROM b""")
+def hits_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A15, W6, as numbers of groups."""
+    found = learning.hits_at(scored(spark, sf_dir).select(F.col("source").alias("group_id"), F.col("doc_id").alias("ord"), F.col("p").alias("score"), "y"))
+    return found.select("groups", *(F.round(F.col(f"hits_at_{k}") * F.col("groups")).cast("long").alias(f"hits_{k}") for k in (1, 3, 5)))
+
+
+@query(f"""WITH {SCORED_SQL}, g AS (SELECT p, sum(y) AS pos, count(*) - sum(y) AS neg FROM z GROUP BY 1), c AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS cp, sum(neg) OVER (ORDER BY p DESC) AS cn FROM g)
+SELECT CAST(floor(1e6 * sum(neg * (cp - pos + pos / 2.0)) / (sum(pos) * sum(neg)) + 0.5) AS BIGINT) AS auroc, CAST(floor(1e6 * sum(pos * (cp / (cp + cn))) / sum(pos) + 0.5) AS BIGINT) AS auprc FROM c""")
+def auroc_auprc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A15, in whole millionths."""
+    return learning.auroc_auprc(scored(spark, sf_dir).select(F.col("p").alias("score"), "y")).select(MILLION(F.col("auroc"), "auroc"), MILLION(F.col("auprc"), "auprc"))
+
+
+@query("""WITH r AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS r FROM embeddings),
+u AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM r WHERE r <= 50) SELECT label, CAST(i AS INT) AS i, CAST(floor(1e6 * avg(CAST(x AS DOUBLE)) + 0.5) AS BIGINT) AS mean_millionths FROM u GROUP BY 1, 2""")
+def prototype_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the last fifty vectors of each label, in whole millionths."""
+    found = learning.centroids(table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("ord"), F.col("embedding").alias("vec")))
+    return found.select("label", F.posexplode("centroid").alias("i", "x")).select("label", "i", MILLION(F.col("x"), "mean_millionths"))
+
+
+@query("""WITH r AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS r FROM embeddings),
+u AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM r WHERE r <= 50), m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM u GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS centroid FROM m GROUP BY 1),
+k AS (SELECT vec_id, c.label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) AS s FROM embeddings, c), b AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS r FROM k)
+SELECT vec_id AS row_id, label AS predicted FROM b WHERE r = 1""")
+def prototype_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML17."""
+    vectors = table(spark, sf_dir, "embeddings")
+    prototypes = learning.centroids(vectors.select("label", F.col("vec_id").alias("ord"), F.col("embedding").alias("vec")))
+    return learning.nearest_prototype(vectors.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec")), prototypes).select("row_id", "predicted")
+
+
+@query()
+def platt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML20, ML21: calibrated scores."""
+    rows = scored(spark, sf_dir)
+    slope, intercept = learning.fit_platt(rows)
+    return rows.select("doc_id", learning.apply_platt(F.col("p"), slope, intercept).alias("calibrated"))
+
+
+@query()
+def isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML19, ML21: calibrated scores."""
+    rows = scored(spark, sf_dir)
+    x, y = learning.fit_isotonic(rows)
+    return rows.select("doc_id", learning.apply_isotonic(F.col("p"), x, y).alias("calibrated"))
+
+
+@query()
+def gnn_suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML1-ML6: suspicion of the edges around every supplier's part associations, with seeded weights."""
+    supply = commerce.supply_edges(spark, sf_dir)
+    edges = supply.select(
+        F.col("l_partkey").alias("pair_id"), commerce.named("PART:", "l_partkey").alias("subject"), F.lit("supplied_by").alias("predicate"), commerce.named("SUPP:", "l_suppkey").alias("object"),
+        "n_sources", F.col("n_sources").alias("n_pmids"), (1 - F.col("discount_points") / (100.0 * F.col("n_sources"))).alias("confidence"), F.lit(0.0).alias("evidence_age"), (F.col("n_retracted") / F.col("n_sources")).alias("retracted_support_ratio"), F.lit(0.0).alias("rule_sum"),
+    )
+    edges = graph.capped(edges, ["pair_id"], ["object"], 200)
+    nodes = edges.select("pair_id", F.explode(F.array("subject", "object")).alias("node")).distinct()
+    features = nodes.withColumn("x", ids.hash_embedding(F.col("node"), 8))
+    return learning.suspicion(edges, features, ["supplied_by"], learning.ScorerWeights.seeded(8, len(learning.EDGE_FEATURES), 1))
