@@ -56,42 +56,50 @@ def uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / float(1 << 53)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; a plain Column would be computed wherever it stands."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hypergeometric(marked: Column, pool: Column, draws: Column, u: Column) -> Column:
     """How many of ``draws`` of ``pool`` blocks are among ``marked``: the inverse of the distribution at ``u``.
 
     Weights relative to the most likely value are added up outwards from it, as far as they can matter.
     """
-    m, n, d = (x.cast("double") for x in (marked, pool, draws))
-    mode = F.floor((d + 1) * (m + 1) / (n + 2))
-    low, high = F.greatest(F.lit(0.0), d - (n - m)), F.least(m, d)
-    mode = F.least(F.greatest(mode.cast("double"), low), high)
-    reach = F.ceil(12 * F.sqrt(d * m * (n - m) * (n - d) / F.greatest(n * n * (n - 1), F.lit(1.0))) + 12).cast("double")
-    up = F.sequence(F.lit(0), F.least(high - mode, reach).cast("int"))
-    down = F.sequence(F.lit(0), F.least(mode - low, reach).cast("int"))
-
-    def step(k: Column, rising: bool) -> Column:
-        if rising:
-            return (m - k) * (d - k) / ((k + 1) * (n - m - d + k + 1))
-        return k * (n - m - d + k) / ((m - k + 1) * (d - k + 1))
-
-    def walk(offsets: Column, rising: bool, goal: Column) -> Column:
-        """Sum of the weights, and the first value at which ``goal`` is reached."""
+
+    def bounds(s: Column) -> Column:
+        m, n, d = s["m"], s["n"], s["d"]
+        low, high = F.greatest(F.lit(0.0), d - (n - m)), F.least(m, d)
+        mode = F.floor((d + 1) * (m + 1) / (n + 2)).cast("double")
+        reach = F.ceil(12 * F.sqrt(d * m * (n - m) * (n - d) / F.greatest(n * n * (n - 1), F.lit(1.0))) + 12).cast("double")
+        return F.struct(m.alias("m"), n.alias("n"), d.alias("d"), s["u"].alias("u"), F.least(F.greatest(mode, low), high).alias("mode"), low.alias("low"), high.alias("high"), reach.alias("reach"))
+
+    def walk(s: Column, rising: bool, goal: Column) -> Column:
+        """Sum of the weights on one side of the mode, and the first value at which ``goal`` is reached."""
+        m, n, d = s["m"], s["n"], s["d"]
         start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("at"))
+        steps = F.sequence(F.lit(0), F.least(s["high"] - s["mode"] if rising else s["mode"] - s["low"], s["reach"]).cast("int"))
+
+        def add(t: Column, i: Column) -> Column:
+            k = s["mode"] + i if rising else s["mode"] - i
+            ratio = (m - k) * (d - k) / ((k + 1) * (n - m - d + k + 1)) if rising else k * (n - m - d + k) / ((m - k + 1) * (d - k + 1))
+            total = t["sum"] + t["w"] if rising else t["sum"] + F.when(i > 0, t["w"]).otherwise(0.0)
+            return let(total, lambda x: F.struct((t["w"] * ratio).alias("w"), x.alias("sum"), F.when((t["at"] < 0) & (x >= goal), k).otherwise(t["at"]).alias("at")))
+
+        return F.aggregate(steps, start, add)
+
+    def invert(s: Column) -> Column:
+        never = F.lit(float("inf"))
+        sums = F.struct(walk(s, True, never)["sum"].alias("over"), walk(s, False, never)["sum"].alias("under"))
 
-        def add(s: Column, i: Column) -> Column:
-            k = mode + i if rising else mode - i
-            mine = F.when(F.lit(True) if rising else i > 0, s["w"]).otherwise(0.0)
-            total = s["sum"] + mine
-            return F.struct((s["w"] * step(k, rising)).alias("w"), total.alias("sum"), F.when((s["at"] < 0) & (total >= goal), k).otherwise(s["at"]).alias("at"))
+        def reached(t: Column) -> Column:
+            goal = F.struct((s["u"] * (t["over"] + t["under"])).alias("above"), (s["u"] * (t["over"] + t["under"]) - t["over"]).alias("below"))
+            return let(goal, lambda g: F.when(g["below"] <= 0, walk(s, True, g["above"])["at"]).otherwise(walk(s, False, g["below"])["at"]))
 
-        return F.aggregate(offsets, start, add)
+        return let(let(sums, reached), lambda k: F.when(k >= 0, k).otherwise(s["mode"]).cast("long"))
 
-    never = F.lit(float("inf"))
-    over, under = walk(up, True, never)["sum"], walk(down, False, never)["sum"]
-    goal = u * (over + under)
-    above = walk(up, True, goal)["at"]
-    below = walk(down, False, goal - over)["at"]
-    return F.when(above >= 0, above).when(below >= 0, below).otherwise(mode).cast("long")
+    given = F.struct(*(x.cast("double").alias(n) for x, n in ((marked, "m"), (pool, "n"), (draws, "d"), (u, "u"))))
+    return let(let(given, bounds), invert)
 
 
 def split(nodes: DataFrame) -> DataFrame:
@@ -101,7 +109,7 @@ def split(nodes: DataFrame) -> DataFrame:
     def draw(s: Column, q: Column) -> Column:
         some = hypergeometric(q["blocks"], s["pool"], s["draws"], uniform(F.lit(SEED), F.col("path"), q["source_no"]))
         got = F.when((s["draws"] > 0) & (q["blocks"] > 0), some).otherwise(F.lit(0).cast("long"))
-        return F.aggregate(F.array(got), s, lambda t, x: F.struct((t["draws"] - x).alias("draws"), (t["pool"] - q["blocks"]).alias("pool"), F.array_append(t["left"], x).alias("left")))
+        return let(got, lambda x: F.struct((s["draws"] - x).alias("draws"), (s["pool"] - q["blocks"]).alias("pool"), F.array_append(s["left"], x).alias("left")))
 
     drawn = nodes.withColumn("left", F.aggregate("quotas", start, draw)["left"])
     child = lambda side: F.zip_with(
