@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kgaudit.functions import ids
 from kgaudit.functions import text as tx
-from kgaudit.operators import evidence, graph, learning, nli, ontology, rules
+from kgaudit.operators import claims, evidence, graph, learning, nli, ontology, rules
 from kgaudit.plans import audit, commerce
 from kgaudit.plans.commerce import EDGES_SQL, PLACES_SQL
 from kgaudit.session import table
@@ -314,6 +314,52 @@ def leakage_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ontology.unlinked(table(spark, sf_dir, "supplier"), links, ["s_suppkey"]).groupBy("s_nationkey").agg(F.count("*").alias("unlinked"))
 
 
+# Claims ----------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT lower(p_brand) AS key, max(p_partkey) AS k FROM part GROUP BY 1) SELECT p_partkey, 'PART:' || k AS resolved FROM part JOIN n ON lower(p_brand) = key""")
+def resolve_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's brand looked up in the index of brands, in which the last part bears it."""
+    part = table(spark, sf_dir, "part")
+    none = F.lit(None).cast("string")
+    index = claims.label_index(part.select(commerce.named("PART:", "p_partkey").alias("subject"), F.col("p_brand").alias("subject_label"), none.alias("object"), none.alias("object_label"), F.col("p_partkey").alias("ord")))
+    rows = part.select("p_partkey", F.struct(none.alias("id"), F.upper("p_brand").alias("label"), none.alias("mention")).alias("subject"))
+    return claims.resolved(rows, "subject", index).select("p_partkey", F.col("subject_id").alias("resolved"))
+
+
+@query("""WITH a AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity >= 30) SELECT o.l_orderkey, o.l_linenumber, o.l_partkey, o.l_suppkey, a.l_partkey IS NOT NULL AS supported
+FROM lineitem o LEFT JOIN a ON o.l_partkey = a.l_partkey AND o.l_suppkey = a.l_suppkey""")
+def curated_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose part and supplier are associated by a large line."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    line = table(spark, sf_dir, "lineitem")
+    pairs = line.select(*keys, F.concat_ws("-", *keys).alias("pair_id"), commerce.named("PART:", "l_partkey").alias("gene_id"), F.array(commerce.named("UMLS:", "l_suppkey")).alias("cuis"))
+    known = line.select(commerce.named("PART:", "l_partkey").alias("gene_id"), F.col("l_suppkey").cast("string").alias("cui"), (F.col("l_quantity") / 100).alias("score"))
+    return claims.curated_support(pairs, known).select(*keys, F.col("disgenet_support").alias("supported"))
+
+
+@query("""WITH p AS (SELECT DISTINCT user_id, event_type FROM events), t AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE value > 50 GROUP BY 1, 2), u AS (SELECT user_id, sum(n) AS n FROM t GROUP BY 1)
+SELECT p.user_id, p.event_type, CAST(coalesce(t.n, u.n, 0) AS INT) AS sources FROM p LEFT JOIN t ON p.user_id = t.user_id AND p.event_type = t.event_type LEFT JOIN u ON p.user_id = u.user_id""")
+def literature_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as literature triples, of the same type, else of any."""
+    events = table(spark, sf_dir, "events")
+    one = F.lit("K")
+    pairs = events.select("user_id", "event_type").distinct().select("user_id", "event_type", F.concat_ws("-", "user_id", "event_type").alias("pair_id"), commerce.named("USER:", "user_id").alias("subject"), one.alias("object"), F.col("event_type").alias("predicate"))
+    rows = events.filter("value > 50").select(commerce.named("USER:", "user_id").alias("subject"), F.col("event_type").alias("predicate"), one.alias("object"), commerce.named("PMID:", "event_id").alias("pmid"))
+    return claims.literature_facts(pairs, graph.literature_triples(rows)).select("user_id", "event_type", F.col("structured_source_count").alias("sources"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS pos, count(*) FILTER (l_returnflag = 'R') AS neg FROM lineitem GROUP BY 1)
+SELECT o_orderkey, CASE WHEN pos > 0 AND neg > 0 THEN 'mixed' WHEN pos > 0 THEN 'positive' WHEN neg > 0 THEN 'negative' END AS context, coalesce(CASE WHEN o_orderstatus = 'F' THEN neg > 0 AND pos = 0 WHEN o_orderstatus = 'P' THEN pos > 0 AND neg = 0 END, false) AS opposite
+FROM orders LEFT JOIN c ON o_orderkey = l_orderkey""")
+def polarity_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order status against the flags of its lines, as predicates."""
+    word = lambda c, up, down: F.when(c == up, "increases").when(c == down, "inhibits").otherwise("is")
+    pairs = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("pair_id"), word(F.col("o_orderstatus"), "F", "P").alias("predicate"))
+    context = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair_id"), word(F.col("l_returnflag"), "A", "R").alias("predicate"))
+    return claims.polarity_conflict(pairs, context).select("o_orderkey", F.col("context_polarity").alias("context"), F.col("opposite_predicate_same_context").alias("opposite"))
+
+
 # Ontology --------------------------------------------------------------------------------------------------------
 
 
