@@ -194,6 +194,6 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that cover no item; all columns stay."""
+    """The documents that cover no item, and those without a doc_id; all columns stay."""
     leaked = contamination(docs, items).select(F.col("doc_id").alias("_leaked_id")).distinct()
     return docs.join(leaked, F.col("doc_id") == F.col("_leaked_id"), "left_anti")

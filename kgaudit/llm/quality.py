@@ -177,6 +177,6 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The selected documents; all columns stay."""
+    """The selected documents, and those without a doc_id; all columns stay."""
     kept = quality_sample(docs, labels).filter("selected").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").union(docs.filter("doc_id is null"))

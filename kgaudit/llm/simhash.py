@@ -7,7 +7,8 @@ the start: copies cost no pairs.
 
 Defined results: null or empty texts have fingerprint zero, which links like any other; texts of fewer words than a
 shingle count as one shingle; ties of a bit (exactly half) give 0; repeated documents share a class; extra columns
-are ignored; an empty table gives an empty result.
+are ignored; rows without a doc_id are in their class, which has no component_id if none of its rows has one; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -78,6 +79,6 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the first of their near-duplicate group; all columns stay."""
-    kept = simhash_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    """The documents that are the first of their near-duplicate group, and those without a doc_id; all columns stay."""
+    kept = simhash_components(docs.filter("doc_id is not null")).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
+    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").union(docs.filter("doc_id is null"))

@@ -15,7 +15,7 @@ segments. A payload that stands on a third of all pages is one row of the digest
 Defined results: null and empty html is an empty payload, always a response; a null url is written as an empty target;
 records of which segments are missing, or don't add up to the total length, have null payload columns and
 ``complete`` false; extra columns are ignored; rows that repeat a page_id are records of their own until they are
-grouped by identifier when read, where equal ones give one row; an empty table gives an empty result.
+grouped by identifier when read, where equal ones give one row; rows without a page_id are not written; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -122,8 +122,8 @@ def payload_of(block: bytes) -> bytes:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write the pages ``(page_id, url, html)`` as WARC files to a folder."""
-    html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    digested = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), html.alias("payload"))
+    html = F.coalesce("html", F.lit("")).cast("binary")
+    digested = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), html.alias("payload")).filter("page_id is not null")
     digested = digested.withColumn("digest", F.sha1("payload"))
     long = digested.filter(F.octet_length("payload") >= MIN_REVISIT)
     stored = long.groupBy(F.col("digest").alias("stored_digest")).agg(F.max("page_id").alias("stored"), F.count("*").alias("n")).filter("n > 1")
