@@ -238,3 +238,85 @@ def first_hit(attempts: DataFrame, key: str) -> DataFrame:
     """Of ordered attempts ``(key, attempt_no, n_edges)``, the first with edges, else the last."""
     rank = F.when(F.col("n_edges") > 0, F.col("attempt_no")).otherwise(F.lit(1_000_000) - F.col("attempt_no"))
     return attempts.groupBy(key).agg(F.min_by("attempt_no", rank).alias("attempt_no"), F.min_by("n_edges", rank).alias("n_edges"))
+
+
+def edge_publications(direct: DataFrame, associations: DataFrame, support: DataFrame) -> DataFrame:
+    """Distinct publications of each ``(subject, predicate, object)``, from edges' own sources and from associations (K8)."""
+    own = direct.select("subject", "predicate", "object", F.explode("sources").alias("pub_id")).filter(F.upper("pub_id").startswith("PMID:"))
+    reified = associations.join(support, "association_id").select("subject", "predicate", "object", "pub_id")
+    return own.union(reified).distinct()
+
+
+def retracted_support(associations: DataFrame, support: DataFrame, publications: DataFrame) -> DataFrame:
+    """Associations with their retracted publications, sorted."""
+    gone = publications.filter("retracted").select("pub_id")
+    hits = support.join(gone, "pub_id", "left_semi").groupBy("association_id").agg(F.array_sort(F.collect_set("pub_id")).alias("retracted_pubs"))
+    return associations.join(hits, "association_id")
+
+
+def retraction_counts(publications: DataFrame) -> DataFrame:
+    """Publications whose status is known, and the retracted ones."""
+    return publications.agg(F.count("retracted").alias("checked"), F.count_if("retracted").alias("retracted"))
+
+
+def linked_sets(edges: DataFrame) -> DataFrame:
+    """The distinct objects of every subject, sorted."""
+    return edges.groupBy("subject").agg(F.array_sort(F.collect_set("object")).alias("objects"))
+
+
+def sampled_pairs(direct: DataFrame, associations: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """Distinct ``(subject, object)`` pairs of both kinds of edges, capped by hash."""
+    pairs = direct.select("subject", "object").union(associations.select("subject", "object")).distinct()
+    return pairs.orderBy(F.xxhash64(F.lit(seed), "subject", "object"), "subject", "object").limit(most)
+
+
+def publication_features(publications: DataFrame, cites: DataFrame) -> DataFrame:
+    """Features of publication nodes: retracted, share of retracted among what they cite, its logarithm.
+
+    A publication that cites nothing known counts as citing one.
+    """
+    out = cites.select("citing", "cited").distinct().groupBy(F.col("citing").alias("pub_id")).agg(F.count("*").alias("_out"))
+    n = F.coalesce("cites_retracted_count", F.lit(0))
+    return publications.join(out, "pub_id", "left").select(
+        "pub_id", F.coalesce("retracted", F.lit(False)).cast("double").alias("is_retracted"),
+        (n / F.greatest(F.coalesce("_out", F.lit(1)), F.lit(1))).alias("retracted_citation_ratio"), F.log1p(n.cast("double")).alias("cites_retracted_log"), F.lit(1.0).alias("is_publication"),
+    )
+
+
+def first_embedding(node2vec: Column, n2v: Column, embedding: Column) -> Column:
+    """The first vector that a node has."""
+    return F.coalesce(node2vec, n2v, embedding)
+
+
+def worst_status(statuses: Column) -> Column:
+    """The gravest status among an edge's sources."""
+    chain = F
+    for status in ("retracted", "concern", "clean"):
+        chain = chain.when(F.array_contains(statuses, status), status)
+    return chain.otherwise("unknown")
+
+
+def origin(agent: Column, paper: Column) -> Column:
+    """Where an edge comes from: an agent before a paper before curation."""
+    return F.when(agent, "agent").when(paper, "paper").otherwise("curated")
+
+
+def ranked_options(edges: DataFrame) -> DataFrame:
+    """Edges of each pair for choice: the claim's and flagged ones first, then by suspicion, label breaking ties.
+
+    Of equal labels the last in order ``ord`` stays.
+    """
+    c = lambda name, points: F.when(F.col(name), points).otherwise(0.0)
+    suspicion = F.coalesce("suspicion", F.lit(0.0))
+    score = c("is_claim_edge", 1000.0) + c("flagged", 1000.0) + F.when(suspicion > 0, 500.0 + 100.0 * suspicion).otherwise(0.0) + c("touches_evidence", 100.0) + c("on_path", 100.0) + c("shares_source", 75.0) + c("touches_endpoint", 50.0)
+    scored = edges.withColumn("score", score).groupBy("pair_id", "label").agg(F.max_by("score", "ord").alias("score"))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("pair_id").orderBy(F.col("score").desc(), "label")))
+
+
+def suspicion_colour(suspicion: Column) -> Column:
+    """Green to amber to red as a hex colour."""
+    s = F.greatest(F.least(suspicion, F.lit(1.0)), F.lit(0.0))
+    part = lambda x: F.lpad(F.hex(F.round(x).cast("long")), 2, "0")
+    red = F.when(s < 0.5, 510 * s).otherwise(255.0)
+    green = F.when(s < 0.5, 255.0).otherwise(510 * (1 - s))
+    return F.concat(F.lit("#"), part(red), part(green), F.lit("00"))

@@ -314,6 +314,42 @@ def leakage_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ontology.unlinked(table(spark, sf_dir, "supplier"), links, ["s_suppkey"]).groupBy("s_nationkey").agg(F.count("*").alias("unlinked"))
 
 
+RETRACTED_LINE = "l_returnflag = 'R' AND l_quantity <= 3"
+
+
+@query(f"""SELECT 'PART:' || l_partkey || '|SUPP:' || l_suppkey AS association_id, count(*) AS n_retracted, min(l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber) AS first_pub
+FROM lineitem WHERE {RETRACTED_LINE} GROUP BY 1""")
+def retracted_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Associations of parts and suppliers with retracted lines."""
+    line = table(spark, sf_dir, "lineitem")
+    assoc = F.concat(commerce.named("PART:", "l_partkey"), F.lit("|"), commerce.named("SUPP:", "l_suppkey"))
+    pubs = line.select(assoc.alias("association_id"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("pub_id"), (commerce.line_status() == "retracted").alias("retracted"))
+    found = graph.retracted_support(pubs.select("association_id").distinct(), pubs.select("association_id", "pub_id"), pubs.select("pub_id", "retracted"))
+    return found.select("association_id", F.size("retracted_pubs").cast("long").alias("n_retracted"), F.col("retracted_pubs")[0].alias("first_pub"))
+
+
+@query(f"SELECT count(*) AS checked, count(*) FILTER ({RETRACTED_LINE}) AS retracted FROM lineitem")
+def retraction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K14."""
+    return graph.retraction_counts(table(spark, sf_dir, "lineitem").select((commerce.line_status() == "retracted").alias("retracted")))
+
+
+@query("SELECT 'CUST:' || o_custkey AS subject, count(DISTINCT o_orderpriority) AS n, min(o_orderpriority) AS first_object FROM orders GROUP BY 1")
+def linked_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The priorities of every customer's orders."""
+    edges = table(spark, sf_dir, "orders").select(commerce.named("CUST:", "o_custkey").alias("subject"), F.col("o_orderpriority").alias("object"))
+    return graph.linked_sets(edges).select("subject", F.size("objects").cast("long").alias("n"), F.col("objects")[0].alias("first_object"))
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, max(CASE WHEN {RETRACTED_LINE} THEN 3 WHEN l_returnflag = 'A' AND l_quantity <= 3 THEN 2 ELSE 1 END) AS w FROM lineitem GROUP BY 1)
+SELECT o_orderkey, CASE w WHEN 3 THEN 'retracted' WHEN 2 THEN 'concern' WHEN 1 THEN 'clean' ELSE 'unknown' END AS status FROM orders LEFT JOIN s ON o_orderkey = l_orderkey""")
+def edge_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gravest status among the citations of every order."""
+    said = commerce.provenance(spark, sf_dir).groupBy("claim_id").agg(F.collect_set("status").alias("statuses"))
+    joined = commerce.claims(spark, sf_dir).join(said, "claim_id", "left")
+    return joined.select(F.col("claim_id").alias("o_orderkey"), graph.worst_status(F.coalesce("statuses", F.array().cast("array<string>"))).alias("status"))
+
+
 # Claims ----------------------------------------------------------------------------------------------------------
 
 
