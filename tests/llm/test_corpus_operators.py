@@ -440,6 +440,23 @@ def test_substrings(spark, chunk):
     assert substrings.removal(docs_of(spark, [])).count() == 0
 
 
+def test_rows_without_an_id(spark):
+    base = text(80)
+    rows_ = [(0, base, "s", 1), (None, base, "s", 1), (None, None, None, None), (1, base + " x", "s", 1), (1, base + " x", "s", 1), (2, text(30), None, None)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, source string, n_chars long")
+    labels = spark.createDataFrame([(0, 1), (None, 0)], "doc_id long, quality int")
+    items = spark.createDataFrame([(0, text(20)), (None, base)], "item_id long, text string")
+    assert licenses.license_scan(docs).count() == simhash.simhash_components(docs).count() == pii.pii_spans(docs).count() == 6
+    assert quality.quality_sample(docs, labels).count() == substrings.removal(docs).count() == mixing.mixture(docs)[0].count() == 6
+    assert decontaminate.contamination(docs, items).count() == 0
+    assert simhash.keep_one(docs).filter("doc_id is null").count() == quality.keep_good(docs, labels).filter("doc_id is null").count() == 2
+    removed = {r["doc_id"]: r["n_removed"] for r in substrings.removal(docs.filter("doc_id is not null")).collect()}
+    assert removed[0] == 0 and removed[1] == len(base) and removed[2] == 0
+    assert mixing.mixed_corpus(docs).count() > 0 and pii.masked(docs).count() == 6
+    vectors = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embeddings.near_links(vectors)[0].collect()), key=str) == [(1, 1, 1), (2, 1, 1), (None, 0, None)]
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
