@@ -8,9 +8,9 @@ offsets until they hold strings of the full length.
    20-gram) and a context (all bytes that its windows cover). A bucket that one document holds alone can't hold a
    repeat and is dropped.
 2. Refinement. In a bucket, a node whose whole context also stands in a smaller document is settled: all its windows
-   repeat. If unsettled nodes of several documents remain, they are refined: each window gets the pair of the bucket
-   of its first 32 bytes and that of the 32 bytes from offset 18, which together are the bucket of its 50 bytes, and
-   these buckets are sorted in the same way. The settled ones carry over.
+   repeat. If unsettled nodes of several documents remain, they are refined: a node is cut into parts of up to eight
+   windows, and then of one, whose buckets are the bytes that all windows of a part share (43 and 50), a pair of
+   buckets of 32 bytes at two offsets. These are sorted in the same way, settled or dropped, and refined again.
 3. The settled windows of a document are joined to its text, and the covered bytes removed.
 
 Copies inside a batch are settled before the shuffle, so that a passage that stands everywhere costs a row for each
@@ -18,7 +18,8 @@ batch, not for each document. Sorted buckets are streamed; no bucket is held who
 hashes (128 bits), never by one.
 
 Defined results: null and empty texts have no bytes; texts under 50 bytes keep all; equal documents are removed but
-for the smallest doc_id; a repeat inside one document stays unless a smaller document has it.
+for the smallest doc_id; a repeat inside one document stays unless a smaller document has it; rows that repeat a
+doc_id are one document; rows without a doc_id keep all bytes and take none from others; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,16 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgaudit.llm.common import Rolling, cut, release, table, text_bytes
+from kgaudit.llm.common import Rolling, cut, mix, release, table, text_bytes
 
 LENGTH, GRAM, HALF, CHUNK = 50, 20, 32, 1 << 18
 SIDE = LENGTH - GRAM + 1
-#: place holds start, whether settled, and number of windows.
+#: Windows that a part of a node has at most, level by level.
+PARTS = (8, 1)
+#: place holds the start, how far behind it the anchor is, whether settled, and the number of windows.
 NODES = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("check", pa.int64())])
 NODES_SQL = "key long, doc_id long, place long, check long"
 WINDOWS_BITS = 20
-RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("settled", pa.bool_())])
-RUNS_SQL = "doc_id long, start long, windows long, settled boolean"
+ANCHOR_BITS = 6
+START_AT = WINDOWS_BITS + 1 + ANCHOR_BITS
+RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("anchor", pa.int64()), ("settled", pa.bool_())])
+RUNS_SQL = "doc_id long, start long, windows long, anchor long, settled boolean"
 SETTLED, WINDOWS = np.int64(1 << WINDOWS_BITS), np.int64((1 << WINDOWS_BITS) - 1)
 MASK = np.uint64(CHUNK * 2 - 1)
 _rolling: list[Rolling] = []
@@ -58,8 +63,8 @@ def chunks(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
         yield at, whole[at : at + CHUNK + LENGTH - 1]
 
 
-def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Start, number of windows, bucket and context of the nodes of a text."""
+def anchors(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """Start, number of windows, anchor (from the start), bucket and context of the nodes of a text."""
     r = rolling()
     for at, part in chunks(data):
         prefix = r.prefix(part)
@@ -72,17 +77,18 @@ def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
         first = np.concatenate([[0], np.flatnonzero(np.diff(low)) + 1])
         after = np.append(first[1:], len(low))
         context = r.hashes(prefix, first, after - 1 + LENGTH)
-        yield at + first, after - first, bucket[low[first].astype(np.int64)], context ^ mixed_length(after - first)
+        anchor = low[first].astype(np.int64)
+        yield at + first, after - first, anchor - first, bucket[anchor], context ^ mixed_length(after - first)
 
 
 def mixed_length(n: np.ndarray) -> np.ndarray:
     return n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def settle_inside(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Nodes of a batch, with those that a smaller document of the batch has settled and joined to runs."""
+def settle_inside(parts: list[tuple]) -> pa.RecordBatch:
+    """Nodes ``(doc_id, start, windows, anchor, key, check)`` of a batch; those that a smaller document of the batch settles are joined to runs."""
     doc = np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])
-    start, windows, key, check = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
+    start, windows, anchor, key, check = (np.concatenate([p[i] for p in parts]) for i in range(1, 6))
     by_doc = np.argsort(doc, kind="stable")
     order = by_doc[np.argsort(check[by_doc], kind="stable")]
     begins = np.flatnonzero(np.concatenate([[True], np.diff(check[order]) != 0]))
@@ -90,7 +96,7 @@ def settle_inside(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.
     settled = np.zeros(len(doc), bool)
     settled[order] = (doc[order] > doc[first]) & (key[order] == key[first])
     unsettled = ~settled
-    out = [(key[unsettled].view(np.int64), doc[unsettled], start[unsettled] << (WINDOWS_BITS + 1) | windows[unsettled], check[unsettled].view(np.int64))]
+    out = [(key[unsettled].view(np.int64), doc[unsettled], start[unsettled] << START_AT | anchor[unsettled] << (WINDOWS_BITS + 1) | windows[unsettled], check[unsettled].view(np.int64))]
     doc, start, windows = doc[settled], start[settled], windows[settled]
     if len(doc):
         order = np.lexsort((start, doc))
@@ -100,7 +106,7 @@ def settle_inside(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.
         last = np.append(new[1:] - 1, len(doc) - 1)
         doc, length, start = doc[new], start[last] + windows[last] - start[new], start[new]
         spread = (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)).view(np.int64)
-        out.append((spread, doc, start << (WINDOWS_BITS + 1) | SETTLED | length, np.zeros(len(doc), np.int64)))
+        out.append((spread, doc, start << START_AT | SETTLED | length, np.zeros(len(doc), np.int64)))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(4)], schema=NODES)
 
 
@@ -118,30 +124,50 @@ def initial(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield settle_inside(parts)
 
 
-def refined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows, with the pair of pointers, of the unsettled nodes ``(doc_id, text, start[], windows[])``."""
-    r = rolling()
-    for batch in it:
-        parts, held = [], 0
-        for doc_id, data, starts, sizes in zip(batch["doc_id"].to_pylist(), text_bytes(batch["text"]), batch["starts"], batch["sizes"], strict=True):
-            starts, sizes = np.array(starts.values), np.array(sizes.values)
-            order = np.argsort(starts)
-            starts, sizes = starts[order], sizes[order]
-            for at, part in chunks(data):
-                mine = slice(*np.searchsorted(starts, [at, at + CHUNK]))
-                if mine.start == mine.stop:
-                    continue
-                first, n = starts[mine] - at, sizes[mine]
-                p = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                prefix = r.prefix(part)
-                head, tail = (r.hashes(prefix, p + x, p + x + HALF) for x in (0, LENGTH - HALF))
-                parts.append((doc_id, at + p, np.ones(len(p), np.int64), head, tail))
-                held += len(p)
-                if held >= 2_000_000:
-                    yield settle_inside(parts)
-                    parts, held = [], 0
-        if parts:
-            yield settle_inside(parts)
+def refined(width: int):
+    """A mapInArrow function that cuts the unsettled nodes ``(doc_id, text, nodes[])`` into parts of up to ``width`` windows.
+
+    Parts are aligned to the anchor, so that equal windows of two documents fall into the same part; a part's bucket
+    is that of the bytes that its windows would share were it whole.
+    """
+
+    def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = rolling()
+        for batch in it:
+            parts, held = [], 0
+            for doc_id, data, nodes in zip(batch["doc_id"].to_pylist(), text_bytes(batch["text"]), batch["nodes"], strict=True):
+                starts, sizes, anchor = (np.array(nodes.values.field(i)) for i in range(3))
+                order = np.argsort(starts)
+                order = order[(starts + sizes)[order] + LENGTH - 1 <= len(data)]  # of a row that repeats the id with another text
+                starts, sizes, anchor = starts[order], sizes[order], anchor[order]
+                for at, part in chunks(data):
+                    mine = slice(*np.searchsorted(starts, [at, at + CHUNK]))
+                    if mine.start == mine.stop:
+                        continue
+                    first, n = starts[mine] - at, sizes[mine]
+                    p = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    node = np.repeat(np.arange(len(n)), n)
+                    origin = first[node] + anchor[mine][node] - (LENGTH - GRAM)  # the first window that the anchor can be in
+                    number = (p - origin) // width
+                    new = np.flatnonzero(np.concatenate([[True], (np.diff(node) != 0) | (np.diff(number) != 0)]))
+                    last = p[np.append(new[1:] - 1, len(p) - 1)]
+                    begin, low = p[new], (origin + number * width)[new]
+                    prefix = r.prefix(part)
+                    core = low + width - 1  # the bytes from here to the end of the first window
+                    head, tail = (r.hashes(prefix, x, x + HALF) for x in (core, low + LENGTH - HALF))
+                    if width == 1:
+                        key, check = head, tail
+                    else:
+                        key, check = mix(head * np.uint64(3) + tail), r.hashes(prefix, begin, last + LENGTH) ^ mixed_length(last - begin + 1)
+                    parts.append((doc_id, at + begin, last - begin + 1, first[node[new]] + anchor[mine][node[new]] - begin, key, check))
+                    held += len(new)
+                    if held >= 2_000_000:
+                        yield settle_inside(parts)
+                        parts, held = [], 0
+            if parts:
+                yield settle_inside(parts)
+
+    return apply
 
 
 def sort_buckets(refine: bool):
@@ -160,7 +186,7 @@ def sort_buckets(refine: bool):
             low = np.minimum.reduceat(np.where(settled, np.iinfo(np.int64).max, doc), new_key)
             high = np.maximum.reduceat(np.where(settled, np.iinfo(np.int64).min, doc), new_key)
             keep = settled | np.repeat(low < high, np.diff(np.append(new_key, len(key))))
-        columns = (doc, place >> (WINDOWS_BITS + 1), place & WINDOWS, settled)
+        columns = (doc, place >> START_AT, place & WINDOWS, place >> (WINDOWS_BITS + 1) & ((1 << ANCHOR_BITS) - 1), settled)
         return pa.RecordBatch.from_arrays([pa.array(c[keep], f.type) for c, f in zip(columns, RUNS, strict=True)], schema=RUNS)
 
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,18 +217,21 @@ def cover(start: list[int], windows: list[int]) -> tuple[np.ndarray, np.ndarray]
 
 def settled_windows(docs: DataFrame) -> DataFrame:
     """``(doc_id, start, windows)``: runs of windows that a document with a smaller doc_id also has."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
 
     def sorted_in(nodes: DataFrame, refine: bool) -> DataFrame:
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return nodes.repartition(n, "key").sortWithinPartitions("key", "check", "doc_id").mapInArrow(sort_buckets(refine), RUNS_SQL)
 
-    first = cut(sorted_in(texts.mapInArrow(initial, NODES_SQL), True))
-    release(docs.sparkSession)
-    open_nodes = first.filter("not settled").groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("sizes"))
-    second = cut(sorted_in(texts.join(open_nodes, "doc_id").mapInArrow(refined, NODES_SQL), False))
+    level = cut(sorted_in(texts.mapInArrow(initial, NODES_SQL), True))
+    settled = level.filter("settled")
+    for width in PARTS:
+        release(docs.sparkSession)
+        nodes = level.filter("not settled").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("nodes"))
+        level = cut(sorted_in(texts.join(nodes, "doc_id").mapInArrow(refined(width), NODES_SQL), width > 1))
+        settled = settled.union(level.filter("settled"))
     release(docs.sparkSession)
-    return first.filter("settled").union(second).select("doc_id", "start", "windows")
+    return settled.select("doc_id", "start", "windows")
 
 
 def removal(docs: DataFrame) -> DataFrame:
@@ -220,7 +249,7 @@ def removal(docs: DataFrame) -> DataFrame:
                     keep = np.ones(len(data), bool)
                     for a, b in zip(begin, end, strict=True):
                         keep[a:b] = False
-                    row = (np.frombuffer(data, np.uint8)[keep].tobytes(), len(data), int((end - begin).sum()), np.stack([begin, end], 1).tolist())
+                    row = (np.frombuffer(data, np.uint8)[keep].tobytes(), len(data), int((~keep).sum()), np.stack([begin, end], 1).tolist())
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, f.type) for c, f in zip(out, list(schema)[1:], strict=True))], schema=schema)
