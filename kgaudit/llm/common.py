@@ -107,14 +107,6 @@ class Rolling:
         return mix((prefix[stop] - prefix[start]) * self.inverse[: len(prefix)][start])
 
 
-def word_spans(data: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes for which ``separator`` (256 flags) is false."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~separator[data]
-    step = np.diff(inside)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): ``(node, root)``, root being the component's smallest node.
 
