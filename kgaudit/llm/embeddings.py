@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kgaudit.llm.common import components, cut, table
 
-THRESHOLD, NEIGHBOURS, CODES, ROUNDS, BLOCK, AUDIT, LEAST_RECALL, SEED = 0.9, 10, 6, 2, 512, 1000, 0.97, 17
+THRESHOLD, NEIGHBOURS, CODES, ROUNDS, BLOCK, BRIDGES, AUDIT, LEAST_RECALL, SEED = 0.9, 10, 6, 2, 512, 8, 1000, 0.97, 17
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
 EDGES_SQL = "a long, b long, cosine double"
 
@@ -73,7 +73,10 @@ def best_of_group(ids: np.ndarray, unit: np.ndarray, worst: np.ndarray, k: int)
 
 
 def coded(vec: DataFrame, first: int, codes: int, bits: int) -> DataFrame:
-    """Classes with a block ``(code_no, code, chunk)`` for each of some hyperplane codes; large ones are cut into chunks."""
+    """Classes with a block ``(code_no, code, chunk)`` for each of some hyperplane codes.
+
+    Large blocks are cut into chunks, in each code anew; about ``BRIDGES`` rows of such a block are in all its chunks.
+    """
     schema = pa.schema([("id", pa.int64()), ("vec", pa.binary()), ("code_no", pa.int32()), ("code", pa.int64())])
 
     def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +93,10 @@ def coded(vec: DataFrame, first: int, codes: int, bits: int) -> DataFrame:
 
     rows = vec.select("id", "dim", "vec").mapInArrow(code, "id long, vec binary, code_no int, code long")
     sizes = cut(rows.groupBy("code_no", "code").count())
-    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / BLOCK).cast("long"))
+    chunks = F.ceil(F.col("count") / BLOCK).cast("long")
+    bridge = F.pmod(F.xxhash64("code_no", "id"), F.col("count")) < BRIDGES
+    mine = F.pmod(F.xxhash64("id", "code_no"), chunks)
+    chunk = F.explode(F.when(bridge, F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(mine)))
     return rows.join(sizes, ["code_no", "code"]).withColumn("chunk", chunk)
 
 

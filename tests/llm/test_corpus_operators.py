@@ -397,6 +397,17 @@ def test_embeddings(spark):
     assert embeddings.near_links(df.limit(0))[0].count() == 0
 
 
+def test_chunks_of_a_tight_block_connect(spark):
+    n = 1300  # rounding noise: all codes agree, so that each code has one block of three chunks
+    vectors = [[1.0, 2.0, 3.0 + i * 1e-13] for i in range(n)]
+    _, vec = embeddings.classes(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"))
+    blocks = embeddings.coded(vec, 0, 2, 4).cache()
+    dealt = [{(r["id"], r["chunk"]) for r in blocks.filter(f"code_no = {no}").collect()} for no in (0, 1)]
+    assert dealt[0] != dealt[1] and {c for _, c in dealt[0]} == {0, 1, 2}
+    roots = components(embeddings.from_blocks(blocks.filter("code_no = 0"), 10).select("a", "b")).collect()
+    assert len(roots) == n and {r["root"] for r in roots} == {0}
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 
