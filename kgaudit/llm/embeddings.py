@@ -5,8 +5,9 @@ which all pairs are compared, and is refined: each class joins its neighbours an
 their pairs are compared, and a pair that betters a list enters it. Rounds end when few lists change.
 
 Edges at the threshold make components. A list whose last neighbour is still over the threshold is saturated, and
-shows too few links; lists are enlarged to the whole component, whose members are compared in blocks. What these tasks
-return are link counts, not pairs, so a large group of near copies costs no rows.
+shows too few links. So all classes with saturated lists are compared with each other exactly, in blocks, which return
+edges that span the links found, and the members of each component are then compared in blocks. What these tasks
+return are link counts and spanning edges, not pairs, so a large group of near copies costs no rows.
 
 Recall is audited by exact comparison of a sample of classes with all classes, in blocks; below ``LEAST_RECALL``, the
 graph is refined again from twice as many hyperplane codes.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from kgaudit.llm.common import components, cut, table
 
-THRESHOLD, NEIGHBOURS, CODES, ROUNDS, BLOCK, BRIDGES, AUDIT, LEAST_RECALL, SEED = 0.9, 10, 6, 2, 512, 8, 1000, 0.97, 17
+THRESHOLD, NEIGHBOURS, CODES, ROUNDS, BLOCK, BRIDGES, EXACT, AUDIT, LEAST_RECALL, SEED = 0.9, 10, 6, 2, 512, 8, 4096, 1000, 0.97, 17
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
 EDGES_SQL = "a long, b long, cosine double"
 
@@ -178,6 +179,71 @@ def link_counts(vec: DataFrame, roots: DataFrame) -> DataFrame:
     return paired.groupBy("root", "low", "high").applyInArrow(compare, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def spanned(ids: np.ndarray, label: np.ndarray, other: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Edges that connect what ``near`` links: ``ids`` with labels, which are lowered in place, and others.
+
+    A label is an id that is already connected with its row; one edge is made for each change of a label.
+    """
+    mine, theirs = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    near, most, edges = near[np.ix_(mine, theirs)], np.iinfo(np.int64).max, []
+    column = other[theirs]
+    while len(mine):
+        low = np.minimum(column, np.where(near, label[mine][:, None], most).min(axis=0))
+        new = np.minimum(label[mine], np.where(near, low, most).min(axis=1))
+        edges += [np.stack([column, low], axis=1)[column != low], np.stack([label[mine], new], axis=1)[label[mine] != new]]
+        if (low == column).all() and (new == label[mine]).all():
+            break
+        column, label[mine] = low, new
+    return np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
+
+
+def exact(vec: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges ``(a, b)`` that span all links between classes, and ``(id, links)``, by comparison of all with all.
+
+    ``EXACT`` classes at a time go to every task, which meets them with its rows; no vectors are shuffled.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+    spark = vec.sparkSession
+    parts = -(-vec.count() // EXACT)
+    edges, counts = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, links long")
+    for no in range(parts):
+        rows = vec.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == no).select("id", "dim", "vec").toLocalIterator()
+        queries = spark.sparkContext.broadcast([(r["id"], r["dim"], bytes(r["vec"])) for r in rows])
+
+        def compare(it: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
+            asked = {}
+            for dim in {q[1] for q in queries.value}:
+                ids = np.array([q[0] for q in queries.value if q[1] == dim], np.int64)
+                asked[dim] = ids, matrix(pa.array([q[2] for q in queries.value if q[1] == dim])), ids.copy(), np.zeros(len(ids), np.int64)
+            for batch in it:
+                for at in range(0, len(batch), BLOCK):
+                    part = batch.slice(at, BLOCK)
+                    for dim in np.unique(part["dim"]):
+                        mine = part.filter(pa.compute.equal(part["dim"], int(dim)))
+                        if int(dim) in asked:
+                            ids, unit, label, links = asked[int(dim)]
+                            other = mine["id"].to_numpy()
+                            near = unit @ matrix(mine["vec"]).T >= THRESHOLD
+                            near &= ids[:, None] != other
+                            links += near @ mine["n"].to_numpy()
+                            pairs = spanned(ids, label, other, near)
+                            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], schema=schema)
+            for ids, _, _, links in asked.values():
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(links)], schema=schema)
+
+        found = cut(vec.select("id", "dim", "n", "vec").mapInArrow(compare, "a long, b long, links long"))
+        edges = edges.union(found.filter("b is not null").select("a", "b"))
+        counts = counts.union(found.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links")))
+        queries.unpersist()
+    return edges.distinct(), counts.filter("links > 0")
+
+
+def saturated(graph: DataFrame, vec: DataFrame, k: int) -> DataFrame:
+    """The classes whose lists are full of neighbours at the threshold."""
+    full = graph.filter(F.col("cosine") >= THRESHOLD).groupBy(F.col("a").alias("id")).count().filter(F.col("count") >= k)
+    return vec.join(full.select("id"), "id", "left_semi")
+
+
 def audited(vec: DataFrame, found: DataFrame) -> float:
     """Share of the true links of a bounded sample of classes that was found."""
     spark = vec.sparkSession
@@ -221,7 +287,8 @@ def near_links(vectors: DataFrame, k: int = NEIGHBOURS, codes: int = CODES) -> t
             graph = cut(nearest(graph.union(better), k))
             if changed < 0.001 * total * k:
                 break
-        roots = cut(components(graph.filter(F.col("cosine") >= THRESHOLD).select("a", "b")))
+        between, _ = exact(cut(saturated(graph, vec, k)))
+        roots = cut(components(graph.filter(F.col("cosine") >= THRESHOLD).select("a", "b").union(between)))
         counts = cut(link_counts(vec, roots))
         recall = audited(vec, counts)
         if recall >= LEAST_RECALL:

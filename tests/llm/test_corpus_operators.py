@@ -408,6 +408,18 @@ def test_chunks_of_a_tight_block_connect(spark):
     assert len(roots) == n and {r["root"] for r in roots} == {0}
 
 
+def test_links_between_saturated_groups(spark):
+    rng = np.random.default_rng(6)
+    one, other = np.eye(16)[0], np.eye(16)[0] * 0.93 + np.eye(16)[1] * (1 - 0.93**2) ** 0.5
+    vectors = [c + rng.standard_normal(16) * 1e-3 for c in (one, other) for _ in range(30)] + [rng.standard_normal(16) for _ in range(20)]
+    near = np.array([v / np.linalg.norm(v) for v in vectors])
+    near = near @ near.T >= 0.9
+    assert near[:60, :60].all() and not near[:60, 60:].any()
+    found, _ = embeddings.near_links(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"))
+    got = rows(found, "vec_id", "n_links", "component_id")
+    assert all(got[i] == (59, 0) for i in range(60)) and [got[i][0] for i in range(80)] == (near.sum(axis=0) - 1).tolist()
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 
