@@ -9,8 +9,10 @@ shows too few links. So all classes with saturated lists are compared with each
 edges that span the links found, and the members of each component are then compared in blocks. What these tasks
 return are link counts and spanning edges, not pairs, so a large group of near copies costs no rows.
 
-Recall is audited by exact comparison of a sample of classes with all classes, in blocks; below ``LEAST_RECALL``, the
-graph is refined again from twice as many hyperplane codes.
+Recall is audited by exact comparison of a sample of classes with all classes, in blocks. It is the mean over classes
+of the share of their links that was found, and of sets of classes with about as many links, the worst one counts.
+Below ``LEAST_RECALL``, the graph is refined again from twice as many hyperplane codes; after three tries, all classes
+are compared with all.
 
 Defined results: vectors that are null, zero or hold null or non-finite components link with nothing and are kept;
 vectors of different lengths aren't linked; equal ones are linked; rows without a vec_id link with nothing; rows that
@@ -27,9 +29,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgaudit.llm.common import components, cut, table
+from kgaudit.llm.common import components, cut, drop_cut, release, table
 
-THRESHOLD, NEIGHBOURS, CODES, ROUNDS, BLOCK, BRIDGES, EXACT, AUDIT, LEAST_RECALL, SEED = 0.9, 10, 6, 2, 512, 8, 4096, 1000, 0.97, 17
+THRESHOLD, NEIGHBOURS, CODES, TRIES, FEW, BLOCK, BRIDGES, EXACT, AUDIT, LEAST_RECALL, SEED = 0.9, 10, 6, 3, 0.001, 512, 8, 4096, 1000, 0.97, 17
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
 EDGES_SQL = "a long, b long, cosine double"
 
@@ -113,8 +115,8 @@ def from_blocks(blocks: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(edges: DataFrame, k: int) -> DataFrame:
-    """The lists of the k nearest of all edges found."""
-    once = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    """The lists of the k nearest of all edges ``(a, b, cosine, old)``; an edge is old if it was in a list before."""
+    once = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.max("old").alias("old"))
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.col("cosine").desc(), "b"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
@@ -245,7 +247,10 @@ def saturated(graph: DataFrame, vec: DataFrame, k: int) -> DataFrame:
 
 
 def audited(vec: DataFrame, found: DataFrame) -> float:
-    """Share of the true links of a bounded sample of classes that was found."""
+    """Mean share of a class's links that was found, over a bounded sample of classes.
+
+    Classes are taken together by the power of two of their number of links; it is the least of these means.
+    """
     spark = vec.sparkSession
     sample = vec.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(AUDIT).select("id", "dim", "vec").collect()
     queries = spark.sparkContext.broadcast([(r["id"], r["dim"], bytes(r["vec"])) for r in sample])
@@ -267,8 +272,18 @@ def audited(vec: DataFrame, found: DataFrame) -> float:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], schema=schema)
 
     true = vec.select("id", "dim", "n", "vec").mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("true"))
-    both = true.join(found, "id", "left").agg(F.sum("true"), F.sum(F.coalesce("links", F.lit(0)))).first()
-    return 1.0 if not both[0] else both[1] / both[0]
+    share = F.coalesce("links", F.lit(0)) / F.col("true")
+    means = true.filter(F.col("true") > 0).join(found, "id", "left").groupBy(F.floor(F.log2(F.col("true")))).agg(F.avg(share).alias("share"))
+    return means.agg(F.coalesce(F.min("share"), F.lit(1.0))).first()[0]
+
+
+def replaced(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """``new``, written; frees what it was made of."""
+    new = cut(new)
+    if old is not None:
+        drop_cut(old)
+    release(new.sparkSession)
+    return new
 
 
 def near_links(vectors: DataFrame, k: int = NEIGHBOURS, codes: int = CODES) -> tuple[DataFrame, float]:
@@ -277,22 +292,25 @@ def near_links(vectors: DataFrame, k: int = NEIGHBOURS, codes: int = CODES) -> t
     total = vec.count()
     bits = max(0, round(np.log2(max(1, total) / (BLOCK / 2))))
     graph, first = None, 0
-    for _ in range(3):
-        found = from_blocks(coded(vec, first, codes, bits), k)
-        graph = cut(nearest(found if graph is None else graph.union(found), k))
+    for _ in range(TRIES):
+        for at in range(first, first + codes, CODES):  # a few codes at a time, whose blocks are freed before the next
+            found = from_blocks(coded(vec, at, min(CODES, first + codes - at), bits), k).withColumn("old", F.lit(0))
+            graph = replaced(graph, nearest(found if graph is None else graph.union(found), k))
         first, codes = first + codes, codes * 2
-        for _ in range(ROUNDS):
-            better = cut(descended(graph, vec, k))
-            changed = better.count()
-            graph = cut(nearest(graph.union(better), k))
-            if changed < 0.001 * total * k:
-                break
+        changed = total * k
+        while changed > FEW * total * k:
+            better = descended(graph, vec, k).withColumn("old", F.lit(0))
+            graph = replaced(graph, nearest(graph.withColumn("old", F.lit(1)).union(better), k))
+            changed = graph.filter("old = 0").count()
         between, _ = exact(cut(saturated(graph, vec, k)))
         roots = cut(components(graph.filter(F.col("cosine") >= THRESHOLD).select("a", "b").union(between)))
         counts = cut(link_counts(vec, roots))
         recall = audited(vec, counts)
         if recall >= LEAST_RECALL:
             break
+    else:
+        links, counts = exact(vec)
+        roots, counts, recall = cut(components(links)), cut(counts), 1.0
     per_class = vec.select("id", "n").join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
     per_class = cut(per_class.select(F.col("id").alias("class"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id")))
     linked = members.join(per_class, F.col("id") == F.col("class")).select("vec_id", "n_links", "component_id")

@@ -420,6 +420,30 @@ def test_links_between_saturated_groups(spark):
     assert all(got[i] == (59, 0) for i in range(60)) and [got[i][0] for i in range(80)] == (near.sum(axis=0) - 1).tolist()
 
 
+def test_audit_counts_each_class(spark):
+    rng = np.random.default_rng(7)
+    vectors = [np.eye(24)[0] + rng.standard_normal(24) * 1e-3 for _ in range(200)]  # a hot group and ten pairs
+    vectors += [np.eye(24)[i // 2 + 1] + rng.standard_normal(24) * 1e-3 for i in range(20)]
+    _, vec = embeddings.classes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"))
+    links = [(i, 199 if i < 200 else 1) for i in range(220)]
+    assert embeddings.audited(vec, spark.createDataFrame(links, "id long, links long")) == 1
+    assert embeddings.audited(vec, spark.createDataFrame(links[:200], "id long, links long")) == 0  # 0.9995 of all links
+    assert embeddings.audited(vec, spark.createDataFrame(links[:210], "id long, links long")) == 0.5
+
+
+def test_failed_audit_is_repaired(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    vectors = [c + rng.standard_normal(16) * 0.15 for c in rng.standard_normal((12, 16)) for _ in range(5)]
+    unit = np.array([v / np.linalg.norm(v) for v in vectors])
+    near = unit @ unit.T >= 0.9
+    monkeypatch.setattr(embeddings, "from_blocks", lambda blocks, k: blocks.selectExpr("id a", "id b", "cast(0 as double) cosine").limit(0))
+    monkeypatch.setattr(embeddings, "TRIES", 1, raising=False)
+    found, recall = embeddings.near_links(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"))
+    reach = np.linalg.matrix_power(near.astype(float), 60) > 0
+    assert recall == 1 and near.sum() > 120
+    assert rows(found, "vec_id", "n_links", "component_id") == {i: (near[i].sum() - 1, reach[i].argmax()) for i in range(60)}
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 
