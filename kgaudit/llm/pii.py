@@ -1,7 +1,7 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 The base patterns give spans that always stay. The field labels the tokens that could be personal data (those with a
-digit or an at-sign) as none, email, ip, card or phone. Neighbouring tokens share a transition potential; tokens of a
+digit or an at-sign; groups of digits side by side are one token) as none, email, ip, card or phone. Neighbouring tokens share a transition potential; tokens of a
 document that repeat or resemble each other (equal letters and digits, equal last seven digits, equal part before
 the at-sign) share a skip potential, however far apart. Loopy sum-product messages run over all links of a batch of
 documents at once, and base spans are fixed. A token that is linked to others, that no base span touches and whose
@@ -41,6 +41,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[^\s,;:!?\"'()<>\[\]{}|]+")
+GROUP = re.compile(r"\+?[0-9]+(?:-[0-9]+)*")
+GAP = re.compile(r"[\x20()-]{1,3}")
 MAX_TRAIN_DOCS, MAX_TRAIN_CHARS, LEAST_BELIEF, ROUNDS, FEATURES, SEED = 2000, 20_000, 0.9, 8, 4096, 5
 Span = tuple[int, int, int]
 
@@ -93,6 +95,31 @@ def active_tokens(text: str) -> list[tuple[int, int, int]]:
                 start += 1
             if start < end:
                 out.append((start, end, place))
+    return joined(text, out)
+
+
+def joined(text: str, tokens: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The tokens, groups of digits that stand side by side as one if they have as many digits as a phone or card."""
+    runs, sizes = [], []
+    for token in tokens:
+        start, end, _ = token
+        size = sum("0" <= c <= "9" for c in text[start:end]) if GROUP.fullmatch(text, start, end) else 0
+        if size and runs and sizes[-1] and GAP.fullmatch(text, runs[-1][-1][1], start) and min(size, sizes[-1]) < 7:
+            runs[-1].append(token)
+        else:
+            runs.append([token])
+        sizes.append(size)
+    out, fewer, at = [], 0, 0
+    for run in runs:
+        if len(run) > 1 and 7 <= sum(sizes[at : at + len(run)]) <= 19:
+            start, end = run[0][0], run[-1][1]
+            if text[start - 1 : start] == "(" and ")" in text[start:end]:
+                start -= 1
+            out.append((start, end, run[0][2] - fewer))
+            fewer += len(run) - 1
+        else:
+            out += [(start, end, place - fewer) for start, end, place in run]
+        at += len(run)
     return out
 
 
@@ -118,6 +145,17 @@ def resemblances(word: str) -> list[str]:
     return keys
 
 
+def resembling(text: str) -> bool:
+    """Whether two tokens share a key; where none do, the field adds no span."""
+    seen: set[str] = set()
+    for start, end, _ in active_tokens(text):
+        keys = resemblances(text[start:end])
+        if not seen.isdisjoint(keys):
+            return True
+        seen.update(keys)
+    return False
+
+
 class Graph:
     """The tokens of a batch of documents, their features, and chain and skip links."""
 
@@ -217,7 +255,7 @@ def find_all(texts: list[str], model: dict | None) -> list[tuple[list[Span], lis
     more: dict[int, list[Span]] = defaultdict(list)
     graph = Graph()
     for i, text in enumerate(texts):
-        if base[i]:  # without a fixed label nothing spreads
+        if resembling(text):
             graph.add(i, text, base[i])
     if model is not None and graph.skip:
         belief = beliefs(graph, model)

@@ -319,6 +319,18 @@ def test_skip_links_carry_labels():
     assert "user7.42@mail" in [t[a:b] for _, a, b in every] and "12" not in [t[a:b] for _, a, b in every]
 
 
+def test_field_needs_no_base_span():
+    seen = [f"{text(20)} call +1 ({random.randint(200, 999)}) 555-{random.randint(1000, 9999)} or user{i}.{i}@mail{i}.example.com {text(5)}" for i in range(200)]
+    model = pii.train(seen + [f"{text(10)} {i} items {i * 7}" for i in range(50)])
+    spread = "ask (017) 555-7713 or (017) 555-7713 today"
+    (_, beside), (base, alone) = pii.find_all([f"{spread}. Not x.y@unrelated.example.org", spread], model)
+    assert not base and [spread[a:b] for _, a, b in alone] == ["(017) 555-7713"] * 2 and set(alone) < set(beside)
+    for t in ("4111 1111 1111 1111", "+49 30 1234 5678", "(017) 555-7713"):
+        assert [t[a:b] for a, b, _ in pii.active_tokens(t)] == [t] and pii.resemblances(t)
+    t = "in 2019 or 12 34, 5551234567 5551234568"
+    assert [t[a:b] for a, b, _ in pii.active_tokens(t)] == ["2019", "12", "34", "5551234567", "5551234568"]
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 
 
