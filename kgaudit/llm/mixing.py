@@ -27,9 +27,13 @@ BLOCK_WORDS, SHARD_BLOCKS, MAX_DEPTH, SEED, BUCKET_BITS = 1024, 4096, 12, 7, 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def row_id(df: DataFrame) -> list[str]:
+    return ["_row"] if "_row" in df.columns else []
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size)`` in words."""
-    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    """``(doc_id, source, size)`` in words, and ``_row`` where documents have it."""
+    return docs.select("doc_id", "source", *row_id(docs), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -146,7 +150,7 @@ def streams(sized: DataFrame) -> DataFrame:
     in_bucket = W.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size")
     placed = hashed.withColumn("row", F.row_number().over(in_bucket))
     placed = placed.withColumn("within", F.sum("size").over(in_bucket.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    return placed.join(bucket, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select("doc_id", "source", "size", "bucket", "row", (F.col("base") + F.col("within")).alias("at"))
+    return placed.join(bucket, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select("doc_id", "source", "size", *row_id(sized), "bucket", "row", (F.col("base") + F.col("within")).alias("at"))
 
 
 def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks_: int = SHARD_BLOCKS) -> tuple[DataFrame, DataFrame]:
@@ -166,7 +170,7 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks_: int
     blocks = shard_blocks(source, block_words, shard_blocks_).select(F.col("source").alias("t"), F.col("block").alias("k"), "shard")
     joined = spread.join(blocks, F.col("source").eqNullSafe(F.col("t")) & (F.col("block") == F.col("k")))
     first, last = F.greatest("start", F.col("block") * block_words), F.least("stop", (F.col("block") + 1) * block_words)
-    pieces = joined.select("source", "bucket", "row", "doc_id", "shard", "block", (first - F.col("start")).alias("first"), (last - first).alias("words"))
+    pieces = joined.select("source", "bucket", "row", "doc_id", *row_id(joined), "shard", "block", (first - F.col("start")).alias("first"), (last - first).alias("words"))
     return placed, pieces
 
 
@@ -180,17 +184,18 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_corpus(docs: DataFrame) -> DataFrame:
     """The pieces with their text, dealt to shards and shuffled in each: the columns of ``docs`` and ``shard, shuffle_key``.
 
-    A whole document keeps its text; a part of one has its words joined by a space. Rows that repeat a doc_id share
-    its pieces.
+    A whole document keeps its text; a part of one has its words joined by a space. Rows are numbered first, so that
+    each has the pieces that were cut from it, also without a doc_id or with one that repeats.
     """
+    columns, docs = docs.columns, cut(docs.withColumn("_row", F.monotonically_increasing_id()))
     _, pieces = mixture(docs)
     key = F.xxhash64(F.lit(SEED + 1), "doc_id", "block", "first")
-    grouped = pieces.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("shard", key.alias("shuffle_key"), "first", "words")).alias("_pieces"))
+    grouped = pieces.groupBy(F.col("_row").alias("_id")).agg(F.collect_list(F.struct("shard", key.alias("shuffle_key"), "first", "words")).alias("_pieces"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    joined = docs.join(grouped, F.col("doc_id") == F.col("_id")).withColumn("_words", F.regexp_count("text", F.lit(WORD)))
+    joined = docs.join(grouped, F.col("_row") == F.col("_id")).withColumn("_words", F.regexp_count("text", F.lit(WORD)))
     parts = joined.withColumn("_p", F.explode("_pieces")).withColumn("shard", F.col("_p.shard")).withColumn("shuffle_key", F.col("_p.shuffle_key"))
     piece = F.array_join(F.slice(words, F.col("_p.first").cast("int") + 1, F.col("_p.words").cast("int")), " ")
     parts = parts.withColumn("text", F.when(F.col("_p.words") == F.col("_words"), F.col("text")).otherwise(piece))
     if "n_chars" in docs.columns:
         parts = parts.withColumn("n_chars", F.length("text").cast("long"))
-    return parts.select(*docs.columns, "shard", "shuffle_key").repartition("shard").sortWithinPartitions("shard", "shuffle_key")
+    return parts.select(*columns, "shard", "shuffle_key").repartition("shard").sortWithinPartitions("shard", "shuffle_key")

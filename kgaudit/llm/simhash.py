@@ -79,6 +79,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the first of their near-duplicate group, and those without a doc_id; all columns stay."""
-    kept = simhash_components(docs.filter("doc_id is not null")).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").union(docs.filter("doc_id is null"))
+    """The first row of each near-duplicate group, by doc_id, and the rows without a doc_id; all columns stay."""
+    numbered = cut(docs.filter("doc_id is not null").withColumn("_row", F.monotonically_increasing_id()))
+    group = simhash_components(numbered.select(F.col("_row").alias("doc_id"), "text"))
+    group = numbered.select("doc_id", "_row").join(group.select(F.col("doc_id").alias("_id"), "component_id"), F.col("_row") == F.col("_id"))
+    kept = group.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_kept"))
+    first = numbered.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    return first.union(docs.filter("doc_id is null"))

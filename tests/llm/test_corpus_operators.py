@@ -516,6 +516,19 @@ def test_rows_without_an_id(spark):
     assert sorted(map(tuple, embeddings.near_links(vectors)[0].collect()), key=str) == [(1, 1, 1), (2, 1, 1), (None, 0, None)]
 
 
+def test_rows_are_told_apart(spark):
+    texts = [text(30 + i) for i in range(40)]
+    data = [(None if i < 10 else i // 2, t, "s", len(t)) for i, t in enumerate(texts)] + [(99, texts[0], "s", 1), (99, texts[0], "s", 1), (98, texts[1], "s", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long")
+    mixed = mixing.mixed_corpus(docs)
+    assert mixed.columns == [*docs.columns, "shard", "shuffle_key"]
+    taken = [(r["doc_id"], r["text"]) for r in mixed.collect()]
+    size = sum(len(t.split()) for _, t, _, _ in data)
+    assert abs(sum(len(t.split()) for _, t in taken) - 1.5 * size) <= 1 and any(i is None for i, _ in taken)
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()]
+    assert kept.count((99, texts[0])) == 1 and len(kept) == len(data) - 1
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
