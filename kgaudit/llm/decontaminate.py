@@ -9,7 +9,8 @@ An item table of up to ``max_broadcast_words`` words goes to every task. A large
 shuffle; the candidates and their tiles are the same.
 
 Defined results: null or empty texts and items match nothing; items of fewer words than a tile match where all their
-words stand in sequence; equal items each get their row; ties of length go to the smallest positions; extra columns
+words stand in sequence; equal items, and items that share an id, each get their row; items without an item_id are only used
+by ``clean``; documents without a doc_id are judged; ties of length go to the smallest positions; extra columns
 are ignored; empty tables give an empty result.
 """
 
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgaudit.llm.common import ASCII_WORDS, Rolling, mix, table, text_bytes
+from kgaudit.llm.common import ASCII_WORDS, Rolling, cut, mix, table, text_bytes
 
 MIN_TILE, MIN_COVERAGE, MAX_BROADCAST_WORDS = 5, 0.6, 2_000_000
 SPAN = 1 << 16
@@ -133,7 +134,7 @@ class Items:
         return sorted(found)
 
 
-def judged(doc_id: int, text: np.ndarray, item_id: int, item: np.ndarray, least: float) -> tuple | None:
+def judged(doc_id: int | None, text: np.ndarray, item_id: int | None, item: np.ndarray, least: float) -> tuple | None:
     tiles = tiling(item, text)
     covered = sum(n for _, _, n in tiles) / max(1, len(item))
     return (doc_id, item_id, covered, len(tiles)) if tiles and covered >= least else None
@@ -143,22 +144,27 @@ def out(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(FOUND)], schema=FOUND)
 
 
-def contamination(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE, max_broadcast_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
-    """``(doc_id, item_id, coverage, tiles)`` of the pairs whose coverage is at least ``min_coverage``."""
+def contamination(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE, max_broadcast_words: int = MAX_BROADCAST_WORDS, unnamed: bool = False) -> DataFrame:
+    """``(doc_id, item_id, coverage, tiles)`` of the pairs whose coverage is at least ``min_coverage``.
+
+    Each row of both tables counts for itself, whatever its id. ``unnamed`` adds the pairs of items without an item_id.
+    """
     spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null")
+    items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    items = items if unnamed else items.filter("item_id is not null")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     words = items.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0.0))).first()[0]
     if words <= max_broadcast_words:
         small = spark.sparkContext.broadcast([(r["item_id"], (r["text"] or "").encode()) for r in items.toLocalIterator()])
 
         def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = Items(small.value)
+            names = [i for i, _ in small.value]
+            known = Items([(no, text) for no, (_, text) in enumerate(small.value)])
             for batch in it:
                 rows = []
                 for doc_id, data in zip(batch["doc_id"].to_pylist(), text_bytes(batch["text"]), strict=True):
                     text = word_hashes(data)
-                    rows += filter(None, (judged(doc_id, text, i, known.words[i], min_coverage) for i in known.candidates(text)))
+                    rows += filter(None, (judged(doc_id, text, names[i], known.words[i], min_coverage) for i in known.candidates(text)))
                 yield out(rows)
 
         return texts.mapInArrow(scan, FOUND_SQL)
@@ -170,16 +176,18 @@ def contamination(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_C
             for batch in it:
                 for key, data in zip(batch[name].to_pylist(), text_bytes(batch["text"]), strict=True):
                     found = word_hashes(data)
-                    wanted = lengths if name == "doc_id" else [min(MIN_TILE, len(found))]
+                    wanted = lengths if name == "doc" else [min(MIN_TILE, len(found))]
                     values = np.unique(np.concatenate([runs(found, n) for n in wanted if n] or [np.zeros(0, np.uint64)])).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), key, np.int64)), pa.array(values)], schema=schema)
 
         return apply
 
     lengths = list(range(1, MIN_TILE + 1))
-    item_seeds = items.mapInArrow(seeds("item_id", lengths), "item_id long, seed long")
-    pairs = texts.mapInArrow(seeds("doc_id", lengths), "doc_id long, seed long").join(item_seeds, "seed").select("doc_id", "item_id").distinct()
-    both = pairs.join(texts, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id").select("doc_id", "text", "item_id", "item")
+    items = cut(items.withColumn("no", F.monotonically_increasing_id()))
+    texts = cut(texts.withColumn("doc", F.monotonically_increasing_id()))
+    item_seeds = items.mapInArrow(seeds("no", lengths), "no long, seed long")
+    pairs = texts.mapInArrow(seeds("doc", lengths), "doc long, seed long").join(item_seeds, "seed").select("doc", "no").distinct()
+    both = pairs.join(texts, "doc").join(items.withColumnRenamed("text", "item"), "no").select("doc_id", "text", "item_id", "item")
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -195,5 +203,5 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that cover no item, and those without a doc_id; all columns stay."""
-    leaked = contamination(docs, items).select(F.col("doc_id").alias("_leaked_id")).distinct()
+    leaked = contamination(docs, items, unnamed=True).select(F.col("doc_id").alias("_leaked_id")).distinct()
     return docs.join(leaked, F.col("doc_id") == F.col("_leaked_id"), "left_anti")

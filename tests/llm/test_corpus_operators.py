@@ -180,6 +180,18 @@ def test_decontamination(spark):
     assert decontaminate.contamination(docs_of(spark, texts), table.limit(0)).count() == 0
 
 
+def test_decontamination_by_rows(spark):
+    one, two, three = text(20), text(20), text(20)
+    items = spark.createDataFrame([(0, one), (0, two), (None, three)], "item_id long, text string")
+    docs = spark.createDataFrame([(0, one), (1, two), (2, three), (None, one), (4, text(20)), (5, one), (5, text(9))], "doc_id long, text string")
+    for most in (10**6, 1):
+        found = decontaminate.contamination(docs, items, max_broadcast_words=most).collect()
+        assert sorted(((r["doc_id"], r["item_id"]) for r in found), key=str) == [(0, 0), (1, 0), (5, 0), (None, 0)]
+        found = decontaminate.contamination(docs, items, max_broadcast_words=most, unnamed=True).collect()
+        assert (2, None) in {(r["doc_id"], r["item_id"]) for r in found} and len(found) == 5
+    assert {r["doc_id"] for r in decontaminate.clean(docs, items).collect()} == {None, 4}
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 
 
