@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,9 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a new temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir; a new temporary one where it is unset and all runs on one machine, as in tests."""
     if not (found := spark.conf.get("spark.checkpoint.dir", "")):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,22 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back.
 
-    This cuts the lineage; the copy outlives any executor.
+    This cuts the lineage; the copy outlives any executor. The write's shuffle files are removed when it is done.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Free the shuffle files of plans that nothing refers to any more, as those whose result has been cut."""
-    for _ in range(2):  # what the first collection frees lets go of more
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table made by ``cut`` that no plan reads any more."""
     spark = df.sparkSession

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgaudit.llm.common import components, cut, drop_cut, release, table
+from kgaudit.llm.common import components, cut, drop_cut, table
 
 THRESHOLD, NEIGHBOURS, CODES, TRIES, FEW, BLOCK, BRIDGES, EXACT, AUDIT, LEAST_RECALL, SEED = 0.9, 10, 6, 3, 0.001, 512, 8, 4096, 1000, 0.97, 17
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
@@ -282,7 +282,6 @@ def replaced(old: DataFrame | None, new: DataFrame) -> DataFrame:
     new = cut(new)
     if old is not None:
         drop_cut(old)
-    release(new.sparkSession)
     return new
 
 

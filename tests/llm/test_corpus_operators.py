@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -484,31 +485,61 @@ def brute_substrings(texts):
     return out
 
 
-@pytest.mark.parametrize("chunk", [substrings.CHUNK, 256])
-def test_substrings(spark, chunk):
+def substrings_of(docs, **how):
+    found = substrings.removal(docs, **how).collect()
+    return [(r["doc_id"], (r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest())) for r in found]
+
+
+@pytest.mark.parametrize("size, most", [(substrings.CHUNK, substrings.MOST), (256, 40), (300, 0)])  # pieces of texts, large buckets
+def test_substrings(spark, size, most):
     passage = text(40)
     texts = edge_texts()
     for i in range(60):
         texts.append(text(random.randint(0, 40)) + passage[random.randint(0, 40) : random.randint(60, len(passage))] + text(random.randint(0, 40)))
     texts += ["ab" * 60, "ab" * 70, "b" + "ab" * 40, "é" * 60, "x" * 49, "x" * 50, "x" * 51]
-    want = brute_substrings(texts)
-    docs = docs_of(spark, texts)
-    parts = list(docs.select("doc_id", "text").toPandas().itertuples(index=False))
-    if chunk != substrings.CHUNK:  # texts of several pieces, without Spark
-        old, substrings.CHUNK = substrings.CHUNK, chunk
-        try:
-            for doc_id, t in parts:
-                data = (t or "").encode()
-                starts = np.concatenate([np.zeros(0, int), *(np.repeat(a[0] - np.cumsum(a[1]) + a[1], a[1]) + np.arange(a[1].sum()) for a in substrings.anchors(data))])
-                assert starts.tolist() == list(range(max(0, len(data) - 49)))
-        finally:
-            substrings.CHUNK = old
-        return
-    found = substrings.removal(docs).toPandas().set_index("doc_id")
-    for i, w in enumerate(want):
-        r = found.loc[i]
-        assert (r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) == w, texts[i]
-    assert substrings.removal(docs_of(spark, [])).count() == 0
+    texts += [f"{text(3)}a common line of thirty bytes!!{text(3)}" for _ in range(60)]
+    found = dict(substrings_of(docs_of(spark, texts), size=size, most=most))
+    assert found == dict(enumerate(brute_substrings(texts)))
+    assert substrings.removal(docs_of(spark, []), size, most).count() == 0
+
+
+def test_windows_stand_once_in_the_pieces():
+    for t in edge_texts():
+        data, rolling = (t or "").encode(), substrings.Rolling(256 + 50)
+        nodes = [np.zeros(0, int)] + [np.repeat(a[0] - np.cumsum(a[1]) + a[1], a[1]) + np.arange(a[1].sum()) for a in substrings.anchors(data, 256, rolling)]
+        assert np.concatenate(nodes).tolist() == list(range(max(0, len(data) - 49)))
+
+
+@pytest.mark.parametrize("most", [substrings.MOST, 0])
+def test_substrings_of_rows_that_repeat_an_id(spark, most):
+    one, two, three = text(30), text(30), text(30)
+    data = [(1, one), (1, two), (1, one), (2, f"{two} {one[5:]}"), (2, three), (None, one), (None, three), (3, f"x{three}"), (3, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    seen = {1: brute_substrings([one]) + brute_substrings([two]) + brute_substrings([one])}
+    first = f"{one}\x00{two}"  # all that document 1 holds
+    seen[2] = [brute_substrings([first, data[3][1]])[1], brute_substrings([three])[0]]
+    seen[3] = [brute_substrings([three, data[7][1]])[1], brute_substrings([None])[0]]
+    seen[None] = brute_substrings([one]) + brute_substrings([three])
+    found = substrings_of(docs, most=most)
+    for i, want in seen.items():
+        assert sorted(v for k, v in found if k == i) == sorted(want), i
+
+
+def test_settling_is_the_same_in_any_batches():
+    rng = np.random.default_rng(2)
+    rows = np.stack([rng.integers(0, 12, 400), rng.integers(0, 3, 400), rng.integers(0, 5, 400)], axis=1)  # key, check, doc
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    columns = [rows[:, 0], rows[:, 2], np.zeros(400, np.int32), np.arange(400) << substrings.START_AT | 1, rows[:, 1]]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, substrings.NODES)], schema=substrings.NODES)
+    want = set()
+    for key in range(12):
+        mine = [i for i in range(400) if rows[i, 0] == key]
+        low = {c: min(rows[i, 2] for i in mine if rows[i, 1] == c) for c in {rows[i, 1] for i in mine}}
+        several = len(set(low.values())) > 1
+        want |= {(i, bool(rows[i, 2] > low[rows[i, 1]])) for i in mine if several or rows[i, 2] > low[rows[i, 1]]}
+    for size in (1, 3, 7, 50, 400):
+        found = pa.Table.from_batches(substrings.settle(iter([whole.slice(at, size) for at in range(0, 400, size)]))).to_pydict()
+        assert sorted(zip(found["start"], found["settled"])) == sorted(want), size
 
 
 def test_rows_without_an_id(spark):
