@@ -51,6 +51,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df``, written with a number for each row in a column of a new name, and that name."""
+    name = "_row"
+    while name in df.columns:
+        name += "_"
+    return cut(df.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table made by ``cut`` that no plan reads any more."""
     spark = df.sparkSession

@@ -1,207 +1,238 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words of a text are hashed; runs of MIN_TILE words are seeds. Documents and items that share a seed are candidates.
-For each candidate pair, the longest matches that touch no word marked before are marked again and again, until none
-of MIN_TILE words is left; marks of both sides are found by hashed runs (Karp-Rabin) of falling lengths. The share of
-an item's words under tiles is its coverage, whatever their order in the document.
+Words of a text are hashed; runs of MIN_TILE words are seeds (an item of fewer words is one seed). A document keeps
+the runs of words whose seeds are in a bitmap of the items' seeds, which has a fixed size: what it lets through by
+chance costs time and no result. Documents and items that share a seed are candidates. A pair with enough coverage
+shares many seeds, so an item is looked up by all but its most frequent ones, as many fewer as the coverage allows.
 
-An item table of up to ``max_broadcast_words`` words goes to every task. A larger one is joined by seeds through a
-shuffle; the candidates and their tiles are the same.
+For each candidate pair, the longest run of words that stands unmarked in both is found by Karp-Rabin hashes of runs,
+with a binary search over the length; all matches of this length that touch no marked word are marked, and the hashes
+are run again over what is unmarked, until no match of MIN_TILE words is left. The share of an item's words under tiles
+is its coverage, whatever their order in the document.
+
+Neither texts nor pairs of copies are shuffled, only kept runs of words. There is one way for item tables of any size.
 
 Defined results: null or empty texts and items match nothing; items of fewer words than a tile match where all their
-words stand in sequence; equal items, and items that share an id, each get their row; items without an item_id are only used
-by ``clean``; documents without a doc_id are judged; ties of length go to the smallest positions; extra columns
-are ignored; empty tables give an empty result.
+words stand in sequence; equal items, items that share an id and items without one each get their row; documents that
+share a doc_id or have none are each judged by their own text; ties of length go to the smallest positions; extra
+columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgaudit.llm.common import ASCII_WORDS, Rolling, cut, mix, table, text_bytes
+from kgaudit.llm.common import ASCII_WORDS, Rolling, cut, mix, numbered, table, text_bytes
 
-MIN_TILE, MIN_COVERAGE, MAX_BROADCAST_WORDS = 5, 0.6, 2_000_000
+MIN_TILE, MIN_COVERAGE, BITMAP_BITS = 5, 0.6, 24
 SPAN = 1 << 16
-FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int64())])
-FOUND_SQL = "doc_id long, item_id long, coverage double, tiles long"
-_words: list = []
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text."""
-    if not _words:
-        _words.append(Rolling(SPAN + 1))
-        _words.append(np.array([c == 32 for c in range(256)]))
-    rolling, space = _words
-    data = data.translate(ASCII_WORDS)
-    out, at = [], 0
-    while at < len(data):
-        stop = min(at + SPAN, len(data))
-        if stop < len(data) and (gap := data.rfind(b" ", at, stop)) > at:
-            stop = gap
-        elif stop < len(data):  # a word longer than the span
-            stop = n if (n := data.find(b" ", stop)) >= 0 else len(data)
-            out.append(np.array([xxhash.xxh64_intdigest(w) for w in data[at:stop].split()], np.uint64))
+BASE = 0x9E3779B97F4A7C15
+FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int64())])
+FOUND_SQL = "row long, doc_id long, item_id long, coverage double, tiles long"
+
+
+def word_hasher() -> Callable[[bytes], np.ndarray]:
+    """A function that gives a 64-bit hash of each word of a text."""
+    rolling, space = Rolling(SPAN + 1), np.array([c == 32 for c in range(256)])
+
+    def hashes(data: bytes) -> np.ndarray:
+        data = data.translate(ASCII_WORDS)
+        out, at = [], 0
+        while at < len(data):
+            stop = min(at + SPAN, len(data))
+            if stop < len(data) and (gap := data.rfind(b" ", at, stop)) > at:
+                stop = gap
+            elif stop < len(data):  # a word longer than the span
+                stop = n if (n := data.find(b" ", stop)) >= 0 else len(data)
+                out.append(np.array([xxhash.xxh64_intdigest(w) for w in data[at:stop].split()], np.uint64))
+                at = stop
+                continue
+            part = np.frombuffer(data, np.uint8, stop - at, at)
+            inside = np.zeros(len(part) + 2, np.int8)
+            inside[1:-1] = ~space[part]
+            step = np.diff(inside)
+            first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+            out.append(rolling.hashes(rolling.prefix(part), first, last))
             at = stop
-            continue
-        part = np.frombuffer(data, np.uint8, stop - at, at)
-        inside = np.zeros(len(part) + 2, np.int8)
-        inside[1:-1] = ~space[part]
-        step = np.diff(inside)
-        first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        prefix = rolling.prefix(part)
-        out.append(rolling.hashes(prefix, first, last))
-        at = stop
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def runs(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the runs of n words."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    value = np.zeros(len(words) - n + 1, np.uint64)
-    for i in range(n):
-        value = mix(value * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - n + 1 + i])
-    return value
-
-
-def tiling(item: np.ndarray, text: np.ndarray, at_least: int = MIN_TILE) -> list[tuple[int, int, int]]:
-    """Tiles (item position, text position, words) by greedy string tiling with hashed runs.
-
-    Lengths fall from the longest match that is possible; each length joins the unmarked runs of both sides by hash.
-    The seeds are extended first, so that only lengths that occur are visited.
-    """
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+    return hashes
+
+
+class Runs:
+    """Karp-Rabin hashes of the runs of a sequence of word hashes, for any length."""
+
+    def __init__(self, words: np.ndarray):
+        with np.errstate(over="ignore"):
+            self.inverse = np.cumprod(np.full(len(words) + 1, pow(BASE, -1, 2**64), np.uint64))
+            self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(np.full(len(words), BASE, np.uint64)))])
+
+    def of(self, n: int) -> np.ndarray:
+        """Hashes of the runs of n words, by where they start."""
+        if not 0 < n < len(self.prefix):
+            return np.zeros(0, np.uint64)
+        return mix((self.prefix[n:] - self.prefix[:-n]) * self.inverse[:-n] + np.uint64(n))
+
+
+def unmarked(marked: np.ndarray, n: int) -> np.ndarray:
+    """Starts of the runs of n words of which none is marked."""
+    before = np.concatenate([[0], np.cumsum(marked)])
+    return np.flatnonzero(before[n:] == before[:-n]) if n <= len(marked) else np.zeros(0, np.int64)
+
+
+def tiling(item: np.ndarray, text: np.ndarray, at_least: int = MIN_TILE, gaps: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Tiles (item position, text position, words) by greedy string tiling; ``gaps`` marks words of the text that no tile may hold."""
     at_least = min(at_least, len(item))
-    if not at_least:
+    if not at_least or len(text) < at_least:
         return []
-    places = defaultdict(list)
-    for position, value in enumerate(runs(text, at_least).tolist()):
-        places[value].append(position)
-    marked_item, marked_text = np.zeros(len(item), bool), np.zeros(len(text), bool)
-    by_length: dict[int, set[tuple[int, int]]] = defaultdict(set)
-    starts = [(p, t) for p, value in enumerate(runs(item, at_least).tolist()) for t in places.get(value, ())]
-    known = set(starts)
-    length_of: dict[tuple[int, int], int] = {}
-    for p, t in sorted(known, reverse=True):  # a match is one longer than that of the next offsets
-        length_of[p, t] = length_of[p + 1, t + 1] + 1 if (p + 1, t + 1) in length_of else at_least
-    for (p, t), n in length_of.items():
-        if (p - 1, t - 1) not in known:
-            by_length[n].add((p, t))
-    tiles = []
-    while by_length:
-        length = max(by_length)
-        for p, t in sorted(by_length.pop(length)):
-            free = ~(marked_item[p : p + length] | marked_text[t : t + length])
-            if free.all():
-                marked_item[p : p + length] = marked_text[t : t + length] = True
-                tiles.append((p, t, length))
+    marked_item, marked_text = np.zeros(len(item), bool), np.zeros(len(text), bool) if gaps is None else gaps.copy()
+    of_item, of_text = Runs(item), Runs(text)
+
+    def shared(n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of unmarked runs of n words of the item that stand unmarked in the text, and those of the text."""
+        mine, theirs = unmarked(marked_item, n), unmarked(marked_text, n)
+        a, b = of_item.of(n)[mine], of_text.of(n)[theirs]
+        return mine[np.isin(a, b)], theirs[np.isin(b, a)]
+
+    tiles, most = [], len(item)
+    while len(shared(at_least)[0]):
+        low, high = at_least, most  # what is shared at a length is shared at all smaller ones
+        while low < high:
+            n = (low + high + 1) // 2
+            low, high = (n, high) if len(shared(n)[0]) else (low, n - 1)
+        starts, places = shared(low)
+        by_hash: dict[int, list[int]] = defaultdict(list)
+        for t, value in zip(places[::-1].tolist(), of_text.of(low)[places[::-1]].tolist(), strict=True):
+            by_hash[value].append(t)
+        new = 0
+        for p, value in zip(starts.tolist(), of_item.of(low)[starts].tolist(), strict=True):
+            if marked_item[p : p + low].any():
                 continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
-            for a, b in edge.reshape(-1, 2).tolist():  # what is left is a shorter match, taken up in its turn
-                if b - a >= at_least:
-                    by_length[b - a].add((p + a, t + a))
+            waiting = by_hash[value]
+            while waiting and marked_text[waiting[-1] : waiting[-1] + low].any():
+                waiting.pop()
+            if waiting and np.array_equal(item[p : p + low], text[waiting[-1] : waiting[-1] + low]):
+                t = waiting.pop()
+                marked_item[p : p + low] = marked_text[t : t + low] = True
+                tiles.append((p, t, low))
+                new += 1
+        most = low if new else low - 1
+        if most < at_least:
+            break
     return tiles
 
 
-class Items:
-    """The seeds and word hashes of a set of items."""
+def seeds_needed(words: int, min_coverage: float) -> int:
+    """How many places of an item have a seed that a document with enough coverage shares; tiles of MIN_TILE words share the fewest."""
+    return max(1, int(np.ceil(min_coverage * words / MIN_TILE - 1e-9))) if words > MIN_TILE else 1
 
-    def __init__(self, rows: list[tuple[int, bytes]]):
-        self.words = {i: word_hashes(t) for i, t in rows}
-        seeds = [(runs(w, min(MIN_TILE, len(w))), i, len(w)) for i, w in self.words.items() if len(w)]
-        self.seed = np.concatenate([s for s, _, _ in seeds]) if seeds else np.zeros(0, np.uint64)
-        self.item = np.concatenate([np.full(len(s), i, np.int64) for s, i, _ in seeds]) if seeds else np.zeros(0, np.int64)
-        order = np.argsort(self.seed, kind="stable")
-        self.seed, self.item = self.seed[order], self.item[order]
-        self.lengths = sorted({min(MIN_TILE, n) for _, _, n in seeds})
 
-    def candidates(self, text: np.ndarray) -> list[int]:
-        """Items that share a seed with the text."""
-        found: set[int] = set()
-        for n in self.lengths:
-            values = runs(text, n)
-            if len(values):
-                at = np.minimum(np.searchsorted(self.seed, values), len(self.seed) - 1)
-                for value in np.unique(values[self.seed[at] == values]):
-                    found.update(self.item[np.searchsorted(self.seed, value) : np.searchsorted(self.seed, value, "right")].tolist())
-        return sorted(found)
+def item_seeds(items: DataFrame, min_coverage: float) -> DataFrame:
+    """``(no, place, seed, length, spare)`` of items ``(no, text)``: the seed at each place, and how many places can be left out."""
+    schema = pa.schema([("no", pa.int64()), ("place", pa.int64()), ("seed", pa.int64()), ("length", pa.int32()), ("spare", pa.int64())])
 
+    def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hasher()
+        for batch in it:
+            for no, data in zip(batch["no"].to_pylist(), text_bytes(batch["text"]), strict=True):
+                words = hashes(data)
+                n = min(MIN_TILE, len(words))
+                values = Runs(words).of(n).view(np.int64)
+                full = lambda x: np.full(len(values), x)
+                columns = full(no), np.arange(len(values)), values, full(n), full(seeds_needed(len(words), min_coverage) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return items.select("no", "text").mapInArrow(apply, "no long, place long, seed long, length int, spare long")
 
-def judged(doc_id: int | None, text: np.ndarray, item_id: int | None, item: np.ndarray, least: float) -> tuple | None:
-    tiles = tiling(item, text)
-    covered = sum(n for _, _, n in tiles) / max(1, len(item))
-    return (doc_id, item_id, covered, len(tiles)) if tiles and covered >= least else None
 
+def bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
+    """The set of the seeds' last bits as a bitmap of 2**bits bits; at most 2**(bits - 6) rows come to the driver."""
+    low = F.col("seed").bitwiseAND(F.lit((1 << bits) - 1))
+    words = seeds.groupBy(F.shiftright(low, 6).cast("int").alias("word"))
+    found = words.agg(F.expr("bit_or(shiftleft(1L, cast(seed & 63L as int)))").alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found["word"].to_numpy()] = found["set"].to_numpy().view(np.uint64)
+    return out
 
-def out(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(FOUND)], schema=FOUND)
 
+def kept_runs(texts: DataFrame, known: np.ndarray, lengths: list[int], bits: int) -> DataFrame:
+    """``(row, doc_id, words, gaps, seeds)`` of the texts ``(row, doc_id, text)`` in which a seed is in the bitmap.
 
-def contamination(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE, max_broadcast_words: int = MAX_BROADCAST_WORDS, unnamed: bool = False) -> DataFrame:
-    """``(doc_id, item_id, coverage, tiles)`` of the pairs whose coverage is at least ``min_coverage``.
+    ``words`` are the word hashes of the runs that hold such seeds, with a gap between two runs.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(known)  # 2**bits bits
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("words", pa.binary()), ("gaps", pa.binary()), ("seeds", pa.list_(pa.int64()))])
 
-    Each row of both tables counts for itself, whatever its id. ``unnamed`` adds the pairs of items without an item_id.
+    def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, hashes, mask = shared.value, word_hasher(), np.uint64((1 << bits) - 1)
+        for batch in it:
+            out = []
+            for row, doc_id, data in zip(batch["row"].to_pylist(), batch["doc_id"].to_pylist(), text_bytes(batch["text"]), strict=True):
+                words, found = hashes(data), []
+                cover, runs = np.zeros(len(words) + 1, np.int64), Runs(words)
+                for n in lengths:
+                    values = runs.of(n)
+                    low = values & mask
+                    hit = np.flatnonzero(known[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1))
+                    found.append(values[hit])
+                    np.add.at(cover, hit, 1)
+                    np.add.at(cover, hit + n, -1)
+                inside = np.cumsum(cover)[:-1] > 0
+                if inside.any():
+                    keep = inside | np.concatenate([[False], inside[:-1]])  # a run and the word behind it
+                    seeds = np.unique(np.concatenate(found)).view(np.int64)
+                    out.append((row, doc_id, words[keep].tobytes(), (~inside[keep]).tobytes(), seeds))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return texts.mapInArrow(apply, "row long, doc_id long, words binary, gaps binary, seeds array<long>")
+
+
+def contamination(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE, bits: int = BITMAP_BITS, row: str | None = None) -> DataFrame:
+    """``(row, doc_id, item_id, coverage, tiles)`` of the pairs whose coverage is at least ``min_coverage``.
+
+    Each row of both tables counts for itself, whatever its id; ``row`` names a column that numbers the documents.
     """
-    spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    items = items if unnamed else items.filter("item_id is not null")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    words = items.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0.0))).first()[0]
-    if words <= max_broadcast_words:
-        small = spark.sparkContext.broadcast([(r["item_id"], (r["text"] or "").encode()) for r in items.toLocalIterator()])
-
-        def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = [i for i, _ in small.value]
-            known = Items([(no, text) for no, (_, text) in enumerate(small.value)])
-            for batch in it:
-                rows = []
-                for doc_id, data in zip(batch["doc_id"].to_pylist(), text_bytes(batch["text"]), strict=True):
-                    text = word_hashes(data)
-                    rows += filter(None, (judged(doc_id, text, names[i], known.words[i], min_coverage) for i in known.candidates(text)))
-                yield out(rows)
-
-        return texts.mapInArrow(scan, FOUND_SQL)
-
-    def seeds(name: str, lengths: list[int]):
-        schema = pa.schema([(name, pa.int64()), ("seed", pa.int64())])
-
-        def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in it:
-                for key, data in zip(batch[name].to_pylist(), text_bytes(batch["text"]), strict=True):
-                    found = word_hashes(data)
-                    wanted = lengths if name == "doc" else [min(MIN_TILE, len(found))]
-                    values = np.unique(np.concatenate([runs(found, n) for n in wanted if n] or [np.zeros(0, np.uint64)])).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), key, np.int64)), pa.array(values)], schema=schema)
-
-        return apply
-
-    lengths = list(range(1, MIN_TILE + 1))
-    items = cut(items.withColumn("no", F.monotonically_increasing_id()))
-    texts = cut(texts.withColumn("doc", F.monotonically_increasing_id()))
-    item_seeds = items.mapInArrow(seeds("no", lengths), "no long, seed long")
-    pairs = texts.mapInArrow(seeds("doc", lengths), "doc long, seed long").join(item_seeds, "seed").select("doc", "no").distinct()
-    both = pairs.join(texts, "doc").join(items.withColumnRenamed("text", "item"), "no").select("doc_id", "text", "item_id", "item")
+    texts = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    items = cut(items.select(F.monotonically_increasing_id().alias("no"), F.col("item_id").cast("long"), F.col("text").cast("string")))
+    seeds = cut(item_seeds(items, min_coverage))
+    lengths = sorted(r["length"] for r in seeds.select("length").distinct().collect())  # MIN_TILE of them at most
+    kept = cut(kept_runs(texts, bitmap(seeds, bits), lengths, bits))
+    often = seeds.groupBy("seed").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy("no").orderBy(F.col("n").desc(), "place"))
+    index = seeds.join(often, "seed").withColumn("rank", rank).filter("rank > spare").select("no", "seed").distinct()
+    pairs = kept.select("row", F.explode("seeds").alias("seed")).join(index, "seed").select("row", "no").distinct()
+    both = pairs.join(kept.drop("seeds"), "row").join(items.withColumnRenamed("text", "item"), "no").select("row", "doc_id", "words", "gaps", "item_id", "item")
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hasher()
         for batch in it:
-            each = zip(batch["doc_id"].to_pylist(), text_bytes(batch["text"]), batch["item_id"].to_pylist(), text_bytes(batch["item"]), strict=True)
-            yield out([r for d, t, i, x in each if (r := judged(d, word_hashes(t), i, word_hashes(x), min_coverage))])
+            out = []
+            for at in range(len(batch)):
+                words, gaps = (np.frombuffer(batch[c][at].as_py(), kind) for c, kind in (("words", np.uint64), ("gaps", bool)))
+                item = hashes((batch["item"][at].as_py() or "").encode())
+                tiles = tiling(item, words, gaps=gaps)
+                covered = sum(n for _, _, n in tiles) / max(1, len(item))
+                if tiles and covered >= min_coverage:
+                    out.append((batch["row"][at].as_py(), batch["doc_id"][at].as_py(), batch["item_id"][at].as_py(), covered, len(tiles)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(FOUND)], schema=FOUND)
 
     return both.mapInArrow(judge, FOUND_SQL)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that cover no item, and those without a doc_id; all columns stay."""
-    leaked = contamination(docs, items, unnamed=True).select(F.col("doc_id").alias("_leaked_id")).distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col("_leaked_id"), "left_anti")
+    """The documents that cover no item; all columns stay."""
+    rows, row = numbered(docs)
+    leaked = contamination(rows, items, row=row).select(F.col("row").alias("_leaked")).distinct()
+    return rows.join(leaked, F.col(row) == F.col("_leaked"), "left_anti").drop(row)

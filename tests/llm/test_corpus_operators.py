@@ -153,44 +153,60 @@ def brute_tiling(item, words, least):
 
 
 def test_tiling():
-    for _ in range(60):
-        item, words = ([random.choice("abc") for _ in range(random.randint(5, 14))] for _ in range(2))
-        code = lambda ws: np.array([xxhash.xxh64_intdigest(w) for w in ws], np.uint64)
+    code = lambda ws: np.array([xxhash.xxh64_intdigest(w) for w in ws], np.uint64)
+    for n in range(300):
+        item, words = ([random.choice("abcd"[: 2 + n % 3]) for _ in range(random.randint(1, 18))] for _ in range(2))
         tiles = decontaminate.tiling(code(item), code(words), 3)
-        for p, t, n in tiles:
-            assert item[p : p + n] == words[t : t + n]
-        marked = [i for p, _, n in tiles for i in range(p, p + n)]
-        assert len(marked) == len(set(marked))
-        longest = max((n for _, _, n in tiles), default=0)
-        assert (longest >= 3) == (brute_tiling(item, words, 3) > 0)
-
-
-def test_decontamination(spark):
-    items = [(0, text(30)), (1, text(24)), (2, None), (3, ""), (4, "only four words here"), (5, text(40))]
-    a = items[0][1].split()
-    reordered = " ".join(["pre", *a[15:], text(20), *a[:15]])
-    texts = [*edge_texts(), f"{text(50)} {items[1][1].upper()}! {text(9)}", reordered, " ".join(a[:12]), "x only four words here y", text(3000) + " " + items[5][1]]
-    n = len(texts) - 5
-    table = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
-    for most in (10**6, 1):  # both ways of joining
-        found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs_of(spark, texts), table, max_broadcast_words=most).collect()}
-        assert found == {(n, 1), (n + 1, 0), (n + 3, 4), (n + 4, 5)}
-    kept = {r["doc_id"] for r in decontaminate.clean(docs_of(spark, texts), table).collect()}
-    assert kept == set(range(len(texts))) - {n, n + 1, n + 3, n + 4}
-    assert decontaminate.contamination(docs_of(spark, []), table).count() == 0
-    assert decontaminate.contamination(docs_of(spark, texts), table.limit(0)).count() == 0
+        for p, t, size in tiles:
+            assert item[p : p + size] == words[t : t + size]
+        for side in (0, 1):
+            marked = [i for tile in tiles for i in range(tile[side], tile[side] + tile[2])]
+            assert len(marked) == len(set(marked))
+        assert sum(size for _, _, size in tiles) == brute_tiling(item, words, min(3, len(item)))
+    tiles = decontaminate.tiling(code("a" * 300), code("a" * 30_000))  # repetitive and long
+    assert sum(size for _, _, size in tiles) == 300
+    gaps = np.arange(12) == 6
+    assert decontaminate.tiling(code("abcdefghijkl"), code("abcdefghijkl"), 3, gaps) == [(0, 0, 6), (7, 7, 5)]
+
+
+def brute_contamination(texts, items, least=0.6):
+    split = lambda t: re.findall(r"[a-z0-9\u0080-\uffff]+", (t or "").lower())
+    found = {}
+    for i, t in enumerate(texts):
+        for j, item in enumerate(items):
+            words = split(item)
+            if words and (covered := brute_tiling(words, split(t), min(5, len(words)))) >= least * len(words):
+                found[i, j] = covered / len(words)
+    return found
+
+
+@pytest.mark.parametrize("bits", [decontaminate.BITMAP_BITS, 6])  # a bitmap that lets everything through
+def test_decontamination(spark, bits):
+    items = [text(30), text(24), None, "", "only four words here", text(40), "which of the " + text(12), "which of the " + text(15)]
+    a, b = items[0].split(), items[5].split()
+    texts = [None, "", "one two", f"{text(50)} {items[1].upper()}! {text(9)}", " ".join(["pre", *a[15:], text(20), *a[:15]]), " ".join(a[:12]), "x only four words here y", text(300) + " " + items[5], "a " * 300]
+    texts += [" ".join(b[:k] + [word()] + b[k : 2 * k] + [word()]) for k in range(5, 20)] + [f"{items[6]} {items[7]}", " ".join(w for k in range(0, 30, 6) for w in [*a[k : k + 5], "zz"])]
+    found = decontaminate.contamination(docs_of(spark, texts), spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id long, text string, doc_id string"), bits=bits).collect()
+    assert {(r["doc_id"], r["item_id"]): pytest.approx(r["coverage"]) for r in found} == brute_contamination(texts, items)
+    assert (len(texts) - 1, 0) in {(r["doc_id"], r["item_id"]) for r in found}  # tiles of the smallest size, which share the fewest seeds
+
+
+def test_decontamination_of_edge_cases(spark):
+    items = spark.createDataFrame([(0, text(30)), (1, None)], "item_id long, text string")
+    kept = decontaminate.clean(docs_of(spark, edge_texts()), items)
+    assert kept.count() == len(edge_texts()) and kept.columns == docs_of(spark, []).columns
+    assert decontaminate.contamination(docs_of(spark, []), items).count() == 0
+    assert decontaminate.contamination(docs_of(spark, edge_texts()), items.limit(0)).count() == 0
 
 
 def test_decontamination_by_rows(spark):
     one, two, three = text(20), text(20), text(20)
     items = spark.createDataFrame([(0, one), (0, two), (None, three)], "item_id long, text string")
-    docs = spark.createDataFrame([(0, one), (1, two), (2, three), (None, one), (4, text(20)), (5, one), (5, text(9))], "doc_id long, text string")
-    for most in (10**6, 1):
-        found = decontaminate.contamination(docs, items, max_broadcast_words=most).collect()
-        assert sorted(((r["doc_id"], r["item_id"]) for r in found), key=str) == [(0, 0), (1, 0), (5, 0), (None, 0)]
-        found = decontaminate.contamination(docs, items, max_broadcast_words=most, unnamed=True).collect()
-        assert (2, None) in {(r["doc_id"], r["item_id"]) for r in found} and len(found) == 5
-    assert {r["doc_id"] for r in decontaminate.clean(docs, items).collect()} == {None, 4}
+    docs = spark.createDataFrame([(0, one, 1), (1, two, 2), (2, three, 3), (None, one, 4), (4, text(20), 5), (5, one, 6), (5, text(9), 7), (None, text(9), 8)], "doc_id long, text string, _row int")
+    found = decontaminate.contamination(docs, items).collect()
+    assert sorted(((r["doc_id"], r["item_id"]) for r in found), key=str) == sorted([(0, 0), (1, 0), (2, None), (5, 0), (None, 0)], key=str)
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns and {r["_row"] for r in kept.collect()} == {5, 7, 8}
 
 
 # 4 ---------------------------------------------------------------------------------------------------------------
@@ -550,7 +566,7 @@ def test_rows_without_an_id(spark):
     items = spark.createDataFrame([(0, text(20)), (None, base)], "item_id long, text string")
     assert licenses.license_scan(docs).count() == simhash.simhash_components(docs).count() == pii.pii_spans(docs).count() == 6
     assert quality.quality_sample(docs, labels).count() == substrings.removal(docs).count() == mixing.mixture(docs)[0].count() == 6
-    assert decontaminate.contamination(docs, items).count() == 0
+    assert decontaminate.contamination(docs, items).count() == 4  # each row that holds the item without an id
     assert simhash.keep_one(docs).filter("doc_id is null").count() == quality.keep_good(docs, labels).filter("doc_id is null").count() == 2
     removed = {r["doc_id"]: r["n_removed"] for r in substrings.removal(docs.filter("doc_id is not null")).collect()}
     assert removed[0] == 0 and removed[1] == len(base) and removed[2] == 0
