@@ -5,7 +5,7 @@ from __future__ import annotations
 from kgaudit.llm.decontaminate import op3_benchmark_decontamination
 from kgaudit.llm.embeddings import op8_embedding_near_dedup
 from kgaudit.llm.licenses import op1_license_scan
-from kgaudit.llm.mixing import op5_mix_sources
+from kgaudit.llm.mixing import OP5_SQL, op5_mix_sources
 from kgaudit.llm.pii import op6_pii
 from kgaudit.llm.quality import op4_quality_classifier
 from kgaudit.llm.simhash import op7_simhash_near_dedup
@@ -31,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL}
+    return {"op5_mix_sources": OP5_SQL, "op10_warc": OP10_SQL}

@@ -51,11 +51,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with underscores behind it as long as it is taken."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """``df``, written with a number for each row in a column of a new name, and that name."""
-    name = "_row"
-    while name in df.columns:
-        name += "_"
+    name = fresh("_row", df.columns)
     return cut(df.withColumn(name, F.monotonically_increasing_id())), name
 
 

@@ -7,11 +7,13 @@ replacement from the node's blocks (a multivariate hypergeometric draw, by inver
 then takes the next blocks of each source's permuted stream, so that blocks are disjoint, and orders them by hash.
 
 The order within a source is a prefix sum in two levels, buckets of hashes and rows in a bucket; a source that holds a
-third of all rows is spread over all buckets. Only ids and sizes are shuffled, not texts.
+third of all rows is spread over all buckets. Only ids and sizes are shuffled, not texts. A node of the tree holds a
+number for each source, and targets are ordered over all sources, so sources are to be far fewer than documents.
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is one source, last in order;
-repeated rows take their own places in the stream; equal hashes are ordered by doc_id and size; extra columns are
-ignored; an empty table gives an empty result.
+repeated rows take their own places in the stream; equal hashes are ordered by doc_id and size; sources that are full
+at the same rate are ordered by name; extra columns are ignored, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -20,26 +22,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgaudit.llm.common import cut, table
+from kgaudit.llm.common import cut, drop_cut, fresh, numbered, table
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
-BLOCK_WORDS, SHARD_BLOCKS, MAX_DEPTH, SEED, BUCKET_BITS = 1024, 4096, 12, 7, 12
-WORD = r"[^\x20\x09-\x0D]+"
+BLOCK_WORDS, SHARD_BLOCKS, SEED, BUCKET_DIGITS, LEVELS = 1024, 4096, 7, 3, 6
+WORD, WORD_AND_GAP, GAP_BEHIND = r"[^\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", r"[\x20\x09-\x0D]+$"
 
 
-def row_id(df: DataFrame) -> list[str]:
-    return ["_row"] if "_row" in df.columns else []
-
-
-def sizes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size)`` in words, and ``_row`` where documents have it."""
-    return docs.select("doc_id", "source", *row_id(docs), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+def sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """``(doc_id, source, size, id)``: sizes in words, and a number of the row where a column holds one."""
+    number = F.col(row) if row else F.lit(None).cast("long")
+    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), number.alias("id"))
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``(source, source_size, target)``: shares by weight, none above ``most`` times its source's size.
 
-    Sources are ordered by the share at which they are full. Those before the first that isn't full at the common rate
+    Sources are ordered by the rate at which they are full. Those before the first that isn't full at the common rate
     of the rest keep their cap; the rest share what is left by weight.
     """
     by_name = W.orderBy(F.col("source").asc_nulls_last())
@@ -50,8 +49,8 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     source = source.withColumn("cap", most * F.col("source_size")).withColumn("rate", F.col("cap") / F.col("weight"))
     before = F.coalesce(F.sum("cap").over(by_rate.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     behind = F.sum("weight").over(by_rate.rowsBetween(0, W.unboundedFollowing))
-    source = source.withColumn("common", (share * F.sum("source_size").over(everything) - before) / behind)
-    level = F.min(F.when(F.col("common") <= F.col("rate"), F.struct("rate", "common"))).over(everything)["common"]
+    source = source.withColumns({"common": (share * F.sum("source_size").over(everything) - before) / behind, "place": F.row_number().over(by_rate)})
+    level = F.min(F.when(F.col("common") <= F.col("rate"), F.struct("place", "common"))).over(everything)["common"]
     return source.select("source", "source_size", F.least("cap", F.coalesce(level * F.col("weight"), "cap")).alias("target"))
 
 
@@ -127,50 +126,53 @@ def split(nodes: DataFrame) -> DataFrame:
 def shard_blocks(source: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """``(source, block, shard)`` for every block that the mix takes, from ``(source, source_size, target)``."""
     owed = source.withColumn("blocks", F.ceil(F.round("target") / block_words).cast("long"))
-    numbered = owed.withColumn("source_no", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
-    root = numbered.agg(F.sort_array(F.collect_list(F.struct("source_no", "blocks"))).alias("quotas"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("total"))
+    numbers = owed.withColumn("source_no", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
+    root = numbers.agg(F.sort_array(F.collect_list(F.struct("source_no", "blocks"))).alias("quotas"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("total"))
     total = root.first()["total"]
-    depth = min(MAX_DEPTH, max(0, (total - 1).bit_length() - (shard_blocks - 1).bit_length()))
+    depth = max(0, (total - 1).bit_length() - (shard_blocks - 1).bit_length())
     nodes = root.select(F.lit(0).cast("long").alias("path"), "quotas", "total")
-    for _ in range(depth):
+    for level in range(depth):
+        if level and level % LEVELS == 0:  # one task a node from here on
+            nodes = cut(nodes.repartition("path"))
         nodes = split(nodes)
     leaf = nodes.select(F.col("path").alias("shard"), F.explode("quotas").alias("q")).select("shard", "q.source_no", "q.blocks")
     until = F.sum("blocks").over(W.partitionBy("source_no").orderBy("shard"))
-    ranges = leaf.withColumn("stop", until).filter("blocks > 0").withColumn("block", F.explode(F.sequence(F.col("stop") - F.col("blocks"), F.col("stop") - 1)))
-    return ranges.join(numbered.select("source_no", "source"), "source_no").select("source", "block", "shard")
+    ranges = leaf.withColumn("stop", until).filter("blocks > 0").join(numbers.select("source_no", "source"), "source_no")
+    return ranges.select("source", F.explode(F.sequence(F.col("stop") - F.col("blocks"), F.col("stop") - 1)).alias("block"), "shard")
 
 
 def streams(sized: DataFrame) -> DataFrame:
-    """Adds ``at``, the place of a document's first word in its source's permuted stream, and a row id."""
-    hashed = sized.withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id"))
-    hashed = hashed.withColumn("bucket", F.shiftrightunsigned("hash", 64 - BUCKET_BITS))
+    """Adds ``at``, the place of a document's first word in its source's permuted stream, and ``bucket, row``, which name the document."""
+    hashed = sized.withColumn("hash", F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    hashed = hashed.withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS)).withColumn("hash", F.unhex("hash"))
     bucket = hashed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     in_source = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     bucket = bucket.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0)).alias("base"))
-    in_bucket = W.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size")
+    in_bucket = W.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size", "id")
     placed = hashed.withColumn("row", F.row_number().over(in_bucket))
     placed = placed.withColumn("within", F.sum("size").over(in_bucket.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    return placed.join(bucket, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select("doc_id", "source", "size", *row_id(sized), "bucket", "row", (F.col("base") + F.col("within")).alias("at"))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))
+    return placed.join(bucket, same).select("doc_id", "source", "size", "id", "bucket", "row", (F.col("base") + F.col("within")).alias("at"))
 
 
-def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks_: int = SHARD_BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """Documents ``(doc_id, source, size, source_size, target, bucket, row)`` and the pieces of them that the mix takes.
+def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks_: int = SHARD_BLOCKS, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents ``(doc_id, source, size, id, source_size, target, bucket, row)`` and the pieces of them that the mix takes.
 
-    Pieces are ``(source, bucket, row, doc_id, shard, block, first, words)``: ``words`` words from word ``first``.
+    Pieces are ``(source, bucket, row, doc_id, size, id, shard, block, first, words)``: ``words`` words from word ``first``.
     """
-    sized = cut(sizes(docs))
+    sized = cut(sizes(docs, row))
     source = cut(targets(sized))
-    placed = streams(sized).join(source.withColumnRenamed("source", "t"), F.col("source").eqNullSafe(F.col("t"))).drop("t")
-    placed = cut(placed)
+    placed = cut(streams(sized).join(source.withColumnRenamed("source", "t"), F.col("source").eqNullSafe(F.col("t"))).drop("t"))
+    drop_cut(sized)
     epoch = F.explode(F.array(F.lit(0), F.lit(1)))
     passes = placed.filter("size > 0").withColumn("epoch", epoch).withColumn("start", F.col("at") + F.col("epoch") * F.col("source_size"))
     owed = F.round("target").cast("long")
     passes = passes.withColumn("stop", F.least(F.col("start") + F.col("size"), owed)).filter("stop > start")
     spread = passes.withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (stop - 1) div {block_words})")))
     blocks = shard_blocks(source, block_words, shard_blocks_).select(F.col("source").alias("t"), F.col("block").alias("k"), "shard")
-    joined = spread.join(blocks, F.col("source").eqNullSafe(F.col("t")) & (F.col("block") == F.col("k")))
+    joined = spread.join(blocks.hint("merge"), F.col("source").eqNullSafe(F.col("t")) & (F.col("block") == F.col("k")))  # blocks grow with the input
     first, last = F.greatest("start", F.col("block") * block_words), F.least("stop", (F.col("block") + 1) * block_words)
-    pieces = joined.select("source", "bucket", "row", "doc_id", *row_id(joined), "shard", "block", (first - F.col("start")).alias("first"), (last - first).alias("words"))
+    pieces = joined.select("source", "bucket", "row", "doc_id", "size", "id", "shard", "block", (first - F.col("start")).alias("first"), (last - first).alias("words"))
     return placed, pieces
 
 
@@ -178,24 +180,50 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, pieces = mixture(table(spark, sf_dir, "documents"))
     taken = pieces.groupBy(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("row").alias("r")).agg(F.sum("words").alias("taken"))
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")) & (F.col("row") == F.col("r"))
-    return placed.join(taken, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    joined = placed.join(taken.hint("merge"), same, "left")
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+r AS (SELECT *, {MOST}::DOUBLE * source_size AS cap, {MOST}::DOUBLE * source_size / weight AS rate FROM w),
+o AS (SELECT *, row_number() OVER by_rate AS place, ({SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (by_rate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (by_rate ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS common FROM r WINDOW by_rate AS (ORDER BY rate, source NULLS LAST)),
+l AS (SELECT arg_min(common, place) AS level FROM o WHERE common <= rate),
+t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM o, l),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS owed,
+        CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, greatest(least(start + size, owed) - start, 0) + greatest(least(start + size + source_size, owed) - start - source_size, 0) AS taken FROM p
+"""
 
 
 def mixed_corpus(docs: DataFrame) -> DataFrame:
-    """The pieces with their text, dealt to shards and shuffled in each: the columns of ``docs`` and ``shard, shuffle_key``.
+    """The pieces with their text, dealt to shards and shuffled in each: the columns of ``docs``, a shard and a shuffle key.
 
-    A whole document keeps its text; a part of one has its words joined by a space. Rows are numbered first, so that
-    each has the pieces that were cut from it, also without a doc_id or with one that repeats.
+    A whole document keeps its text; a part of one is the text from its first word to its last. Rows are numbered
+    first, so that each has the pieces that were cut from it, also without a doc_id or with one that repeats. The two
+    columns are ``shard`` and ``shuffle_key``; where ``docs`` has one of that name, an underscore is put behind it.
     """
-    columns, docs = docs.columns, cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    _, pieces = mixture(docs)
+    rows, row = numbered(docs)
+    _, pieces = mixture(rows, row=row)
     key = F.xxhash64(F.lit(SEED + 1), "doc_id", "block", "first")
-    grouped = pieces.groupBy(F.col("_row").alias("_id")).agg(F.collect_list(F.struct("shard", key.alias("shuffle_key"), "first", "words")).alias("_pieces"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    joined = docs.join(grouped, F.col("_row") == F.col("_id")).withColumn("_words", F.regexp_count("text", F.lit(WORD)))
-    parts = joined.withColumn("_p", F.explode("_pieces")).withColumn("shard", F.col("_p.shard")).withColumn("shuffle_key", F.col("_p.shuffle_key"))
-    piece = F.array_join(F.slice(words, F.col("_p.first").cast("int") + 1, F.col("_p.words").cast("int")), " ")
-    parts = parts.withColumn("text", F.when(F.col("_p.words") == F.col("_words"), F.col("text")).otherwise(piece))
-    if "n_chars" in docs.columns:
-        parts = parts.withColumn("n_chars", F.length("text").cast("long"))
-    return parts.select(*columns, "shard", "shuffle_key").repartition("shard").sortWithinPartitions("shard", "shuffle_key")
+    grouped = pieces.groupBy("id", "size").agg(F.collect_list(F.struct("shard", key.alias("shuffle_key"), "first", "words")).alias("pieces"))
+    whole = rows.select(F.struct(*docs.columns).alias("d"), F.col(row).alias("number"))
+    words = F.regexp_extract_all("d.text", F.lit(WORD_AND_GAP), F.lit(0))
+
+    def cut_out(w: Column) -> Column:
+        part = lambda p: F.regexp_replace(F.array_join(F.slice(w, p["first"].cast("int") + 1, p["words"].cast("int")), ""), GAP_BEHIND, "")
+        return F.transform("pieces", lambda p: F.struct(p["shard"].alias("shard"), p["shuffle_key"].alias("shuffle_key"), F.when(p["words"] == F.col("size"), F.col("d.text")).otherwise(part(p)).alias("text")))
+
+    parts = whole.join(grouped, F.col("number") == F.col("id")).withColumn("cut", let(words, cut_out))  # a text is split once
+    others = [c for c in docs.columns if c != "text"]
+    parts = parts.select(*(F.col(f"d.`{c}`").alias(f"c{i}") for i, c in enumerate(others)), F.explode("cut").alias("p"))
+    kept = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {"text": F.col("p.text")}
+    if "n_chars" in kept:
+        kept["n_chars"] = F.length("p.text").cast(docs.schema["n_chars"].dataType)
+    shard, order = (fresh(c, docs.columns) for c in ("shard", "shuffle_key"))
+    parts = parts.select(*(kept[c].alias(c) for c in docs.columns), F.col("p.shard").alias(shard), F.col("p.shuffle_key").alias(order))
+    return parts.repartition(shard).sortWithinPartitions(shard, order)
+

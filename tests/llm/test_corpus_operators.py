@@ -281,9 +281,37 @@ def test_mixing(spark):
     assert pieces.sort_values(order)[[*order, "shard", "words"]].values.tolist() == again.sort_values(order)[[*order, "shard", "words"]].values.tolist()
     mixed = mixing.mixed_corpus(df).toPandas()
     assert mixed["text"].map(lambda t: len(t.split())).sum() == sum(taken.values())
+    assert all(r.text in texts[r.doc_id] and r.n_chars == len(r.text) for r in mixed.itertuples())
     assert mixing.mixture(docs_of(spark, []))[1].count() == 0
 
 
+@pytest.mark.parametrize("words", [(150, 50, 50), (60, 20, 40), (10, 0, 0), (1, 1, 1), (7, 300, 2, 5)])
+def test_targets_of_sources_that_tie(spark, words):
+    data = [(i, " ".join("w" * n), f"s{i}") for i, n in enumerate(words)]
+    placed, pieces = mixing.mixture(spark.createDataFrame(data, "doc_id long, text string, source string"))
+    want = brute_targets({f"s{i}": n for i, n in enumerate(words)})
+    got = {r["source"]: r["target"] for r in placed.collect()}
+    assert got == pytest.approx(want)
+    taken = {r["source"]: r["n"] for r in pieces.groupBy("source").agg({"words": "sum"}).toDF("source", "n").collect()}
+    assert all(abs(taken.get(s, 0) - t) <= 0.5 for s, t in want.items())
+
+
+def test_deep_trees(spark):
+    docs = docs_of(spark, [" ".join("w" * 400) for _ in range(30)], [f"s{i % 4}" for i in range(30)])
+    shards = mixing.mixture(docs, block_words=8, shard_blocks_=4)[1].select("source", "block", "shard").distinct().groupBy("shard").count().collect()
+    assert len(shards) == 1024 and {r["count"] for r in shards} <= {2, 3} and sum(r["count"] for r in shards) >= 18_000 / 8
+
+
+def test_mixing_of_clashing_columns(spark):
+    names = "source text doc_id shard shuffle_key _row d p pieces n_chars".split()
+    docs = spark.createDataFrame([("s", text(9), None, 1, "k", "r", 1, 2, 3, 4), ("s", text(9), 5, None, "k", "r", 1, 2, 3, 4)], "source string, text string, doc_id long, shard int, shuffle_key string, _row string, d int, p int, pieces int, n_chars int")
+    assert docs.columns == names
+    mixed = mixing.mixed_corpus(docs)
+    assert mixed.columns == [*names, "shard_", "shuffle_key_"]
+    got = mixed.collect()
+    assert sum(len(r["text"].split()) for r in got) == 27 and {(r["doc_id"], r["shard"], r["_row"]) for r in got} == {(None, 1, "r"), (5, None, "r")}
+
+
 def test_hypergeometric(spark):
     from pyspark.sql import functions as F
 
