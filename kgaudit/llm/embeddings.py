@@ -4,15 +4,16 @@ Equal vectors form one class. The neighbour graph of the classes starts from blo
 which all pairs are compared, and is refined: each class joins its neighbours and those that have it as neighbour,
 their pairs are compared, and a pair that betters a list enters it. Rounds end when few lists change.
 
-Edges at the threshold make components. A list whose last neighbour is still over the threshold is saturated, and
-shows too few links. So all classes with saturated lists are compared with each other exactly, in blocks, which return
-edges that span the links found, and the members of each component are then compared in blocks. What these tasks
-return are link counts and spanning edges, not pairs, so a large group of near copies costs no rows.
+A list whose last neighbour is still over the threshold is saturated. Saturated lists are enlarged, four times as long
+each time, and refined again, until they end below the threshold or hold ``MOST_NEIGHBOURS``. Edges of the lists, in
+both directions, are the links. Classes whose lists stay saturated at that length, as those of a large group of near
+copies, are compared with each other exactly, in blocks that return link counts and edges that span the links found,
+not pairs; so links between two such groups are found before components are taken, and a large group costs no rows.
 
 Recall is audited by exact comparison of a sample of classes with all classes, in blocks. It is the mean over classes
 of the share of their links that was found, and of sets of classes with about as many links, the worst one counts.
 Below ``LEAST_RECALL``, the graph is refined again from twice as many hyperplane codes; after three tries, all classes
-are compared with all.
+are compared with all. The recall that the audit found comes with the result.
 
 Defined results: vectors that are null, zero or hold null or non-finite components link with nothing and are kept;
 vectors of different lengths aren't linked; equal ones are linked; rows without a vec_id link with nothing; rows that
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kgaudit.llm.common import components, cut, drop_cut, table
 
-THRESHOLD, NEIGHBOURS, CODES, TRIES, FEW, BLOCK, BRIDGES, EXACT, AUDIT, LEAST_RECALL, SEED = 0.9, 10, 6, 3, 0.001, 512, 8, 4096, 1000, 0.97, 17
+THRESHOLD, NEIGHBOURS, MOST_NEIGHBOURS, CODES, TRIES, FEW, BLOCK, BRIDGES, EXACT, AUDIT, LEAST_RECALL, SEED = 0.9, 10, 160, 6, 3, 0.001, 512, 8, 4096, 1000, 0.97, 17
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
 EDGES_SQL = "a long, b long, cosine double"
 
@@ -49,7 +50,7 @@ def comparable() -> Column:
 
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members ``(vec_id, id)`` and classes ``(id, dim, n, vec binary)`` of the vectors that can link."""
+    """Members ``(vec_id, id)`` and classes ``(id, low, dim, n, vec binary)`` of the vectors that can link; low is the smallest vec_id."""
     values = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     schema = pa.schema([("vec_id", pa.int64()), ("dim", pa.int32()), ("vec", pa.binary())])
 
@@ -59,7 +60,8 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array([len(v) for v in rows], pa.int32()), pa.array([v.tobytes() for v in rows], pa.binary())], schema=schema)
 
     packed = cut(values.filter(comparable()).mapInArrow(pack, "vec_id long, dim int, vec binary"))
-    classed = cut(packed.groupBy("vec", "dim").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
+    grouped = packed.groupBy("vec", "dim").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
+    classed = cut(grouped.withColumn("id", F.monotonically_increasing_id()))
     members = packed.select("vec_id", "vec").join(classed.select("vec", "id"), "vec").select("vec_id", "id")
     return members, classed
 
@@ -76,11 +78,11 @@ def best_of_group(ids: np.ndarray, unit: np.ndarray, worst: np.ndarray, k: int)
 
 
 def coded(vec: DataFrame, first: int, codes: int, bits: int) -> DataFrame:
-    """Classes with a block ``(code_no, code, chunk)`` for each of some hyperplane codes.
+    """Classes with a block ``(code_no, dim, code, chunk)`` for each of some hyperplane codes.
 
     Large blocks are cut into chunks, in each code anew; about ``BRIDGES`` rows of such a block are in all its chunks.
     """
-    schema = pa.schema([("id", pa.int64()), ("vec", pa.binary()), ("code_no", pa.int32()), ("code", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("vec", pa.binary()), ("dim", pa.int32()), ("code_no", pa.int32()), ("code", pa.int64())])
 
     def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -92,15 +94,15 @@ def coded(vec: DataFrame, first: int, codes: int, bits: int) -> DataFrame:
                 unit = matrix(mine["vec"])
                 for no in range(first, first + codes):
                     sign = (unit @ planes[dim][no].T > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(mine), np.int64)
-                    yield pa.RecordBatch.from_arrays([mine["id"], mine["vec"], pa.array(np.full(len(mine), no, np.int32)), pa.array(sign.astype(np.int64) * 65_536 + dim)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([mine["id"], mine["vec"], mine["dim"], pa.array(np.full(len(mine), no, np.int32)), pa.array(sign.astype(np.int64))], schema=schema)
 
-    rows = vec.select("id", "dim", "vec").mapInArrow(code, "id long, vec binary, code_no int, code long")
-    sizes = cut(rows.groupBy("code_no", "code").count())
+    rows = vec.select("id", "dim", "vec").mapInArrow(code, "id long, vec binary, dim int, code_no int, code long")
+    sizes = cut(rows.groupBy("code_no", "dim", "code").count())
     chunks = F.ceil(F.col("count") / BLOCK).cast("long")
     bridge = F.pmod(F.xxhash64("code_no", "id"), F.col("count")) < BRIDGES
     mine = F.pmod(F.xxhash64("id", "code_no"), chunks)
     chunk = F.explode(F.when(bridge, F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(mine)))
-    return rows.join(sizes, ["code_no", "code"]).withColumn("chunk", chunk)
+    return rows.join(sizes, ["code_no", "dim", "code"]).withColumn("chunk", chunk)
 
 
 def from_blocks(blocks: DataFrame, k: int) -> DataFrame:
@@ -111,26 +113,31 @@ def from_blocks(blocks: DataFrame, k: int) -> DataFrame:
         found = best_of_group(ids, matrix(group["vec"].combine_chunks()), np.full(len(ids), -2.0), k) if len(ids) > 1 else ([], [], [])
         return pa.table([pa.array(c, f.type) for c, f in zip(found, EDGES, strict=True)], schema=EDGES)
 
-    return blocks.groupBy("code_no", "code", "chunk").applyInArrow(compare, EDGES_SQL)
+    return blocks.groupBy("code_no", "dim", "code", "chunk").applyInArrow(compare, EDGES_SQL)
 
 
-def nearest(edges: DataFrame, k: int) -> DataFrame:
-    """The lists of the k nearest of all edges ``(a, b, cosine, old)``; an edge is old if it was in a list before."""
-    once = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.max("old").alias("old"))
-    rank = F.row_number().over(W.partitionBy("a").orderBy(F.col("cosine").desc(), "b"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+def nearest(edges: DataFrame) -> DataFrame:
+    """The lists ``(a, b, cosine, old, k)`` of the k nearest of all edges; a class's k is the largest of its edges'. An edge is old if it was in a list before."""
+    once = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.max("old").alias("old"), F.max("k").alias("k"))
+    mine = W.partitionBy("a")
+    ranked = once.withColumns({"rank": F.row_number().over(mine.orderBy(F.col("cosine").desc(), "b")), "k": F.max("k").over(mine)})
+    return ranked.filter("rank <= k").drop("rank")
 
 
-def descended(graph: DataFrame, vec: DataFrame, k: int) -> DataFrame:
-    """Edges that better a list, found among the neighbours of each class and those that have it as neighbour."""
+def descended(graph: DataFrame, vec: DataFrame) -> DataFrame:
+    """Edges ``(a, b, cosine, old, k)`` that better a list, found among the neighbours of each class and those that have it as neighbour.
+
+    A list that was enlarged takes only links.
+    """
     reverse = F.row_number().over(W.partitionBy("b").orderBy(F.xxhash64("a", "b")))
-    backward = graph.withColumn("r", reverse).filter(F.col("r") <= k).select(F.col("b").alias("centre"), F.col("a").alias("id"))
-    around = graph.select(F.col("a").alias("centre"), F.col("b").alias("id")).union(backward)
+    lists = graph.groupBy(F.col("a").alias("w")).agg(F.max("k").alias("k"), F.when(F.count("*") >= F.max("k"), F.min("cosine")).when(F.max("k") > NEIGHBOURS, float(np.nextafter(THRESHOLD, 0))).otherwise(-2.0).alias("worst"))
+    backward = graph.withColumn("r", reverse).join(lists.select(F.col("w").alias("b"), F.col("k").alias("most")), "b").filter("r <= most")
+    around = graph.select(F.col("a").alias("centre"), F.col("b").alias("id")).union(backward.select(F.col("b").alias("centre"), F.col("a").alias("id")))
     around = around.union(graph.select("a", "a")).distinct()
-    worst = graph.groupBy(F.col("a").alias("w")).agg(F.when(F.count("*") >= k, F.min("cosine")).otherwise(F.lit(-2.0)).alias("worst"))
-    ready = vec.select("id", "dim", "vec").join(worst, F.col("id") == F.col("w")).drop("w")
+    ready = vec.select("id", "dim", "vec").join(lists, F.col("id") == F.col("w")).drop("w")
     n = int(vec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = around.join(ready, "id").repartition(n, "centre").sortWithinPartitions("centre", "id")
+    rows = around.join(ready, "id").select("centre", "id", "dim", "vec", "k", "worst").repartition(n, "centre").sortWithinPartitions("dim", "centre", "id")
+    schema = pa.schema([*EDGES, ("old", pa.int32()), ("k", pa.int32())])
 
     def groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -146,39 +153,65 @@ def descended(graph: DataFrame, vec: DataFrame, k: int) -> DataFrame:
             yield from compared(held, np.array([0, held.num_rows]))
 
     def compared(rows: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of the groups between bounds; the neighbours of a centre are of its length, those of the next may be of another."""
         if not rows.num_rows:
             return
-        ids, worst, unit = rows["id"].to_numpy(), rows["worst"].to_numpy(), matrix(rows["vec"])
-        found = [best_of_group(ids[a:b], unit[a:b], worst[a:b], k) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b - a > 1]
+        ids, worst, k, dim = (rows[c].to_numpy() for c in ("id", "worst", "k", "dim"))
+        found = []
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(dim)) + 1, [len(dim)]])
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            unit = matrix(rows["vec"].slice(int(low), int(high - low)))
+            inside = bounds[(bounds >= low) & (bounds <= high)]
+            for a, b in zip(inside[:-1], inside[1:], strict=True):
+                if b - a > 1:
+                    a_, b_, value = best_of_group(np.arange(a, b), unit[a - low : b - low], worst[a:b], int(k[a:b].max()))
+                    found.append((ids[a_], ids[b_], value, k[a_]))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(3)], schema=EDGES)
+            one, other, cosine, limit = (np.concatenate([f[i] for f in found]) for i in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(other), pa.array(cosine), pa.array(np.zeros(len(one), np.int32)), pa.array(limit.astype(np.int32))], schema=schema)
 
-    return rows.mapInArrow(groups, EDGES_SQL)
+    return rows.mapInArrow(groups, EDGES_SQL + ", old int, k int")
 
 
-def link_counts(vec: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(id, links)``: the vectors of other classes that each class of a component is linked with.
+def settled(graph: DataFrame, vec: DataFrame) -> DataFrame:
+    """The graph, refined until few lists change."""
+    while True:
+        places = graph.groupBy("a").agg(F.max("k").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+        graph = replaced(graph, nearest(graph.withColumn("old", F.lit(1)).union(descended(graph, vec))))
+        if graph.filter("old = 0").count() <= FEW * places:
+            return graph
 
-    Members are dealt to blocks by hash; each pair of blocks is one group, compared in double precision.
-    """
-    inside = vec.join(roots.withColumnRenamed("node", "id"), "id").select("id", "n", "vec", "root")
-    sizes = cut(roots.groupBy("root").count())
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    dealt = inside.join(sizes, "root").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = dealt.withColumn("other", others).select("id", "n", "vec", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    schema = pa.schema([("id", pa.int64()), ("links", pa.int64())])
 
-    def compare(group: pa.Table) -> pa.Table:
-        low, high, block = group["low"][0].as_py(), group["high"][0].as_py(), group["block"].to_numpy()
-        ids, n, unit = group["id"].to_numpy(), group["n"].to_numpy(), matrix(group["vec"].combine_chunks())
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        near = unit[left] @ unit[right].T >= THRESHOLD
-        near &= ids[left][:, None] != ids[right]
-        counts = [(ids[left], near @ n[right])] + ([(ids[right], near.T @ n[left])] if low != high else [])
-        return pa.table([pa.array(np.concatenate([c[i] for c in counts]).astype(np.int64)) for i in range(2)], schema=schema)
+def full(graph: DataFrame) -> DataFrame:
+    """``(id)``: the classes whose lists are full of neighbours at the threshold."""
+    lists = graph.groupBy(F.col("a").alias("id")).agg(F.count_if(F.col("cosine") >= THRESHOLD).alias("links"), F.max("k").alias("k"))
+    return lists.filter("links >= k").select("id")
 
-    return paired.groupBy("root", "low", "high").applyInArrow(compare, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
+def enlarged(graph: DataFrame, vec: DataFrame, most: int) -> DataFrame:
+    """The graph with saturated lists enlarged, up to ``most`` neighbours."""
+    longest = NEIGHBOURS
+    while longest < most:
+        saturated = cut(full(graph))
+        if saturated.isEmpty():
+            break
+        longest = min(most, longest * 4)
+        marked = graph.join(saturated.withColumnRenamed("id", "s"), F.col("a") == F.col("s"), "left")
+        graph = replaced(graph, marked.withColumn("k", F.when(F.col("s").isNotNull(), F.lit(longest)).otherwise(F.col("k")).cast("int")).drop("s"))
+        graph = settled(graph, vec)
+    return graph
+
+
+def linked(graph: DataFrame, vec: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges ``(a, b)`` that connect what is linked, and ``(id, links)``: the vectors of other classes that each class is linked with."""
+    dense = cut(full(graph))
+    spanning, counts = exact(cut(vec.join(dense, "id", "left_semi")))
+    near = graph.filter(F.col("cosine") >= THRESHOLD).select("a", "b")
+    both = near.union(near.select("b", "a")).distinct()
+    flag = lambda name: dense.select(F.col("id").alias(name), F.lit(True).alias(f"{name}_dense"))
+    listed = both.join(flag("a"), "a", "left").join(flag("b"), "b", "left").filter("a_dense is null or b_dense is null")  # else counted exactly
+    listed = listed.join(vec.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
+    return near.union(spanning), listed.union(counts).groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def spanned(ids: np.ndarray, label: np.ndarray, other: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -240,12 +273,6 @@ def exact(vec: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.distinct(), counts.filter("links > 0")
 
 
-def saturated(graph: DataFrame, vec: DataFrame, k: int) -> DataFrame:
-    """The classes whose lists are full of neighbours at the threshold."""
-    full = graph.filter(F.col("cosine") >= THRESHOLD).groupBy(F.col("a").alias("id")).count().filter(F.col("count") >= k)
-    return vec.join(full.select("id"), "id", "left_semi")
-
-
 def audited(vec: DataFrame, found: DataFrame) -> float:
     """Mean share of a class's links that was found, over a bounded sample of classes.
 
@@ -285,39 +312,36 @@ def replaced(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return new
 
 
-def near_links(vectors: DataFrame, k: int = NEIGHBOURS, codes: int = CODES) -> tuple[DataFrame, float]:
+def near_links(vectors: DataFrame, k: int = NEIGHBOURS, codes: int = CODES, most: int = MOST_NEIGHBOURS) -> tuple[DataFrame, float]:
     """``(vec_id, n_links, component_id)`` of every row, and the audited recall."""
     members, vec = classes(vectors)
-    total = vec.count()
-    bits = max(0, round(np.log2(max(1, total) / (BLOCK / 2))))
+    bits = max(0, round(np.log2(max(1, vec.count()) / (BLOCK / 2))))
     graph, first = None, 0
     for _ in range(TRIES):
-        for at in range(first, first + codes, CODES):  # a few codes at a time, whose blocks are freed before the next
-            found = from_blocks(coded(vec, at, min(CODES, first + codes - at), bits), k).withColumn("old", F.lit(0))
-            graph = replaced(graph, nearest(found if graph is None else graph.union(found), k))
+        for at in range(first, first + codes, CODES):  # a few codes at a time
+            found = from_blocks(coded(vec, at, min(CODES, first + codes - at), bits), k).withColumns({"old": F.lit(0), "k": F.lit(k)})
+            graph = replaced(graph, nearest(found if graph is None else graph.union(found)))
         first, codes = first + codes, codes * 2
-        changed = total * k
-        while changed > FEW * total * k:
-            better = descended(graph, vec, k).withColumn("old", F.lit(0))
-            graph = replaced(graph, nearest(graph.withColumn("old", F.lit(1)).union(better), k))
-            changed = graph.filter("old = 0").count()
-        between, _ = exact(cut(saturated(graph, vec, k)))
-        roots = cut(components(graph.filter(F.col("cosine") >= THRESHOLD).select("a", "b").union(between)))
-        counts = cut(link_counts(vec, roots))
+        graph = enlarged(settled(graph, vec), vec, most)
+        links, counts = linked(graph, vec)
+        counts = cut(counts)
         recall = audited(vec, counts)
         if recall >= LEAST_RECALL:
             break
     else:
         links, counts = exact(vec)
-        roots, counts, recall = cut(components(links)), cut(counts), 1.0
-    per_class = vec.select("id", "n").join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    per_class = cut(per_class.select(F.col("id").alias("class"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id")))
-    linked = members.join(per_class, F.col("id") == F.col("class")).select("vec_id", "n_links", "component_id")
+        counts, recall = cut(counts), 1.0
+    roots = cut(components(links))
+    lowest = roots.join(vec.select(F.col("id").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("component"))
+    named = roots.join(lowest, "root").select(F.col("node").alias("id"), "component")
+    per_class = vec.select("id", "n", "low").join(counts, "id", "left").join(named, "id", "left")
+    per_class = cut(per_class.select(F.col("id").alias("class"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "low").alias("component_id")))
+    found = members.join(per_class, F.col("id") == F.col("class")).select("vec_id", "n_links", "component_id")
     values = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     alone = values.filter(~comparable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone), recall
+    return found.union(alone), recall
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = near_links(table(spark, sf_dir, "embeddings"))
-    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    found, recall = near_links(table(spark, sf_dir, "embeddings"))
+    return found.withColumns({"kept": F.col("vec_id") == F.col("component_id"), "audited_recall": F.lit(recall)})

@@ -466,6 +466,39 @@ def test_embeddings(spark):
     assert embeddings.near_links(df.limit(0))[0].count() == 0
 
 
+def brute_links(vectors, least=0.9):
+    """Links and smallest reachable id of ``(id, vector)`` rows, each a vector of its own."""
+    n = len(vectors)
+    near = np.zeros((n, n), bool)
+    for i, (_, v) in enumerate(vectors):
+        for j, (_, w) in enumerate(vectors):
+            near[i, j] = i != j and len(v) == len(w) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= least
+    label = np.array([i for i, _ in vectors])
+    for _ in range(n):
+        label = np.minimum(label, np.where(near, label, label.max()).min(axis=1))
+    return sorted((i, int(near[x].sum()), int(label[x])) for x, (i, _) in enumerate(vectors))
+
+
+def test_embeddings_that_repeat_ids_and_differ_in_length(spark):
+    rng = np.random.default_rng(9)
+    rows_ = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01])] + [(100 + i, rng.standard_normal(16).tolist()) for i in range(31)] + [(200 + i, [1.0, 1.0, 1.0, 1.0 + i / 9]) for i in range(2)]
+    for centre in range(6):
+        base = rng.standard_normal(5)
+        rows_ += [(300 + 7 * centre + i % 4, (base + rng.standard_normal(5) * 0.3).tolist()) for i in range(8)]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").coalesce(1)
+    found, recall = embeddings.near_links(df)
+    assert sorted(map(tuple, found.collect())) == brute_links(rows_) and recall == 1
+
+
+@pytest.mark.parametrize("most", [10, 40, 160])  # the group of 90 is compared exactly, or its lists hold it
+def test_saturated_lists_are_enlarged(spark, most):
+    rng = np.random.default_rng(3)
+    rows_ = [(i, (np.eye(12)[0] * 3 + rng.standard_normal(12) * 0.25).tolist()) for i in range(90)]
+    rows_ += [(100 + i, (np.eye(12)[i // 3 % 12] * 2 + np.eye(12)[i // 36 + 1] + rng.standard_normal(12) * 0.2).tolist()) for i in range(100)]
+    found, recall = embeddings.near_links(spark.createDataFrame(rows_, "vec_id long, embedding array<double>"), most=most)
+    assert sorted(map(tuple, found.collect())) == brute_links(rows_) and recall == 1
+
+
 def test_chunks_of_a_tight_block_connect(spark):
     n = 1300  # rounding noise: all codes agree, so that each code has one block of three chunks
     vectors = [[1.0, 2.0, 3.0 + i * 1e-13] for i in range(n)]
@@ -494,7 +527,8 @@ def test_audit_counts_each_class(spark):
     vectors = [np.eye(24)[0] + rng.standard_normal(24) * 1e-3 for _ in range(200)]  # a hot group and ten pairs
     vectors += [np.eye(24)[i // 2 + 1] + rng.standard_normal(24) * 1e-3 for i in range(20)]
     _, vec = embeddings.classes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"))
-    links = [(i, 199 if i < 200 else 1) for i in range(220)]
+    named = {r["low"]: r["id"] for r in vec.collect()}
+    links = [(named[i], 199 if i < 200 else 1) for i in range(220)]
     assert embeddings.audited(vec, spark.createDataFrame(links, "id long, links long")) == 1
     assert embeddings.audited(vec, spark.createDataFrame(links[:200], "id long, links long")) == 0  # 0.9995 of all links
     assert embeddings.audited(vec, spark.createDataFrame(links[:210], "id long, links long")) == 0.5
