@@ -64,12 +64,16 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     return cut(df.withColumn(name, F.monotonically_increasing_id())), name
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared storage."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table made by ``cut`` that no plan reads any more."""
-    spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)
 
 
 def batches(schema: pa.Schema, rows: Callable[[pa.RecordBatch], dict]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

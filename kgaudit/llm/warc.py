@@ -9,13 +9,14 @@ Reading. Each archive is parsed in a task. Segments are grouped by the identifie
 and verified against the total length, and the joined block is decoded from its chunks. Revisits take length and
 digest from the record that they refer to.
 
-An archive holds at most ARCHIVE_RECORDS records, so it is parsed in bounded memory; a group is one record's
+Every row is a record with a number of its own in its identifier, beside its page_id. An archive holds at most ARCHIVE_RECORDS records, so it is parsed in bounded memory; a group is one record's
 segments. A payload that stands on a third of all pages is one row of the digest table: its key is pre-aggregated.
 
 Defined results: null and empty html is an empty payload, always a response; a null url is written as an empty target;
 records of which segments are missing, or don't add up to the total length, have null payload columns and
-``complete`` false; extra columns are ignored; rows that repeat a page_id are records of their own until they are
-grouped by identifier when read, where equal ones give one row; rows without a page_id are not written; an empty table gives an empty result.
+``complete`` false; extra columns are ignored; rows that repeat a page_id or have none are records of their own, and
+of equal payloads with an equal largest page_id, one record is stored; a null page_id is smaller than any other; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgaudit.llm.common import shared_dir, table
+from kgaudit.llm.common import cut, delete, drop_cut, shared_dir, table
 
 MIN_REVISIT, SEGMENT_BYTES, HTTP_CHUNK, ARCHIVE_RECORDS = 1000, 32_768, 8192, 10_000
 END = b"\r\n\r\n"
@@ -67,14 +68,18 @@ def record(fields: dict[str, str | int], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + END + block
 
 
-def page_records(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> Iterator[bytes]:
+def named(record: int, page_id: int | None) -> str:
+    """The identifier of a record."""
+    return f"{URN}{record}:{'' if page_id is None else page_id}"
+
+
+def page_records(identifier: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> Iterator[bytes]:
     """The records of a page: one, or a first segment and its continuations."""
-    identifier = f"<{URN}{page_id}>"
     target = "".join(c for c in url if c > " ")
-    common = {"WARC-Record-ID": identifier, "WARC-Date": DATE, "WARC-Target-URI": target, "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http;msgtype=response"}
+    common = {"WARC-Record-ID": f"<{identifier}>", "WARC-Date": DATE, "WARC-Target-URI": target, "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http;msgtype=response"}
     if refers_to is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield record({"WARC-Type": "revisit", "WARC-Profile": profile, "WARC-Refers-To": f"<{URN}{refers_to}>"} | common, b"HTTP/1.1 200 OK\r\n\r\n")
+        yield record({"WARC-Type": "revisit", "WARC-Profile": profile, "WARC-Refers-To": f"<{refers_to}>"} | common, b"HTTP/1.1 200 OK\r\n\r\n")
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= SEGMENT_BYTES:
@@ -83,7 +88,7 @@ def page_records(page_id: int, url: str, payload: bytes, digest: str, refers_to:
     yield record({"WARC-Type": "response"} | common | {"WARC-Segment-Number": 1}, block[:SEGMENT_BYTES])
     for number, at in enumerate(range(SEGMENT_BYTES, len(block), SEGMENT_BYTES), 2):
         piece = block[at : at + SEGMENT_BYTES]
-        fields = {"WARC-Type": "continuation", "WARC-Record-ID": f"<{URN}{page_id}:{number}>", "WARC-Date": DATE, "WARC-Segment-Origin-ID": identifier, "WARC-Segment-Number": number}
+        fields = {"WARC-Type": "continuation", "WARC-Record-ID": f"<{identifier}:{number}>", "WARC-Date": DATE, "WARC-Segment-Origin-ID": f"<{identifier}>", "WARC-Segment-Number": number}
         yield record(fields | ({"WARC-Segment-Total-Length": len(block)} if at + SEGMENT_BYTES >= len(block) else {}), piece)
 
 
@@ -123,18 +128,19 @@ def payload_of(block: bytes) -> bytes:
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write the pages ``(page_id, url, html)`` as WARC files to a folder."""
     html = F.coalesce("html", F.lit("")).cast("binary")
-    digested = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), html.alias("payload")).filter("page_id is not null")
-    digested = digested.withColumn("digest", F.sha1("payload"))
-    long = digested.filter(F.octet_length("payload") >= MIN_REVISIT)
-    stored = long.groupBy(F.col("digest").alias("stored_digest")).agg(F.max("page_id").alias("stored"), F.count("*").alias("n")).filter("n > 1")
-    judged = digested.join(stored.drop("n"), F.col("digest") == F.col("stored_digest"), "left").select("page_id", "url", "payload", "digest", "stored")
+    rows = pages.select(F.monotonically_increasing_id().alias("record"), F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), html.alias("payload"))
+    rows = cut(rows.withColumn("digest", F.sha1("payload")))
+    long = rows.filter(F.octet_length("payload") >= MIN_REVISIT)
+    stored = long.groupBy(F.col("digest").alias("stored_digest")).agg(F.max(F.struct("page_id", "record")).alias("stored"), F.count("*").alias("n")).filter("n > 1")
+    judged = rows.join(stored.drop("n"), F.col("digest") == F.col("stored_digest"), "left").select("record", "page_id", "url", "payload", "digest", "stored")
     schema = pa.schema([("record", pa.binary())])
 
-    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def written(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             out, held = [], 0
-            for page_id, url, payload, digest, stored in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for made in page_records(page_id, url, payload, digest, None if stored in (None, page_id) else stored):
+            for record, page_id, url, payload, digest, stored in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                refers_to = None if stored is None or stored["record"] == record else named(stored["record"], stored["page_id"])
+                for made in page_records(named(record, page_id), url, payload, digest, refers_to):
                     out.append(made)
                     held += len(made)
                 if held > 8_000_000:
@@ -142,16 +148,19 @@ def write_archives(pages: DataFrame, path: str) -> None:
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], schema=schema)
 
-    records = judged.mapInArrow(rows, "record binary").select(F.col("record").cast("string").alias("value"))
+    records = judged.mapInArrow(written, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    drop_cut(rows)
 
 
-PIECE = pa.schema([("page_id", pa.int64()), ("kind", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("bytes", pa.int64()), ("sha1", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
-PIECE_SQL = "page_id long, kind string, refers_to long, digest string, bytes long, sha1 string, number long, total long, block binary"
+PIECE = pa.schema([("record", pa.int64()), ("page_id", pa.int64()), ("kind", pa.string()), ("target", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("bytes", pa.int64()), ("sha1", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
+PIECE_SQL = "record long, page_id long, kind string, target long, refers_to long, digest string, bytes long, sha1 string, number long, total long, block binary"
 
 
-def page_of(identifier: str) -> int:
-    return int(identifier.strip("<>").removeprefix(URN).partition(":")[0])
+def page_of(identifier: str) -> tuple[int, int | None]:
+    """Number of the record and page_id in an identifier."""
+    record, page_id, *_ = identifier.strip("<>").removeprefix(URN).split(":")
+    return int(record), int(page_id) if page_id else None
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
@@ -166,62 +175,64 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
                     if kind not in ("response", "revisit", "continuation"):
                         continue
                     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    mine = page_of(fields["warc-segment-origin-id" if kind == "continuation" else "warc-record-id"])
                     if kind == "continuation":
                         total = fields.get("warc-segment-total-length")
-                        out.append((page_of(fields["warc-segment-origin-id"]), None, None, None, None, None, int(fields["warc-segment-number"]), int(total) if total else None, block))
+                        out.append((*mine, None, None, None, None, None, None, int(fields["warc-segment-number"]), int(total) if total else None, block))
                     elif "warc-segment-number" in fields:
-                        out.append((page_of(fields["warc-record-id"]), kind, None, digest, None, None, 1, None, block))
+                        out.append((*mine, kind, None, None, digest, None, None, 1, None, block))
                     elif kind == "revisit":
-                        out.append((page_of(fields["warc-record-id"]), kind, page_of(fields["warc-refers-to"]), digest, None, None, None, None, None))
+                        out.append((*mine, kind, *page_of(fields["warc-refers-to"]), digest, None, None, None, None, None))
                     else:
                         payload = payload_of(block)
-                        out.append((page_of(fields["warc-record-id"]), kind, None, digest, len(payload), hashlib.sha1(payload).hexdigest(), None, None, None))
+                        out.append((*mine, kind, None, None, digest, len(payload), hashlib.sha1(payload).hexdigest(), None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(PIECE)], schema=PIECE)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(rows, PIECE_SQL)
 
 
-READ = pa.schema([("page_id", pa.int64()), ("kind", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("bytes", pa.int64()), ("sha1", pa.string()), ("complete", pa.bool_())])
+READ = pa.schema([*list(PIECE)[:8], ("complete", pa.bool_())])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``(page_id, kind, refers_to, digest, bytes, sha1, complete)`` of each logical record, segments joined."""
+    """``(record, page_id, kind, target, refers_to, digest, bytes, sha1, complete)`` of each logical record, segments joined."""
     pieces = segments(spark, path)
-    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    first = lambda c: F.max(c).alias(c)  # noqa: E731  one segment of a record at most has a value
     parts = F.sort_array(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("number", "block")))).alias("parts")
-    joined = pieces.groupBy("page_id").agg(*(first(c) for c in ("kind", "refers_to", "digest", "bytes", "sha1", "total")), parts)
+    joined = pieces.groupBy("record").agg(*(first(c) for c in (*READ.names[1:8], "total")), parts)
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             out = []
-            for page_id, kind, refers_to, digest, size, sha1, total, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                complete = kind is not None
-                if parts:
-                    by_number = {p["number"]: p["block"] for p in parts}
+            for row in batch.to_pylist():
+                complete = row["kind"] is not None
+                if row["parts"]:
+                    by_number = {p["number"]: p["block"] for p in row["parts"]}
                     block = b"".join(by_number[n] for n in sorted(by_number))
-                    complete = kind is not None and total == len(block) and len(by_number) == max(by_number)
+                    complete = complete and row["total"] == len(block) and len(by_number) == max(by_number)
                     if complete:
                         payload = payload_of(block)
-                        size, sha1 = len(payload), hashlib.sha1(payload).hexdigest()
-                out.append((page_id, kind, refers_to, digest, size, sha1, complete))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(READ)], schema=READ)
+                        row |= {"bytes": len(payload), "sha1": hashlib.sha1(payload).hexdigest()}
+                out.append(row | {"complete": complete})
+            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in READ], schema=READ)
 
-    return joined.mapInArrow(rows, "page_id long, kind string, refers_to long, digest string, bytes long, sha1 string, complete boolean")
+    return joined.mapInArrow(rows, "record long, page_id long, kind string, target long, refers_to long, digest string, bytes long, sha1 string, complete boolean")
 
 
 def resolved(records: DataFrame) -> DataFrame:
     """Records with revisits taking length and digest of the payload that they refer to."""
-    target = records.filter("kind = 'response'").select(F.col("page_id").alias("target"), F.col("bytes").alias("target_bytes"), F.col("sha1").alias("target_sha1"))
-    revisits = records.filter("kind = 'revisit'").join(target, F.col("refers_to") == F.col("target"), "left")
-    agree = F.coalesce(F.col("target_sha1") == F.col("digest"), F.lit(False))
-    revisits = revisits.select("page_id", "kind", "refers_to", F.when(agree, F.col("target_bytes")).alias("bytes"), F.when(agree, F.col("target_sha1")).alias("sha1"), agree.alias("complete"))
+    stored = records.filter("kind = 'response'").select(F.col("record").alias("stored"), F.col("bytes").alias("stored_bytes"), F.col("sha1").alias("stored_sha1"))
+    revisits = records.filter("kind = 'revisit'").join(stored, F.col("target") == F.col("stored"), "left")
+    agree = F.coalesce(F.col("stored_sha1") == F.col("digest"), F.lit(False))
+    revisits = revisits.select("page_id", "kind", "refers_to", F.when(agree, F.col("stored_bytes")).alias("bytes"), F.when(agree, F.col("stored_sha1")).alias("sha1"), agree.alias("complete"))
     return records.filter("kind is null or kind <> 'revisit'").select(*revisits.columns).union(revisits)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
-    found = resolved(read_archives(spark, path))
+    found = cut(resolved(cut(read_archives(spark, path))))
+    delete(spark, path)
     return found.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 

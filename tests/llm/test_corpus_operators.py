@@ -671,8 +671,20 @@ def test_warc(spark, tmp_path):
     warc.write_archives(df.limit(0), f"file://{tmp_path}/b")
 
 
+def test_warc_of_rows_that_repeat_an_id(spark, tmp_path):
+    a, b = "<p>" + "a" * 1200, "<p>" + "b" * 40_000
+    data = [(1, "u", a), (1, "v", b), (1, "u", "short"), (1, "u", "short"), (None, "u", a), (None, "w", b), (None, None, None), (7, "u", b), (7, "u", b), (3, "u", a)]
+    df = spark.createDataFrame([(*r, "x") for r in data], "page_id long, url string, html string, record string").repartition(3)
+    warc.write_archives(df, f"file://{tmp_path}/a")
+    got = warc.resolved(warc.read_archives(spark, f"file://{tmp_path}/a")).collect()
+    sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    want = [(1, a, "revisit", 3), (1, b, "revisit", 7), (1, "short", "response", None), (1, "short", "response", None), (None, a, "revisit", 3), (None, b, "revisit", 7), (None, "", "response", None), (7, b, "response", None), (7, b, "revisit", 7), (3, a, "response", None)]
+    assert sorted(((r["page_id"], r["bytes"], r["sha1"], r["kind"], r["refers_to"]) for r in got), key=str) == sorted(((i, len(t), sha(t), kind, to) for i, t, kind, to in want), key=str)
+    assert all(r["complete"] for r in got)
+
+
 def test_warc_gaps(spark, tmp_path):
-    made = list(warc.page_records(5, "u", b"y" * 100_000, "d", None)) + list(warc.page_records(6, "u", b"ok", "d", None))
+    made = list(warc.page_records(warc.named(1, 5), "u", b"y" * 100_000, "d", None)) + list(warc.page_records(warc.named(2, 6), "u", b"ok", "d", None))
     for name, kept in (("all", made), ("gap", [r for r in made if b"WARC-Segment-Number: 2\r\n" not in r])):
         lines = spark.createDataFrame([(r,) for r in kept], "v binary").selectExpr("cast(v as string) v").coalesce(1)
         lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(f"file://{tmp_path}/{name}")
