@@ -10,7 +10,7 @@ from kgaudit.llm.pii import op6_pii
 from kgaudit.llm.quality import op4_quality_classifier
 from kgaudit.llm.simhash import op7_simhash_near_dedup
 from kgaudit.llm.substrings import op9_suffix_array_dedup
-from kgaudit.llm.urls import op2_url_filter
+from kgaudit.llm.urls import OP2_SQL, op2_url_filter
 from kgaudit.llm.warc import OP10_SQL, op10_warc
 
 
@@ -31,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": OP5_SQL, "op10_warc": OP10_SQL}
+    return {"op2_url_filter": OP2_SQL, "op5_mix_sources": OP5_SQL, "op10_warc": OP10_SQL}
