@@ -336,3 +336,20 @@ def masked(docs: DataFrame) -> DataFrame:
 
     out = docs.mapInArrow(replace, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that count base spans."""
+    return op6_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in KINDS))
+
+
+BASE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+  list_transform(regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[ -]', '', 'g'))) AS card,
+  list_transform(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS phone FROM t)
+SELECT doc_id, len(email) AS n_email,
+  len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda y: coalesce(try_cast(y AS HUGEINT), 999) > 255)) = 0)) AS n_ip,
+  len(list_filter(card, lambda x: length(x) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(x[i] AS INT) WHEN x[i] > '4' THEN 2 * CAST(x[i] AS INT) - 9 ELSE 2 * CAST(x[i] AS INT) END)) % 10 = 0)) AS n_card,
+  len(list_filter(phone, lambda x: x BETWEEN 8 AND 15)) AS n_phone FROM m
+"""

@@ -1,80 +1,81 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams are counted: one of target text (a sample of documents labelled good), one of
-the raw corpus (all documents). A document's log weight is the mean log ratio of its n-grams under both, times SCALE;
-PRIOR n-grams without evidence are added, so that few words decide little. The number of documents to take, k, is that
-of the weights at or above the cut that best parts the labelled documents held out. The k largest of weight plus
-Gumbel noise are selected, which is a sample without replacement in proportion to the weights.
+the raw corpus (all documents). A document's mean log ratio of its n-grams under both, with PRIOR n-grams without
+evidence added, so that few words decide little, is its evidence. The cut is where the evidence best parts the labelled
+documents that are held out, and the scale that makes the evidence beyond the cut the log odds of being good is fitted
+to the same documents: this is the log weight. As many documents are taken as have even odds or better; those of the
+largest sum of weight and Gumbel noise are selected, which is a sample without replacement in proportion to the odds.
 
-n-grams are words, pairs of words (one and the same n-gram for a word that repeats) and pairs of word shapes (case,
-length, punctuation).
+n-grams are words, pairs of words and pairs of word shapes (case, length, punctuation, whether the word repeats the
+one before).
 
 At most ``max_labelled`` labels are used, those of the least hashes: a bounded sample to fit on. The raw model, the
 weights and the selection cover all documents.
 
 Defined results: null, empty and blank texts have a null weight and are not selected; labels that are null or that
 contradict each other for a doc_id don't count; with no label of either kind, every document with words is selected;
-equal scores at the cut are all selected; repeated rows are judged alike; extra columns are ignored.
+equal scores at the cut are all selected; rows are judged each by its text, whatever its doc_id, and rows that repeat
+all alike; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgaudit.llm.common import Rolling, cut, mix, table, text_bytes
-
-BUCKET_BITS, SCALE, PRIOR, MAX_LABELLED, LOSS, SEED, SPAN = 16, 100.0, 16, 20_000, 0.01, 11, 1 << 16
-_state: list = []
-
-
-def features(data: bytes) -> Iterator[np.ndarray]:
-    """Buckets of the n-grams of a text, in pieces of bounded size."""
-    if not _state:
-        lower = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-        space = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
-        upper = np.array([65 <= c <= 90 or c == 0xC3 for c in range(256)])
-        mark = np.array([33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126 for c in range(256)])
-        _state.extend([Rolling(SPAN + 1, 3), lower, space, upper, mark])
-    rolling, lower, space, upper, mark = _state
-    whole = np.frombuffer(data, np.uint8)
-    at = 0
-    while at < len(whole):
-        stop = min(at + SPAN, len(whole))
-        if stop < len(whole) and len(gaps := np.flatnonzero(space[whole[at:stop]])):
-            stop = at + int(gaps[-1]) + 1
-        part = whole[at:stop]
-        at = stop
-        inside = np.zeros(len(part) + 2, np.int8)
-        inside[1:-1] = ~space[part]
-        step = np.diff(inside)
-        first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        if not len(first):
-            continue
-        word = rolling.hashes(rolling.prefix(lower[part]), first, last)
-        big, odd = (np.concatenate([[0], np.cumsum(x[part])]) for x in (upper, mark))
-        length = last - first
-        shape = np.minimum(big[last] - big[first], 3) * 64 + np.minimum(odd[last] - odd[first], 3) * 16 + np.minimum(np.log2(length + 1), 7).astype(np.int64) * 2 + upper[part[first]]
-        shape = shape.astype(np.uint64)
-        same = word[1:] == word[:-1]
-        pair = np.where(same, np.uint64(1), mix(word[:-1] * np.uint64(3) + word[1:]))
-        shapes = mix((shape[:-1] * np.uint64(1021) + shape[1:]) * np.uint64(2) + same + np.uint64(1 << 40))
-        yield (np.concatenate([word, mix(pair + np.uint64(5)), shapes]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-
-
-def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
-    """``(doc_id, text, role)``: role 1 and 0 fit and test a good document, 2 tests a bad one, else null."""
+from kgaudit.llm.common import Rolling, cut, mix, numbered, table, text_bytes
+
+BUCKET_BITS, PRIOR, MAX_LABELLED, LOSS, SEED, SPAN = 16, 16, 20_000, 0.01, 11, 1 << 16
+
+
+def featurizer() -> Callable[[bytes], Iterator[np.ndarray]]:
+    """A function that gives the buckets of the n-grams of a text, in pieces of bounded size."""
+    code = np.arange(256)
+    rolling, space, upper = Rolling(SPAN + 1, 3), (code == 32) | (code >= 9) & (code <= 13), (code >= 65) & (code <= 90)
+    lower = np.where(upper, code + 32, code).astype(np.uint8)
+    mark = (code > 32) & (code < 127) & ~((code >= 48) & (code <= 57) | upper | (code >= 97) & (code <= 122))
+
+    def features(data: bytes) -> Iterator[np.ndarray]:
+        whole = np.frombuffer(data, np.uint8)
+        at = 0
+        while at < len(whole):
+            stop = min(at + SPAN, len(whole))
+            if stop < len(whole) and len(gaps := np.flatnonzero(space[whole[at:stop]])):
+                stop = at + int(gaps[-1]) + 1
+            part = whole[at:stop]
+            at = stop
+            inside = np.zeros(len(part) + 2, np.int8)
+            inside[1:-1] = ~space[part]
+            step = np.diff(inside)
+            first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+            if not len(first):
+                continue
+            word = rolling.hashes(rolling.prefix(lower[part]), first, last)
+            big, odd = (np.concatenate([[0], np.cumsum(x[part])]) for x in (upper, mark))
+            length = np.minimum(np.log2(last - first + 1), 7).astype(np.int64)
+            shape = (np.minimum(big[last] - big[first], 3) * 64 + np.minimum(odd[last] - odd[first], 3) * 16 + length * 2 + upper[part[first]]).astype(np.uint64)
+            pair = mix(word[:-1] * np.uint64(3) + word[1:] + np.uint64(5))
+            shapes = mix((shape[:-1] * np.uint64(1021) + shape[1:]) * np.uint64(2) + (word[1:] == word[:-1]) + np.uint64(1 << 40))
+            yield (np.concatenate([word, pair, shapes]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+    return features
+
+
+def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int, row: str | None = None) -> DataFrame:
+    """``(row, doc_id, text, role)``: role 1 and 0 fit and test a good document, 2 tests a bad one, else null."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_id"))
     known = known.agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
     known = known.orderBy(F.xxhash64(F.lit(SEED), "label_id"), "label_id").limit(max_labelled)
     role = F.when(F.col("low") == 0, 2).otherwise(F.pmod(F.xxhash64(F.lit(SEED + 1), "label_id"), F.lit(2)).cast("int"))
     known = F.broadcast(known.select("label_id", role.alias("role")))  # max_labelled rows of two numbers at most
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(known, F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", "role")
+    number = (F.col(row) if row else F.lit(None).cast("long")).alias("row")
+    texts = docs.select(number, F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.join(known, F.col("doc_id") == F.col("label_id"), "left").select("row", "doc_id", "text", "role")
 
 
 def models(texts: DataFrame) -> np.ndarray:
@@ -83,7 +84,7 @@ def models(texts: DataFrame) -> np.ndarray:
     schema = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        raw, target, features = np.zeros(n, np.int64), np.zeros(n, np.int64), featurizer()
         for batch in it:
             for data, role in zip(text_bytes(batch["text"]), batch["role"].to_pylist(), strict=True):
                 for part in features(data):
@@ -107,12 +108,12 @@ def models(texts: DataFrame) -> np.ndarray:
 
 
 def weights(texts: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``(doc_id, role, log_weight)``."""
+    """``(row, doc_id, role, draw, evidence)``; draw is a hash by which the noise is drawn."""
     shared = texts.sparkSession.sparkContext.broadcast(ratio)
-    schema = pa.schema([("doc_id", pa.int64()), ("role", pa.int32()), ("log_weight", pa.float64())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("role", pa.int32()), ("draw", pa.int64()), ("evidence", pa.float64())])
 
     def weigh(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = shared.value
+        ratio, features = shared.value, featurizer()
         for batch in it:
             out = []
             for data in text_bytes(batch["text"]):
@@ -120,22 +121,36 @@ def weights(texts: DataFrame, ratio: np.ndarray) -> DataFrame:
                 for part in features(data):
                     total += ratio[part].sum()
                     n += len(part)
-                out.append(SCALE * total / (n + PRIOR) if n else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["role"], pa.array(out, pa.float64())], schema=schema)
+                out.append(total / (n + PRIOR) if n else None)
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], batch["role"], batch["draw"], pa.array(out, pa.float64())], schema=schema)
 
-    return texts.mapInArrow(weigh, "doc_id long, role int, log_weight double")
+    drawn = texts.withColumn("draw", F.xxhash64(F.lit(SEED), "doc_id", "text"))
+    return drawn.mapInArrow(weigh, "row long, doc_id long, role int, draw long, evidence double")
 
 
-def best_cut(weighed: DataFrame) -> float:
-    """The weight that parts held-out good from bad documents.
+def log_odds(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
+    """Cut and scale: ``scale * (evidence - cut)`` are the log odds of being good. Without either kind the cut is below everything."""
+    if not len(good) or not len(bad):
+        return -np.inf, 0.0
+    cut_at = best_cut(good, bad)
+    x = np.concatenate([good, bad]) - cut_at
+    goal = np.repeat([(len(good) + 1) / (len(good) + 2), 1 / (len(bad) + 2)], [len(good), len(bad)])  # never quite sure
+    weight = np.repeat([0.5 / len(good), 0.5 / len(bad)], [len(good), len(bad)])
+    low, high = 0.0, 100 / max(np.abs(x).max(), 1e-9)
+    for _ in range(60):  # the loss is convex: where its slope is zero
+        scale = (low + high) / 2
+        slope = (weight * x * (1 / (1 + np.exp(-np.clip(scale * x, -500, 500))) - goal)).sum()
+        low, high = (scale, high) if slope < 0 else (low, scale)
+    return cut_at, (low + high) / 2
+
+
+def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
+    """The evidence that parts good from bad documents.
 
     Of all cuts that lose at most ``LOSS`` more than the best one, that in the middle of the widest gap, so that
     documents a little unlike the labelled ones fall on the right side.
     """
-    rows = weighed.filter("role in (0, 2) and log_weight is not null").select("role", "log_weight").collect()  # of the bounded labelled sample
-    good, bad = (np.sort([r["log_weight"] for r in rows if r["role"] == x]) for x in (0, 2))
-    if not len(good) or not len(bad):
-        return -np.inf
+    good, bad = np.sort(good), np.sort(bad)
     every = np.unique(np.concatenate([good, bad]))
     at = np.concatenate([[every[0] - 1], (every[1:] + every[:-1]) / 2, [every[-1] + 1]])
     lost = np.searchsorted(good, at) / len(good) + 1 - np.searchsorted(bad, at) / len(bad)
@@ -160,23 +175,26 @@ def kth_largest(scored: DataFrame, k: int) -> float:
     return low
 
 
-def quality_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``(doc_id, log_weight, score, selected)`` of every document."""
-    texts = labelled(docs, labels, max_labelled)
+def quality_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, row: str | None = None) -> DataFrame:
+    """``(row, doc_id, log_weight, score, selected)`` of every document; ``row`` names a column that numbers them."""
+    texts = labelled(docs, labels, max_labelled, row)
     weighed = cut(weights(texts, models(texts)))
-    least = best_cut(weighed)
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
-    scored = weighed.select("doc_id", "log_weight", (F.col("log_weight") - F.log(-F.log(u))).alias("score"))
-    k = scored.filter(F.col("log_weight") >= F.lit(least)).count()
+    tested = weighed.filter("role in (0, 2) and evidence is not null").select("role", "evidence").collect()  # of the bounded sample
+    at, scale = log_odds(*(np.array([r["evidence"] for r in tested if r["role"] == x]) for x in (0, 2)))
+    odds = F.lit(scale) * (F.col("evidence") - F.lit(at)) if np.isfinite(at) else F.when(F.col("evidence").isNotNull(), 0.0)
+    u = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / float(1 << 53)
+    scored = weighed.select("row", "doc_id", odds.alias("log_weight"), (odds - F.log(-F.log(u))).alias("score"))
+    k = scored.filter("log_weight >= 0").count()
     bound = kth_largest(scored.filter("score is not null"), k) if k else float("inf")
     return scored.withColumn("selected", F.coalesce(F.col("score") >= F.lit(bound), F.lit(False)))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The selected documents, and those without a doc_id; all columns stay."""
-    kept = quality_sample(docs, labels).filter("selected").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").union(docs.filter("doc_id is null"))
+    """The selected documents; all columns stay."""
+    rows, row = numbered(docs)
+    kept = quality_sample(rows, labels, row=row).filter("selected").select(F.col("row").alias("_kept"))
+    return rows.join(kept, F.col(row) == F.col("_kept"), "left_semi").drop(row)

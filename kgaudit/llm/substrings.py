@@ -293,3 +293,19 @@ def removal(docs: DataFrame, size: int = CHUNK, most: int = MOST) -> DataFrame:
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = removal(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+pieces AS (SELECT doc_id, low, substr(h, 2 * low + 1, 1098) AS piece FROM (SELECT doc_id, h, unnest(range(0, n - 49, 500)) AS low FROM d)),
+w AS (SELECT doc_id, low + i AS i, substr(piece, 2 * i + 1, 100) AS s FROM (SELECT doc_id, low, piece, unnest(range(0, least(length(piece) // 2 - 49, 500))) AS i FROM pieces)),
+f AS (SELECT s, min(doc_id) AS low FROM w GROUP BY 1),
+c AS (SELECT w.doc_id, w.i FROM w JOIN f ON w.s = f.s WHERE w.doc_id > f.low),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM c),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, n, n FROM d),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS after FROM e),
+q AS (SELECT p.doc_id, sum(b - a) AS n_removed, count(*) FILTER (b > a) AS n_spans, string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY a, b) AS kept FROM p JOIN d ON p.doc_id = d.doc_id GROUP BY 1)
+SELECT d.doc_id, n AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN q ON d.doc_id = q.doc_id
+"""
