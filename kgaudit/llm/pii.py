@@ -8,8 +8,8 @@ documents at once, and base spans are fixed. A token that is linked to others, t
 belief in a kind is at least ``LEAST_BELIEF`` becomes a span of that kind, so an entity found once is found at its
 other places.
 
-The field is trained on at most ``max_train_docs`` documents of at most MAX_TRAIN_CHARS characters that hold a base
-span, those of the least hashes: token scores from shapes and neighbours, transitions, and the skip potential. What is
+The field is trained on at most ``max_train_docs`` documents of at most MAX_TRAIN_CHARS characters that may hold a base
+span, those of the least hashes, which are found before their texts are fetched: token scores from shapes and neighbours, transitions, and the skip potential. What is
 labelled covers all documents.
 
 Defined results: null and empty texts have no spans and the digest of an empty string; matches of a pattern that fail
@@ -43,7 +43,7 @@ DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[^\s,;:!?\"'()<>\[\]{}|]+")
 GROUP = re.compile(r"\+?[0-9]+(?:-[0-9]+)*")
 GAP = re.compile(r"[\x20()-]{1,3}")
-MAX_TRAIN_DOCS, MAX_TRAIN_CHARS, LEAST_BELIEF, ROUNDS, FEATURES, SEED = 2000, 20_000, 0.9, 8, 4096, 5
+MAX_TRAIN_DOCS, MAX_TRAIN_CHARS, LEAST_BELIEF, ROUNDS, FEATURES, SEED = 2000, 20_000, 0.9, 50, 4096, 5
 Span = tuple[int, int, int]
 
 
@@ -126,7 +126,7 @@ def joined(text: str, tokens: list[tuple[int, int, int]]) -> list[tuple[int, int
 def token_features(text: str, start: int, end: int) -> list[int]:
     """Hashed features: shape, its ends, length, and what stands before."""
     word = text[start:end]
-    shape = re.sub(r"[A-Za-z\u0080-￿]+", "a", re.sub(r"[0-9]+", lambda m: "9" * min(len(m[0]), 6), word))[:40]
+    shape = re.sub(r"[A-Za-z\u0080-￿]+", "a", re.sub(r"[0-9]+", lambda m: "9" * min(len(m[0]), 6), word))
     before = text[max(0, start - 2) : start]
     ideas = (f"s{shape}", f"c{shape[:3]}", f"e{shape[-3:]}", f"l{min(len(word), 24)}", f"b{before}", f"d{sum(c.isdigit() for c in word)}", f"p{before}{shape}")
     return [xxhash.xxh32_intdigest(x.encode(), SEED) % FEATURES for x in ideas]
@@ -171,10 +171,12 @@ class Graph:
             while at < len(starts) and starts[at][1] <= start:
                 at += 1
             label = 0
-            for a, b, k in starts[at : at + 4]:
-                if a < end and start < b:
-                    label = k + 1
+            over = at  # spans of different kinds may overlap: the first one by place that touches the token counts
+            while over < len(starts) and starts[over][0] < end:
+                if start < starts[over][1]:
+                    label = starts[over][2] + 1
                     break
+                over += 1
             self.doc.append(doc)
             self.span.append((start, end))
             self.fixed.append(label)
@@ -221,7 +223,7 @@ def train(texts: list[str]) -> dict:
 
 
 def beliefs(graph: Graph, model: dict) -> np.ndarray:
-    """Marginal label probabilities of every token, by damped loopy sum-product."""
+    """Marginal label probabilities of every token, by damped loopy sum-product, until messages stay as they are."""
     n = len(KINDS) + 1
     own = model["score"][np.array(graph.feature)].sum(axis=1)
     fixed = np.array(graph.fixed)
@@ -242,7 +244,11 @@ def beliefs(graph: Graph, model: dict) -> np.ndarray:
         out = np.exp(out - out.max(axis=1, keepdims=True))
         new = np.log(np.maximum(np.einsum("ei,eij->ej", out, potential), 1e-30))
         new -= new.max(axis=1, keepdims=True)
-        message = 0.3 * message + 0.7 * new
+        new = 0.3 * message + 0.7 * new
+        moved = np.abs(new - message).max(initial=0.0)
+        message = new
+        if moved < 1e-6:
+            break
     total = own.copy()
     np.add.at(total, target, message)
     total = np.exp(total - total.max(axis=1, keepdims=True))
@@ -268,9 +274,19 @@ def find_all(texts: list[str], model: dict | None) -> list[tuple[list[Span], lis
 
 
 def training_texts(docs: DataFrame, max_train_docs: int) -> list[str]:
-    likely = docs.select("doc_id", "text").filter(F.col("text").rlike(r"@|\+[0-9]|[0-9]\.[0-9]|[0-9]{4}[ -]?[0-9]{4}") & (F.length("text") <= MAX_TRAIN_CHARS))
-    rows = likely.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "text").limit(max_train_docs)
-    return [r["text"] for r in rows.toLocalIterator()]
+    """At most so many texts of bounded length, by the least hashes."""
+    likely = docs.select("text", F.xxhash64(F.lit(SEED), "text").alias("draw")).filter(F.col("text").rlike(r"@|\+[0-9]|[0-9]\.[0-9]|[0-9]{4}[ -]?[0-9]{4}") & (F.length("text") <= MAX_TRAIN_CHARS))
+    draws = [r["draw"] for r in likely.select("draw").distinct().orderBy("draw").limit(max_train_docs).collect()]
+    if not draws:
+        return []
+    rows = likely.filter(F.col("draw") <= F.lit(draws[-1])).dropDuplicates(["draw"])
+    return [r["text"] for r in sorted(rows.toLocalIterator(), key=lambda r: r["draw"])]
+
+
+def fitted(docs: DataFrame, max_train_docs: int):
+    """The trained field, sent to all tasks; null without any document to train on."""
+    known = training_texts(docs, max_train_docs)
+    return docs.sparkSession.sparkContext.broadcast(train(known) if known else None)  # FEATURES rows of scores
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("redacted", pa.string())])
@@ -293,8 +309,7 @@ def redact(text: str, spans: list[Span]) -> str:
 def pii_spans(docs: DataFrame, with_text: bool = False, max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
     """Counts and spans of every document; ``with_text`` adds the redacted text (null where nothing is found)."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    known = training_texts(texts, max_train_docs)
-    model = texts.sparkSession.sparkContext.broadcast(train(known) if known else None)
+    model = fitted(texts, max_train_docs)
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -319,8 +334,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def masked(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced; all columns stay, n_chars follows the text."""
-    known = training_texts(docs, MAX_TRAIN_DOCS)
-    model = docs.sparkSession.sparkContext.broadcast(train(known) if known else None)
+    model = fitted(docs, MAX_TRAIN_DOCS)
     place = docs.columns.index("text")
 
     def replace(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,10 +5,14 @@ one bit of one segment, so each distinct fingerprint probes the tables of both s
 radius one (33 keys), and what the tables return is verified over all 64 bits. Equal fingerprints are one class from
 the start: copies cost no pairs.
 
+A segment value that more than ``MOST`` distinct fingerprints share is looked up further: their other segment falls
+into two halves of 16 bits, of which one differs in at most one bit, so it is probed in the same way. The 48 bits that
+then agree leave at most 65,536 distinct fingerprints to a key.
+
 Defined results: null or empty texts have fingerprint zero, which links like any other; texts of fewer words than a
-shingle count as one shingle; ties of a bit (exactly half) give 0; repeated documents share a class; extra columns
-are ignored; rows without a doc_id are in their class, which has no component_id if none of its rows has one; an
-empty table gives an empty result.
+shingle count as one shingle; ties of a bit (exactly half) give 0; repeated documents share a class; rows without a
+doc_id are in their class and link others, and component_id is null where none of a component has a doc_id; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,12 +22,12 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgaudit.llm.common import ASCII_LOWER, batches, components, cut, table, text_bytes
+from kgaudit.llm.common import ASCII_LOWER, batches, components, cut, numbered, table, text_bytes
 
-SHINGLE_WORDS, SEED, BITS = 3, 42, 3
+SHINGLE_WORDS, SEED, BITS, MOST = 3, 42, 3, 1000
 
 
 def fingerprint(data: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -48,28 +52,49 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches(schema, rows), "doc_id long, fp long")
 
 
-def near_pairs(classes: DataFrame) -> DataFrame:
-    """``(a, b)``: the ids of classes ``(id, fp)``, fp distinct, whose fingerprints differ in at most BITS bits."""
-    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
-    segments = F.array(low, high.bitwiseOR(F.lit(1 << 32)))
-    ball = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(32)))
-    keyed = classes.select("id", "fp", F.explode(segments).alias("segment"))
-    probes = keyed.select(F.col("id").alias("a"), F.col("fp").alias("fp_a"), F.explode(ball).alias("flip"), "segment").select(
-        "a", "fp_a", F.col("segment").bitwiseXOR(F.col("flip")).alias("key")
-    )
-    entries = keyed.select(F.col("id").alias("b"), F.col("fp").alias("fp_b"), F.col("segment").alias("key"))
-    close = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= BITS
-    return probes.join(entries, "key").filter((F.col("fp_a") < F.col("fp_b")) & close).select("a", "b").distinct()
+def ball(bits: int) -> Column:
+    """The values to flip bits with for all keys of Hamming distance one or less."""
+    return F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(bits)))
+
+
+def halves(value: Column, bits: int) -> Column:
+    """Both halves of a value of 2 * bits bits, the upper one with a mark that tells it from the lower."""
+    low = value.bitwiseAND(F.lit((1 << bits) - 1))
+    return F.array(low, F.shiftrightunsigned(value, bits).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(1 << bits)))
+
+
+def near_pairs(prints: DataFrame, most: int = MOST) -> DataFrame:
+    """``(a, b)``: the fingerprints among the distinct ``(fp)`` that differ in at most BITS bits."""
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS
+    parts = halves(F.col("fp"), 32)
+    keyed = prints.select("fp", F.posexplode(parts).alias("half", "key"), F.element_at(parts, 2).alias("high"), F.element_at(parts, 1).alias("low"))
+    keyed = keyed.select("fp", "key", F.when(F.col("half") == 0, F.col("high").bitwiseAND(F.lit((1 << 32) - 1))).otherwise(F.col("low")).alias("other"))
+    probes = keyed.select(F.col("fp").alias("a"), F.explode(ball(32)).alias("flip"), "key", "other").select("a", "other", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
+    shared = cut(keyed.groupBy("key").count().filter(F.col("count") > most).select("key"))
+    entries = keyed.withColumnRenamed("fp", "b")
+    if shared.isEmpty():
+        return probes.join(entries.select("b", "key"), "key").filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    few = probes.join(entries.join(shared, "key", "left_anti").select("b", "key"), "key").filter((F.col("a") < F.col("b")) & close).select("a", "b")
+    deeper = probes.join(shared, "key", "left_semi").select("a", "key", F.explode(halves(F.col("other"), 16)).alias("part"))
+    deeper = deeper.select("a", "key", "part", F.explode(ball(16)).alias("flip")).select("a", "key", F.col("part").bitwiseXOR(F.col("flip")).alias("part"))
+    below = entries.join(shared, "key", "left_semi").select("b", "key", F.explode(halves(F.col("other"), 16)).alias("part"))
+    many = deeper.join(below, ["key", "part"]).filter((F.col("a") < F.col("b")) & close).select("a", "b")
+    return few.union(many).distinct()
+
+
+def print_roots(prints: DataFrame, most: int = MOST) -> DataFrame:
+    """``(fp, root)`` of the distinct fingerprints of ``prints``: a fingerprint that names the component."""
+    classes = cut(prints.select("fp").distinct())
+    roots = components(near_pairs(classes, most))
+    return classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
+def simhash_components(docs: DataFrame, most: int = MOST) -> DataFrame:
     """``(doc_id, fp, component_id)``: the smallest doc_id reachable over links of at most BITS differing bits."""
     prints = cut(fingerprints(docs))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    roots = components(near_pairs(classes))
-    labelled = cut(
-        classes.join(roots, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    )
+    roots = cut(print_roots(prints, most))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    labelled = cut(roots.join(least, "root").select("fp", "component_id"))
     return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -79,10 +104,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The first row of each near-duplicate group, by doc_id, and the rows without a doc_id; all columns stay."""
-    numbered = cut(docs.filter("doc_id is not null").withColumn("_row", F.monotonically_increasing_id()))
-    group = simhash_components(numbered.select(F.col("_row").alias("doc_id"), "text"))
-    group = numbered.select("doc_id", "_row").join(group.select(F.col("doc_id").alias("_id"), "component_id"), F.col("_row") == F.col("_id"))
-    kept = group.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_kept"))
-    first = numbered.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
-    return first.union(docs.filter("doc_id is null"))
+    """The first row of each near-duplicate group, by doc_id, rows without one behind the others; all columns stay."""
+    rows, row = numbered(docs)
+    prints = cut(fingerprints(rows.select(F.col(row).alias("doc_id"), "text")))
+    group = prints.join(print_roots(prints), "fp").select(F.col("doc_id").alias("_number"), "root")
+    group = rows.select(F.col("doc_id").alias("_id"), F.col(row).alias("_number")).join(group, "_number")
+    kept = group.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_number"))["_number"].alias("_kept"))
+    return rows.join(kept.select("_kept"), F.col(row) == F.col("_kept"), "left_semi").drop(row)

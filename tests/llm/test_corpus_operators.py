@@ -475,6 +475,33 @@ def test_skip_links_carry_labels():
     assert "user7.42@mail" in [t[a:b] for _, a, b in every] and "12" not in [t[a:b] for _, a, b in every]
 
 
+def test_beliefs_are_marginals(monkeypatch):
+    """Of graphs without a loop exactly, of loops nearly: all labellings are enumerated."""
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    for chain, skip, near in (([(0, 1), (1, 2)], [], 1e-5), ([(0, 1)], [(1, 2), (0, 3)], 1e-5), ([], [(0, 2), (2, 1)], 1e-5), ([(0, 1), (1, 2)], [(0, 2)], 0.1)):
+        graph = pii.Graph()
+        n = 1 + max(max(x) for x in chain + skip)
+        graph.feature, graph.fixed, graph.chain, graph.skip = rng.integers(0, 16, (n, 3)).tolist(), [0] * (n - 1) + [2], chain, skip
+        model = {"score": rng.normal(0, 0.4, (16, 5)), "chain": rng.normal(0, 0.5, (5, 5)), "skip": 1.2}
+        own = model["score"][np.array(graph.feature)].sum(axis=1)
+        marginal = np.zeros((n, 5))
+        for labels in product(range(5), repeat=n):
+            if labels[-1] == 2:
+                value = sum(own[i, x] for i, x in enumerate(labels[:-1])) + sum(model["chain"][labels[a], labels[b]] for a, b in chain) + sum(1.2 * (labels[a] == labels[b]) for a, b in skip)
+                for i, x in enumerate(labels):
+                    marginal[i, x] += np.exp(value)
+        assert np.abs(pii.beliefs(graph, model) - marginal / marginal.sum(axis=1, keepdims=True)).max() < near
+
+
+def test_training_texts_are_those_of_the_least_hashes(spark):
+    texts = [f"mail a{i}@b.example" for i in range(30)] + ["nothing", None, "x@y " * 9000, "mail a1@b.example"]
+    found = pii.training_texts(docs_of(spark, texts), 10)
+    assert len(found) == len(set(found)) == 10 and set(found) <= set(texts[:30])
+    assert found == pii.training_texts(docs_of(spark, texts).repartition(5), 10) and pii.training_texts(docs_of(spark, []), 10) == []
+
+
 def test_field_needs_no_base_span():
     seen = [f"{text(20)} call +1 ({random.randint(200, 999)}) 555-{random.randint(1000, 9999)} or user{i}.{i}@mail{i}.example.com {text(5)}" for i in range(200)]
     model = pii.train(seen + [f"{text(10)} {i} items {i * 7}" for i in range(50)])
@@ -522,6 +549,35 @@ def test_simhash(spark):
     assert simhash.simhash_components(docs_of(spark, [])).count() == 0
 
 
+def test_rows_without_an_id_link_others(spark):
+    base = text(200).split()
+    near = [" ".join(base[:i] + ["new"] * i + base[2 * i :]) for i in range(6)]
+    prints = [brute_fingerprint(t) for t in near]
+    rows_ = [(5, near[0]), (None, near[1]), (3, near[2]), (None, near[3]), (None, "other words alone")]
+    label = [[j for j in range(4) if (prints[i] ^ prints[j]).bit_count() <= 3] for i in range(4)]
+    got = simhash.simhash_components(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    by_print = {r["fp"] % 2**64: r["component_id"] for r in got}
+    assert len(got) == 5 and by_print[brute_fingerprint("other words alone")] is None
+    if 1 in label[0] and 2 in label[1]:
+        assert by_print[prints[0]] == by_print[prints[2]] == 3
+
+
+@pytest.mark.parametrize("most", [simhash.MOST, 20, 0])
+def test_shared_segments_are_looked_up_further(spark, most):
+    rng = random.Random(6)
+    low = rng.getrandbits(32)
+    prints = {rng.getrandbits(32) << 32 | low ^ (rng.random() < 0.3 and 1 << rng.randrange(32)) for _ in range(120)}
+    for p in list(prints):
+        q = p
+        for _ in range(rng.randint(1, 4)):
+            q ^= 1 << rng.randrange(64)
+        prints.add(q)
+    prints = [p - 2**64 if p >= 2**63 else p for p in prints]
+    want = {(a, b) for a in prints for b in prints if a < b and ((a ^ b) % 2**64).bit_count() <= 3}
+    got = [tuple(r) for r in simhash.near_pairs(spark.createDataFrame([(p,) for p in prints], "fp long"), most).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_near_pairs_at_every_distance(spark):
     rng = random.Random(5)
     prints, want = [], set()
@@ -532,10 +588,10 @@ def test_near_pairs_at_every_distance(spark):
             q ^= 1 << bit
         prints += [p, q]
         if 0 < i % 6 <= 3:
-            want.add((2 * i, 2 * i + 1))
-    signed = [(i, p - 2**64 if p >= 2**63 else p) for i, p in enumerate(prints)]
-    got = simhash.near_pairs(spark.createDataFrame(signed, "id long, fp long").dropDuplicates(["fp"])).collect()
-    assert {tuple(sorted(r)) for r in got} == want
+            want.add(tuple(sorted(x - 2**64 if x >= 2**63 else x for x in (p, q))))
+    signed = [(p - 2**64 if p >= 2**63 else p,) for p in prints]
+    got = simhash.near_pairs(spark.createDataFrame(signed, "fp long").distinct()).collect()
+    assert {tuple(r) for r in got} == want
 
 
 # 8 ---------------------------------------------------------------------------------------------------------------
@@ -728,7 +784,7 @@ def test_rows_without_an_id(spark):
     assert licenses.license_scan(docs).count() == simhash.simhash_components(docs).count() == pii.pii_spans(docs).count() == 6
     assert quality.quality_sample(docs, labels).count() == substrings.removal(docs).count() == mixing.mixture(docs)[0].count() == 6
     assert decontaminate.contamination(docs, items).count() == 4  # each row that holds the item without an id
-    assert simhash.keep_one(docs).filter("doc_id is null").count() == 2 and quality.keep_good(docs, labels).count() == 5
+    assert simhash.keep_one(docs).filter("doc_id is null").count() == 1 and quality.keep_good(docs, labels).count() == 5
     removed = {r["doc_id"]: r["n_removed"] for r in substrings.removal(docs.filter("doc_id is not null")).collect()}
     assert removed[0] == 0 and removed[1] == len(base) and removed[2] == 0
     assert mixing.mixed_corpus(docs).count() > 0 and pii.masked(docs).count() == 6
@@ -746,7 +802,7 @@ def test_rows_are_told_apart(spark):
     size = sum(len(t.split()) for _, t, _, _ in data)
     assert abs(sum(len(t.split()) for _, t in taken) - 1.5 * size) <= 1 and any(i is None for i, _ in taken)
     kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()]
-    assert kept.count((99, texts[0])) == 1 and len(kept) == len(data) - 1
+    assert kept.count((99, texts[0])) == 1 and len(kept) == len(data) - 3 and kept.count((98, texts[1])) == 1
 
 
 # 10 --------------------------------------------------------------------------------------------------------------

@@ -22,17 +22,19 @@ def test_pipeline(spark, tmp_path):
     good[30] = f"{text(40)} {items[1]} {text(40)}"
     good[40] += " mail a.b@mail.example.com or +1 (988) 555-2485"
     texts = good + bad + [None, ""]
+    texts += [good[10], good[30], bad[0], good[100] + " more"]  # rows that repeat an id or have none are judged, too
+    ids = list(range(len(texts) - 4)) + [None, None, None, 5]
     sources = [f"s{i % 3}" for i in range(len(texts))]
-    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, (t, s) in enumerate(zip(texts, sources))], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in zip(ids, texts, sources)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
     labels = [(i, 1, 0) for i in range(100)] + [(i, 0, 0) for i in range(150, 175)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
 
-    prints = {i: brute_fingerprint(t) for i, t in enumerate(good)}
+    prints = {i: brute_fingerprint(t) for i, t in enumerate(texts) if i < 150 or i == len(texts) - 1}
     root = {i: min(j for j in prints if (prints[i] ^ prints[j]).bit_count() <= 3) for i in prints}
     survivors = {i for i in prints if root[i] == i} - {30}
-    assert 10 in survivors and not survivors & {20, 21}
+    assert 10 in survivors and not survivors & {20, 21} and len(texts) - 1 in survivors
 
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -40,17 +42,15 @@ def test_pipeline(spark, tmp_path):
         assert kept.columns == docs.columns, name
         kept.write.parquet(f"file://{tmp_path}/{name}")
         kept = spark.read.parquet(f"file://{tmp_path}/{name}")
-    rows = {r["doc_id"]: r["text"] for r in kept.collect()}
-    assert set(rows) == survivors
-    assert all(rows[i] == texts[i] for i in survivors - {40})
-    assert rows[40] == good[40].replace("a.b@mail.example.com", "[EMAIL]").replace("+1 (988) 555-2485", "[PHONE]") and not brute_pii(rows[40])
+    masked = good[40].replace("a.b@mail.example.com", "[EMAIL]").replace("+1 (988) 555-2485", "[PHONE]")
+    rows = {i: masked if i == 40 else texts[i] for i in survivors}
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted((ids[i], t) for i, t in rows.items()) and not brute_pii(masked)
 
     size = {i: len(t.split()) for i, t in rows.items()}
     target = brute_targets({s: sum(n for i, n in size.items() if sources[i] == s) for s in ("s0", "s1", "s2")})
     mixed = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
     taken = {s: sum(len(r["text"].split()) for r in mixed if r["source"] == s) for s in target}
     assert all(abs(taken[s] - target[s]) <= 1 for s in target)
-    assert {r["doc_id"] for r in mixed} <= survivors
     for r in mixed:
-        assert re.search(r"(^|\s)" + re.escape(" ".join(r["text"].split())) + r"($|\s)", " ".join(rows[r["doc_id"]].split()))
+        assert any(re.search(r"(^|\s)" + re.escape(r["text"]) + r"($|\s)", t) for i, t in rows.items() if ids[i] == r["doc_id"])
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "simhash_near_dedup", "benchmark_decontamination", "pii", "source_mixing"]
