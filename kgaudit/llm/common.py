@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of A-Z mapped to a-z; all others stay.
@@ -70,6 +70,18 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def same_text(docs: DataFrame, kept: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` that have (``left_semi``) or lack (``left_anti``) a row of ``kept(doc_id, text_hash)``, as ``text_hash`` gives it: a doc_id, or none, with a text."""
+    mark = kept.select(F.col("doc_id").alias("_judged_id"), F.col("text_hash").alias("_judged_hash")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_judged_id")) & (text_hash() == F.col("_judged_hash"))
+    return docs.join(mark, same, how)
+
+
+def text_hash() -> Column:
+    """128 bits of a text; null has its own value."""
+    return F.coalesce(F.md5("text"), F.lit(""))
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table made by ``cut`` that no plan reads any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:

@@ -20,6 +20,7 @@ columns are ignored; empty tables give an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -30,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgaudit.llm.common import ASCII_WORDS, Rolling, cut, mix, numbered, table, text_bytes
+from kgaudit.llm.common import ASCII_WORDS, Rolling, cut, mix, same_text, table, text_bytes
 
 MIN_TILE, MIN_COVERAGE, BITMAP_BITS = 5, 0.6, 24
 SPAN = 1 << 16
 BASE = 0x9E3779B97F4A7C15
-FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int64())])
-FOUND_SQL = "row long, doc_id long, item_id long, coverage double, tiles long"
+FOUND = pa.schema([("text_hash", pa.string()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int64())])
+FOUND_SQL = "text_hash string, doc_id long, item_id long, coverage double, tiles long"
 
 
 def word_hasher() -> Callable[[bytes], np.ndarray]:
@@ -164,12 +165,12 @@ def bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
 
 
 def kept_runs(texts: DataFrame, known: np.ndarray, lengths: list[int], bits: int) -> DataFrame:
-    """``(row, doc_id, words, gaps, seeds)`` of the texts ``(row, doc_id, text)`` in which a seed is in the bitmap.
+    """``(row, text_hash, doc_id, words, gaps, seeds)`` of the texts ``(row, doc_id, text)`` in which a seed is in the bitmap.
 
     ``words`` are the word hashes of the runs that hold such seeds, with a gap between two runs.
     """
     shared = texts.sparkSession.sparkContext.broadcast(known)  # 2**bits bits
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("words", pa.binary()), ("gaps", pa.binary()), ("seeds", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("text_hash", pa.string()), ("doc_id", pa.int64()), ("words", pa.binary()), ("gaps", pa.binary()), ("seeds", pa.list_(pa.int64()))])
 
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hashes, mask = shared.value, word_hasher(), np.uint64((1 << bits) - 1)
@@ -189,18 +190,18 @@ def kept_runs(texts: DataFrame, known: np.ndarray, lengths: list[int], bits: int
                 if inside.any():
                     keep = inside | np.concatenate([[False], inside[:-1]])  # a run and the word behind it
                     seeds = np.unique(np.concatenate(found)).view(np.int64)
-                    out.append((row, doc_id, words[keep].tobytes(), (~inside[keep]).tobytes(), seeds))
+                    out.append((row, hashlib.md5(data).hexdigest(), doc_id, words[keep].tobytes(), (~inside[keep]).tobytes(), seeds))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return texts.mapInArrow(apply, "row long, doc_id long, words binary, gaps binary, seeds array<long>")
+    return texts.mapInArrow(apply, "row long, text_hash string, doc_id long, words binary, gaps binary, seeds array<long>")
 
 
-def contamination(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE, bits: int = BITMAP_BITS, row: str | None = None) -> DataFrame:
-    """``(row, doc_id, item_id, coverage, tiles)`` of the pairs whose coverage is at least ``min_coverage``.
+def contamination(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE, bits: int = BITMAP_BITS) -> DataFrame:
+    """``(text_hash, doc_id, item_id, coverage, tiles)`` of the pairs whose coverage is at least ``min_coverage``.
 
-    Each row of both tables counts for itself, whatever its id; ``row`` names a column that numbers the documents.
+    Each row of both tables counts for itself, whatever its id.
     """
-    texts = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     items = cut(items.select(F.monotonically_increasing_id().alias("no"), F.col("item_id").cast("long"), F.col("text").cast("string")))
     seeds = cut(item_seeds(items, min_coverage))
     lengths = sorted(r["length"] for r in seeds.select("length").distinct().collect())  # MIN_TILE of them at most
@@ -209,7 +210,7 @@ def contamination(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_C
     rank = F.row_number().over(W.partitionBy("no").orderBy(F.col("n").desc(), "place"))
     index = seeds.join(often, "seed").withColumn("rank", rank).filter("rank > spare").select("no", "seed").distinct()
     pairs = kept.select("row", F.explode("seeds").alias("seed")).join(index, "seed").select("row", "no").distinct()
-    both = pairs.join(kept.drop("seeds"), "row").join(items.withColumnRenamed("text", "item"), "no").select("row", "doc_id", "words", "gaps", "item_id", "item")
+    both = pairs.join(kept.drop("seeds"), "row").join(items.withColumnRenamed("text", "item"), "no").select("text_hash", "doc_id", "words", "gaps", "item_id", "item")
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hasher()
@@ -221,18 +222,16 @@ def contamination(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_C
                 tiles = tiling(item, words, gaps=gaps)
                 covered = sum(n for _, _, n in tiles) / max(1, len(item))
                 if tiles and covered >= min_coverage:
-                    out.append((batch["row"][at].as_py(), batch["doc_id"][at].as_py(), batch["item_id"][at].as_py(), covered, len(tiles)))
+                    out.append((batch["text_hash"][at].as_py(), batch["doc_id"][at].as_py(), batch["item_id"][at].as_py(), covered, len(tiles)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(FOUND)], schema=FOUND)
 
     return both.mapInArrow(judge, FOUND_SQL)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that cover no item; all columns stay."""
-    rows, row = numbered(docs)
-    leaked = contamination(rows, items, row=row).select(F.col("row").alias("_leaked")).distinct()
-    return rows.join(leaked, F.col(row) == F.col("_leaked"), "left_anti").drop(row)
+    return same_text(docs, contamination(docs, items), "left_anti")

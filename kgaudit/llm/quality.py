@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgaudit.llm.common import Rolling, cut, mix, numbered, table, text_bytes
+from kgaudit.llm.common import Rolling, cut, mix, same_text, table, text_bytes, text_hash
 
 BUCKET_BITS, PRIOR, MAX_LABELLED, LOSS, SEED, SPAN = 16, 16, 20_000, 0.01, 11, 1 << 16
 
@@ -66,16 +66,15 @@ def featurizer() -> Callable[[bytes], Iterator[np.ndarray]]:
     return features
 
 
-def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int, row: str | None = None) -> DataFrame:
-    """``(row, doc_id, text, role)``: role 1 and 0 fit and test a good document, 2 tests a bad one, else null."""
+def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
+    """``(doc_id, text, role)``: role 1 and 0 fit and test a good document, 2 tests a bad one, else null."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_id"))
     known = known.agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
     known = known.orderBy(F.xxhash64(F.lit(SEED), "label_id"), "label_id").limit(max_labelled)
     role = F.when(F.col("low") == 0, 2).otherwise(F.pmod(F.xxhash64(F.lit(SEED + 1), "label_id"), F.lit(2)).cast("int"))
     known = F.broadcast(known.select("label_id", role.alias("role")))  # max_labelled rows of two numbers at most
-    number = (F.col(row) if row else F.lit(None).cast("long")).alias("row")
-    texts = docs.select(number, F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(known, F.col("doc_id") == F.col("label_id"), "left").select("row", "doc_id", "text", "role")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.join(known, F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", "role")
 
 
 def models(texts: DataFrame) -> np.ndarray:
@@ -108,9 +107,9 @@ def models(texts: DataFrame) -> np.ndarray:
 
 
 def weights(texts: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``(row, doc_id, role, draw, evidence)``; draw is a hash by which the noise is drawn."""
+    """``(doc_id, text_hash, role, draw, evidence)``; draw is a hash by which the noise is drawn."""
     shared = texts.sparkSession.sparkContext.broadcast(ratio)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("role", pa.int32()), ("draw", pa.int64()), ("evidence", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.string()), ("role", pa.int32()), ("draw", pa.int64()), ("evidence", pa.float64())])
 
     def weigh(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio, features = shared.value, featurizer()
@@ -122,10 +121,10 @@ def weights(texts: DataFrame, ratio: np.ndarray) -> DataFrame:
                     total += ratio[part].sum()
                     n += len(part)
                 out.append(total / (n + PRIOR) if n else None)
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], batch["role"], batch["draw"], pa.array(out, pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], batch["role"], batch["draw"], pa.array(out, pa.float64())], schema=schema)
 
-    drawn = texts.withColumn("draw", F.xxhash64(F.lit(SEED), "doc_id", "text"))
-    return drawn.mapInArrow(weigh, "row long, doc_id long, role int, draw long, evidence double")
+    drawn = texts.withColumns({"draw": F.xxhash64(F.lit(SEED), "doc_id", "text"), "text_hash": text_hash()})
+    return drawn.mapInArrow(weigh, "doc_id long, text_hash string, role int, draw long, evidence double")
 
 
 def log_odds(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
@@ -175,26 +174,24 @@ def kth_largest(scored: DataFrame, k: int) -> float:
     return low
 
 
-def quality_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, row: str | None = None) -> DataFrame:
-    """``(row, doc_id, log_weight, score, selected)`` of every document; ``row`` names a column that numbers them."""
-    texts = labelled(docs, labels, max_labelled, row)
+def quality_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """``(doc_id, text_hash, log_weight, score, selected)`` of every document."""
+    texts = labelled(docs, labels, max_labelled)
     weighed = cut(weights(texts, models(texts)))
     tested = weighed.filter("role in (0, 2) and evidence is not null").select("role", "evidence").collect()  # of the bounded sample
     at, scale = log_odds(*(np.array([r["evidence"] for r in tested if r["role"] == x]) for x in (0, 2)))
     odds = F.lit(scale) * (F.col("evidence") - F.lit(at)) if np.isfinite(at) else F.when(F.col("evidence").isNotNull(), 0.0)
     u = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / float(1 << 53)
-    scored = weighed.select("row", "doc_id", odds.alias("log_weight"), (odds - F.log(-F.log(u))).alias("score"))
+    scored = weighed.select("doc_id", "text_hash", odds.alias("log_weight"), (odds - F.log(-F.log(u))).alias("score"))
     k = scored.filter("log_weight >= 0").count()
     bound = kth_largest(scored.filter("score is not null"), k) if k else float("inf")
     return scored.withColumn("selected", F.coalesce(F.col("score") >= F.lit(bound), F.lit(False)))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+    return quality_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The selected documents; all columns stay."""
-    rows, row = numbered(docs)
-    kept = quality_sample(rows, labels, row=row).filter("selected").select(F.col("row").alias("_kept"))
-    return rows.join(kept, F.col(row) == F.col("_kept"), "left_semi").drop(row)
+    return same_text(docs, quality_sample(docs, labels).filter("selected"), "left_semi")

@@ -64,7 +64,10 @@ def halves(value: Column, bits: int) -> Column:
 
 
 def near_pairs(prints: DataFrame, most: int = MOST) -> DataFrame:
-    """``(a, b)``: the fingerprints among the distinct ``(fp)`` that differ in at most BITS bits."""
+    """``(a, b)``: the fingerprints among the distinct ``(fp)`` that differ in at most BITS bits.
+
+    Keys are many times what the size of the table tells, so they are not to be broadcast.
+    """
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS
     parts = halves(F.col("fp"), 32)
     keyed = prints.select("fp", F.posexplode(parts).alias("half", "key"), F.element_at(parts, 2).alias("high"), F.element_at(parts, 1).alias("low"))
@@ -73,12 +76,12 @@ def near_pairs(prints: DataFrame, most: int = MOST) -> DataFrame:
     shared = cut(keyed.groupBy("key").count().filter(F.col("count") > most).select("key"))
     entries = keyed.withColumnRenamed("fp", "b")
     if shared.isEmpty():
-        return probes.join(entries.select("b", "key"), "key").filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
-    few = probes.join(entries.join(shared, "key", "left_anti").select("b", "key"), "key").filter((F.col("a") < F.col("b")) & close).select("a", "b")
+        return probes.join(entries.select("b", "key").hint("merge"), "key").filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    few = probes.join(entries.join(shared, "key", "left_anti").select("b", "key").hint("merge"), "key").filter((F.col("a") < F.col("b")) & close).select("a", "b")
     deeper = probes.join(shared, "key", "left_semi").select("a", "key", F.explode(halves(F.col("other"), 16)).alias("part"))
     deeper = deeper.select("a", "key", "part", F.explode(ball(16)).alias("flip")).select("a", "key", F.col("part").bitwiseXOR(F.col("flip")).alias("part"))
     below = entries.join(shared, "key", "left_semi").select("b", "key", F.explode(halves(F.col("other"), 16)).alias("part"))
-    many = deeper.join(below, ["key", "part"]).filter((F.col("a") < F.col("b")) & close).select("a", "b")
+    many = deeper.join(below.hint("merge"), ["key", "part"]).filter((F.col("a") < F.col("b")) & close).select("a", "b")
     return few.union(many).distinct()
 
 
