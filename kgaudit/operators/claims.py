@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from kgaudit.functions import text as tx
 from kgaudit.functions.ids import category_of
+from kgaudit.sources.ingest import census_lookup
 
 FALLBACK, CONDITION = "biolink:related_to", "biolink:gene_associated_with_condition"
 # Keys that identify a piece of evidence, in order, and prefixes of stances.
 EVIDENCE_KEYS = ("pmid", "pmcid", "doi", "id", "curie", "url", "type")
+SUPPRESSORS, ONCOGENES = ("tumor_suppressor", "both"), ("oncogene", "both")
 AGAINST, FOR = ("refute", "contradict"), ("support", "corroborates", "backs")
 
 
@@ -91,7 +93,7 @@ def spotted(claims: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFram
     endings = F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), i, F.length("word"))))
     tails = words.withColumn("tail", endings)
     sizes = dictionary.select(F.length(first).alias("n")).distinct()
-    keys = tails.join(F.broadcast(sizes), F.length("tail") >= F.col("n")).select("claim_id", "text", F.expr("substring(tail, 1, n)").alias("first")).distinct()
+    keys = tails.join(sizes, F.length("tail") >= F.col("n")).select("claim_id", "text", F.expr("substring(tail, 1, n)").alias("first")).distinct()
     hits = keys.join(dictionary.select("id", "label", first.alias("first")), "first").withColumn("at", F.instr(lowered, F.lower(F.col("label")))).filter("at > 0")
     rank = F.row_number().over(W.partitionBy("claim_id").orderBy("at", "id"))
     return hits.select("claim_id", "id", "label", "at").distinct().withColumn("rank", rank).filter(F.col("rank") <= most)
@@ -166,3 +168,23 @@ def polarity_conflict(pairs: DataFrame, context: DataFrame, lexicon: tx.Lexicon
     out = pairs.join(counts, "pair_id", "left").withColumns({"claim_predicate_polarity": tx.polarity(F.col("predicate"), lexicon), "context_polarity": pure})
     opposite = F.col("context_polarity").isin("positive", "negative") & (F.col("context_polarity") != F.col("claim_predicate_polarity"))
     return out.withColumn("opposite_predicate_same_context", F.coalesce(opposite, F.lit(False))).drop("_pos", "_neg")
+
+
+def gene_facts(claims: DataFrame, census: DataFrame) -> DataFrame:
+    """Adds the struct ``gene`` to claims ``(subject_category, symbol)`` by the cancer gene census.
+
+    Only genes are looked up; a gene of both roles is an oncogene and a tumour suppressor.
+    """
+    looked = census_lookup(claims.withColumn("_symbol", F.col("symbol")).withColumn("symbol", F.when(F.col("subject_category") == "gene", F.col("symbol"))), census)
+    role = F.coalesce(F.when(F.col("census").isNotNull(), F.col("census.role_class")), F.lit("unknown"))
+    checked = F.col("subject_category") == "gene"
+    facts = F.struct(
+        checked.alias("cosmic_checked"), F.col("census").isNotNull().alias("is_cancer_gene"), role.alias("function_class"),
+        role.isin(*SUPPRESSORS).alias("is_tumor_suppressor"), role.isin(*ONCOGENES).alias("is_oncogene"), F.when(checked, F.coalesce("symbol", F.lit(""))).otherwise("").alias("gene_symbol"),
+    )
+    return looked.withColumn("gene", facts).drop("census", "symbol").withColumnRenamed("_symbol", "symbol")
+
+
+def census_list(census: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """Symbols of the census in one of the roles."""
+    return census.filter(F.col("role_class").isin(*roles)).select("symbol")

@@ -1,13 +1,13 @@
-"""Conditions on facts as Columns.
+"""Conditions on facts as SQL expressions.
 
 A fact is a path into the struct column ``facts``. Its type decides how it compares, so a condition becomes one typed
-expression that is never null and stays inside code generation.
+expression that is never null and stays inside code generation. Expressions are built as text and read once by Spark:
+a rule set has thousands of parts, and a Column call for each would take longer than the audit.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -15,10 +15,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType)
-ORDER = {"gt": "__gt__", "gte": "__ge__", "lt": "__lt__", "lte": "__le__", "within_years": "__le__", "older_than_years": "__gt__", "before_year": "__lt__", "after_year": "__gt__"}
+ORDER = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "within_years": "<=", "older_than_years": ">", "before_year": "<", "after_year": ">"}
 OPERATORS = ("exists", "equals", "contains", *ORDER)
 
 
+def literal(value: Any) -> str:
+    """A value as a SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"double('{value!r}')"
+    if isinstance(value, int):
+        return str(value)
+    escaped = str(value).replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r")
+    return f"'{escaped}'"
+
+
 def fact_type(schema: T.StructType, path: str) -> T.DataType | None:
     """Type of the fact at a dotted path; None where there is none."""
     found: T.DataType | None = schema
@@ -27,114 +41,116 @@ def fact_type(schema: T.StructType, path: str) -> T.DataType | None:
     return found
 
 
-def fact(schema: T.StructType, path: str, root: str = "facts") -> Column:
+def fact(schema: T.StructType, path: str, root: str = "facts") -> str:
     """The fact at a dotted path; null where there is none."""
-    return F.lit(None) if fact_type(schema, path) is None else F.col(f"{root}.{path}")
+    return "NULL" if fact_type(schema, path) is None else ".".join(f"`{x}`" for x in (root, *path.split(".")))
 
 
-def truthy(column: Column, kind: T.DataType | None) -> Column:
+def truthy(text: str, kind: T.DataType | None) -> str:
     """Whether a value counts as present: not null, false, zero or empty."""
     if kind is None or isinstance(kind, T.NullType):
-        return F.lit(False)
+        return "false"
     if isinstance(kind, T.BooleanType):
-        found = column
+        found = text
     elif isinstance(kind, NUMBERS):
-        found = column != 0
+        found = f"{text} <> 0"
     elif isinstance(kind, T.StringType):
-        found = F.length(column) > 0
+        found = f"length({text}) > 0"
     elif isinstance(kind, (T.ArrayType, T.MapType)):
-        found = F.size(column) > 0
+        found = f"size({text}) > 0"
     else:
-        found = column.isNotNull()
-    return F.coalesce(found, F.lit(False))
+        found = f"{text} IS NOT NULL"
+    return f"coalesce({found}, false)"
 
 
-def as_number(column: Column, kind: T.DataType) -> Column:
-    return column.cast("int").cast("double") if isinstance(kind, T.BooleanType) else column.cast("double")
+def as_number(text: str, kind: T.DataType) -> str:
+    return f"double(int({text}))" if isinstance(kind, T.BooleanType) else f"double({text})"
 
 
-def equal(column: Column, kind: T.DataType | None, value: Any) -> Column:
+def equal(text: str, kind: T.DataType | None, value: Any) -> str:
     """Equality in which null equals null, and true and one, false and zero are equal."""
     if value is None:
-        return F.lit(True) if kind is None else column.isNull()
+        return "true" if kind is None else f"({text} IS NULL)"
     if kind is None:
-        return F.lit(False)
+        return "false"
     if isinstance(value, (bool, int, float)):
-        return as_number(column, kind).eqNullSafe(F.lit(float(value))) if isinstance(kind, NUMBERS) else F.lit(False)
+        return f"({as_number(text, kind)} <=> {literal(float(value))})" if isinstance(kind, NUMBERS) else "false"
     if isinstance(value, str):
-        return column.eqNullSafe(F.lit(value)) if isinstance(kind, T.StringType) else F.lit(False)
+        return f"({text} <=> {literal(value)})" if isinstance(kind, T.StringType) else "false"
     if isinstance(value, (list, tuple)) and isinstance(kind, T.ArrayType):
-        return column.eqNullSafe(F.array(*map(F.lit, value)).cast(kind))
-    return F.lit(False)
+        return f"({text} <=> cast(array({', '.join(map(literal, value))}) AS {kind.simpleString()}))"
+    return "false"
 
 
-def atom(schema: T.StructType, path: str, op: str = "exists", value: Any = None, negate: bool = False) -> Column:
+def atom(schema: T.StructType, path: str, op: str = "exists", value: Any = None, negate: bool = False) -> str:
     """One condition on one fact (E2-E8); an unknown operator is an error when the plan is made."""
-    kind, column = fact_type(schema, path), fact(schema, path)
+    kind, text = fact_type(schema, path), fact(schema, path)
     if op == "exists":
-        found = truthy(column, kind)
+        found = truthy(text, kind)
     elif op == "equals":
-        found = equal(column, kind, value)
+        found = equal(text, kind, value)
     elif op == "contains":
         if isinstance(kind, T.StringType):
-            found = F.coalesce(column.contains(str(value)), F.lit(False))
+            found = f"coalesce(contains({text}, {literal(str(value))}), false)"
         elif isinstance(kind, T.ArrayType):
-            found = F.coalesce(F.array_contains(column, value), F.lit(False))
+            found = f"coalesce(array_contains({text}, {literal(value)}), false)"
         else:
-            found = F.lit(False)
+            found = "false"
     elif op in ORDER:
         numeric = isinstance(kind, NUMBERS) and isinstance(value, (bool, int, float))
-        found = F.coalesce(getattr(as_number(column, kind), ORDER[op])(float(value)), F.lit(False)) if numeric else F.lit(False)
+        found = f"coalesce({as_number(text, kind)} {ORDER[op]} {literal(float(value))}, false)" if numeric else "false"
     else:
         raise ValueError(f"no operator {op!r}; there are {', '.join(OPERATORS)}")
-    return ~found if negate else found
+    return f"(NOT {found})" if negate else found
 
 
-def every(found: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, found, F.lit(True))
+def every(found: list[str]) -> str:
+    return f"({' AND '.join(found)})" if found else "true"
 
 
-def some(found: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, found, F.lit(False))
+def some(found: list[str]) -> str:
+    return f"({' OR '.join(found)})" if found else "false"
 
 
-def condition(schema: T.StructType, spec: Any) -> Column:
+def condition_text(schema: T.StructType, spec: Any) -> str:
     """A condition from its specification: a list of atoms (all must hold), or a mapping with ``all`` and ``any``."""
 
-    def atoms(items: list[dict]) -> list[Column]:
+    def atoms(items: list[dict]) -> list[str]:
         return [atom(schema, i["fact"], i.get("op", "exists"), i.get("value"), bool(i.get("negate", False))) for i in items]
 
     if not spec:
-        return F.lit(True)
+        return "true"
     if isinstance(spec, list):
         return every(atoms(spec))
-    found = F.lit(True)
-    if spec.get("all"):
-        found = found & every(atoms(spec["all"]))
-    if spec.get("any"):
-        found = found & some(atoms(spec["any"]))
-    return found
+    return every([*([every(atoms(spec["all"]))] if spec.get("all") else []), *([some(atoms(spec["any"]))] if spec.get("any") else [])])
+
+
+def condition(schema: T.StructType, spec: Any) -> Column:
+    """``condition_text`` as a Column."""
+    return F.expr(condition_text(schema, spec))
 
 
-def shown(column: Column, kind: T.DataType | None, form: str) -> Column:
+def shown(text: str, kind: T.DataType | None, form: str) -> str:
     """A fact as text, as a template's field shows it; null is a question mark."""
     if kind is None:
-        return F.lit("?")
+        return "'?'"
     if decimals := re.fullmatch(r"\.(\d+)f", form or ""):
-        text = F.format_string(f"%.{decimals[1]}f", column.cast("double"))
-        return F.when(column.isNull(), "?").otherwise(text)
+        return f"if({text} IS NULL, '?', format_string('%.{decimals[1]}f', double({text})))"
     if isinstance(kind, T.ArrayType):
-        quote = "'" if isinstance(kind.elementType, T.StringType) else ""
-        inner = F.array_join(F.transform(column, lambda x: F.concat(F.lit(quote), x.cast("string"), F.lit(quote))), ", ")
-        return F.coalesce(F.concat(F.lit("["), inner, F.lit("]")), F.lit("?"))
-    text = F.initcap(column.cast("string")) if isinstance(kind, T.BooleanType) else column.cast("string")
-    return F.coalesce(text, F.lit("?"))
+        quote = literal("'" if isinstance(kind.elementType, T.StringType) else "")
+        return f"coalesce(concat('[', array_join(transform({text}, x -> concat({quote}, string(x), {quote})), ', '), ']'), '?')"
+    plain = f"initcap(string({text}))" if isinstance(kind, T.BooleanType) else f"string({text})"
+    return f"coalesce({plain}, '?')"
 
 
-def template(schema: T.StructType, text: str) -> Column:
+def template_text(schema: T.StructType, text: str) -> str:
     """A text with ``{path}`` and ``{path:.2f}`` fields filled from facts."""
     parts, at = [], 0
     for m in re.finditer(r"\{([A-Za-z_][\w.]*)(?::([^{}]*))?\}", text):
-        parts += [F.lit(text[at : m.start()]), shown(fact(schema, m[1]), fact_type(schema, m[1]), m[2] or "")]
+        parts += [literal(text[at : m.start()]), shown(fact(schema, m[1]), fact_type(schema, m[1]), m[2] or "")]
         at = m.end()
-    return F.concat(*parts, F.lit(text[at:])) if parts else F.lit(text)
+    return f"concat({', '.join([*parts, literal(text[at:])])})" if parts else literal(text)
+
+
+def template(schema: T.StructType, text: str) -> Column:
+    return F.expr(template_text(schema, text))

@@ -1,13 +1,108 @@
-"""Ontology checks as joins with small axiom tables."""
+"""Ontology checks as joins with small axiom tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Roots that do not make two terms siblings, by prefix.
 ROOTS = {"HP": ("HP:0000118", "HP:0000001"), "MONDO": ("MONDO:0000001",), "GO": ("GO:0003674", "GO:0008150", "GO:0005575")}
 
+# The default axioms. Classes with what they are disjoint with.
+CLASSES = {
+    "gene": ["disease", "phenotype", "tissue", "publication"],
+    "disease": ["gene", "phenotype", "pathway", "tissue", "publication"],
+    "phenotype": ["gene", "disease", "pathway", "tissue", "publication"],
+    "pathway": ["disease", "phenotype", "tissue", "publication"],
+    "tissue": ["gene", "disease", "phenotype", "pathway", "publication"],
+    "publication": ["gene", "disease", "phenotype", "pathway", "tissue"],
+}
+# Predicates with domain and range.
+PROPERTIES = {
+    "biolink:gene_associated_with_condition": (["gene"], ["disease", "phenotype"]),
+    "biolink:causes": (["gene", "disease", "pathway"], ["disease", "phenotype"]),
+    "biolink:expressed_in": (["gene"], ["tissue"]),
+    "biolink:participates_in": (["gene"], ["pathway"]),
+    "biolink:part_of": (["pathway", "tissue", "phenotype"], ["pathway", "tissue", "phenotype"]),
+    "biolink:has_phenotype": (["disease", "gene"], ["phenotype"]),
+    "biolink:located_in": (["gene", "pathway"], ["tissue"]),
+    "biolink:regulates": (["gene", "pathway"], ["gene", "pathway"]),
+    "biolink:positively_regulates": (["gene", "pathway"], ["gene", "pathway"]),
+    "biolink:negatively_regulates": (["gene", "pathway"], ["gene", "pathway"]),
+    "biolink:interacts_with": (["gene"], ["gene"]),
+    "biolink:related_to": (["gene", "disease", "phenotype", "pathway", "tissue"], ["gene", "disease", "phenotype", "pathway", "tissue"]),
+}
+# Chains of two predicates.
+CHAINS = {
+    "gene_pathway_tissue_expression": ("biolink:participates_in", "biolink:located_in"),
+    "gene_phenotype_disease_association": ("biolink:causes", "biolink:part_of"),
+    "gene_regulates_disease_gene": ("biolink:regulates", "biolink:gene_associated_with_condition"),
+}
+# Restrictions: kind, class, predicate, allowed classes, whether evidence is required.
+RESTRICTIONS = (
+    ("existential", "disease", "biolink:has_phenotype", [], False),
+    ("universal", "gene", "biolink:expressed_in", ["tissue"], False),
+    ("existential", "gene", "biolink:gene_associated_with_condition", [], True),
+    ("universal", "gene", "biolink:participates_in", ["pathway"], False),
+)
+
+
+@dataclass(frozen=True)
+class Axioms:
+    """Classes, properties, chains and restrictions."""
+
+    classes: dict[str, list[str]] = field(default_factory=lambda: dict(CLASSES))
+    properties: dict[str, tuple[list[str], list[str]]] = field(default_factory=lambda: dict(PROPERTIES))
+    chains: dict[str, tuple[str, str]] = field(default_factory=lambda: dict(CHAINS))
+    restrictions: tuple = RESTRICTIONS
+
+    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """The tables that the checks join with."""
+        made = spark.createDataFrame
+        return (
+            made(list(self.classes.items()), "name string, disjoint_with array<string>"),
+            made([(i, p, *ends) for i, (p, ends) in enumerate(self.properties.items())], "ord int, predicate string, domain array<string>, range array<string>"),
+            made([(i, *steps) for i, steps in self.chains.items()], "chain_id string, first string, second string"),
+            made(list(self.restrictions), "kind string, on_class string, on_property string, allowed array<string>, requires_evidence boolean"),
+        )
+
+
+def load_axioms(path: str) -> Axioms:
+    """Axioms of a YAML file with ``classes``, ``object_properties``, ``property_chains`` and ``restrictions``.
+
+    Chains of other than two steps are left out; a restriction's class is ``on_class`` or ``domain``.
+    """
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        spec = yaml.safe_load(f) or {}
+    many = lambda x: [x] if isinstance(x, str) else list(x or [])
+    chains = {c["id"]: tuple(s["predicate"] for s in c["chain"]) for c in spec.get("property_chains") or []}
+    return Axioms(
+        {name: many((c or {}).get("disjoint_with")) for name, c in (spec.get("classes") or {}).items()},
+        {name: (many((p or {}).get("domain")), many((p or {}).get("range"))) for name, p in (spec.get("object_properties") or {}).items()},
+        {name: steps for name, steps in chains.items() if len(steps) == 2},
+        tuple((r["kind"], r.get("on_class", r.get("domain", "")), r.get("on_property", r.get("property", "")), many(r.get("allowed_fillers")), bool(r.get("requires_evidence"))) for r in spec.get("restrictions") or []),
+    )
+
+
+def check_all(rows: DataFrame, edges: DataFrame, axioms: Axioms = Axioms(), asked: DataFrame | None = None) -> DataFrame:
+    """Adds the struct ``dl`` of all checks to ``(pair_id, subject, object, predicate, subject_class, object_class, has_evidence)``.
+
+    ``edges`` are those known around the pairs, ``asked`` the pairs from a smaller plan. A class that is disjoint with
+    itself is violated by whatever bears it.
+    """
+    classes, properties, chains, restricted = axioms.tables(rows.sparkSession)
+    out = restrictions(domain_range(disjoint_pairs(rows, classes), properties), restricted)
+    out = property_chains(out, edges, chains, asked)
+    impossible = [name for name, others in axioms.classes.items() if name in others]
+    own = lambda c: F.coalesce(F.col(c).isin(impossible), F.lit(False)) if impossible else F.lit(False)
+    facts = ["disjoint_pair_violation", "domain_valid", "range_valid", "property_chain_support", "property_chain_conflict", "universal_violation", "existential_violation"]
+    dl = F.struct(own("subject_class").alias("disjoint_subject_violation"), own("object_class").alias("disjoint_object_violation"), *facts)
+    return out.withColumn("dl", dl).drop("disjoint_witness", *facts)
+
 
 def disjoint_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Adds ``disjoint_pair_violation`` and its witness for ``(subject_class, object_class)``.
@@ -25,47 +120,56 @@ def domain_range(rows: DataFrame, properties: DataFrame) -> DataFrame:
     """Adds ``domain_valid`` and ``range_valid`` of ``(predicate, subject_class, object_class)``.
 
     Properties are ``(ord, predicate, domain array, range array)``. An exact name wins, else the first whose whole
-    name or part behind the last colon is equal but for case; unknown predicates and empty lists are valid.
+    name or part behind the last colon is equal but for case; unknown predicates and empty lists are valid. Rows are
+    joined with the axioms twice and never with themselves.
     """
     short = lambda c: F.lower(F.substring_index(c, ":", -1))
-    listed = properties.select(F.col("predicate").alias("_p"), short("predicate").alias("_k"), F.col("ord").alias("_ord"), F.col("domain").alias("_d"), F.col("range").alias("_r"))
-    used = rows.select("predicate").distinct()
-    exact = F.col("_p") == F.col("predicate")
-    best = used.join(listed, short("predicate") == F.col("_k")).groupBy("predicate").agg(F.min_by(F.struct("_d", "_r"), F.struct((~exact).alias("x"), "_ord")).alias("_axiom"))
-    joined = rows.join(best, "predicate", "left")
+    ends = F.min_by(F.struct(F.col("domain").alias("d"), F.col("range").alias("r")), "ord")
+    exact = properties.groupBy(F.col("predicate").alias("_p")).agg(ends.alias("_exact"))
+    like = properties.groupBy(short("predicate").alias("_k")).agg(ends.alias("_like"))
+    joined = rows.join(exact, F.col("predicate") == F.col("_p"), "left").join(like, short("predicate") == F.col("_k"), "left").withColumn("_axiom", F.coalesce("_exact", "_like"))
     fits = lambda axiom, c: F.coalesce((F.size(axiom) == 0) | F.array_contains(axiom, F.col(c)), F.lit(True))
-    return joined.withColumns({"domain_valid": fits(F.col("_axiom._d"), "subject_class"), "range_valid": fits(F.col("_axiom._r"), "object_class")}).drop("_axiom")
+    return joined.withColumns({"domain_valid": fits(F.col("_axiom.d"), "subject_class"), "range_valid": fits(F.col("_axiom.r"), "object_class")}).drop("_axiom", "_exact", "_like", "_p", "_k")
 
 
-def property_chains(pairs: DataFrame, edges: DataFrame, chains: DataFrame) -> DataFrame:
-    """Adds ``property_chain_support`` and ``property_chain_conflict`` for each pair ``(pair_id, subject, object)``.
-
-    Chains are ``(chain_id, first, second)`` predicates; a step fits where either name is part of the other. A chain
-    from the subject that ends at the object supports the pair, one that ends elsewhere conflicts.
-    """
+def chain_facts(pairs: DataFrame, edges: DataFrame, chains: DataFrame) -> DataFrame:
+    """``(pair_id, ended_at_object, ended_elsewhere)`` of the pairs from whose subject a chain of two edges starts."""
     fits = lambda a, b: F.lower(a).contains(F.lower(b)) | F.lower(b).contains(F.lower(a))
     used = edges.select("predicate").distinct()
     step = lambda name: chains.join(used, fits(F.col(name), F.col("predicate"))).select("chain_id", F.col("predicate").alias(name))
     e1 = edges.select("subject", F.col("predicate").alias("first"), F.col("object").alias("middle"))
     e2 = edges.select(F.col("subject").alias("middle"), F.col("predicate").alias("second"), F.col("object").alias("end"))
-    began = pairs.select("pair_id", "subject", "object").join(e1, "subject").join(F.broadcast(step("first")), "first")
-    ended = began.join(e2, "middle").join(F.broadcast(step("second")), ["chain_id", "second"])
-    found = ended.groupBy("pair_id").agg(F.bool_or(F.col("end") == F.col("object")).alias("s"), F.bool_or(F.col("end") != F.col("object")).alias("c"))
-    return pairs.join(found, "pair_id", "left").withColumns({"property_chain_support": F.coalesce("s", F.lit(False)), "property_chain_conflict": F.coalesce("c", F.lit(False))}).drop("s", "c")
+    began = pairs.select("pair_id", "subject", "object").join(e1, "subject").join(step("first"), "first")
+    ended = began.join(e2, "middle").join(step("second"), ["chain_id", "second"])
+    return ended.groupBy("pair_id").agg(F.bool_or(F.col("end") == F.col("object")).alias("ended_at_object"), F.bool_or(F.col("end") != F.col("object")).alias("ended_elsewhere"))
+
+
+def property_chains(pairs: DataFrame, edges: DataFrame, chains: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Adds ``property_chain_support`` and ``property_chain_conflict`` for each pair ``(pair_id, subject, object)``.
+
+    Chains are ``(chain_id, first, second)`` predicates; a step fits where either name is part of the other. A chain
+    from the subject that ends at the object supports the pair, one that ends elsewhere conflicts. ``asked`` are the
+    same pairs from a smaller plan, if there is one.
+    """
+    found = chain_facts(pairs if asked is None else asked, edges, chains)
+    told = {"property_chain_support": F.coalesce("ended_at_object", F.lit(False)), "property_chain_conflict": F.coalesce("ended_elsewhere", F.lit(False))}
+    return pairs.join(found, "pair_id", "left").withColumns(told).drop("ended_at_object", "ended_elsewhere")
 
 
 def restrictions(rows: DataFrame, axioms: DataFrame) -> DataFrame:
     """Adds ``universal_violation`` and ``existential_violation``.
 
-    Rows are ``(row_id, subject_class, predicate, object_class, has_evidence)``, axioms
-    ``(kind, on_class, on_property, allowed array, requires_evidence)``. The existential kind doesn't look at the predicate.
+    Rows are ``(subject_class, predicate, object_class, has_evidence)``, axioms
+    ``(kind, on_class, on_property, allowed array, requires_evidence)``. The existential kind doesn't look at the
+    predicate. The axioms of a class are one array, so rows are joined once.
     """
-    joined = rows.join(F.broadcast(axioms), F.col("subject_class") == F.col("on_class"))
-    p, q = F.lower("predicate"), F.lower("on_property")
-    universal = (F.col("kind") == "universal") & (p.contains(q) | q.contains(p)) & ~F.array_contains("allowed", F.col("object_class"))
-    existential = (F.col("kind") == "existential") & F.col("requires_evidence") & ~F.col("has_evidence")
-    found = joined.groupBy("row_id").agg(F.bool_or(F.coalesce(universal, F.lit(False))).alias("u"), F.bool_or(F.coalesce(existential, F.lit(False))).alias("e"))
-    return rows.join(found, "row_id", "left").withColumns({"universal_violation": F.coalesce("u", F.lit(False)), "existential_violation": F.coalesce("e", F.lit(False))}).drop("u", "e")
+    of_class = axioms.groupBy(F.col("on_class").alias("_class")).agg(F.collect_list(F.struct("kind", "on_property", "allowed", "requires_evidence")).alias("_axioms"))
+    joined = rows.join(of_class, F.col("subject_class") == F.col("_class"), "left")
+    p = F.lower("predicate")
+    universal = lambda a: (a["kind"] == "universal") & (p.contains(F.lower(a["on_property"])) | F.lower(a["on_property"]).contains(p)) & ~F.array_contains(a["allowed"], F.col("object_class"))
+    existential = lambda a: (a["kind"] == "existential") & a["requires_evidence"] & ~F.col("has_evidence")
+    some = lambda holds: F.coalesce(F.exists("_axioms", lambda a: F.coalesce(holds(a), F.lit(False))), F.lit(False))
+    return joined.withColumns({"universal_violation": some(universal), "existential_violation": some(existential)}).drop("_class", "_axioms")
 
 
 def normal_ancestors(ids: Column) -> Column:
@@ -98,6 +202,15 @@ def sibling_pairs(ancestors: DataFrame, roots: list[str]) -> DataFrame:
     return a.join(inside.select(F.col("term").alias("b"), "ancestor"), "ancestor").filter("a < b").select("a", "b").distinct()
 
 
+def sibling_map(ancestors: DataFrame, roots: list[str]) -> DataFrame:
+    """``(ancestor, terms)``: the groups of terms below one ancestor, of which any two are siblings.
+
+    A group is a set, not its pairs; look pairs up with ``arrays_overlap`` of two terms' ancestors.
+    """
+    inside = ancestors.filter(~F.col("ancestor").isin(roots)).groupBy("ancestor").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    return inside.filter(F.size("terms") > 1)
+
+
 def unlinked(candidates: DataFrame, links: DataFrame, on: list[str]) -> DataFrame:
     """Candidates that are not linked already."""
     return candidates.join(links.select(*on).distinct(), on, "left_anti")

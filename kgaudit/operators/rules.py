@@ -1,4 +1,4 @@
-"""Weighted rules with defeasible argumentation as Columns.
+"""Weighted rules with defeasible argumentation as expressions.
 
 A rule set and the facts' schema give one projection: a boolean for each rule that fires, the label of each under
 grounded semantics, the features, the score and the trace. Attacks are known when the plan is made; only which rules
@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgaudit.operators.conditions import condition, every, some, template
+from kgaudit.operators.conditions import condition_text, every, literal, some, template_text
 
 PASS_AT, WARN_AT = 0.0, -0.4
 
@@ -168,47 +168,44 @@ def evaluate(df: DataFrame, rules=DEFAULT_RULES, semantics: str = "grounded", fa
         raise ValueError(f"no semantics {semantics!r}; there is grounded")
     schema = df.schema[facts].dataType
     attacks = Attacks.of(rules)
-    fired = {r.id: f"_fired_{i}" for i, r in enumerate(rules)}
-    out = df.withColumns({fired[r.id]: condition(schema, r.when) for r in rules})
     attacked = [r for r in rules if attacks.by_target[r.id]]
-    alone = [r for r in rules if not attacks.by_target[r.id]]
-    state = {r.id: (F.col(fired[r.id]), F.lit(False)) for r in alone} | {r.id: (F.lit(False), F.lit(False)) for r in attacked}
+    fired = {r.id: f"_fired_{i}" for i, r in enumerate(rules)}
+    state = {r.id: ("false", "false") if attacks.by_target[r.id] else (fired[r.id], "false") for r in rules}  # in, out
+    out = df.select("*", *(F.expr(f"{condition_text(schema, r.when)} AS {fired[r.id]}") for r in rules))
     added = list(fired.values())
     for turn in range(attacks.rounds() if attacked else 0):
-        columns: dict[str, Column] = {}
+        columns = []
         for i, rule in enumerate(attacked):
-            by = attacks.by_target[rule.id]
-            mine = F.col(fired[rule.id])
-            columns[f"_in_{turn}_{i}"] = mine & every([~F.col(fired[a]) | state[a][1] for a in by])
-            columns[f"_out_{turn}_{i}"] = mine & some([state[a][0] for a in by])
-        out = out.withColumns(columns)
-        added += columns
-        state |= {r.id: (F.col(f"_in_{turn}_{i}"), F.col(f"_out_{turn}_{i}")) for i, r in enumerate(attacked)}
-
-    def value(rule: Rule) -> Column:
-        return F.when(F.col(fired[rule.id]) & ~state[rule.id][1], F.lit(float(rule.weight))).otherwise(F.lit(0.0))
-
-    def label(rule: Rule) -> Column:
-        return F.when(state[rule.id][0], "IN").when(state[rule.id][1], "OUT").otherwise("UNDECIDED")
-
-    def entry(rule: Rule) -> Column:
-        by = [F.when(state[a][0] & state[rule.id][1], F.lit(a)) for a in sorted(attacks.by_target[rule.id])]
-        defeated = F.filter(F.array(*by), lambda x: x.isNotNull()) if by else F.array().cast("array<string>")
-        return F.when(F.col(fired[rule.id]), F.struct(F.lit(rule.id).alias("rule_id"), value(rule).alias("score"), template(schema, rule.because).alias("because"), label(rule).alias("label"), defeated.alias("defeated_by")))
-
-    score = F.lit(0.0)
-    for rule in rules:
-        score = score + value(rule)
-    present = lambda x: x.isNotNull()
-    return out.withColumns(
-        {
-            "features": F.create_map(*(x for r in rules for x in (F.lit(r.id), value(r)))),
-            "trace": F.filter(F.array(*map(entry, rules)), present),
-            "score": score,
-        }
-    ).drop(*added)
+            by, mine = attacks.by_target[rule.id], fired[rule.id]
+            columns.append(f"({mine} AND {every([f'(NOT {fired[a]} OR {state[a][1]})' for a in by])}) AS _in_{turn}_{i}")
+            columns.append(f"({mine} AND {some([state[a][0] for a in by])}) AS _out_{turn}_{i}")
+        out = out.selectExpr("*", *columns)
+        added += [f"_{kind}_{turn}_{i}" for i in range(len(attacked)) for kind in ("in", "out")]
+        state |= {r.id: (f"_in_{turn}_{i}", f"_out_{turn}_{i}") for i, r in enumerate(attacked)}
+
+    def value(rule: Rule) -> str:
+        return f"if({fired[rule.id]} AND NOT {state[rule.id][1]}, {literal(float(rule.weight))}, 0.0D)"
+
+    def entry(rule: Rule) -> str:
+        by = [f"if({state[a][0]} AND {state[rule.id][1]}, {literal(a)}, NULL)" for a in sorted(attacks.by_target[rule.id])]
+        defeated = f"filter(array({', '.join(by)}), x -> x IS NOT NULL)" if by else "cast(array() AS array<string>)"
+        label = f"CASE WHEN {state[rule.id][0]} THEN 'IN' WHEN {state[rule.id][1]} THEN 'OUT' ELSE 'UNDECIDED' END"
+        return f"if({fired[rule.id]}, named_struct('rule_id', {literal(rule.id)}, 'score', {value(rule)}, 'because', {template_text(schema, rule.because)}, 'label', {label}, 'defeated_by', {defeated}), NULL)"
+
+    features = ", ".join(f"{literal(r.id)}, {value(r)}" for r in rules)
+    kept = [c for c in df.columns if c not in ("features", "trace", "score")]
+    return out.selectExpr(
+        *(f"`{c}`" for c in kept),
+        f"map({features}) AS features",
+        f"filter(array({', '.join(map(entry, rules))}), x -> x IS NOT NULL) AS trace",
+        f"{' + '.join(['0.0D', *map(value, rules)])} AS score",
+    )
 
 
 def verdict_of(score: Column) -> Column:
     """The verdict by score alone."""
     return F.when(score >= PASS_AT, "PASS").when(score >= WARN_AT, "WARN").otherwise("FAIL")
+
+
+def verdict_text(score: str) -> str:
+    return f"CASE WHEN {score} >= {PASS_AT}D THEN 'PASS' WHEN {score} >= {WARN_AT}D THEN 'WARN' ELSE 'FAIL' END"

@@ -13,30 +13,16 @@ from kgaudit.functions import text as tx
 from kgaudit.operators import claims, evidence, graph, learning, nli, ontology, rules
 from kgaudit.plans import audit, commerce
 from kgaudit.plans.commerce import EDGES_SQL, PLACES_SQL
+from kgaudit.plans.registry import QUERIES, SQL, query
 from kgaudit.session import table
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 # Audit -----------------------------------------------------------------------------------------------------------
@@ -77,7 +63,7 @@ RULE_IDS = tuple(r.id for r in audit.EVIDENCE_RULES)
 @query(f"WITH {FACTS_SQL} " + " UNION ALL ".join(f"SELECT claim_id, '{r}' AS rule_id, CAST(w{i} AS DOUBLE) AS feature FROM w" for i, r in enumerate(RULE_IDS, 1)))
 def rule_features_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each claim and rule."""
-    return audited(spark, sf_dir).select("claim_id", F.explode("features").alias("rule_id", "feature"))
+    return audited(spark, sf_dir).select("claim_id", F.explode_outer("features").alias("rule_id", "feature"))
 
 
 @query(
@@ -88,7 +74,7 @@ def rule_features_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def argumentation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grounded labels of the rules that fire."""
-    return audited(spark, sf_dir).select("claim_id", F.explode("trace").alias("t")).select("claim_id", "t.rule_id", "t.label")
+    return audited(spark, sf_dir).select("claim_id", F.explode_outer("trace").alias("t")).filter("t is not null").select("claim_id", "t.rule_id", "t.label")
 
 
 @query(f"""WITH {FACTS_SQL} SELECT claim_id, 'gate:retraction' AS gate FROM v WHERE nr > 0
@@ -96,7 +82,7 @@ UNION ALL SELECT claim_id, 'gate:expression_of_concern' FROM v WHERE nr = 0 AND
 UNION ALL SELECT claim_id, 'gate:positive_evidence_required' FROM v WHERE nr = 0 AND v = 'PASS' AND nc = 0 AND n < 2""")
 def gate_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gates that open for each claim."""
-    return audited(spark, sf_dir).select("claim_id", F.explode("gate_trace").alias("gate"))
+    return audited(spark, sf_dir).select("claim_id", F.explode_outer("gate_trace").alias("gate")).filter("gate is not null")
 
 
 @query(f"""WITH {FACTS_SQL} SELECT claim_id, so IS NOT NULL AS has_support, CAST(2001 - sn AS DOUBLE) AS newest_age, CAST(sn - so AS DOUBLE) AS span,
@@ -642,3 +628,6 @@ def gnn_suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = edges.select("pair_id", F.explode(F.array("subject", "object")).alias("node")).distinct()
     features = nodes.withColumn("x", ids.hash_embedding(F.col("node"), 8))
     return learning.suspicion(edges, features, ["supplied_by"], learning.ScorerWeights.seeded(8, len(learning.EDGE_FEATURES), 1))
+
+
+from kgaudit.plans import full_audit, operator_queries  # noqa: E402, F401  these register more

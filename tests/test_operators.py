@@ -51,8 +51,8 @@ def facts(spark):
 )
 def test_atoms(facts, spec, want):
     schema = facts.schema["facts"].dataType
-    assert tuple(r[0] for r in facts.select(conditions.atom(schema, *spec)).collect()) == want
-    assert tuple(r[0] for r in facts.select(conditions.atom(schema, *spec, **({"negate": True}))).collect()) == tuple(not w for w in want)
+    assert tuple(r[0] for r in facts.selectExpr(conditions.atom(schema, *spec)).collect()) == want
+    assert tuple(r[0] for r in facts.selectExpr(conditions.atom(schema, *spec, **({"negate": True}))).collect()) == tuple(not w for w in want)
 
 
 def test_conditions_and_templates(facts):
