@@ -89,14 +89,16 @@ def spotted(claims: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFram
     """
     lowered = F.lower("text")
     first = F.lower(F.substring_index("label", " ", 1))
-    words = claims.select("claim_id", "text", F.explode(F.array_distinct(F.split(lowered, r"\s+"))).alias("word")).filter("word <> ''")
+    words = claims.select("claim_id", F.explode(F.array_distinct(F.split(lowered, r"\s+"))).alias("word")).filter("word <> ''")
     endings = F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), i, F.length("word"))))
-    tails = words.withColumn("tail", endings)
+    tails = words.select("claim_id", endings.alias("tail"))
     sizes = dictionary.select(F.length(first).alias("n")).distinct()
-    keys = tails.join(sizes, F.length("tail") >= F.col("n")).select("claim_id", "text", F.expr("substring(tail, 1, n)").alias("first")).distinct()
-    hits = keys.join(dictionary.select("id", "label", first.alias("first")), "first").withColumn("at", F.instr(lowered, F.lower(F.col("label")))).filter("at > 0")
+    keys = tails.join(sizes, F.length("tail") >= F.col("n")).select("claim_id", F.expr("substring(tail, 1, n)").alias("first")).distinct()
+    named = dictionary.select("id", "label", first.alias("first"))
+    likely = keys.join(named, "first").select("claim_id", "id", "label").distinct()
+    hits = likely.join(claims.select("claim_id", "text"), "claim_id").withColumn("at", F.instr(lowered, F.lower(F.col("label")))).filter("at > 0").select("claim_id", "id", "label", "at")
     rank = F.row_number().over(W.partitionBy("claim_id").orderBy("at", "id"))
-    return hits.select("claim_id", "id", "label", "at").distinct().withColumn("rank", rank).filter(F.col("rank") <= most)
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
 def normalised(claims: DataFrame, index: DataFrame) -> DataFrame:

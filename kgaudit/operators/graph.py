@@ -320,3 +320,8 @@ def suspicion_colour(suspicion: Column) -> Column:
     red = F.when(s < 0.5, 510 * s).otherwise(255.0)
     green = F.when(s < 0.5, 255.0).otherwise(510 * (1 - s))
     return F.concat(F.lit("#"), part(red), part(green), F.lit("00"))
+
+
+def shares_source(mine: Column, theirs: Column) -> Column:
+    """Whether two sets of sources meet; an unknown set meets nothing."""
+    return F.coalesce(F.arrays_overlap(mine, theirs), F.lit(False))

@@ -1,4 +1,4 @@
-"""Labels, metrics, prototypes, calibration and edge scoring (ML1-ML21, A12-A17, W6, W8)."""
+"""Labels, metrics, prototypes, calibration and edge scoring (ML1-ML8, ML10, ML13, ML14, ML17-ML21, A12-A17, W2, W6, W8, J15)."""
 
 from __future__ import annotations
 
@@ -38,6 +38,13 @@ def error_type_of(c: dict[str, Column]) -> Column:
     return F.when(c["type"] < 0, "type_violation").when(c["retraction"] < 0, "retracted_support").when(c["ontology"] < 0, "ontology_mismatch").when(c["weak"] < 0, "weak_evidence")
 
 
+def top_edges(edges: DataFrame, predicted: DataFrame, claim: list[str], edge: list[str], most: int = 10) -> DataFrame:
+    """The most suspicious edges of each claim by ``suspicion``, equal ones by their keys, with ``error_type`` where one is predicted."""
+    rank = F.row_number().over(W.partitionBy(*claim).orderBy(F.col("suspicion").desc(), *edge))
+    best = edges.withColumn("rank", rank).filter(F.col("rank") <= most)
+    return best.join(predicted.select(*claim, *edge, "error_type"), [*claim, *edge], "left")
+
+
 def sampled(percent: int, *key: Column, seed: int = 0) -> Column:
     """A draw by hash: true for so many of a hundred keys, the same in every run (ML14)."""
     return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(100)) < percent
@@ -74,7 +81,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def nearest_prototype(rows: DataFrame, prototypes: DataFrame) -> DataFrame:
     """Label of the prototype of largest cosine; of equal ones the smallest label (ML17). Prototypes are one row a label."""
-    scored = rows.crossJoin(F.broadcast(prototypes)).withColumn("cosine", cosine(F.col("vec"), F.col("centroid")))
+    scored = rows.crossJoin(prototypes).withColumn("cosine", cosine(F.col("vec"), F.col("centroid")))
     best = F.max_by(F.struct("label", "cosine"), F.struct("cosine", (-F.col("label")).alias("l")))
     return scored.groupBy("row_id").agg(best.alias("b")).select("row_id", F.col("b.label").alias("predicted"), F.col("b.cosine").alias("cosine"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgaudit.functions import ids
@@ -139,12 +138,28 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supplier.select("s_suppkey", F.posexplode(ids.hash_embedding(F.concat(F.lit("SUPP:"), F.col("s_suppkey").cast("string")), 8)).alias("i", "x")).select("s_suppkey", F.col("i").cast("long").alias("i"), "x")
 
 
-@query("""WITH u AS (SELECT page_id, url AS id FROM pages) SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://doi\\.org/') THEN 'doi' ELSE 'url' END AS kind, contains(lower(url), 'retract') OR contains(lower(url), 'concern') AS flagged FROM pages""")
+CITED = ("'PMID: ' || l_orderkey", "'doi:10.1000/' || l_orderkey", "'PMCID:' || l_orderkey", "'https://doi.org/10.5/' || l_orderkey", "CAST(l_orderkey AS {text})", "' pmc' || l_orderkey", "'note ' || l_orderkey || ' retracted'")
+
+
+def _cited(kind: str) -> str:
+    return "CASE l_linenumber % 7 " + " ".join(f"WHEN {i} THEN {c.format(text=kind)}" for i, c in enumerate(CITED)) + " END"
+
+
+@query(f"""WITH c AS (SELECT l_orderkey AS k, l_linenumber AS i, l_linenumber % 7 AS m, {_cited('VARCHAR')} AS id FROM lineitem)
+SELECT k AS l_orderkey, i AS l_linenumber, CASE m WHEN 0 THEN 'PMID:' || k WHEN 1 THEN '10.1000/' || k WHEN 2 THEN 'PMC' || k WHEN 3 THEN '10.5/' || k WHEN 4 THEN 'PMID:' || k WHEN 5 THEN 'PMC' || k ELSE id END AS normal,
+true AS literature, CASE m WHEN 1 THEN 'doi' WHEN 3 THEN 'doi' WHEN 2 THEN 'pmcid' WHEN 5 THEN 'pmcid' ELSE 'pmid' END AS kind, CASE m WHEN 6 THEN 'retracted' ELSE 'clean' END AS status, CASE m WHEN 0 THEN 'pmid' WHEN 4 THEN 'pmid' WHEN 1 THEN 'doi' ELSE 'other' END AS source FROM c""")
 def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X3, X4 over the urls of pages."""
-    url = F.col("url")
-    kind = F.when(url.rlike(r"(?i)^https?://doi\.org/"), "doi").otherwise("url")
-    return table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), (ids.status_hint(url) != "clean").alias("flagged"))
+    """Identifiers of every kind, made of the lines."""
+    cited = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_cited("string")).alias("id"))
+    i = F.col("id")
+    return cited.select("l_orderkey", "l_linenumber", ids.normal_citation(i).alias("normal"), ids.is_literature(i).alias("literature"), ids.citation_kind(i).alias("kind"), ids.status_hint(i).alias("status"), ids.source_kind(i).alias("source"))
+
+
+@query("""SELECT o_orderkey, ['PMID:' || (10000 + o_orderkey), '10.1000/' || o_custkey] AS cited FROM orders""")
+def citations_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations in the text of every claim."""
+    text = F.expr("concat('see pmid:', 10000 + o_orderkey, ' and 10.1000/', o_custkey, '.; PMID:', 10000 + o_orderkey, ' again')")
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.citations(text).alias("cited"))
 
 
 # Graph -----------------------------------------------------------------------------------------------------------
@@ -431,30 +446,30 @@ def restrictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Text ------------------------------------------------------------------------------------------------------------
 
-SENTENCES_SQL = """flat AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t FROM documents WHERE lang = 'en'),
+SENTENCES_SQL = """flat AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t FROM documents),
 parts AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM flat),
 sent AS (SELECT doc_id, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS ord, len(l) AS total, l FROM parts)"""
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("lang = 'en'")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
 
 
 @query(f"WITH {SENTENCES_SQL} SELECT doc_id, CAST(ord AS INT) AS ord, sentence FROM sent")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X26."""
-    return english(spark, sf_dir).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("ord", "sentence"))
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("ord", "sentence"))
 
 
-@query("""SELECT doc_id, regexp_matches(lower(text), '\\bof\\b') AS of_hedge, regexp_matches(lower(text), '\\b(of|to)\\b') AS hedged, regexp_matches(lower(text), '\\bthis,') AS negated_form,
+@query("""SELECT doc_id, regexp_matches(lower(text), '\\bof\\b') AS of_hedge, regexp_matches(lower(text), '\\b(of|to)\\b') AS hedged, regexp_matches(lower(text), '\\bthis\\b') AS negated_form,
 CASE WHEN contains(lower(text), 'from') OR contains(lower(text), 'with') THEN 'positive' WHEN contains(lower(text), 'that') OR contains(lower(text), 'was') THEN 'negative' END AS polarity,
 CASE WHEN contains(lower(text), 'from') THEN 'froms' WHEN contains(lower(text), 'with') THEN 'withs' WHEN contains(lower(text), 'that') THEN 'thats' WHEN contains(lower(text), 'was') THEN 'wass' END AS named,
 CASE WHEN contains(translate(lower(text), '_-', '  '), 'from') OR contains(translate(lower(text), '_-', '  '), 'that') THEN 'causal' WHEN contains(translate(lower(text), '_-', '  '), 'and the') THEN 'association'
- WHEN contains(lower(text), 'with') OR contains(lower(text), 'was') THEN 'causal' ELSE 'unknown' END AS class FROM documents WHERE lang = 'en'""")
+ WHEN contains(lower(text), 'with') OR contains(lower(text), 'was') THEN 'causal' ELSE 'unknown' END AS class FROM documents""")
 def text_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X18, X19, X23, X27 with words of the documents."""
     text, words = F.col("text"), commerce.WORDS
-    return english(spark, sf_dir).select("doc_id", F.array_contains(tx.hedging_terms(text, words), "of").alias("of_hedge"), tx.is_hedged(text, words).alias("hedged"), F.lower(text).rlike(r"\bthis,").alias("negated_form"), tx.polarity(text, words).alias("polarity"), tx.named_predicate(text, words).alias("named"), tx.predicate_class(text, words).alias("class"))
+    return documents(spark, sf_dir).select("doc_id", F.array_contains(tx.hedging_terms(text, words), "of").alias("of_hedge"), tx.is_hedged(text, words).alias("hedged"), tx.is_negated(text, words).alias("negated_form"), tx.polarity(text, words).alias("polarity"), tx.named_predicate(text, words).alias("named"), tx.predicate_class(text, words).alias("class"))
 
 
 def _hits(words: tuple[str, ...]) -> str:
@@ -481,7 +496,7 @@ wt AS (SELECT *, CASE WHEN pol IS NULL THEN 'NEI' WHEN pol = 'positive' THEN 'SU
 def nli_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with label and weight in whole thousandths; the claim is causal and positive, and both of its terms count as found."""
     none = F.lit(None).cast("string")
-    papers = english(spark, sf_dir).select(F.col("doc_id").alias("paper_id"), none.alias("title"), none.alias("journal"), F.col("text").alias("abstract"))
+    papers = documents(spark, sf_dir).select(F.col("doc_id").alias("paper_id"), none.alias("title"), none.alias("journal"), F.col("text").alias("abstract"))
     rows = nli.paper_sentences(papers, commerce.WORDS)
     polarity = tx.polarity(F.col("sentence"), commerce.WORDS)
     weight = F.round(tx.lookup(F.col("section"), tx.SECTION_WEIGHTS) * tx.predicate_factor(F.col("sentence_class"), F.lit("causal")) * 1000).cast("int")
@@ -499,13 +514,11 @@ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, ord) AS
 SELECT doc_id, count(*) AS sentences, CAST(sum(p) FILTER (pr <= 3) AS BIGINT) AS s_pos, CAST(sum(q) FILTER (qr <= 3) AS BIGINT) AS s_neg, count(*) FILTER (label = 'SUPPORT') AS n_support, count(*) FILTER (class = 'association') AS n_association FROM k GROUP BY 1""")
 def nli_paper_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of the three best sentences for and against, in whole ten-thousandths."""
-    rows = nli_sentences(spark, sf_dir)
-    p = lambda mine, other: F.col("weight") * F.when(F.col("label") == mine, 8).when(F.col("label") == other, 1).otherwise(0)
-    rows = rows.withColumns({"p": p("SUPPORT", "REFUTE"), "q": p("REFUTE", "SUPPORT")})
-    rank = lambda c: F.row_number().over(W.partitionBy("doc_id").orderBy(F.col(c).desc(), "ord"))
-    ranked = rows.withColumns({"pr": rank("p"), "qr": rank("q")})
-    top = lambda c, r: F.sum(F.when(F.col(r) <= 3, F.col(c))).cast("long")
-    return ranked.groupBy("doc_id").agg(F.count("*").alias("sentences"), top("p", "pr").alias("s_pos"), top("q", "qr").alias("s_neg"), F.count_if(F.col("label") == "SUPPORT").alias("n_support"), F.count_if(F.col("class") == "association").alias("n_association"))
+    p = lambda mine, other: F.when(F.col("label") == mine, nli.SUPPORT_P).when(F.col("label") == other, nli.AGAINST_P).otherwise(0.0)
+    one = {"claim_id": F.lit(1), "paper_id": F.col("doc_id"), "paper_type": F.lit("primary_human"), "claim_class": F.lit("causal"), "sentence_class": F.col("class")}
+    rows = nli_sentences(spark, sf_dir).withColumns(one | {"p_support": p("SUPPORT", "REFUTE"), "p_contradict": p("REFUTE", "SUPPORT")})
+    tenths = lambda c: F.floor(F.col(c) * 10 + 0.5).cast("long").alias(c)
+    return nli.paper_margins(rows).select(F.col("paper_id").alias("doc_id"), F.col("sentence_count").alias("sentences"), tenths("s_pos"), tenths("s_neg"), F.col("support_count").alias("n_support"), F.col("predicate_mismatch_count").alias("n_association"))
 
 
 SPOTTED = ("the", "that", "from", "with")
@@ -515,10 +528,9 @@ SPOTTED = ("the", "that", "from", "with")
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, label) AS r FROM m) SELECT doc_id, CAST(r AS INT) AS rank, label FROM k WHERE r <= 2""")
 def entity_spotting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two dictionary labels of every document, by where they stand."""
-    text = F.lower("text")
-    places = F.array(*(F.struct(F.instr(text, w).alias("at"), F.lit(w).alias("label")) for w in SPOTTED))
-    found = F.slice(F.array_sort(F.filter(places, lambda p: p["at"] > 0)), 1, 2)
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("i", "p")).select("doc_id", (F.col("i") + 1).alias("rank"), "p.label")
+    dictionary = spark.createDataFrame([(w, w) for w in SPOTTED], "id string, label string")
+    texts = documents(spark, sf_dir).select(F.col("doc_id").alias("claim_id"), "text")
+    return claims.spotted(texts, dictionary).select(F.col("claim_id").alias("doc_id"), "rank", "label")
 
 
 # Learning --------------------------------------------------------------------------------------------------------
