@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kgaudit.functions import ids
 from kgaudit.functions import text as tx
-from kgaudit.operators import claims, evidence, graph, learning, nli, ontology, rules
+from kgaudit.operators import claims, evidence, graph, learning, nli, ontology, rules, training
 from kgaudit.plans import audit, commerce
 from kgaudit.plans.commerce import EDGES_SQL, PLACES_SQL
 from kgaudit.plans.registry import QUERIES, SQL, query
@@ -628,18 +628,23 @@ def isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", learning.apply_isotonic(F.col("p"), x, y).alias("calibrated"))
 
 
+MAX_TRAIN_PAIRS = 5_000
+
+
 @query()
 def gnn_suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML1-ML6: suspicion of the edges around every supplier's part associations, with seeded weights."""
-    supply = commerce.supply_edges(spark, sf_dir)
+    """ML1-ML6, ML15, ML16: suspicion of the edges around every part, by a scorer trained on about ``MAX_TRAIN_PAIRS`` parts' labelled edges."""
+    supply = labelled_edges(spark, sf_dir)
     edges = supply.select(
-        F.col("l_partkey").alias("pair_id"), commerce.named("PART:", "l_partkey").alias("subject"), F.lit("supplied_by").alias("predicate"), commerce.named("SUPP:", "l_suppkey").alias("object"),
+        F.col("l_partkey").alias("pair_id"), commerce.named("PART:", "l_partkey").alias("subject"), F.lit("supplied_by").alias("predicate"), commerce.named("SUPP:", "l_suppkey").alias("object"), "y",
         "n_sources", F.col("n_sources").alias("n_pmids"), (1 - F.col("discount_points") / (100.0 * F.col("n_sources"))).alias("confidence"), F.lit(0.0).alias("evidence_age"), (F.col("n_retracted") / F.col("n_sources")).alias("retracted_support_ratio"), F.lit(0.0).alias("rule_sum"),
     )
     edges = graph.capped(edges, ["pair_id"], ["object"], 200)
-    nodes = edges.select("pair_id", F.explode(F.array("subject", "object")).alias("node")).distinct()
-    features = nodes.withColumn("x", ids.hash_embedding(F.col("node"), 8))
-    return learning.suspicion(edges, features, ["supplied_by"], learning.ScorerWeights.seeded(8, len(learning.EDGE_FEATURES), 1))
+    featured = lambda e: e.select("pair_id", F.explode(F.array("subject", "object")).alias("node")).distinct().withColumn("x", ids.hash_embedding(F.col("node"), 8))
+    labelled = training.balanced(training.sampled_pairs(edges, MAX_TRAIN_PAIRS), "subject", "object")
+    start = learning.ScorerWeights.seeded(8, len(learning.EDGE_FEATURES), 1)
+    found = training.train(training.graphs(labelled, featured(labelled), ["supplied_by"]), start, epochs=10)
+    return learning.suspicion(edges, featured(edges), ["supplied_by"], found.weights)
 
 
 from kgaudit.plans import full_audit, operator_queries  # noqa: E402, F401  these register more
