@@ -21,6 +21,8 @@ CATEGORY_SYNONYMS = {
     "cellularcomponent": "pathway",
     "article": "publication",
 }
+# Prefixes (upper case) of identifiers that may be nodes of the graph.
+NODE_PREFIXES = ("GO:", "REACT:", "R-HSA-", "MONDO:", "HP:", "UBERON:", "CL:", "CHEBI:", "HGNC:", "NCBIGENE:", "DRUGBANK:")
 #: Pairs of categories between which an edge belongs to a pair-subgraph.
 ALLOWED_PAIRS = (("gene", "gene"), ("disease", "gene"), ("gene", "phenotype"), ("gene", "pathway"))
 PAIR_LABELS = {("gene", "gene"): "G-G", ("disease", "gene"): "G-Dis", ("gene", "phenotype"): "G-Phe", ("gene", "pathway"): "G-Path"}
@@ -42,6 +44,11 @@ def category_of(identifier: Column, prefixes: dict[str, tuple[str, ...]] = CATEG
     return chain.otherwise("unknown")
 
 
+def is_graph_node(identifier: Column) -> Column:
+    """Whether an identifier may be a node of the graph and not a publication, whatever its case."""
+    return starts_with_any(F.upper(identifier), NODE_PREFIXES)
+
+
 def normal_category(category: Column) -> Column:
     """A stored category in the engine's vocabulary; null and empty give ``unknown``."""
     plain = F.regexp_replace(F.lower(category), "^biolink:", "")

@@ -1,4 +1,4 @@
-"""Knowledge-graph queries, batched by request or pair.
+"""Knowledge-graph queries, batched by request or pair.
 
 Edges are ``(subject, predicate, object, …)``, a multigraph. A query is a table of requests that is joined with the
 edges, so a thousand requests cost one plan. Hops are a fixed number of joins, and each hop keeps the new nodes only.
@@ -72,6 +72,7 @@ def distances(starts: DataFrame, steps: DataFrame, hops: int, key: str = "reques
 def ego(requests: DataFrame, edges: DataFrame, hops: int, direction: str = "both", per_node: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and distinct edges within some hops of each request's ``node``.
 
+    Of edges that are equal in both ends and predicate the first stays, by their column ``ord`` (see ``first_of_equal``).
     ``per_node`` caps the neighbours that each node is expanded by, in the order of their names (K5).
     """
     steps = neighbours(edges, direction)
@@ -82,7 +83,20 @@ def ego(requests: DataFrame, edges: DataFrame, hops: int, direction: str = "both
     out = expanded.join(edges, F.col("node") == F.col("subject")).drop("node")
     back = expanded.join(edges, F.col("node") == F.col("object")).drop("node")
     found = {"outgoing": out, "incoming": back}.get(direction)
-    return nodes, (out.unionByName(back) if found is None else found).dropDuplicates(["request_id", "subject", "predicate", "object"])
+    return nodes, first_of_equal(out.unionByName(back) if found is None else found, ["request_id", "subject", "predicate", "object"])
+
+
+def first_of_equal(edges: DataFrame, key: list[str], order: str = "ord") -> DataFrame:
+    """One edge for each key: the first in the column ``order``, else the one whose other columns are smallest.
+
+    The whole row comes from one edge. Without an order column, the other columns are to be comparable.
+    """
+    rest = [c for c in edges.columns if c not in key]
+    if not rest:
+        return edges.distinct()
+    row = F.struct(*rest)
+    tie = F.struct(order, *(c for c in rest if c != order and not edges.schema[c].dataType.simpleString().startswith("map"))) if order in rest else row
+    return edges.groupBy(*key).agg(F.min_by(row, tie).alias("_first")).select(*(F.col(c) if c in key else F.col(f"_first.{c}").alias(c) for c in edges.columns))
 
 
 def capped(rows: DataFrame, key: list[str], order: list, most: int) -> DataFrame:
@@ -142,7 +156,10 @@ def edges_on_shortest_paths(pairs: DataFrame, edges: DataFrame, hops: int) -> Da
 
 
 def hops_to_category(starts: DataFrame, edges: DataFrame, categories: DataFrame, category: str, hops: int) -> DataFrame:
-    """Hops from each start to the nearest node ``(node, category)`` of a category (G13); null beyond ``hops``."""
+    """Hops from each start to the nearest node ``(node, category)`` of a category; null beyond ``hops``.
+
+    A path between two ends that touches such a node is ``subgraph.hops_through``.
+    """
     near = distances(starts, neighbours(edges), hops).join(categories.filter(F.col("category") == category).select("node"), "node")
     return starts.select("request_id").distinct().join(near.groupBy("request_id").agg(F.min("dist").alias("hops")), "request_id", "left")
 
@@ -195,23 +212,6 @@ def focus_edges(edges: DataFrame, most: int, suspicion_at: float = 0.5) -> DataF
     return capped(scored, ["pair_id"], [F.col("relevance").desc(), "ord"], most)
 
 
-def pair_subgraph(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int, categories: tuple[str, ...], allowed) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges around both ends of each pair (G1).
-
-    Nodes are ``(id, category)``; those outside the categories drop out, and edges stay where ``allowed`` takes the
-    categories of both ends. The first of equal edges stays.
-    """
-    ends = pairs.select(F.col("pair_id").alias("request_id"), F.explode(F.array("subject", "object")).alias("node"))
-    around, found = ego(ends, edges, hops) if hops > 0 else (ends.withColumn("dist", F.lit(0)), None)
-    kept = around.join(nodes.filter(F.col("category").isin(*categories)).withColumnRenamed("id", "node"), "node").select(F.col("request_id").alias("pair_id"), "node", "category").distinct()
-    if found is None:
-        return kept, edges.limit(0).withColumn("pair_id", F.lit(None))
-    left = kept.select("pair_id", F.col("node").alias("subject"), F.col("category").alias("_s"))
-    right = kept.select("pair_id", F.col("node").alias("object"), F.col("category").alias("_o"))
-    inside = found.withColumnRenamed("request_id", "pair_id").join(left, ["pair_id", "subject"]).join(right, ["pair_id", "object"])
-    return kept, inside.filter(allowed(F.col("_s"), F.col("_o"))).drop("_s", "_o")
-
-
 def citation_subgraph(seeds: DataFrame, cites: DataFrame, most_nodes: int = 100, most_edges: int = 200) -> tuple[DataFrame, DataFrame]:
     """Publications one citation away from the seeds ``(request_id, node)``, and the citations among them."""
     near = distances(seeds, neighbours(cites), 1)

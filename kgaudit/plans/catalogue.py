@@ -647,4 +647,4 @@ def gnn_suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.suspicion(edges, featured(edges), ["supplied_by"], found.weights)
 
 
-from kgaudit.plans import full_audit, operator_queries  # noqa: E402, F401  these register more
+from kgaudit.plans import full_audit, operator_queries, store_queries  # noqa: E402, F401  these register more

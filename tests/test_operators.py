@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kgaudit.functions import ids
 from kgaudit.functions import text as tx
-from kgaudit.operators import conditions, evidence, gates, graph, learning, ontology, rules
+from kgaudit.operators import conditions, evidence, gates, graph, learning, ontology, rules, subgraph
 from kgaudit.operators.rules import Rule
 
 
@@ -284,7 +284,8 @@ def test_subgraph_and_queries(spark):
     edges = edge_table(spark, [("g1", "g2"), ("g1", "d1"), ("d1", "d2"), ("g2", "d1"), ("g1", "z")])
     nodes = spark.createDataFrame([("g1", "gene"), ("g2", "gene"), ("d1", "disease"), ("d2", "disease"), ("z", "other")], "id string, category string")
     pairs = spark.createDataFrame([(1, "g1", "d1")], "pair_id int, subject string, object string")
-    kept, inside = graph.pair_subgraph(pairs, nodes, edges, 1, ("gene", "disease"), ids.allowed_edge)
+    by_letter = lambda c: F.when(c.startswith("g"), "gene").when(c.startswith("d"), "disease").otherwise("other")
+    kept, inside = subgraph.pair_subgraph(pairs, nodes, edges, 1, ("gene", "disease"), ids.allowed_edge, category_of=by_letter)
     assert {r["node"] for r in kept.collect()} == {"g1", "g2", "d1", "d2"}
     assert {(r["subject"], r["object"]) for r in inside.collect()} == {("g1", "g2"), ("g1", "d1"), ("g2", "d1")}
     asked = spark.createDataFrame([(1, "g1", "g2", None), (2, "g1", "d1", "q")], "request_id int, subject string, object string, predicate string")
