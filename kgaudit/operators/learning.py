@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -213,13 +213,19 @@ class ScorerWeights:
     hidden: np.ndarray
     hidden_bias: np.ndarray
     out: np.ndarray
+    #: The head that tells error types apart; without columns where there is none.
+    error_hidden: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    error_bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    error_out: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     @classmethod
-    def seeded(cls, node_dim: int, edge_dim: int, relations: int, hidden: int = 16, seed: int = 0) -> ScorerWeights:
+    def seeded(cls, node_dim: int, edge_dim: int, relations: int, hidden: int = 16, seed: int = 0, error_types: int = 0) -> ScorerWeights:
+        """Random weights; with ``error_types`` there is a head for so many of them."""
         rng = np.random.default_rng(seed)
         w = lambda *shape: rng.standard_normal(shape) / np.sqrt(shape[-2] if len(shape) > 1 else 1)
         wide = 2 * hidden + 8 + edge_dim
-        return cls(w(node_dim, hidden), w(relations, node_dim, hidden), np.zeros(hidden), w(hidden, hidden), w(relations, hidden, hidden), np.zeros(hidden), w(relations, 8), w(wide, hidden), np.zeros(hidden), w(hidden, 1)[:, 0])
+        made = cls(w(node_dim, hidden), w(relations, node_dim, hidden), np.zeros(hidden), w(hidden, hidden), w(relations, hidden, hidden), np.zeros(hidden), w(relations, 8), w(wide, hidden), np.zeros(hidden), w(hidden, 1)[:, 0])
+        return replace(made, error_hidden=w(wide, hidden), error_bias=np.zeros(hidden), error_out=w(hidden, error_types)) if error_types else made
 
 
 def edge_logits(x: np.ndarray, source: np.ndarray, target: np.ndarray, relation: np.ndarray, attributes: np.ndarray, w: ScorerWeights) -> np.ndarray:
@@ -279,6 +285,54 @@ def margin_loss(logit: np.ndarray, y: np.ndarray, margin: float = 1.0) -> float:
     return float(np.maximum(gap, 0).mean()) if gap.size else 0.0
 
 
+def distillation_loss(logit: np.ndarray, y: np.ndarray, teacher: np.ndarray, alpha: float = 0.5, temperature: float = 2.0) -> float:
+    """Mean cross-entropy with the labels and divergence from a teacher's probabilities, mixed by ``alpha`` (ML11)."""
+    p, q = (np.clip(v, 1e-7, 1 - 1e-7) for v in (teacher, 1 / (1 + np.exp(-logit / temperature))))
+    hard = (np.logaddexp(0, logit) - logit * y).mean()
+    soft = (p * np.log(p / q) + (1 - p) * np.log((1 - p) / (1 - q))).mean()
+    return float((1 - alpha) * hard + alpha * temperature**2 * soft)
+
+
+def compared(scored: DataFrame, models: tuple[str, ...], y: str = "y") -> DataFrame:
+    """``(model, n, auroc, auprc)`` of models that scored the same labelled edges, one column each (ML11).
+
+    Edges that any of them left without a score count for none, so that the models are compared on the same ones.
+    """
+    both = scored.filter(" and ".join(f"{c} is not null" for c in (*models, y)))
+    out = None
+    for m in models:
+        rows = both.select(F.col(m).alias("score"), F.col(y).alias("y"))
+        one = auroc_auprc(rows).select(F.lit(m).alias("model"), "auroc", "auprc").join(rows.agg(F.count("*").alias("n")))
+        out = one if out is None else out.union(one)
+    return out.select("model", "n", "auroc", "auprc")
+
+
+def boosted_features(edges: DataFrame, relations: list[str], features: tuple[str, ...] = EDGE_FEATURES) -> DataFrame:
+    """``edges`` with a vector ``features``: the edge features and a one-hot predicate; an unknown one has none."""
+    from pyspark.ml.functions import array_to_vector
+
+    hot = [(F.col("predicate") == r).cast("double") for r in relations]
+    return edges.withColumn("features", array_to_vector(F.array(*(normal_feature(f, F.col(f)) for f in features), *(F.coalesce(h, F.lit(0.0)) for h in hot))))
+
+
+def fit_boosted(edges: DataFrame, relations: list[str], features: tuple[str, ...] = EDGE_FEATURES, y: str = "y", rounds: int = 100, depth: int = 4, rate: float = 0.1):
+    """A boosted-tree baseline over histograms of the features, positives weighted by negatives for each positive (ML10)."""
+    from pyspark.ml.classification import GBTClassifier
+
+    known = edges.filter(F.col(y).isin(0, 1))
+    n = known.agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n")).first()
+    ready = boosted_features(known, relations, features).select("features", F.col(y).cast("double").alias("label"), F.when(F.col(y) == 1, n["n"] / max(1.0, n["p"])).otherwise(1.0).alias("w"))
+    return GBTClassifier(weightCol="w", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=0).fit(ready)
+
+
+def boosted_scores(model, edges: DataFrame, relations: list[str], features: tuple[str, ...] = EDGE_FEATURES, into: str = "score") -> DataFrame:
+    """``edges`` with the model's probability of suspicion."""
+    from pyspark.ml.functions import vector_to_array
+
+    found = model.transform(boosted_features(edges, relations, features))
+    return found.select(*edges.columns, vector_to_array("probability")[1].alias(into))
+
+
 def fit_logistic(edges: DataFrame, features: tuple[str, ...] = EDGE_FEATURES, y: str = "y"):
     """A logistic baseline with balanced class weights on the edge features (ML10)."""
     from pyspark.ml.classification import LogisticRegression

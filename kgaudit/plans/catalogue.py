@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgaudit.functions import ids
@@ -13,7 +14,7 @@ from kgaudit.operators import claims, evidence, graph, learning, nli, ontology,
 from kgaudit.plans import audit, commerce
 from kgaudit.plans.commerce import EDGES_SQL, PLACES_SQL
 from kgaudit.plans.registry import QUERIES, SQL, query
-from kgaudit.session import table
+from kgaudit.session import table, written
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -633,18 +634,24 @@ MAX_TRAIN_PAIRS = 5_000
 
 @query()
 def gnn_suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML1-ML6, ML15, ML16: suspicion of the edges around every part, by a scorer trained on about ``MAX_TRAIN_PAIRS`` parts' labelled edges."""
+    """ML1-ML6, ML15, ML16: suspicion of the edges around every part, by a scorer trained on about ``MAX_TRAIN_PAIRS`` parts' labelled edges.
+
+    A part's subgraph has its first 200 edges, which carry messages; edges beyond them have a null suspicion.
+    """
     supply = labelled_edges(spark, sf_dir)
     edges = supply.select(
         F.col("l_partkey").alias("pair_id"), commerce.named("PART:", "l_partkey").alias("subject"), F.lit("supplied_by").alias("predicate"), commerce.named("SUPP:", "l_suppkey").alias("object"), "y",
         "n_sources", F.col("n_sources").alias("n_pmids"), (1 - F.col("discount_points") / (100.0 * F.col("n_sources"))).alias("confidence"), F.lit(0.0).alias("evidence_age"), (F.col("n_retracted") / F.col("n_sources")).alias("retracted_support_ratio"), F.lit(0.0).alias("rule_sum"),
     )
-    edges = graph.capped(edges, ["pair_id"], ["object"], 200)
+    order = F.row_number().over(W.partitionBy("pair_id").orderBy("object"))
+    every = written(edges.withColumn("no", order))
+    edges, rest = every.filter("no <= 200").drop("no"), every.filter("no > 200")
     featured = lambda e: e.select("pair_id", F.explode(F.array("subject", "object")).alias("node")).distinct().withColumn("x", ids.hash_embedding(F.col("node"), 8))
     labelled = training.balanced(training.sampled_pairs(edges, MAX_TRAIN_PAIRS), "subject", "object")
     start = learning.ScorerWeights.seeded(8, len(learning.EDGE_FEATURES), 1)
     found = training.train(training.graphs(labelled, featured(labelled), ["supplied_by"]), start, epochs=10)
-    return learning.suspicion(edges, featured(edges), ["supplied_by"], found.weights)
+    rated = learning.suspicion(edges, featured(edges), ["supplied_by"], found.weights)
+    return rated.union(rest.select("pair_id", "subject", "predicate", "object", F.lit(None).cast("double")))
 
 
-from kgaudit.plans import full_audit, operator_queries, store_queries  # noqa: E402, F401  these register more
+from kgaudit.plans import full_audit, model_queries, operator_queries, store_queries  # noqa: E402, F401  these register more
