@@ -14,6 +14,10 @@ from kgaudit.functions import text as tx
 from kgaudit.functions.ids import category_of
 from kgaudit.sources.ingest import census_lookup
 
+#: Characters of a label's beginning by which texts are looked up.
+START = 4
+#: Labels that are looked for one by one.
+FEW = 64
 FALLBACK, CONDITION = "biolink:related_to", "biolink:gene_associated_with_condition"
 # Keys that identify a piece of evidence, in order, and prefixes of stances.
 EVIDENCE_KEYS = ("pmid", "pmcid", "doi", "id", "curie", "url", "type")
@@ -83,21 +87,27 @@ def citations_of(text: Column, given: Column) -> Column:
 def spotted(claims: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
     """The first labels of a dictionary ``(id, label)`` in every claim's text, by where they stand.
 
-    A label matches as a part of the text. Words of the text are joined with the labels' first words, and the rest of
-    the label is checked in place, so a large dictionary costs no product with the claims; a label that begins inside
-    a word is found through the word's endings.
+    A label matches as a part of the text, whatever characters it holds, in lower case; empty labels match nothing. Up to
+    ``FEW`` labels go to every task as one row and are looked for in place. With more of them, the
+    distinct stretches of ``START`` characters of a text are joined with the labels that begin so, and the whole label is
+    looked for in the texts that are left. So a large dictionary costs no product with the claims, and a text of
+    n characters makes at most n rows, however long its words are. Labels shorter than that have keys of their own.
     """
-    lowered = F.lower("text")
-    first = F.lower(F.substring_index("label", " ", 1))
-    words = claims.select("claim_id", F.explode(F.array_distinct(F.split(lowered, r"\s+"))).alias("word")).filter("word <> ''")
-    endings = F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), i, F.length("word"))))
-    tails = words.select("claim_id", endings.alias("tail"))
-    sizes = dictionary.select(F.length(first).alias("n")).distinct()
-    keys = tails.join(sizes, F.length("tail") >= F.col("n")).select("claim_id", F.expr("substring(tail, 1, n)").alias("first")).distinct()
-    named = dictionary.select("id", "label", first.alias("first"))
-    likely = keys.join(named, "first").select("claim_id", "id", "label").distinct()
-    hits = likely.join(claims.select("claim_id", "text"), "claim_id").withColumn("at", F.instr(lowered, F.lower(F.col("label")))).filter("at > 0").select("claim_id", "id", "label", "at")
+    label, text = F.lower("label"), F.lower("text")
     rank = F.row_number().over(W.partitionBy("claim_id").orderBy("at", "id"))
+    few = dictionary.filter(F.length("label") > 0).limit(FEW + 1).count() <= FEW
+    if few:
+        all_of = dictionary.filter(F.length("label") > 0).agg(F.collect_list(F.struct("id", "label", label.alias("low"))).alias("all"))
+        held = claims.select("claim_id", text.alias("low")).crossJoin(F.broadcast(all_of))
+        here = F.filter(F.transform("all", lambda d: F.struct(d["id"].alias("id"), d["label"].alias("label"), F.instr(F.col("low"), d["low"]).alias("at"))), lambda d: d["at"] > 0)
+        hits = held.select("claim_id", F.explode(here).alias("d")).select("claim_id", "d.id", "d.label", "d.at")
+        return hits.withColumn("rank", rank).filter(F.col("rank") <= most)
+    named = dictionary.filter(F.length("label") > 0).select("id", "label", F.substring(label, 1, START).alias("key"))
+    lengths = [r["n"] for r in named.select(F.char_length("key").alias("n")).distinct().collect()]  # at most START rows
+    stretches = F.concat(F.array().cast("array<string>"), *(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)) for n in sorted(lengths)))
+    keys = claims.select("claim_id", F.explode(stretches).alias("key"))
+    likely = keys.join(named, "key").select("claim_id", "id", "label")
+    hits = likely.join(claims.select("claim_id", "text"), "claim_id").withColumn("at", F.instr(text, F.lower(F.col("label")))).filter("at > 0").select("claim_id", "id", "label", "at")
     return hits.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 

@@ -80,10 +80,21 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest_prototype(rows: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """Label of the prototype of largest cosine; of equal ones the smallest label (ML17). Prototypes are one row a label."""
-    scored = rows.crossJoin(prototypes).withColumn("cosine", cosine(F.col("vec"), F.col("centroid")))
-    best = F.max_by(F.struct("label", "cosine"), F.struct("cosine", (-F.col("label")).alias("l")))
-    return scored.groupBy("row_id").agg(best.alias("b")).select("row_id", F.col("b.label").alias("predicted"), F.col("b.cosine").alias("cosine"))
+    """Label of the prototype of largest cosine; of equal ones the smallest label (ML17).
+
+    Up to ``MAX_PROTOTYPES`` prototypes, one row a label, go to every task as a single row, and a row is compared with
+    them in place; more are dealt in blocks of so many, and the best of the blocks counts.
+    """
+    ready = prototypes.select("label", F.col("centroid").cast("array<double>").alias("centroid"))
+    n = ready.count()
+    blocks = ready.withColumn("_block", F.pmod(F.xxhash64("label"), F.lit(max(1, -(-n // MAX_PROTOTYPES)))))
+    packed = blocks.groupBy("_block").agg(F.collect_list(F.struct("label", "centroid")).alias("_all"))
+    vector = F.transform("vec", lambda v: v.cast("double"))
+    best = F.array_max(F.transform("_all", lambda s: F.struct(cosine(vector, s["centroid"]).alias("cosine"), (-s["label"]).alias("l"), s["label"].alias("label"))))
+    if n <= MAX_PROTOTYPES:
+        return rows.crossJoin(F.broadcast(packed)).select("row_id", best.alias("b")).select("row_id", F.col("b.label").alias("predicted"), F.col("b.cosine").alias("cosine"))
+    found = rows.crossJoin(packed).select("row_id", best.alias("b")).groupBy("row_id").agg(F.max("b").alias("b"))
+    return found.select("row_id", F.col("b.label").alias("predicted"), F.col("b.cosine").alias("cosine"))
 
 
 def calibration_bins(scored: DataFrame, bins: int = 10) -> DataFrame:
@@ -163,11 +174,15 @@ def fit_isotonic(scored: DataFrame, p: str = "p", y: str = "y") -> tuple[list[fl
 
 
 def apply_isotonic(p: Column, x: list[float], y: list[float]) -> Column:
-    """Linear interpolation between knots, constant outside (ML19, ML21)."""
-    chain = F.when(p <= x[0], y[0])
-    for a, b, u, v in zip(x[:-1], x[1:], y[:-1], y[1:], strict=True):
-        chain = chain.when(p <= b, F.lit(v) if b == a else u + (v - u) * (p - a) / (b - a))
-    return chain.otherwise(y[-1])
+    """Linear interpolation between knots, constant outside (ML19, ML21).
+
+    The knots are two constant arrays, so the expression has one size whatever their number.
+    """
+    xs, ys = F.array(*map(F.lit, x)), F.array(*map(F.lit, y))
+    below = F.size(F.filter(xs, lambda k: k < p))  # knots are sorted: the next one is at or above p
+    a, b, u, v = (F.get(c, below - i) for c, i in ((xs, 1), (xs, 0), (ys, 1), (ys, 0)))
+    inside = F.when(b == p, v).otherwise(u + (v - u) * (p - a) / (b - a))
+    return F.when(p.isNull(), None).when(below == 0, float(y[0])).when(below == len(x), float(y[-1])).otherwise(inside)
 
 
 def fit_temperature(scored: DataFrame, logit: str = "logit", y: str = "y", rounds: int = 40) -> float:
@@ -186,6 +201,8 @@ def fit_temperature(scored: DataFrame, logit: str = "logit", y: str = "y", round
     return float(np.exp((low + high) / 2))
 
 
+#: Prototypes that a task holds at once.
+MAX_PROTOTYPES = 1000
 EDGE_FEATURES = ("n_sources", "n_pmids", "confidence", "evidence_age", "retracted_support_ratio", "rule_sum")
 
 

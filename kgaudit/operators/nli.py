@@ -1,7 +1,7 @@
 """Sentence-level support of claims by abstracts.
 
-Sentences are exploded once; everything after is expressions, one window for each of the two orders of a paper's
-sentences, and two aggregations (paper, claim).
+Papers are dealt by their id once and their sentences exploded behind that; all that follows, up to a paper's sums, stays
+in that partitioning: expressions, the first place of a repeated sentence, and the aggregation of a paper.
 """
 
 from __future__ import annotations
@@ -21,16 +21,17 @@ SUPPORT_P, AGAINST_P = 0.8, 0.1
 def paper_sentences(papers: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """``(paper_id, ord, sentence, section, hedged, sentence_class, sentence_polarity, paper_type)``.
 
-    Papers are ``(paper_id, title, journal, abstract)``; those without an abstract have no sentences.
+    Papers are ``(paper_id, title, journal, abstract)``, one a row; those without an abstract have no sentences. A
+    sentence that repeats has the place of its first occurrence. Work grows in proportion to the text.
     """
     kind = tx.paper_type(F.col("title"), F.col("journal"), F.col("abstract"), lexicon)
-    split = papers.withColumn("paper_type", kind).withColumn("_all", tx.sentences(F.col("abstract")))
-    rows = split.select("paper_id", "paper_type", "_all", F.posexplode("_all").alias("ord", "sentence"))
-    first = F.array_position("_all", F.col("sentence")) - 1
+    split = papers.select("paper_id", "title", "journal", "abstract").repartition("paper_id").withColumn("paper_type", kind).withColumn("_all", tx.sentences(F.col("abstract")))
+    rows = split.select("paper_id", "paper_type", F.size("_all").alias("_n"), F.posexplode("_all").alias("ord", "sentence"))
+    rows = rows.withColumn("_first", F.min("ord").over(W.partitionBy("paper_id", "sentence")))
     s = F.col("sentence")
     return rows.select(
         "paper_id", "paper_type", "ord", "sentence",
-        tx.section(s, first, F.size("_all"), lexicon).alias("section"),
+        tx.section(s, F.col("_first"), F.col("_n"), lexicon).alias("section"),
         tx.is_hedged(s, lexicon).alias("hedged"),
         tx.predicate_class(s, lexicon).alias("sentence_class"),
         tx.sentence_polarity(s, lexicon).alias("sentence_polarity"),
@@ -60,18 +61,22 @@ def sentence_labels(claims: DataFrame, cited: DataFrame, sentences: DataFrame, l
 
 
 def paper_margins(labelled: DataFrame) -> DataFrame:
-    """Sums of the three best sentences of each paper, for and against (A1)."""
-    paper = W.partitionBy("claim_id", "paper_id")
-    rank = lambda p: F.row_number().over(paper.orderBy((F.col("weight") * F.col(p)).desc(), "ord"))
-    ranked = labelled.withColumns({"_for": rank("p_support"), "_against": rank("p_contradict"), "_paper": tx.lookup(F.col("paper_type"), tx.PAPER_WEIGHTS)})
-    part = lambda r, p: F.sum(F.when(F.col(r) <= TOP, F.col("_paper") * F.col("weight") * F.col(p)).otherwise(0.0))
+    """Sums of the three best sentences of each paper, for and against.
+
+    A paper's sums don't depend on which of equally good sentences is taken, so one aggregation finds them: the largest
+    values of either side, a number for each sentence of one paper.
+    """
+    best = lambda p: F.slice(F.sort_array(F.collect_list(F.col("weight") * F.col(p)), asc=False), 1, TOP)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + F.col("_paper") * x)
     label = lambda x: F.count_if(F.col("label") == x)
-    return ranked.groupBy("claim_id", "paper_id").agg(
+    made = labelled.groupBy("claim_id", "paper_id").agg(
         F.first("paper_type").alias("paper_type"), F.first("claim_class").alias("claim_predicate_class"),
-        part("_for", "p_support").alias("s_pos"), part("_against", "p_contradict").alias("s_neg"),
+        best("p_support").alias("_for"), best("p_contradict").alias("_against"),
         F.count("*").alias("sentence_count"), label("SUPPORT").alias("support_count"), label("REFUTE").alias("refute_count"), label("NEI").alias("nei_count"),
         F.count_if((F.col("claim_class") == "causal") & (F.col("sentence_class") == "association")).alias("predicate_mismatch_count"),
-    )
+    ).withColumn("_paper", tx.lookup(F.col("paper_type"), tx.PAPER_WEIGHTS).cast("double"))
+    counts = ("sentence_count", "support_count", "refute_count", "nei_count", "predicate_mismatch_count")
+    return made.select("claim_id", "paper_id", "paper_type", "claim_predicate_class", total("_for").alias("s_pos"), total("_against").alias("s_neg"), *counts)
 
 
 def claim_margins(papers: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Normalisation of claims and the facts of curated and literature tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from kgaudit.operators import claims
@@ -76,3 +77,39 @@ def test_type_facts(spark):
     rows = spark.createDataFrame([("gene", "disease"), ("disease", "gene")], "s string, o string")
     c = claims.type_facts(F.col("s"), F.col("o"), F.lit(claims.CONDITION))
     assert [tuple(r) for r in rows.select(*c.values()).collect()] == [(True, True), (False, False)]
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_labels_are_spotted_in_any_text(spark, monkeypatch, few):
+    """Both ways find labels inside words, across white space, of one letter, and in very long words."""
+    monkeypatch.setattr(claims, "FEW", few)
+    texts = [(1, "A gene\tone, then BRCA1x"), (2, "x" * 1_000_000 + "tp53"), (3, None), (4, ""), (5, "𝄞é gene  one"), (6, "zz brca1 gene\tone")]
+    labels = [("a", "gene\tone"), ("b", "BRCA1"), ("c", "TP53"), ("d", "𝄞"), ("e", ""), ("f", "gene  one"), ("g", "nowhere to be found")]
+    found = claims.spotted(spark.createDataFrame(texts, "claim_id int, text string"), spark.createDataFrame(labels, "id string, label string"))
+    got = {(r["claim_id"], r["rank"], r["id"]) for r in found.collect()}
+    assert got == {(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (5, 1, "d"), (5, 2, "f"), (6, 1, "b"), (6, 2, "a")}
+
+
+def test_sentences_of_a_long_paper(spark):
+    """A repeated sentence has the place of its first occurrence; the work doesn't grow with the square."""
+    from kgaudit.operators import nli
+
+    text = " ".join(["Same one here."] + [f"Sentence number {i} is here." for i in range(100_000)] + ["Same one here."])
+    papers = spark.createDataFrame([(1, None, None, text), (2, None, None, None), (3, None, None, "Same one here.")], "paper_id int, title string, journal string, abstract string")
+    rows = nli.paper_sentences(papers).select("paper_id", "ord", "section", "sentence")
+    assert rows.groupBy("paper_id").count().filter("paper_id = 1").first()["count"] == 100_002
+    same = rows.filter("paper_id = 1 and sentence like 'Same%'").collect()
+    assert len(same) == 2 and len({r["section"] for r in same}) == 1
+
+
+def test_best_three_sentences(spark):
+    from kgaudit.operators import nli
+
+    rows = [(1, 1, i, w, p, q) for i, (w, p, q) in enumerate([(1.0, 0.8, 0.1), (0.5, 0.8, 0.1), (0.5, 0.1, 0.8), (0.25, 0.8, 0.1), (1.0, 0.0, 0.0)])] + [(1, 2, 0, 1.0, 0.1, 0.8)]
+    df = spark.createDataFrame(rows, "claim_id int, paper_id int, ord int, weight double, p_support double, p_contradict double")
+    for c, v in {"paper_type": "primary_human", "claim_class": "causal", "sentence_class": "association", "label": "NEI"}.items():
+        df = df.withColumn(c, F.lit(v))
+    got = {r["paper_id"]: r for r in nli.paper_margins(df).collect()}
+    weight = got[1]["s_pos"] / (0.8 + 0.4 + 0.2)
+    assert got[1]["s_neg"] == pytest.approx(weight * (0.1 + 0.05 + 0.4)) and got[2]["s_neg"] == pytest.approx(weight * 0.8)
+    assert (got[1]["sentence_count"], got[1]["nei_count"], got[1]["predicate_mismatch_count"]) == (5, 5, 5)

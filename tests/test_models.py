@@ -154,3 +154,24 @@ def test_pretraining_finds_the_camps(spark):
     assert len(vectors) == features.count() and {len(v) for v in vectors.values()} == {16}
     nothing = pretraining.pretrain(edges.limit(0), features.limit(0), epochs=2)
     assert nothing.losses == [] and nothing.auroc is None
+
+
+def test_isotonic_knots_of_any_number(spark):
+    x, y = [0.1, 0.2, 0.2, 0.6, 0.9], [0.0, 0.3, 0.3, 0.5, 1.0]
+    points = [None, 0.0, 0.1, 0.15, 0.2, 0.4, 0.6, 0.75, 0.9, 1.0]
+    df = spark.createDataFrame([(p,) for p in points], "p double").select("p", learning.apply_isotonic(F.col("p"), x, y).alias("c"))
+    got = {r["p"]: r["c"] for r in df.collect()}
+    assert got.pop(None) is None
+    assert [got[p] for p in points[1:]] == pytest.approx([float(np.interp(p, x, y)) for p in points[1:]])
+    one = spark.range(3).select(learning.apply_isotonic(F.col("id").cast("double"), [1.0], [0.5]).alias("c")).collect()
+    assert [r["c"] for r in one] == [0.5, 0.5, 0.5]
+
+
+def test_nearest_prototype_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i, rng.standard_normal(4).tolist()) for i in range(30)] + [(99, [0.0] * 4)], "row_id int, vec array<double>")
+    kinds = spark.createDataFrame([(i, rng.standard_normal(4).tolist()) for i in range(9)], "label int, centroid array<double>")
+    want = sorted(learning.nearest_prototype(rows, kinds).collect())
+    monkeypatch.setattr(learning, "MAX_PROTOTYPES", 4)
+    assert sorted(learning.nearest_prototype(rows, kinds).collect()) == want and len(want) == 31
+    assert next(r for r in want if r["row_id"] == 99)["predicted"] == 0
