@@ -167,6 +167,19 @@ def _gate_steps() -> str:
 
 
 _ROLE = "CASE WHEN s % 4 = 0 THEN 'oncogene' WHEN s % 4 = 1 THEN 'tumor_suppressor' WHEN s % 4 = 2 THEN 'both' ELSE 'fusion' END"
+#: Facts that SQL derives from the counts and years of a claim's citations and from its gene.
+_COUNTED = f"""n AS claim__citation_count, nr AS evidence__retracted_count, nc AS evidence__concern_count, n >= 2 AS evidence__has_multiple_sources, s IS NOT NULL AS gene__is_cancer_gene, coalesce({_ROLE} IN ('tumor_suppressor', 'both'), false) AND s IS NOT NULL AS gene__is_tumor_suppressor,
+  so IS NOT NULL AS temporal__has_support, 2001 - sn AS temporal__support_newest_age_years, CAST(NULL AS DOUBLE) AS temporal__claim_age_years,
+  coalesce(sn - so >= 10, false) AND lr IS NULL AND lc IS NULL AS temporal__longstanding_uncontested_support, coalesce(lr >= fp, false) AS temporal__has_retraction_after_publication,
+  CASE WHEN er >= fp THEN er - fp END AS temporal__earliest_retraction_lag_years, lc IS NOT NULL AS temporal__has_concern, lr IS NOT NULL AS temporal__has_retraction,
+  coalesce(sn > fc, false) AS temporal__has_support_after_concern, coalesce(sn <= lr, true) AS temporal__no_support_after_retraction, coalesce(so < er, false) AS temporal__was_supported_before_retraction"""
+#: From facts to verdicts: rules, labels, weights, gates.
+_JUDGED = f"""fired AS (SELECT *, {', '.join(f'{_when(r.when)} AS f_{r.id}' for r in _RULES)} FROM fact),
+{_rounds()},
+weighed AS MATERIALIZED (SELECT *, {', '.join(f'CASE WHEN f_{r.id} AND NOT o_{r.id} THEN {r.weight}::DOUBLE ELSE 0.0::DOUBLE END AS w_{r.id}' for r in _RULES)} FROM l{_ATTACKS.rounds()}),
+scored AS (SELECT *, 0.0::DOUBLE + {' + '.join(f'w_{r.id}' for r in _RULES)} AS score FROM weighed),
+{_gate_steps()}"""
+
 AUDIT_SQL = f"""WITH prov AS (SELECT l_orderkey AS claim_id, CASE WHEN l_returnflag = 'R' AND l_quantity <= 3 THEN 'retracted' WHEN l_returnflag = 'A' AND l_quantity <= 3 THEN 'concern' ELSE 'clean' END AS status, CAST(year(l_shipdate) AS INT) AS y FROM lineitem),
 a AS (SELECT claim_id, count(*) AS n, count(*) FILTER (status = 'retracted') AS nr, count(*) FILTER (status = 'concern') AS nc, min(y) AS fp,
   min(y) FILTER (status = 'clean') AS so, max(y) FILTER (status = 'clean') AS sn, min(y) FILTER (status = 'retracted') AS er, max(y) FILTER (status = 'retracted') AS lr,
@@ -175,17 +188,8 @@ o AS (SELECT o_orderkey AS k, o_custkey AS c, {_list(NAMES)}[o_orderkey % 5 + 1]
   coalesce(n, 0) AS n, coalesce(nr, 0) AS nr, coalesce(nc, 0) AS nc, fp, so, sn, er, lr, fc, lc FROM orders LEFT JOIN a ON o_orderkey = claim_id),
 have AS (SELECT DISTINCT s_suppkey AS s FROM supplier WHERE s_suppkey < {CENSUS_GENES // 2}),
 gene AS (SELECT o.*, coalesce(own.s, other.s) AS s FROM o LEFT JOIN have own ON sc = 'gene' AND own.s = c % {CENSUS_GENES} LEFT JOIN have other ON sc = 'gene' AND other.s < 5 AND other.s + 30 = c % {CENSUS_GENES}),
-fact AS (SELECT *, {', '.join(f'{e} AS {_column(p)}' for p, e in PLAIN.items())}, {', '.join(f'{e} AS {n}' for n, e in _DL.items())},
-  n AS claim__citation_count, nr AS evidence__retracted_count, nc AS evidence__concern_count, n >= 2 AS evidence__has_multiple_sources, s IS NOT NULL AS gene__is_cancer_gene, coalesce({_ROLE} IN ('tumor_suppressor', 'both'), false) AND s IS NOT NULL AS gene__is_tumor_suppressor,
-  so IS NOT NULL AS temporal__has_support, 2001 - sn AS temporal__support_newest_age_years, CAST(NULL AS DOUBLE) AS temporal__claim_age_years,
-  coalesce(sn - so >= 10, false) AND lr IS NULL AND lc IS NULL AS temporal__longstanding_uncontested_support, coalesce(lr >= fp, false) AS temporal__has_retraction_after_publication,
-  CASE WHEN er >= fp THEN er - fp END AS temporal__earliest_retraction_lag_years, lc IS NOT NULL AS temporal__has_concern, lr IS NOT NULL AS temporal__has_retraction,
-  coalesce(sn > fc, false) AS temporal__has_support_after_concern, coalesce(sn <= lr, true) AS temporal__no_support_after_retraction, coalesce(so < er, false) AS temporal__was_supported_before_retraction FROM gene),
-fired AS (SELECT *, {', '.join(f'{_when(r.when)} AS f_{r.id}' for r in _RULES)} FROM fact),
-{_rounds()},
-weighed AS MATERIALIZED (SELECT *, {', '.join(f'CASE WHEN f_{r.id} AND NOT o_{r.id} THEN {r.weight}::DOUBLE ELSE 0.0::DOUBLE END AS w_{r.id}' for r in _RULES)} FROM l{_ATTACKS.rounds()}),
-scored AS (SELECT *, 0.0::DOUBLE + {' + '.join(f'w_{r.id}' for r in _RULES)} AS score FROM weighed),
-{_gate_steps()}"""
+fact AS (SELECT *, {', '.join(f'{e} AS {_column(p)}' for p, e in PLAIN.items())}, {', '.join(f'{e} AS {n}' for n, e in _DL.items())}, {_COUNTED} FROM gene),
+{_JUDGED}"""
 _LAST = f"g{len(_GATES)}"
 
 
