@@ -32,7 +32,7 @@ def provenance(citations: DataFrame, known: DataFrame, notices: DataFrame | None
     """Citations with kind, status and source.
 
     ``known(identifier, status, …)`` is what was fetched before; what it lacks gets the status that its identifier
-    names. ``notices(identifier, notice_status)`` overrides with retractions and concerns only.
+    names. ``notices(identifier, notice_status)`` overrides that of literature, with retractions and concerns only.
     """
     keyed = citations.withColumn("key", normal_citation(F.col("identifier")))
     found = known.withColumnsRenamed({"identifier": "known_id", "status": "known_status"})
@@ -43,7 +43,7 @@ def provenance(citations: DataFrame, known: DataFrame, notices: DataFrame | None
     if notices is not None:
         told = notices.select(normal_citation(F.col("identifier")).alias("key"), "notice_status").dropDuplicates(["key"])
         joined = joined.join(told, "key", "left")
-        status = F.when(F.col("notice_status").isin("retracted", "concern"), F.col("notice_status")).otherwise(status)
+        status = F.when(literature & F.col("notice_status").isin("retracted", "concern"), F.col("notice_status")).otherwise(status)
     kind = F.when(literature, citation_kind(F.col("identifier"))).otherwise("other")
     source = F.when(~literature, "other").when(F.col("known_status").isNotNull(), "cache").otherwise("heuristic")
     return joined.withColumns({"status": status, "kind": kind, "source": source}).drop("known_status", "notice_status", "key")

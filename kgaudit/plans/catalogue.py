@@ -654,4 +654,4 @@ def gnn_suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.union(rest.select("pair_id", "subject", "predicate", "object", F.lit(None).cast("double")))
 
 
-from kgaudit.plans import claim_queries, full_audit, model_queries, operator_queries, source_queries, store_queries  # noqa: E402, F401  these register more
+from kgaudit.plans import claim_queries, full_audit, graph_queries, model_queries, operator_queries, source_queries, store_queries  # noqa: E402, F401  these register more
