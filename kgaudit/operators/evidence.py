@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgaudit.functions.ids import citation_kind, is_literature, normal_citation, status_hint
+from kgaudit.functions.ids import citation_kind, is_literature, normal_citation, source_kind, status_hint
 
 FRESH_YEARS, STALE_YEARS, LONG_YEARS, HALF_LIFE, LEAST_DECAY = 5, 10, 10, 10.0, 0.1
 
@@ -49,6 +49,20 @@ def provenance(citations: DataFrame, known: DataFrame, notices: DataFrame | None
     return joined.withColumns({"status": status, "kind": kind, "source": source}).drop("known_status", "notice_status", "key")
 
 
+def source_references(edges: DataFrame, known: DataFrame, key: list[str], order: str = "ord") -> DataFrame:
+    """``(*key, no, identifier, source_type, status)`` of the sources of edges ``(*key, sources)``, in their order.
+
+    Identifiers are normalised on both sides. Of what is known of one, ``known(identifier, status)``, the last in the
+    column ``order`` counts; what nothing is known of has the status ``unknown``. ``key`` may name the claim in both
+    tables, so that a claim's edges see its own provenance.
+    """
+    shared = [k for k in key if k in known.columns]
+    last = known.groupBy(*shared, normal_citation(F.col("identifier")).alias("identifier")).agg(F.max_by("status", order).alias("_status"))
+    cited = edges.select(*key, F.posexplode("sources").alias("no", "_source")).withColumn("identifier", normal_citation(F.col("_source")))
+    joined = cited.join(last, [*shared, "identifier"], "left")
+    return joined.select(*key, "no", "identifier", source_kind(F.col("identifier")).alias("source_type"), F.coalesce("_status", F.lit("unknown")).alias("status"))
+
+
 def evidence_facts(prov: DataFrame, key: str = "claim_id") -> DataFrame:
     """Citations of each claim by status (A5)."""
     of = lambda s: F.sort_array(F.collect_list(F.when(F.col("status") == s, F.col("identifier"))))

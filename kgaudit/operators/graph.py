@@ -313,6 +313,12 @@ def ranked_options(edges: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("pair_id").orderBy(F.col("score").desc(), "label")))
 
 
+def ranked(rows: DataFrame, score: str, label: str, key: list[str] | None = None, into: str = "place") -> DataFrame:
+    """Adds places from 1 by falling score, equal ones by label (W5). Without a key all rows are ranked as one, so there
+    are to be few of them, as labels are."""
+    return rows.withColumn(into, F.row_number().over(W.partitionBy(*(key or [])).orderBy(F.col(score).desc(), label)))
+
+
 def suspicion_colour(suspicion: Column) -> Column:
     """Green to amber to red as a hex colour."""
     s = F.greatest(F.least(suspicion, F.lit(1.0)), F.lit(0.0))

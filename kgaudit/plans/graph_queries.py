@@ -167,3 +167,18 @@ def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     millionths = lambda c: F.floor(c * 1e6 + 0.5).cast("long")
     platt, steps = learning.apply_platt(F.col("l_discount") * 10, 1.5, -0.25), learning.apply_isotonic(F.col("l_tax") * 12.5, [0.125, 0.5, 0.75], [0.0, 0.5, 0.75])
     return line.select("l_orderkey", "l_linenumber", "l_partkey", millionths(platt).alias("platt"), millionths(steps).alias("isotonic"))
+
+
+@query("""WITH k AS (SELECT l_orderkey AS claim_id, l_partkey, arg_max(l_returnflag, l_suppkey * 8 + l_linenumber) AS status FROM (SELECT DISTINCT ON (l_orderkey, l_partkey, l_suppkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag DESC) WHERE l_partkey % 3 <> 0 GROUP BY 1, 2),
+e AS (SELECT DISTINCT l_orderkey AS claim_id, l_partkey FROM lineitem)
+SELECT e.claim_id, e.l_partkey AS edge, 0 AS no, 'PMID:' || e.l_partkey AS identifier, 'pmid' AS source_type, coalesce(status, 'unknown') AS status FROM e LEFT JOIN k ON k.claim_id = e.claim_id AND k.l_partkey = e.l_partkey
+UNION ALL SELECT claim_id, l_partkey, 1, '10.5/X' || l_partkey, 'doi', 'unknown' FROM e UNION ALL SELECT claim_id, l_partkey, 2, 'GO:' || l_partkey, 'go', 'unknown' FROM e""")
+def source_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of each claim's edges with kind and the last known status, in several spellings."""
+    line = table(spark, sf_dir, "lineitem")
+    part = F.col("l_partkey")
+    edges = line.select(F.col("l_orderkey").alias("claim_id"), part.alias("edge")).distinct()
+    edges = edges.withColumn("sources", F.array(F.concat(F.lit("pmid: "), "edge"), F.concat(F.lit("https://doi.org/10.5/X"), "edge"), F.concat(F.lit("GO:"), "edge")))
+    order = F.struct(F.expr("l_suppkey * 8 + l_linenumber"), F.col("l_returnflag"))
+    known = line.filter("l_partkey % 3 <> 0").select(F.col("l_orderkey").alias("claim_id"), part.cast("string").alias("identifier"), F.col("l_returnflag").alias("status"), order.alias("ord"))
+    return evidence.source_references(edges, known, ["claim_id", "edge"])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgaudit.functions import ids
@@ -75,7 +74,7 @@ def suspicious_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels by falling score, equal ones by name."""
     scores = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.sum("o_totalprice").alias("score"))
-    return scores.select(F.row_number().over(W.orderBy(F.col("score").desc(), "label")).alias("place"), "label")
+    return graph.ranked(scores, "score", "label").select("place", "label")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_tax >= 0.06 THEN 'type_violation' WHEN l_discount >= 0.08 THEN 'retracted_support' WHEN l_quantity > 40 THEN 'ontology_mismatch' WHEN l_quantity < 5 THEN 'weak_evidence' END AS error_type FROM lineitem""")
