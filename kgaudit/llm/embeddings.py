@@ -38,8 +38,12 @@ EDGES_SQL = "a long, b long, cosine double"
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Unit rows of vectors that are stored as the bytes of doubles."""
+    """Unit rows of vectors that are stored as the bytes of doubles.
+
+    Rows are first scaled by a power of two to components of about 1, which is exact, so that no square overflows or vanishes.
+    """
     m = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+    m = np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True, initial=0.0))[1])
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 

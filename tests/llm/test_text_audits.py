@@ -200,3 +200,13 @@ def test_terms_are_counted_whole_in_slices_and_flushes(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "alpha beta " * 20 + "longerthanaslice", "en", "s"), (2, "Beta1beta", "en", "s"), (3, None, None, None)], DOCS)
     got = {(r.lang, r.source, r.term): (r.n, r.docs) for r in divergence.term_counts(docs).collect()}
     assert got == {("en", "s", None): (0, 0), ("", "", None): (0, 0), ("en", "s", "alpha"): (20, 1), ("en", "s", "beta"): (22, 2), ("en", "s", "longerthanaslice"): (1, 1)}
+
+
+def test_embeddings_of_extreme_size(spark):
+    """Cosines of finite doubles whose squares overflow or vanish."""
+    from kgaudit.llm import embeddings
+
+    vectors = [[1e-200, 1e-200], [1.0, 0.1], [1e200, 1e200], [1e200, 1.01e200], [5e-324, 0.0], [1.7e308, 1.6e307], [0.0, 1e-300]]
+    found, recall = embeddings.near_links(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()}
+    assert got == {0: (2, 0), 1: (2, 1), 2: (2, 0), 3: (2, 0), 4: (2, 1), 5: (2, 1), 6: (0, 6)} and recall == 1
