@@ -1,9 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words of a text are hashed; runs of MIN_TILE words are seeds (an item of fewer words is one seed). A document keeps
-the runs of words whose seeds are in a bitmap of the items' seeds, which has a fixed size: what it lets through by
-chance costs time and no result. Documents and items that share a seed are candidates. A pair with enough coverage
-shares many seeds, so an item is looked up by all but its most frequent ones, as many fewer as the coverage allows.
+the runs of words whose seeds are in a bitmap of the items' seeds, sized by their number: what it lets through by
+chance costs time and no result. Documents and items that share a seed are candidates. An item isn't looked up by the
+seeds that most documents have, as far as the words under these seeds are too few for enough coverage; so an item that
+shares a template with others meets the documents with the template only where the template alone covers it.
 
 For each candidate pair, the longest run of words that stands unmarked in both is found by Karp-Rabin hashes of runs,
 with a binary search over the length; all matches of this length that touch no marked word are marked, and the hashes
@@ -28,20 +29,22 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgaudit.llm.common import ASCII_WORDS, Rolling, cut, mix, same_text, table, text_bytes
 
-MIN_TILE, MIN_COVERAGE, BITMAP_BITS = 5, 0.6, 24
+MIN_TILE, MIN_COVERAGE = 5, 0.6
+#: Bits of the bitmap are numbered by so many bits at least and at most (2 and 32 MB), and there are 32 to a seed between.
+BITMAP_BITS, MOST_BITMAP_BITS = 24, 28
 SPAN = 1 << 16
+LONG = SPAN // 2
 BASE = 0x9E3779B97F4A7C15
 FOUND = pa.schema([("text_hash", pa.string()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int64())])
 FOUND_SQL = "text_hash string, doc_id long, item_id long, coverage double, tiles long"
 
 
 def word_hasher() -> Callable[[bytes], np.ndarray]:
-    """A function that gives a 64-bit hash of each word of a text."""
+    """A function that gives a 64-bit hash of each word of a text; its length alone tells which kind of hash, not its place."""
     rolling, space = Rolling(SPAN + 1), np.array([c == 32 for c in range(256)])
 
     def hashes(data: bytes) -> np.ndarray:
@@ -51,7 +54,7 @@ def word_hasher() -> Callable[[bytes], np.ndarray]:
             stop = min(at + SPAN, len(data))
             if stop < len(data) and (gap := data.rfind(b" ", at, stop)) > at:
                 stop = gap
-            elif stop < len(data):  # a word longer than the span
+            elif stop < len(data):  # a word that doesn't fit the span, so a LONG one
                 stop = n if (n := data.find(b" ", stop)) >= 0 else len(data)
                 out.append(np.array([xxhash.xxh64_intdigest(w) for w in data[at:stop].split()], np.uint64))
                 at = stop
@@ -61,7 +64,10 @@ def word_hasher() -> Callable[[bytes], np.ndarray]:
             inside[1:-1] = ~space[part]
             step = np.diff(inside)
             first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-            out.append(rolling.hashes(rolling.prefix(part), first, last))
+            values = rolling.hashes(rolling.prefix(part), first, last)
+            for i in np.flatnonzero(last - first >= LONG):
+                values[i] = xxhash.xxh64_intdigest(data[at + first[i] : at + last[i]])
+            out.append(values)
             at = stop
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -131,14 +137,9 @@ def tiling(item: np.ndarray, text: np.ndarray, at_least: int = MIN_TILE, gaps: n
     return tiles
 
 
-def seeds_needed(words: int, min_coverage: float) -> int:
-    """How many places of an item have a seed that a document with enough coverage shares; tiles of MIN_TILE words share the fewest."""
-    return max(1, int(np.ceil(min_coverage * words / MIN_TILE - 1e-9))) if words > MIN_TILE else 1
-
-
-def item_seeds(items: DataFrame, min_coverage: float) -> DataFrame:
-    """``(no, place, seed, length, spare)`` of items ``(no, text)``: the seed at each place, and how many places can be left out."""
-    schema = pa.schema([("no", pa.int64()), ("place", pa.int64()), ("seed", pa.int64()), ("length", pa.int32()), ("spare", pa.int64())])
+def item_seeds(items: DataFrame) -> DataFrame:
+    """``(no, place, seed, length, words)`` of items ``(no, text)``: the seed at each place, its length and that of the item."""
+    schema = pa.schema([("no", pa.int64()), ("place", pa.int64()), ("seed", pa.int64()), ("length", pa.int32()), ("words", pa.int64())])
 
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hasher()
@@ -148,10 +149,53 @@ def item_seeds(items: DataFrame, min_coverage: float) -> DataFrame:
                 n = min(MIN_TILE, len(words))
                 values = Runs(words).of(n).view(np.int64)
                 full = lambda x: np.full(len(values), x)
-                columns = full(no), np.arange(len(values)), values, full(n), full(seeds_needed(len(words), min_coverage) - 1)
+                columns = full(no), np.arange(len(values)), values, full(n), full(len(words))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return items.select("no", "text").mapInArrow(apply, "no long, place long, seed long, length int, spare long")
+    return items.select("no", "text").mapInArrow(apply, "no long, place long, seed long, length int, words long")
+
+
+def looked_up(often: np.ndarray, places: np.ndarray, length: int, words: int, min_coverage: float) -> np.ndarray:
+    """Which of an item's places are looked up, given how many documents have the seed of each.
+
+    The most frequent are left out while the words under all that are left out are too few for ``min_coverage``. Tiles
+    cover words under shared seeds only, so a document that shares none but these seeds can't cover enough.
+    """
+    covered, under, asked = np.zeros(words, bool), 0, np.ones(len(places), bool)
+    for i in np.lexsort((places, -often)).tolist():
+        part = covered[places[i] : places[i] + length]
+        more = under + len(part) - int(part.sum())
+        if more / max(1, words) < min_coverage:
+            part[:] = True
+            under, asked[i] = more, False
+    return asked & (often > 0)
+
+
+def candidates(kept: DataFrame, seeds: DataFrame, min_coverage: float) -> DataFrame:
+    """``(row, no)``: the texts ``kept`` and the items of ``seeds`` that share a seed by which the item is looked up.
+
+    A group is one item's places, so no larger than its text.
+    """
+    shared = kept.select("row", F.explode("seeds").alias("seed"))
+    often = shared.groupBy("seed").agg(F.count("*").alias("often"))
+    place = F.struct(F.coalesce("often", F.lit(0)).cast("long").alias("often"), "place", "seed")
+    grouped = seeds.join(often, "seed", "left").groupBy("no", "length", "words").agg(F.collect_list(place).alias("places"))
+    schema = pa.schema([("no", pa.int64()), ("seed", pa.int64())])
+
+    def choose(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for no, length, words, of_item in zip(*(batch[c].to_pylist() for c in ("no", "length", "words")), batch["places"], strict=True):
+                counts, places, values = (of_item.values.field(c).to_numpy() for c in ("often", "place", "seed"))
+                found = np.unique(values[looked_up(counts, places, length, words, min_coverage)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), no), pa.int64()), pa.array(found, pa.int64())], schema=schema)
+
+    index = grouped.mapInArrow(choose, "no long, seed long")
+    return shared.join(index, "seed").select("row", "no").distinct()
+
+
+def bitmap_bits(seeds: int) -> int:
+    """How many bits number the bits of a bitmap of so many seeds."""
+    return min(MOST_BITMAP_BITS, max(BITMAP_BITS, (32 * seeds).bit_length()))
 
 
 def bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
@@ -196,20 +240,18 @@ def kept_runs(texts: DataFrame, known: np.ndarray, lengths: list[int], bits: int
     return texts.mapInArrow(apply, "row long, text_hash string, doc_id long, words binary, gaps binary, seeds array<long>")
 
 
-def contamination(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE, bits: int = BITMAP_BITS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE, bits: int | None = None) -> DataFrame:
     """``(text_hash, doc_id, item_id, coverage, tiles)`` of the pairs whose coverage is at least ``min_coverage``.
 
-    Each row of both tables counts for itself, whatever its id.
+    Each row of both tables counts for itself, whatever its id. ``bits`` number the bits of the bitmap; by the seeds if None.
     """
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     items = cut(items.select(F.monotonically_increasing_id().alias("no"), F.col("item_id").cast("long"), F.col("text").cast("string")))
-    seeds = cut(item_seeds(items, min_coverage))
+    seeds = cut(item_seeds(items))
     lengths = sorted(r["length"] for r in seeds.select("length").distinct().collect())  # MIN_TILE of them at most
+    bits = bits or bitmap_bits(seeds.count())
     kept = cut(kept_runs(texts, bitmap(seeds, bits), lengths, bits))
-    often = seeds.groupBy("seed").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy("no").orderBy(F.col("n").desc(), "place"))
-    index = seeds.join(often, "seed").withColumn("rank", rank).filter("rank > spare").select("no", "seed").distinct()
-    pairs = kept.select("row", F.explode("seeds").alias("seed")).join(index, "seed").select("row", "no").distinct()
+    pairs = candidates(kept, seeds, min_coverage)
     both = pairs.join(kept.drop("seeds"), "row").join(items.withColumnRenamed("text", "item"), "no").select("text_hash", "doc_id", "words", "gaps", "item_id", "item")
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

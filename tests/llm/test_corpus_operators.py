@@ -234,6 +234,44 @@ def test_decontamination_of_edge_cases(spark):
     assert decontaminate.contamination(docs_of(spark, edge_texts()), items.limit(0)).count() == 0
 
 
+def test_words_of_any_length_match_wherever_they_stand(spark):
+    sizes = [decontaminate.LONG - 1, decontaminate.LONG, 65_534, 65_535, 65_536, 65_537, 140_000]
+    items = [f"{text(3)} {random.choice('xyz') * n} {text(3)}" for n in sizes]
+    texts = [t for item in items for t in (item, f"{text(7)} {item}", f"{'q' * 65_500} {text(2)} {item} {text(3)}")]
+    found = decontaminate.contamination(docs_of(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in found} == {(i, i // 3, 1.0) for i in range(len(texts))}
+
+
+def brute_candidates(spark, texts, items):
+    """What ``candidates`` finds, with numbers of documents and items."""
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string")
+    seeds = decontaminate.item_seeds(spark.createDataFrame(list(enumerate(items)), "no long, text string"))
+    kept = decontaminate.kept_runs(docs, decontaminate.bitmap(seeds, 20), [5], 20)
+    return {(r["row"], r["no"]) for r in decontaminate.candidates(kept, seeds, 0.6).collect()}
+
+
+def test_items_of_one_template_meet_only_their_own_documents(spark):
+    template, own = text(12), [" ".join(f"{word()}{i}" for _ in range(13)) for i in range(200)]
+    items = [f"{template} {x}" for x in own]
+    texts = [f"{text(9)} {template} {text(9)}" for _ in range(80)] + [f"{text(9)} {x}" for x in items[:20]] + [f"{template} zz {x}" for x in own[20:30]]
+    want = {(80 + i, i) for i in range(30)}
+    assert brute_candidates(spark, texts, items) == want
+    found = decontaminate.contamination(docs_of(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want == set(brute_contamination(texts, items))
+
+
+def test_no_pair_with_coverage_is_left_out():
+    for _ in range(300):
+        words = random.randint(5, 40)
+        often = np.random.default_rng(words).integers(0, 9, words - 4)
+        asked = decontaminate.looked_up(often, np.arange(words - 4), 5, words, 0.6)
+        left = np.zeros(words, bool)
+        for p in np.flatnonzero(~asked & (often > 0)):
+            left[p : p + 5] = True
+        assert left.sum() < 0.6 * words
+    assert [decontaminate.bitmap_bits(n) for n in (0, 1 << 18, 1 << 20, 1 << 40)] == [24, 24, 26, 28]
+
+
 def test_decontamination_by_rows(spark):
     one, two, three = text(20), text(20), text(20)
     items = spark.createDataFrame([(0, one), (0, two), (None, three)], "item_id long, text string")
@@ -402,6 +440,63 @@ def test_deep_trees(spark):
     assert len(shards) == 1024 and {r["count"] for r in shards} <= {2, 3} and sum(r["count"] for r in shards) >= 18_000 / 8
 
 
+def brute_shards(spark, blocks, shard_blocks):
+    """Shard of each block, by source and block: the tree from its definition, with the library's uniform numbers."""
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    names = sorted((s for s in blocks if s is not None), key=lambda s: s.encode()) + [None] * (None in blocks)
+    depth = 0
+    while shard_blocks << depth < sum(blocks.values()):
+        depth += 1
+    asked = spark.createDataFrame([(p, i + 1) for p in range(1, 1 << depth) for i in range(len(names))], "path long, no int")
+    drawn = {(r["path"], r["no"]): r["u"] for r in asked.select("path", "no", mixing.uniform(F.lit(mixing.SEED), "path", "no").alias("u")).collect()}
+    level = {1: [blocks[s] for s in names]}
+    for _ in range(depth):
+        below = {}
+        for path, quotas in level.items():
+            pool, draws, left = sum(quotas), (sum(quotas) + 1) // 2, []
+            for i, n in enumerate(quotas):
+                got = 0
+                if draws and n:
+                    weights = {k: comb(n, k) * comb(pool - n, draws - k) for k in range(max(0, draws - pool + n), min(n, draws) + 1)}
+                    mode = min(max((draws + 1) * (n + 1) // (pool + 2), min(weights)), max(weights))
+                    goal, seen = drawn[path, i + 1] * sum(weights.values()), 0
+                    for got in [*range(mode, max(weights) + 1), *range(mode - 1, min(weights) - 1, -1)]:
+                        seen += weights[got]
+                        if seen >= goal:
+                            break
+                left.append(got)
+                pool, draws = pool - n, draws - got
+            below[2 * path], below[2 * path + 1] = left, [n - x for n, x in zip(quotas, left)]
+        level = below
+    found, used = {}, dict.fromkeys(names, 0)
+    for path in sorted(level):
+        for s, n in zip(names, level[path]):
+            found |= {(s, used[s] + k): path - (1 << depth) for k in range(n)}
+            used[s] += n
+    return found
+
+
+def test_shards_are_those_of_the_tree(spark):
+    texts = [text(random.randint(0, 90)) for _ in range(160)] + [None, "", text(900)]
+    sources = [random.choice(["a", "b", "hot", "hot", None]) for _ in texts]
+    got = rows(mixing.taken_words(docs_of(spark, texts, sources), 16, 32), "doc_id", "size", "target", "taken", "n_shards", "first_shard")
+    size = [len((t or "").split()) for t in texts]
+    owed = {s: round(got[i][1]) for i, s in enumerate(sources)}
+    shards = brute_shards(spark, {s: -(-n // 16) for s, n in owed.items()}, 32)
+    assert len(set(shards.values())) > 4
+    for s in owed:
+        mine = sorted((i for i in range(len(texts)) if sources[i] == s), key=lambda i: hashlib.md5(f"{mixing.SEED}:{i}".encode()).digest())
+        at, whole = 0, sum(size[i] for i in mine)
+        for i in mine:
+            places = [w for w in (*range(at, at + size[i]), *range(at + whole, at + whole + size[i])) if w < owed[s]]
+            want = {shards[s, w // 16] for w in places}
+            assert got[i][2:] == (len(places), len(want), min(want, default=None))
+            at += size[i]
+
+
 def test_mixing_of_clashing_columns(spark):
     names = "source text doc_id shard shuffle_key _row d p pieces n_chars".split()
     docs = spark.createDataFrame([("s", text(9), None, 1, "k", "r", 1, 2, 3, 4), ("s", text(9), 5, None, "k", "r", 1, 2, 3, 4)], "source string, text string, doc_id long, shard int, shuffle_key string, _row string, d int, p int, pieces int, n_chars int")
