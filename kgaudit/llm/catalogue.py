@@ -7,7 +7,8 @@ from kgaudit.llm.divergence import OP12_SQL, op12_source_divergence
 from kgaudit.llm.embeddings import op8_embedding_near_dedup
 from kgaudit.llm.licenses import BASE_SQL as LICENSE_SQL
 from kgaudit.llm.licenses import license_scan_base, op1_license_scan
-from kgaudit.llm.mixing import OP5_SQL, op5_mix_sources
+from kgaudit.llm.mixing import BASE_SQL as MIX_SQL
+from kgaudit.llm.mixing import mix_base, op5_mix_sources
 from kgaudit.llm.pii import BASE_SQL as PII_SQL
 from kgaudit.llm.pii import op6_pii, pii_base_counts
 from kgaudit.llm.pieces import op13_sentencepiece
@@ -35,10 +36,11 @@ def queries() -> dict:
         op12_source_divergence,
         op13_sentencepiece,
         license_scan_base,
+        mix_base,
         pii_base_counts,
     )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op5_mix_sources": OP5_SQL, "op9_suffix_array_dedup": OP9_SQL, "op10_warc": OP10_SQL, "op12_source_divergence": OP12_SQL, "license_scan_base": LICENSE_SQL, "pii_base_counts": PII_SQL}
+    return {"op2_url_filter": OP2_SQL, "mix_base": MIX_SQL, "op9_suffix_array_dedup": OP9_SQL, "op10_warc": OP10_SQL, "op12_source_divergence": OP12_SQL, "license_scan_base": LICENSE_SQL, "pii_base_counts": PII_SQL}

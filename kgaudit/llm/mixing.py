@@ -130,12 +130,12 @@ def shard_blocks(source: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks
     root = numbers.agg(F.sort_array(F.collect_list(F.struct("source_no", "blocks"))).alias("quotas"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("total"))
     total = root.first()["total"]
     depth = max(0, (total - 1).bit_length() - (shard_blocks - 1).bit_length())
-    nodes = root.select(F.lit(0).cast("long").alias("path"), "quotas", "total")
+    nodes = root.select(F.lit(1).cast("long").alias("path"), "quotas", "total")  # children of p are 2p and 2p + 1, so that no two nodes share their draws
     for level in range(depth):
         if level and level % LEVELS == 0:  # one task a node from here on
             nodes = cut(nodes.repartition("path"))
         nodes = split(nodes)
-    leaf = nodes.select(F.col("path").alias("shard"), F.explode("quotas").alias("q")).select("shard", "q.source_no", "q.blocks")
+    leaf = nodes.select((F.col("path") - (1 << depth)).alias("shard"), F.explode("quotas").alias("q")).select("shard", "q.source_no", "q.blocks")
     until = F.sum("blocks").over(W.partitionBy("source_no").orderBy("shard"))
     ranges = leaf.withColumn("stop", until).filter("blocks > 0").join(numbers.select("source_no", "source"), "source_no")
     return ranges.select("source", F.explode(F.sequence(F.col("stop") - F.col("blocks"), F.col("stop") - 1)).alias("block"), "shard")
@@ -177,14 +177,26 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks_: int
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, pieces = mixture(table(spark, sf_dir, "documents"))
-    taken = pieces.groupBy(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("row").alias("r")).agg(F.sum("words").alias("taken"))
+    """What the mix takes of each document, and the shards that the tree deals it to: how many and the first (none: 0 and null)."""
+    return taken_words(table(spark, sf_dir, "documents"))
+
+
+def taken_words(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks_: int = SHARD_BLOCKS) -> DataFrame:
+    """``(doc_id, size, source_size, target, taken, n_shards, first_shard)`` of each document."""
+    placed, pieces = mixture(docs, block_words, shard_blocks_)
+    dealt = F.sum("words").alias("taken"), F.size(F.collect_set("shard")).cast("long").alias("n_shards"), F.min("shard").alias("first_shard")
+    taken = pieces.groupBy(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("row").alias("r")).agg(*dealt)
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")) & (F.col("row") == F.col("r"))
     joined = placed.join(taken.hint("merge"), same, "left")
-    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("taken", "n_shards")), "first_shard")
+
+
+def mix_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op5_mix_sources`` that SQL can express; the tree's draws are not among them."""
+    return op5_mix_sources(spark, sf_dir).drop("n_shards", "first_shard")
 
 
-OP5_SQL = rf"""
+BASE_SQL = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
