@@ -10,7 +10,8 @@ and verified against the total length, and the joined block is decoded from its
 digest from the record that they refer to.
 
 Every row is a record with a number of its own in its identifier, beside its page_id. An archive holds at most ARCHIVE_RECORDS records, so it is parsed in bounded memory; a group is one record's
-segments. A payload that stands on a third of all pages is one row of the digest table: its key is pre-aggregated.
+segments. A payload that stands on a third of all pages is one row of the digest table: its key is pre-aggregated, and
+its pages find it by a salted key, without their payloads.
 
 Defined results: null and empty html is an empty payload, always a response; a null url is written as an empty target;
 records of which segments are missing, or don't add up to the total length, have null payload columns and
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 
 from kgaudit.llm.common import cut, delete, drop_cut, shared_dir, table
 
-MIN_REVISIT, SEGMENT_BYTES, HTTP_CHUNK, ARCHIVE_RECORDS = 1000, 32_768, 8192, 10_000
+MIN_REVISIT, SEGMENT_BYTES, HTTP_CHUNK, ARCHIVE_RECORDS = 1000, 8192, 4096, 10_000
+SALTS = 16
 END = b"\r\n\r\n"
 URN = "urn:page:"
 DATE = "2024-01-01T00:00:00Z"
@@ -73,8 +75,8 @@ def named(record: int, page_id: int | None) -> str:
     return f"{URN}{record}:{'' if page_id is None else page_id}"
 
 
-def page_records(identifier: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> Iterator[bytes]:
-    """The records of a page: one, or a first segment and its continuations."""
+def page_records(identifier: str, url: str, payload: bytes | None, digest: str, refers_to: str | None) -> Iterator[bytes]:
+    """The records of a page: one, or a first segment and its continuations. A revisit needs no payload."""
     target = "".join(c for c in url if c > " ")
     common = {"WARC-Record-ID": f"<{identifier}>", "WARC-Date": DATE, "WARC-Target-URI": target, "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http;msgtype=response"}
     if refers_to is not None:
@@ -125,21 +127,30 @@ def payload_of(block: bytes) -> bytes:
     return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
+def salted(rows: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows``, by salts of their ``record``, joined with the table ``few`` that has a row for a key, given to each salt."""
+    spread = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod("record", F.lit(SALTS)).cast("int")).join(spread, [key, "salt"], how).drop("salt")
+
+
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write the pages ``(page_id, url, html)`` as WARC files to a folder."""
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.monotonically_increasing_id().alias("record"), F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), html.alias("payload"))
-    rows = cut(rows.withColumn("digest", F.sha1("payload")))
-    long = rows.filter(F.octet_length("payload") >= MIN_REVISIT)
-    stored = long.groupBy(F.col("digest").alias("stored_digest")).agg(F.max(F.struct("page_id", "record")).alias("stored"), F.count("*").alias("n")).filter("n > 1")
-    judged = rows.join(stored.drop("n"), F.col("digest") == F.col("stored_digest"), "left").select("record", "page_id", "url", "payload", "digest", "stored")
+    rows = cut(rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")}))
+    long = rows.filter(F.col("size") >= MIN_REVISIT).select("record", "page_id", "url", "digest")
+    stored = long.groupBy("digest").agg(F.max(F.struct("page_id", "record")).alias("stored"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    revisits = cut(salted(long, stored, "digest", "inner").filter("stored.record <> record"))
+    responses = rows.join(revisits.select("record"), "record", "left_anti").withColumn("stored", F.lit(None).cast(stored.schema["stored"].dataType))
+    columns = "record", "page_id", "url", "payload", "digest", "stored"
+    judged = responses.select(*columns).union(revisits.withColumn("payload", F.lit(None).cast("binary")).select(*columns))
     schema = pa.schema([("record", pa.binary())])
 
     def written(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             out, held = [], 0
             for record, page_id, url, payload, digest, stored in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                refers_to = None if stored is None or stored["record"] == record else named(stored["record"], stored["page_id"])
+                refers_to = None if stored is None else named(stored["record"], stored["page_id"])
                 for made in page_records(named(record, page_id), url, payload, digest, refers_to):
                     out.append(made)
                     held += len(made)
@@ -151,6 +162,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     records = judged.mapInArrow(written, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
     drop_cut(rows)
+    drop_cut(revisits)
 
 
 PIECE = pa.schema([("record", pa.int64()), ("page_id", pa.int64()), ("kind", pa.string()), ("target", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("bytes", pa.int64()), ("sha1", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
@@ -221,8 +233,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def resolved(records: DataFrame) -> DataFrame:
     """Records with revisits taking length and digest of the payload that they refer to."""
-    stored = records.filter("kind = 'response'").select(F.col("record").alias("stored"), F.col("bytes").alias("stored_bytes"), F.col("sha1").alias("stored_sha1"))
-    revisits = records.filter("kind = 'revisit'").join(stored, F.col("target") == F.col("stored"), "left")
+    revisits = records.filter("kind = 'revisit'")
+    stored = records.filter("kind = 'response'").select(F.col("record").alias("target"), F.col("bytes").alias("stored_bytes"), F.col("sha1").alias("stored_sha1"))
+    stored = stored.join(revisits.select("target").distinct(), "target", "left_semi")
+    revisits = salted(revisits, stored, "target", "left")
     agree = F.coalesce(F.col("stored_sha1") == F.col("digest"), F.lit(False))
     revisits = revisits.select("page_id", "kind", "refers_to", F.when(agree, F.col("stored_bytes")).alias("bytes"), F.when(agree, F.col("stored_sha1")).alias("sha1"), agree.alias("complete"))
     return records.filter("kind is null or kind <> 'revisit'").select(*revisits.columns).union(revisits)
