@@ -45,11 +45,13 @@ def fingerprint(data: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-    rows = lambda b: {"doc_id": b["doc_id"], "fp": [fingerprint(t) for t in text_bytes(b["text"])]}
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches(schema, rows), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """``(doc_id, fp)`` of every document, or its ``keys`` (columns of longs) and ``fp``."""
+    keys = keys or ("doc_id",)
+    schema = pa.schema([(key, pa.int64()) for key in (*keys, "fp")])
+    rows = lambda b: {key: b[key] for key in keys} | {"fp": [fingerprint(t) for t in text_bytes(b["text"])]}
+    texts = docs.select(*(F.col(key).cast("long").alias(key) for key in keys), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(batches(schema, rows), ", ".join(f"{key} long" for key in (*keys, "fp")))
 
 
 def ball(bits: int) -> Column:
@@ -109,8 +111,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The first row of each near-duplicate group, by doc_id, rows without one behind the others; all columns stay."""
     rows, row = numbered(docs)
-    prints = cut(fingerprints(rows.select(F.col(row).alias("doc_id"), "text")))
-    group = prints.join(print_roots(prints), "fp").select(F.col("doc_id").alias("_number"), "root")
-    group = rows.select(F.col("doc_id").alias("_id"), F.col(row).alias("_number")).join(group, "_number")
-    kept = group.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_number"))["_number"].alias("_kept"))
+    prints = cut(fingerprints(rows.select(F.col("doc_id").alias("_id"), F.col(row).alias("_number"), "text"), "_id", "_number"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_number"))
+    copies = prints.groupBy("fp").agg(first.alias("_first"))  # one row for all copies of a fingerprint, summed up in tasks
+    kept = copies.join(print_roots(prints), "fp").groupBy("root").agg(F.min("_first")["_number"].alias("_kept"))
     return rows.join(kept.select("_kept"), F.col(row) == F.col("_kept"), "left_semi").drop(row)
