@@ -7,8 +7,9 @@ graph's steps. So a thousand pairs cost one plan, and a hub is joined as often a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,20 +48,37 @@ def pair_subgraph(
     two ends, and no edges.
     """
     seeds = centres(pairs, evidence if hops > 0 else None, is_node)
-    told = seeds.select("pair_id", "node", category_of(F.col("node")).alias("category"))
+    wanted = lambda c: F.coalesce(c.isin(*categories), F.lit(False))
     if hops <= 0:
-        return told.filter(F.col("category").isin(*categories)), edges.limit(0).withColumn("pair_id", F.lit(None).cast(pairs.schema["pair_id"].dataType))
-    around, found = graph.ego(seeds.withColumnRenamed("pair_id", "request_id"), edges, hops)
-    known = nodes.groupBy(F.col("id").alias("node")).agg(F.min("category").alias("_c"))
-    reached = around.join(known, "node", "left").select(F.col("request_id").alias("pair_id"), "node", F.when(F.col("_c") != "", ids.normal_category(F.col("_c"))).otherwise(category_of(F.col("node"))).alias("category"))
-    wanted = F.col("category").isin(*categories)
-    # a centre may be wanted by either of its categories; the stored one comes first
-    kept = reached.filter(wanted).select("*", F.lit(0).alias("_late")).union(told.filter(wanted).select("*", F.lit(1)))
-    kept = kept.groupBy("pair_id", "node").agg(F.min_by("category", "_late").alias("category"))
-    end = lambda c: kept.select("pair_id", F.col("node").alias(c))
+        told = seeds.select("pair_id", "node", category_of(F.col("node")).alias("category"))
+        return told.filter(wanted(F.col("category"))), edges.limit(0).withColumn("pair_id", F.lit(None).cast(pairs.schema["pair_id"].dataType))
+    seeds = written(seeds)
+    told = seeds.filter(wanted(category_of(F.col("node"))))
+    known = nodes.groupBy("id").agg(F.min("category").alias("_c"))
+    stored = lambda c: F.when(F.col("_c") != "", ids.normal_category(F.col("_c"))).otherwise(category_of(F.col(c)))
+    placed = lambda rows, c, into: rows.join(known.withColumnRenamed("id", c), c, "left").withColumn(into, stored(c)).drop("_c")
+    inner = graph.reached(seeds.withColumnRenamed("pair_id", "request_id"), graph.steps_of(edges), hops - 1)[-1].withColumnRenamed("request_id", "pair_id")
+
+    # a node's category is known before pairs reach it; a centre may be wanted by either of its categories, the stored one comes first
+    number = lambda c, late: (F.array_position(F.array(*map(F.lit, categories)), c) - 1 + late * len(categories)).cast("int")
+    steps = graph.steps_of(edges).filter(graph.within(graph.namespaces(F.col("node"), inner), "node"))
+    lists = graph.adjacency(placed(steps, "next", "_k").filter(wanted(F.col("_k"))).withColumn("no", number(F.col("_k"), 0)), "no")
+    one = lambda no: F.array(F.struct(F.col("node").alias("next"), no.alias("no")))
+    near = inner.filter(F.col("dist") == hops - 1).join(lists, "node").select("pair_id", "nexts")
+    near = near.union(placed(inner.select("pair_id", "node"), "node", "_k").filter(wanted(F.col("_k"))).select("pair_id", one(number(F.col("_k"), 0))))
+    near = near.union(told.select("pair_id", one(number(category_of(F.col("node")), 1))))
+    each = near.repartition("pair_id").select("pair_id", F.explode("nexts").alias("n")).groupBy("pair_id", F.col("n.next").alias("node")).agg(F.min("n.no").alias("no"))
+    kept = each.select("pair_id", "node", F.element_at(F.array(*map(F.lit, categories)), F.col("no") % len(categories) + 1).alias("category"))
+
     joins = allowed(category_of(F.col("subject")), category_of(F.col("object")))
-    inside = found.withColumnRenamed("request_id", "pair_id").filter(joins)
-    return kept, inside.join(end("subject"), ["pair_id", "subject"], "left_semi").join(end("object"), ["pair_id", "object"], "left_semi")
+    found = graph.first_of_equal(edges.filter(joins), ["subject", "predicate", "object"])
+    for c in ("subject", "object"):  # ends that any pair wants, and those that only a pair does whose centre they are
+        found = placed(found, c, "_k").withColumn(f"_{c}", wanted(F.col("_k"))).filter(F.col(f"_{c}") | wanted(category_of(F.col(c)))).drop("_k")
+    inside = graph.edges_around(inner.select(F.col("pair_id").alias("request_id"), "node"), found).withColumnRenamed("request_id", "pair_id")
+    for c in ("subject", "object"):
+        centre = told.select("pair_id", F.col("node").alias(c))
+        inside = inside.filter(f"_{c}").unionByName(inside.filter(f"not _{c}").join(centre, ["pair_id", c], "left_semi"))
+    return kept, inside.select("pair_id", *edges.columns)
 
 
 def with_publications(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame, cites: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -87,14 +105,75 @@ def hops_through(pairs: DataFrame, edges: DataFrame, holds: Callable[[Column], C
     """``(pair_id, hops)``: the length of the shortest walk from subject to object, in either direction of the pair's
     edges ``(pair_id, subject, object)``, that touches a node for which ``holds`` is true; 0.0 if there is none (G13).
 
-    A state is a node and whether such a node was touched before it or is it, and the search is by levels over
+    The shortest such walk is the shortest way to such a node and from there on. Pairs travel with their edges, each
+    pair to one task, which searches many small pairs together (see ``searched``). Pairs with more than ``SMALL`` edges
+    are searched by levels, as tables.
+    """
+    touches = lambda c: F.coalesce(holds(F.col(c)), F.lit(False))
+    own = written(edges.select("pair_id", "subject", "object").dropna().join(pairs.select("pair_id").distinct(), "pair_id", "left_semi"))
+    large = written(own.groupBy("pair_id").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("pair_id"))
+    every = pairs.select("pair_id").distinct()
+    one = F.struct("subject", "object", touches("subject").alias("s"), touches("object").alias("o"))
+    ends = pairs.groupBy("pair_id").agg(F.collect_set("subject").alias("subjects"), F.collect_set("object").alias("objects"))
+    small = own if large.isEmpty() else own.join(large, "pair_id", "left_anti")
+    ready = small.groupBy("pair_id").agg(F.collect_list(one).alias("edges")).join(ends, "pair_id")
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+    shortest = ready.mapInArrow(lambda batches: searched(batches, most), f"pair_id {kind}, hops double")
+    if not large.isEmpty():
+        shortest = shortest.union(hops_by_levels(pairs.join(large, "pair_id", "left_semi"), own.join(large, "pair_id", "left_semi"), touches, most))
+    return every.join(shortest, "pair_id", "left").na.fill(0.0, ["hops"])
+
+
+#: Edges of a pair that one task searches.
+SMALL = 100_000
+
+
+def searched(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """``(pair_id, hops)`` of rows ``(pair_id, edges, subjects, objects)`` whose ends are joined by a walk that touches a node that holds."""
+    for batch in batches:
+        table = {c: batch.column(c).to_pylist() for c in ("pair_id", "edges", "subjects", "objects")}
+        found = []
+        for edges, subjects, objects in zip(table["edges"], table["subjects"], table["objects"], strict=True):
+            near, holding = {}, set()
+            for e in edges:
+                a, b = e["subject"], e["object"]
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+                if e["s"]:
+                    holding.add(a)
+                if e["o"]:
+                    holding.add(b)
+            there, back = hops_from(subjects, near), hops_from(objects, near)
+            best = min((there[n] + back[n] for n in holding if n in there and n in back), default=None)
+            found.append(None if best is None or (most is not None and best > most) else float(best))
+        yield pa.RecordBatch.from_arrays([batch.column("pair_id"), pa.array(found, pa.float64())], ["pair_id", "hops"])
+
+
+def hops_from(starts: list[str], near: dict[str, set[str]]) -> dict[str, int]:
+    """Hops to every node that the starts reach."""
+    found, level, dist = {n: 0 for n in starts if n in near}, [n for n in starts if n in near], 0
+    while level:
+        dist += 1
+        after = []
+        for n in level:
+            for m in near[n]:
+                if m not in found:
+                    found[m] = dist
+                    after.append(m)
+        level = after
+    return found
+
+
+def hops_by_levels(pairs: DataFrame, edges: DataFrame, touches: Callable[[str], Column], most: int | None) -> DataFrame:
+    """``(pair_id, hops)`` as ``hops_through`` finds them, of pairs of any size that have such a walk.
+
+    A state is a node and whether a node that holds was touched before it or is it, and the search is by levels over
     states: one join with the pair's steps and one anti-join with the states that were reached. Pairs whose object
     is reached leave the frontier. It ends when the frontier is empty, or after ``most`` levels; each level is written,
     so the plan doesn't grow.
     """
-    touches = lambda c: F.coalesce(holds(F.col(c)), F.lit(False))
     both = edges.select("pair_id", F.col("subject").alias("node"), F.col("object").alias("next")).union(edges.select("pair_id", "object", "subject"))
-    steps = written(both.join(pairs.select("pair_id"), "pair_id", "left_semi").distinct().withColumn("touched", touches("next")))
+    steps = written(both.distinct().withColumn("touched", touches("next")))
     ends = pairs.select("pair_id", F.col("object").alias("node"))
     level = pairs.select("pair_id", F.col("subject").alias("node"), touches("subject").alias("seen"))
     level = written(level.join(steps, ["pair_id", "node"], "left_semi").distinct())
@@ -114,5 +193,4 @@ def hops_through(pairs: DataFrame, edges: DataFrame, holds: Callable[[Column], C
     hits = found[0]
     for hit in found[1:]:
         hits = hits.union(hit)
-    shortest = hits.groupBy("pair_id").agg(F.min("hops").alias("hops"))
-    return pairs.select("pair_id").distinct().join(shortest, "pair_id", "left").na.fill(0.0, ["hops"])
+    return hits.groupBy("pair_id").agg(F.min("hops").alias("hops"))

@@ -39,7 +39,7 @@ def order_subgraphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair_id"), commerce.named("ORD:", "o_orderkey").alias("subject"), commerce.named("CUST:", "o_custkey").alias("object"))
     returned = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_returnflag = 'R'")
     evidence = returned.select(F.col("l_orderkey").alias("pair_id"), F.explode(F.array(commerce.named("SUPP:", "l_suppkey"), F.lit("PMID:1"))).alias("node"))
-    nodes = spark.createDataFrame([], "id string, category string")
+    nodes = spark.createDataFrame([], "id string, category string").limit(0)  # Spark knows that it is empty
     category = lambda c: ids.category_of(c, commerce.CATEGORIES)
     return subgraph.pair_subgraph(pairs, nodes, line_graph(spark, sf_dir), 1, KINDS, lambda a, b: ids.allowed_edge(a, b, JOINED), evidence, category, lambda c: c.startswith("SUPP:"))
 
