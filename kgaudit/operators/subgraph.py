@@ -74,10 +74,12 @@ def pair_subgraph(
     found = graph.first_of_equal(edges.filter(joins), ["subject", "predicate", "object"])
     for c in ("subject", "object"):  # ends that any pair wants, and those that only a pair does whose centre they are
         found = placed(found, c, "_k").withColumn(f"_{c}", wanted(F.col("_k"))).filter(F.col(f"_{c}") | wanted(category_of(F.col(c)))).drop("_k")
+    found = written(found)
     inside = graph.edges_around(inner.select(F.col("pair_id").alias("request_id"), "node"), found).withColumnRenamed("request_id", "pair_id")
     for c in ("subject", "object"):
-        centre = told.select("pair_id", F.col("node").alias(c))
-        inside = inside.filter(f"_{c}").unionByName(inside.filter(f"not _{c}").join(centre, ["pair_id", c], "left_semi"))
+        if not found.filter(f"not _{c}").isEmpty():
+            centre = told.select("pair_id", F.col("node").alias(c))
+            inside = inside.filter(f"_{c}").unionByName(inside.filter(f"not _{c}").join(centre, ["pair_id", c], "left_semi"))
     return kept, inside.select("pair_id", *edges.columns)
 
 
