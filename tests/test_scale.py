@@ -5,7 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from kgaudit.operators import graph, subgraph
+from kgaudit.operators import graph, learning, subgraph, training
 
 
 def shuffled_rows(spark, make) -> int:
@@ -95,3 +95,12 @@ def test_small_pairs_are_searched_in_one_task(spark, monkeypatch, small):
     assert {r["pair_id"]: r["hops"] for r in made().collect()} == {p: 2.0 * (p % 5 + 1) for p in range(30)} | {99: 0.0}
     if small:
         assert shuffled_rows(spark, made) < 450  # the edges once, and the pairs
+
+
+def test_features_of_nodes_are_not_broadcast(spark):
+    edges = spark.createDataFrame([(p, f"P:{p}", "r", f"S:{i}", i % 2, 1.0) for p in range(4) for i in range(3)], "pair_id long, subject string, predicate string, object string, y int, confidence double")
+    features = edges.select("pair_id", F.explode(F.array("subject", "object")).alias("node")).distinct().withColumn("x", F.array(F.lit(0.5), F.lit(1.0)))
+    weights = learning.ScorerWeights.seeded(2, 1, 1)
+    for df in (learning.suspicion(edges, features, ["r"], weights, ("confidence",)), training.graphs(edges, features, ["r"], ("confidence",))):
+        assert df.count() in (12, 4)
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
