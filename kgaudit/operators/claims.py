@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgaudit.functions import text as tx
-from kgaudit.functions.ids import category_of
+from kgaudit.functions.ids import category_of, has_category
 from kgaudit.sources.ingest import census_lookup
 
 #: Characters of a label's beginning by which texts are looked up.
@@ -52,12 +52,13 @@ def from_evidence(evidence: Column) -> Column:
     genes, phenotypes, diseases = of("HGNC:", "NCBIGENE:"), of("HP:"), of("MONDO:")
     both = F.concat(phenotypes, diseases)
     pair = lambda a, b: F.struct(a.alias("subject"), b.alias("object"))
-    return F.when((F.size(genes) > 0) & (F.size(both) > 0), pair(F.get(genes, F.lit(0)), F.get(both, F.lit(0)))).when(F.size(both) > 1, pair(F.get(both, F.lit(0)), F.get(both, F.lit(1))))
+    gene, first, second = F.get(genes, F.lit(0)), F.get(both, F.lit(0)), F.get(both, F.lit(1))
+    return F.when(gene.isNotNull() & first.isNotNull(), pair(gene, first)).when(second.isNotNull(), pair(first, second))
 
 
 def promoted_pathway(object_id: Column, evidence: Column) -> Column:
     """The object, or the first pathway among the evidence where the object is none."""
-    pathways = F.filter(evidence, lambda e: category_of(e) == "pathway")
+    pathways = F.filter(evidence, lambda e: has_category(e, "pathway"))
     return F.when(category_of(object_id) != "pathway", F.coalesce(F.get(pathways, F.lit(0)), object_id)).otherwise(object_id)
 
 
@@ -117,7 +118,8 @@ def normalised(claims: DataFrame, index: DataFrame) -> DataFrame:
     What the payload names comes first, then identifiers among the evidence; the object gives way to a pathway of the
     evidence, and the predicate is inferred last. ``is_low_confidence`` is true where an end is missing.
     """
-    out = resolved(resolved(claims, "subject", index), "object", index).withColumn("_pair", from_evidence(F.col("evidence")))
+    out = resolved(resolved(claims, "subject", index), "object", index)
+    out = out.withColumn("_pair", F.when(F.col("subject_id").isNull() | F.col("object_id").isNull(), from_evidence(F.col("evidence"))))
     out = out.withColumns({"subject_id": F.coalesce("subject_id", "_pair.subject"), "object_id": F.coalesce("object_id", "_pair.object")})
     out = out.withColumn("object_id", promoted_pathway(F.col("object_id"), F.coalesce("evidence", F.array().cast("array<string>"))))
     out = out.withColumns({f"{c}_category": category_of(F.coalesce(f"{c}_id", F.lit(""))) for c in ("subject", "object")})
@@ -131,7 +133,7 @@ def normalised(claims: DataFrame, index: DataFrame) -> DataFrame:
             "has_variant_context": (predicate == CONDITION) & tx.has_variant_context(F.col("text")),
             "is_low_confidence": F.col("subject_id").isNull() | F.col("object_id").isNull(),
             "predicate_is_fallback": predicate == FALLBACK,
-            "citations": citations_of(F.col("text"), F.filter(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: category_of(e) == "publication")),
+            "citations": citations_of(F.col("text"), F.filter(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: has_category(e, "publication"))),
         }
     ).drop("predicate", "_pair").withColumnRenamed("_predicate", "predicate")
 
@@ -142,17 +144,32 @@ def type_facts(subject_category: Column, object_category: Column, predicate: Col
     return {"domain_valid": ~asked | (subject_category == "gene"), "range_valid": ~asked | object_category.isin("disease", "phenotype")}
 
 
+def curated_matches(pairs: DataFrame, associations: DataFrame, least_score: float = 0.3) -> DataFrame:
+    """``(pair_id, matched_cui)`` of the pairs ``(pair_id, gene_id, cuis)`` that curated associations ``(gene_id, cui, score)`` hold."""
+    bare = lambda c: F.regexp_replace(F.upper(c), "^UMLS[:_]", "")
+    strong = associations.filter(F.col("score") >= least_score).select(F.col("gene_id").alias("_g"), bare(F.col("cui")).alias("_c"))
+    asked = pairs.select("pair_id", "gene_id", F.posexplode("cuis").alias("_n", "cui"))
+    hits = asked.join(strong.distinct(), (F.col("gene_id") == F.col("_g")) & (bare(F.col("cui")) == F.col("_c")))
+    return hits.groupBy("pair_id").agg(F.min_by("cui", "_n").alias("matched_cui"))
+
+
 def curated_support(pairs: DataFrame, associations: DataFrame, least_score: float = 0.3) -> DataFrame:
     """Adds whether curated gene-disease associations ``(gene_id, cui, score)`` hold a pair.
 
     Disease identifiers are compared without their prefix; ``matched_cui`` is the first of those that match.
     """
-    bare = lambda c: F.regexp_replace(F.upper(c), "^UMLS[:_]", "")
-    strong = associations.filter(F.col("score") >= least_score).select(F.col("gene_id").alias("_g"), bare(F.col("cui")).alias("_c"))
-    asked = pairs.select("pair_id", "gene_id", F.posexplode("cuis").alias("_n", "cui"))
-    hits = asked.join(strong.distinct(), (F.col("gene_id") == F.col("_g")) & (bare(F.col("cui")) == F.col("_c")))
-    found = hits.groupBy("pair_id").agg(F.min_by("cui", "_n").alias("matched_cui"))
-    return pairs.join(found, "pair_id", "left").withColumn("disgenet_support", F.col("matched_cui").isNotNull())
+    return pairs.join(curated_matches(pairs, associations, least_score), "pair_id", "left").withColumn("disgenet_support", F.col("matched_cui").isNotNull())
+
+
+def literature_counts(pairs: DataFrame, triples: DataFrame) -> DataFrame:
+    """``(pair_id, structured_source_count)`` of the pairs ``(pair_id, subject, object, predicate)`` that triples hold.
+
+    A triple's sources travel as the list that they are.
+    """
+    hits = triples.withColumnRenamed("predicate", "_p").join(pairs.select("pair_id", "subject", "object", "predicate"), ["subject", "object"])
+    each = lambda lists: F.size(F.array_compact(F.array_distinct(F.flatten(F.collect_list(lists)))))
+    found = hits.groupBy("pair_id").agg(each(F.when(F.col("_p") == F.col("predicate"), F.col("sources"))).alias("_e"), each(F.col("sources")).alias("_a"))
+    return found.select("pair_id", F.when(F.col("_e") > 0, F.col("_e")).otherwise(F.col("_a")).alias("structured_source_count"))
 
 
 def literature_facts(pairs: DataFrame, triples: DataFrame) -> DataFrame:
@@ -160,22 +177,18 @@ def literature_facts(pairs: DataFrame, triples: DataFrame) -> DataFrame:
 
     Triples of the claim's predicate count; only where there are none, those of any predicate do.
     """
-    hits = triples.withColumnRenamed("predicate", "_p").join(pairs.select("pair_id", "subject", "object", "predicate"), ["subject", "object"])
-    exact = F.col("_p") == F.col("predicate")
-    each = hits.select("pair_id", exact.alias("exact"), F.explode("sources").alias("source"))
-    found = each.groupBy("pair_id").agg(F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("source")))).alias("_e"), F.array_sort(F.collect_set("source")).alias("_a"))
-    sources = F.when(F.size("_e") > 0, F.col("_e")).otherwise(F.col("_a"))
-    n = F.size(F.coalesce(sources, F.array().cast("array<string>")))
-    return pairs.join(found, "pair_id", "left").withColumns({"structured_source_count": n, "has_structured_support": n > 0}).drop("_e", "_a")
+    n = F.coalesce("structured_source_count", F.lit(0))
+    return pairs.join(literature_counts(pairs, triples), "pair_id", "left").withColumns({"structured_source_count": n, "has_structured_support": n > 0})
 
 
 def polarity_conflict(pairs: DataFrame, context: DataFrame, lexicon: tx.Lexicon = tx.DEFAULT) -> DataFrame:
     """Adds whether known edges of a pair, in either direction, all have the polarity opposite to the claim's.
 
-    Pairs are ``(pair_id, subject, object, predicate)``, context ``(pair_id, predicate)``.
+    Pairs are ``(pair_id, subject, object, predicate)``, context ``(pair_id, predicate)``; ``context_edges`` is the number
+    of known edges, null where there are none.
     """
     mine = context.select("pair_id", tx.polarity(F.col("predicate"), lexicon).alias("p")).groupBy("pair_id")
-    counts = mine.agg(F.count_if(F.col("p") == "positive").alias("_pos"), F.count_if(F.col("p") == "negative").alias("_neg"))
+    counts = mine.agg(F.count("*").alias("context_edges"), F.count_if(F.col("p") == "positive").alias("_pos"), F.count_if(F.col("p") == "negative").alias("_neg"))
     pure = F.when((F.col("_pos") > 0) & (F.col("_neg") > 0), "mixed").when(F.col("_pos") > 0, "positive").when(F.col("_neg") > 0, "negative")
     out = pairs.join(counts, "pair_id", "left").withColumns({"claim_predicate_polarity": tx.polarity(F.col("predicate"), lexicon), "context_polarity": pure})
     opposite = F.col("context_polarity").isin("positive", "negative") & (F.col("context_polarity") != F.col("claim_predicate_polarity"))

@@ -43,13 +43,13 @@ def sentence_labels(claims: DataFrame, cited: DataFrame, sentences: DataFrame, l
 
     Claims are ``(claim_id, subject, object, predicate, text, tissue)``, citations ``(claim_id, paper_id)``.
     """
-    claim = claims.withColumns(
+    claim = cited.join(claims, "claim_id").withColumns(
         {
             "claim_class": tx.predicate_class(F.col("predicate"), lexicon),
             "claim_polarity": tx.sentence_polarity(F.concat_ws(" ", "predicate", "text"), lexicon) if "text" in claims.columns else tx.polarity(F.col("predicate"), lexicon),
         }
     )
-    joined = cited.join(claim, "claim_id").join(sentences, "paper_id")
+    joined = claim.join(sentences, "paper_id")
     s = F.col("sentence")
     both = tx.mentions(s, F.col("subject")) & tx.mentions(s, F.col("object"))
     label = tx.nli_label(both, F.col("sentence_polarity"), F.col("claim_polarity"))

@@ -2,8 +2,9 @@
 
 Every fact that a rule or gate reads is the result of an operator over tables: claims are normalised to typed triples, their
 citations joined with provenance, their papers read sentence by sentence, and their pairs looked up in known edges, curated
-associations, literature triples, the ontology and the census. Each table is aggregated by claim or pair before it is
-joined with the claims, so a claim is one row throughout and a shuffle carries keys and facts, not texts.
+associations, literature triples, the ontology and the census. Claims are normalised and written once; every look-up reads
+the columns of that table that it needs. Each table is aggregated by claim or pair before it is joined with the claims, so
+a claim is one row throughout and a shuffle carries keys and facts, not texts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from kgaudit.functions.ids import starts_with_any
 from kgaudit.operators import claims as cl
 from kgaudit.operators import graph, nli, ontology
 from kgaudit.plans import audit
+from kgaudit.session import written
 
 
 @dataclasses.dataclass(frozen=True)
@@ -43,11 +45,13 @@ class Tables:
 def literature(claims: DataFrame, t: Tables, lexicon: tx.Lexicon) -> DataFrame:
     """``(claim_id, text_nli)`` of claims with a paper that has sentences (A1, A2, A4).
 
-    Claims are ``(claim_id, subject_term, object_term, predicate, text, tissue)``.
+    Claims are ``(claim_id, subject_term, object_term, predicate, text, claimed_tissue)``. Only citations of papers that are there
+    are told apart and joined with the claims, and a claim's text is judged behind that join.
     """
-    asked = claims.select("claim_id", F.col("subject_term").alias("subject"), F.col("object_term").alias("object"), "predicate", "text", "tissue")
-    read = t.papers.join(t.cited.select("paper_id").distinct(), "paper_id", "left_semi")
-    labelled = nli.sentence_labels(asked, t.cited.distinct(), nli.paper_sentences(read, lexicon), lexicon)
+    asked = claims.select("claim_id", F.col("subject_term").alias("subject"), F.col("object_term").alias("object"), "predicate", "text", F.col("claimed_tissue").alias("tissue"))
+    cited = t.cited.join(t.papers.select("paper_id"), "paper_id", "left_semi").select("claim_id", "paper_id").distinct()
+    read = t.papers.join(cited.select("paper_id"), "paper_id", "left_semi")
+    labelled = nli.sentence_labels(asked, cited, nli.paper_sentences(read, lexicon), lexicon)
     found = nli.claim_margins(nli.paper_margins(labelled))
     return found.select("claim_id", F.struct("checked", "n_support", "n_contradict", "m_lit", "s_neg_total", "claim_predicate_class", "predicate_mismatch_count").alias("_nli"))
 
@@ -61,20 +65,19 @@ def claim_facts(claims: DataFrame, t: Tables, as_of_year: int, lexicon: tx.Lexic
     none = F.array().cast("array<string>")
     given = claims.withColumns({"evidence": F.coalesce("evidence", none), "subject_term": F.coalesce("subject.label", F.lit("")), "object_term": F.coalesce("object.label", F.lit(""))})
     rows = cl.normalised(given, t.index).withColumnsRenamed({"subject": "subject_said", "object": "object_said", "evidence": "evidence_ids"})
-    rows = rows.withColumns({"pair_id": F.col("claim_id"), "subject": F.col("subject_id"), "object": F.col("object_id")})
-    pairs = rows.select("pair_id", "subject", "object", "predicate")
+    whole = written(own_facts(rows.withColumns({"subject": F.col("subject_id"), "object": F.col("object_id")}), own))
+    pairs = whole.select(F.col("claim_id").alias("pair_id"), "subject", "object", "predicate", F.col("subject_category").alias("subject_class"), F.col("object_category").alias("object_class"))
 
-    cited = rows.select("claim_id", F.explode(F.array_distinct("citations")).alias("identifier"))
-    rows = audit.evidence_groups(rows, cited.join(t.provenance, "identifier"), as_of_year)
+    cited = whole.select("claim_id", F.explode("citations").alias("identifier"))
+    kept = whole.select("claim_id", "subject", "object", "predicate", "subject_category", "object_category", "symbol", *OWN)
+    rows = audit.evidence_groups(kept, cited.join(t.provenance, "identifier"), as_of_year).withColumn("pair_id", F.col("claim_id"))
 
     context = graph.either_way(pairs.select("pair_id", "subject", "object"), t.edges).select("pair_id", "predicate")
-    conflict = cl.polarity_conflict(pairs, context, lexicon).select("pair_id", "claim_predicate_polarity", "opposite_predicate_same_context")
-    known = context.select("pair_id").distinct().withColumn("_known", F.lit(True))
-    curated = cl.curated_support(rows.select("pair_id", F.col("subject").alias("gene_id"), "cuis"), t.associations).select("pair_id", "disgenet_support")
-    written_of = cl.literature_facts(pairs, t.triples).select("pair_id", "structured_source_count", "has_structured_support")
-    for found in (conflict, known, curated, written_of):
+    rows = cl.polarity_conflict(rows, context, lexicon)
+    curated = cl.curated_matches(whole.select(F.col("claim_id").alias("pair_id"), F.col("subject").alias("gene_id"), "cuis"), t.associations)
+    for found in (curated, cl.literature_counts(pairs, t.triples)):
         rows = rows.join(found, "pair_id", "left")
-    rows = rows.join(literature(rows.select("claim_id", "subject_term", "object_term", "predicate", "text", "tissue"), t, lexicon), "claim_id", "left")
+    rows = rows.join(literature(whole, t, lexicon), "claim_id", "left")
     for side in ("subject", "object"):
         placed = t.terms.select(F.col("term").alias(side), F.col("ancestors").alias(f"{side}_ancestors"))
         rows = rows.join(placed, side, "left").withColumn(f"{side}_ancestors", F.coalesce(f"{side}_ancestors", none))
@@ -82,35 +85,55 @@ def claim_facts(claims: DataFrame, t: Tables, as_of_year: int, lexicon: tx.Lexic
     rows = cl.gene_facts(rows.withColumn("has_evidence", F.col("claim.citation_count") > 0), t.census)
     rows = rows.withColumns({"subject_class": F.col("subject_category"), "object_class": F.col("object_category")})
     rows = ontology.check_all(rows, t.edges, asked=pairs)
-    return audit.with_facts(rows, groups(rows, own), ("claim", "evidence", "temporal", "gene", "dl")).select("claim_id", "facts")
+    return audit.with_facts(rows, groups(), ("claim", "evidence", "temporal", "gene", "dl")).select("claim_id", "facts")
 
 
-def groups(rows: DataFrame, own: tx.Lexicon) -> dict[str, Column]:
+#: What a claim's own columns say, and what a claim carries through the joins besides its triple.
+OWN = ("type", "extraction", "tissue", "_negated", "_refuted", "_hedged")
+
+
+def _named(**columns: Column) -> Column:
+    return F.struct(*(v.alias(k) for k, v in columns.items()))
+
+
+def own_facts(rows: DataFrame, own: tx.Lexicon) -> DataFrame:
+    """Normalised claims with the facts that their own columns tell, and the columns by which other tables are looked up."""
+    fits = cl.type_facts(F.col("subject_category"), F.col("object_category"), F.col("predicate"))
+    same = tx.self_referential(F.col("subject"), F.col("object"), F.col("text"), F.col("subject_term"))
+    rows = rows.withColumn("_tissues", F.filter("evidence_ids", lambda e: starts_with_any(F.upper(e), ("UBERON:",))))
+    facts = {
+        "type": _named(domain_valid=fits["domain_valid"], range_valid=fits["range_valid"], is_spurious_self_referential=same),
+        "extraction": _named(is_low_confidence=F.col("is_low_confidence"), predicate_is_fallback=F.col("predicate_is_fallback")),
+        "tissue": _named(is_mismatch=ontology.tissue_mismatch(F.col("tissue"), F.col("_tissues")), expected=F.col("tissue"), actual=F.col("_tissues")),
+        "_negated": tx.is_negated(F.col("text"), own), "_refuted": F.coalesce(F.exists("notes", lambda e: cl.stance(e) == "refute"), F.lit(False)), "_hedged": tx.is_hedged(F.col("text"), own),
+    }
+    looked_up = ("claim_id", "subject", "object", "predicate", "subject_category", "object_category", "symbol", "cuis", "subject_term", "object_term", "text")
+    return rows.select(*looked_up, F.col("tissue").alias("claimed_tissue"), "citations", *(facts[c].alias(c) for c in OWN))
+
+
+def groups() -> dict[str, Column]:
     """The structs of facts that are expressions over the joined columns."""
     yes = lambda c: F.coalesce(c, F.lit(False))
     term = lambda side: {"id": F.col(side), "ancestors": F.col(f"{side}_ancestors"), "category": F.col(f"{side}_category")}
-    fits = cl.type_facts(F.col("subject_category"), F.col("object_category"), F.col("predicate"))
-    same = tx.self_referential(F.col("subject"), F.col("object"), F.col("text"), F.col("subject_term"))
-    tissues = F.filter("evidence_ids", lambda e: starts_with_any(F.upper(e), ("UBERON:",)))
     gene = F.col("subject_category") == "gene"
-    support, known = yes(F.col("disgenet_support")), yes(F.col("_known"))
+    support, known = F.col("matched_cui").isNotNull(), F.col("context_edges").isNotNull()
     n = lambda c: F.coalesce(f"_nli.{c}", F.lit(0))
     x = lambda c: F.coalesce(f"_nli.{c}", F.lit(0.0))
-    named = lambda **c: F.struct(*(v.alias(k) for k, v in c.items()))
+    named, sources = _named, F.coalesce("structured_source_count", F.lit(0))
     return {
-        "type": named(domain_valid=fits["domain_valid"], range_valid=fits["range_valid"], is_spurious_self_referential=same),
+        "type": F.col("type"),
         "ontology": named(subject_has_ancestors=F.size("subject_ancestors") > 0, object_has_ancestors=F.size("object_ancestors") > 0, is_sibling_conflict=ontology.sibling_conflict(term("subject"), term("object"), F.col("predicate"))),
         "conflicts": named(
-            qualifier_negated=tx.is_negated(F.col("text"), own), has_refuting_evidence=yes(F.exists("notes", lambda e: cl.stance(e) == "refute")),
+            qualifier_negated=F.col("_negated"), has_refuting_evidence=F.col("_refuted"),
             opposite_predicate_same_context=yes(F.col("opposite_predicate_same_context")), claim_predicate_polarity=F.col("claim_predicate_polarity"),
         ),
-        "extraction": named(is_low_confidence=F.col("is_low_confidence"), predicate_is_fallback=F.col("predicate_is_fallback")),
+        "extraction": F.col("extraction"),
         "curated_kg": named(curated_kg_match=support | known, disgenet_checked=gene & (F.col("object_category") == "disease"), disgenet_support=support, monarch_checked=F.col("object").isNotNull(), monarch_support=known),
-        "literature": named(has_structured_support=yes(F.col("has_structured_support")), structured_source_count=F.coalesce("structured_source_count", F.lit(0))),
-        "tissue": named(is_mismatch=ontology.tissue_mismatch(F.col("tissue"), tissues), expected=F.col("tissue"), actual=tissues),
+        "literature": named(has_structured_support=sources > 0, structured_source_count=sources),
+        "tissue": F.col("tissue"),
         "text_nli": named(
             checked=yes(F.col("_nli.checked")), n_support=n("n_support"), n_contradict=n("n_contradict"), m_lit=x("m_lit"), s_neg_total=x("s_neg_total"),
-            claim_predicate_class=F.coalesce("_nli.claim_predicate_class", F.lit("unknown")), predicate_mismatch_count=n("predicate_mismatch_count"), claim_is_hedged=tx.is_hedged(F.col("text"), own),
+            claim_predicate_class=F.coalesce("_nli.claim_predicate_class", F.lit("unknown")), predicate_mismatch_count=n("predicate_mismatch_count"), claim_is_hedged=F.col("_hedged"),
         ),
     }
 

@@ -26,10 +26,13 @@ PREDICATE = f"CASE o_orderpriority WHEN '2-HIGH' THEN 'biolink:activates' WHEN '
 def claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as claims with all that a payload holds."""
     line = table(spark, sf_dir, "lineitem")
-    note = F.expr("if(l_returnflag = 'R' and l_tax >= 0.08, 'Refutes it', 'supports it')")
+    against = F.expr("if(l_returnflag = 'R' and l_tax >= 0.08, true, false)")
     own = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.array_sort(F.collect_set(commerce.named("PMID:", "l_partkey"))).alias("papers"), F.array_sort(F.collect_set(F.when(F.col("l_quantity") > 45, commerce.named("UBERON:", "l_linenumber")))).alias("places"), F.collect_set(note).alias("notes")
+        F.collect_set("l_partkey").alias("papers"), F.collect_set(F.when(F.col("l_quantity") > 45, F.col("l_linenumber"))).alias("places"), F.max(against).alias("_against"), F.max(~against).alias("_for")
     )
+    named = lambda prefix, c: F.sort_array(F.transform(c, lambda x: commerce.named(prefix, x)))
+    notes = F.array_compact(F.array(F.when(F.col("_against"), "Refutes it"), F.when(F.col("_for"), "supports it")))
+    own = own.select("o_orderkey", named("PMID:", "papers").alias("papers"), named("UBERON:", "places").alias("places"), notes.alias("notes"))
     none = F.array().cast("array<string>")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     made = table(spark, sf_dir, "orders").join(own, "o_orderkey", "left")
@@ -48,7 +51,7 @@ def tables(spark: SparkSession, sf_dir: str) -> claim_audit.Tables:
     part, line, supplier, docs = (table(spark, sf_dir, n) for n in ("part", "lineitem", "supplier", "documents"))
     none = F.lit(None).cast("string")
     edges = part.select(commerce.named("HGNC:", "p_partkey").alias("subject"), F.expr("concat('biolink:', element_at(array('activates', 'inhibits', 'binds'), cast(p_partkey % 3 + 1 as int)))").alias("predicate"), commerce.named("MONDO:", "p_size").alias("object"))
-    triples = line.select(commerce.named("HGNC:", "l_suppkey").alias("subject"), F.expr("if(l_returnflag = 'R', 'biolink:inhibits', 'biolink:activates')").alias("predicate"), commerce.named("HP:", "l_linenumber").alias("object"), commerce.named("PMID:", "l_partkey").alias("pmid"))
+    triples = graph.literature_triples(line.select(F.col("l_suppkey").alias("subject"), F.expr("if(l_returnflag = 'R', 'biolink:inhibits', 'biolink:activates')").alias("predicate"), F.col("l_linenumber").alias("object"), F.col("l_partkey").alias("pmid")))
     terms = supplier.select((F.col("s_suppkey") % 20).alias("n")).distinct()
     return claim_audit.Tables(
         index=cl.label_index(edges.select("*", none.alias("subject_label"), none.alias("object_label"), F.lit(0).alias("ord"))),
@@ -57,7 +60,7 @@ def tables(spark: SparkSession, sf_dir: str) -> claim_audit.Tables:
         cited=table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_orderkey").alias("paper_id")),
         edges=edges,
         associations=line.select(commerce.named("HGNC:", "l_suppkey").alias("gene_id"), F.concat(F.lit("C"), F.col("l_linenumber")).alias("cui"), (F.col("l_discount") * 10).alias("score")),
-        triples=graph.literature_triples(triples),
+        triples=triples.select(commerce.named("HGNC:", "subject").alias("subject"), "predicate", commerce.named("HP:", "object").alias("object"), F.transform("sources", lambda x: commerce.named("PMID:", x)).alias("sources")),
         terms=terms.select(F.concat(F.lit("HP:"), F.col("n")).alias("term"), F.array(F.concat(F.lit("HP:"), 100 + F.col("n") % 3)).alias("ancestors")),
         census=full_audit.census(spark, sf_dir),
     )
