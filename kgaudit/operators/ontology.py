@@ -59,8 +59,13 @@ class Axioms:
     restrictions: tuple = RESTRICTIONS
 
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """The tables that the checks join with."""
-        made = spark.createDataFrame
+        """The tables that the checks join with, as constants of the plan, so that the planner knows how small they are."""
+
+        def made(rows: list[tuple], schema: str) -> DataFrame:
+            cell = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+            one = [F.struct(*map(cell, r)).cast(f"struct<{schema}>") for r in rows]
+            return spark.range(0, 1, 1, 1).select(F.inline(F.array(*one).cast(f"array<struct<{schema}>>")))
+
         return (
             made(list(self.classes.items()), "name string, disjoint_with array<string>"),
             made([(i, p, *ends) for i, (p, ends) in enumerate(self.properties.items())], "ord int, predicate string, domain array<string>, range array<string>"),
@@ -91,12 +96,19 @@ def load_axioms(path: str) -> Axioms:
 def check_all(rows: DataFrame, edges: DataFrame, axioms: Axioms = Axioms(), asked: DataFrame | None = None) -> DataFrame:
     """Adds the struct ``dl`` of all checks to ``(pair_id, subject, object, predicate, subject_class, object_class, has_evidence)``.
 
-    ``edges`` are those known around the pairs, ``asked`` the pairs from a smaller plan. A class that is disjoint with
-    itself is violated by whatever bears it.
+    ``edges`` are those known around the pairs, ``asked`` the pairs with their classes from a smaller plan. A class that is
+    disjoint with itself is violated by whatever bears it. Axioms are held against the distinct kinds of pairs, by classes,
+    predicate and whether there is evidence; a pair is joined with its kind once.
     """
     classes, properties, chains, restricted = axioms.tables(rows.sparkSession)
-    out = restrictions(domain_range(disjoint_pairs(rows, classes), properties), restricted)
-    out = property_chains(out, edges, chains, asked)
+    asked = rows if asked is None else asked
+    kinds = asked.select("subject_class", "object_class", "predicate").distinct().withColumn("has_evidence", F.explode(F.array(F.lit(True), F.lit(False), F.lit(None))))
+    judged = restrictions(domain_range(disjoint_pairs(kinds, classes), properties), restricted)
+    alike = F.lit(True)
+    for c in kinds.columns:
+        judged = judged.withColumnRenamed(c, f"_{c}")
+        alike = alike & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = property_chains(rows.join(judged, alike, "left").drop(*(f"_{c}" for c in kinds.columns)), edges, chains, asked)
     impossible = [name for name, others in axioms.classes.items() if name in others]
     own = lambda c: F.coalesce(F.col(c).isin(impossible), F.lit(False)) if impossible else F.lit(False)
     facts = ["disjoint_pair_violation", "domain_valid", "range_valid", "property_chain_support", "property_chain_conflict", "universal_violation", "existential_violation"]
@@ -133,14 +145,17 @@ def domain_range(rows: DataFrame, properties: DataFrame) -> DataFrame:
 
 
 def chain_facts(pairs: DataFrame, edges: DataFrame, chains: DataFrame) -> DataFrame:
-    """``(pair_id, ended_at_object, ended_elsewhere)`` of the pairs from whose subject a chain of two edges starts."""
+    """``(pair_id, ended_at_object, ended_elsewhere)`` of the pairs from whose subject a chain of two edges starts.
+
+    Only edges of the chains' predicates meet the pairs.
+    """
     fits = lambda a, b: F.lower(a).contains(F.lower(b)) | F.lower(b).contains(F.lower(a))
     used = edges.select("predicate").distinct()
     step = lambda name: chains.join(used, fits(F.col(name), F.col("predicate"))).select("chain_id", F.col("predicate").alias(name))
     e1 = edges.select("subject", F.col("predicate").alias("first"), F.col("object").alias("middle"))
     e2 = edges.select(F.col("subject").alias("middle"), F.col("predicate").alias("second"), F.col("object").alias("end"))
-    began = pairs.select("pair_id", "subject", "object").join(e1, "subject").join(step("first"), "first")
-    ended = began.join(e2, "middle").join(step("second"), ["chain_id", "second"])
+    began = pairs.select("pair_id", "subject", "object").join(e1.join(F.broadcast(step("first")), "first"), "subject")
+    ended = began.join(e2.join(F.broadcast(step("second")), "second"), ["chain_id", "middle"])
     return ended.groupBy("pair_id").agg(F.bool_or(F.col("end") == F.col("object")).alias("ended_at_object"), F.bool_or(F.col("end") != F.col("object")).alias("ended_elsewhere"))
 
 
@@ -187,7 +202,7 @@ def sibling_conflict(subject: dict[str, Column], obj: dict[str, Column], predica
         excluded = F.when(prefix == name, F.array(*map(F.lit, terms))).otherwise(excluded)
     shared = F.array_except(F.array_except(F.array_intersect(mine, theirs), excluded), F.array(a, b))
     known = (subject["category"] == obj["category"]) & (subject["category"] != "unknown")
-    siblings = known & (a != b) & ~F.array_contains(mine, b) & ~F.array_contains(theirs, a) & (F.size(shared) > 0)
+    siblings = F.when(known & (a != b), ~F.array_contains(mine, b) & ~F.array_contains(theirs, a) & (F.size(shared) > 0))
     named = F.lower(predicate).contains("sibling_of") & (prefix == F.substring_index(b, ":", 1))
     return F.coalesce(siblings, F.lit(False)) | F.coalesce(named, F.lit(False))
 
