@@ -156,6 +156,29 @@ def test_pretraining_finds_the_camps(spark):
     assert nothing.losses == [] and nothing.auroc is None
 
 
+def test_embeddings_layer_by_layer(spark):
+    """Those of all nodes, made without rows of samples, are those that the rows give; only ends of pairs have rows in the training."""
+    edges, vectors = two_camps(spark)
+    edges = edges.union(edges.limit(30))
+    found = pretraining.pretrain(edges, pretraining.degree_features(edges, vectors), epochs=2, most_pairs=40)
+    want = {r["node"]: r["embedding"] for r in pretraining.embedded(found.rows, found.encoder).collect()}
+    got = {r["node"]: r["embedding"] for r in found.embeddings.collect()}
+    assert got.keys() == want.keys() and all(got[n] == pytest.approx(want[n]) for n in want)
+    ends = pretraining.end_rows(edges.select(F.col("subject").alias("a"), F.col("object").alias("b")).limit(3), found.own, found.steps, True)
+    all_rows = {r["node"]: r for r in found.rows.collect()}
+    assert 3 < ends.count() <= 6 and all(all_rows[r["node"]] == r for r in ends.collect())
+
+
+def test_degree_features_with_vectors_made_in_tasks(spark):
+    from kgaudit.functions import ids
+
+    edges, _ = two_camps(spark)
+    nodes = edges.select(F.explode(F.array("subject", "object")).alias("node")).distinct()
+    want = {r["node"]: r["x"] for r in pretraining.degree_features(edges, nodes.select("node", ids.hash_embedding(F.col("node"), 3).alias("vec"))).collect()}
+    got = {r["node"]: r["x"] for r in pretraining.degree_features(edges, ids.HashVectors(3)).collect()}
+    assert got.keys() == want.keys() and all(got[n] == pytest.approx(want[n], rel=1e-14) for n in want)
+
+
 def test_isotonic_knots_of_any_number(spark):
     x, y = [0.1, 0.2, 0.2, 0.6, 0.9], [0.0, 0.3, 0.3, 0.5, 1.0]
     points = [None, 0.0, 0.1, 0.15, 0.2, 0.4, 0.6, 0.75, 0.9, 1.0]
