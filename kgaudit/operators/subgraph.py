@@ -38,14 +38,15 @@ def pair_subgraph(
     evidence: DataFrame | None = None,
     category_of: Callable[[Column], Column] = ids.category_of,
     is_node: Callable[[Column], Column] = ids.is_graph_node,
-) -> tuple[DataFrame, DataFrame]:
+    with_edges: bool = True,
+) -> tuple[DataFrame, DataFrame | None]:
     """Nodes ``(pair_id, node, category)`` and edges of each pair: what is within some hops of its centres (G1).
 
     A node's category is the one that ``nodes(id, category)`` holds, else the one that its identifier tells. Nodes of
     other categories drop out. A centre whose identifier tells a wanted category is a node even if the graph has no
     edge of it. Edges stay between nodes whose identifiers' categories ``allowed`` joins; of edges that are equal in
     both ends and predicate the first by ``ord`` stays, whichever centre it was reached from (U6). Without a hop there are the
-    two ends, and no edges.
+    two ends, and no edges. Where edges aren't wanted they are None, and nothing is written for them.
     """
     seeds = centres(pairs, evidence if hops > 0 else None, is_node)
     wanted = lambda c: F.coalesce(c.isin(*categories), F.lit(False))
@@ -62,14 +63,15 @@ def pair_subgraph(
     # a node's category is known before pairs reach it; a centre may be wanted by either of its categories, the stored one comes first
     number = lambda c, late: (F.array_position(F.array(*map(F.lit, categories)), c) - 1 + late * len(categories)).cast("int")
     steps = graph.steps_of(edges).filter(graph.within(graph.namespaces(F.col("node"), inner), "node"))
-    lists = graph.adjacency(placed(steps, "next", "_k").filter(wanted(F.col("_k"))).withColumn("no", number(F.col("_k"), 0)), "no")
-    one = lambda no: F.array(F.struct(F.col("node").alias("next"), no.alias("no")))
-    near = inner.filter(F.col("dist") == hops - 1).join(lists, "node").select("pair_id", "nexts")
-    near = near.union(placed(inner.select("pair_id", "node"), "node", "_k").filter(wanted(F.col("_k"))).select("pair_id", one(number(F.col("_k"), 0))))
-    near = near.union(told.select("pair_id", one(number(category_of(F.col("node")), 1))))
-    each = near.repartition("pair_id").select("pair_id", F.explode("nexts").alias("n")).groupBy("pair_id", F.col("n.next").alias("node")).agg(F.min("n.no").alias("no"))
+    lists = graph.packed(placed(steps, "next", "_k").filter(wanted(F.col("_k"))).withColumn("no", number(F.col("_k"), 0)), "no")
+    near = inner.filter(F.col("dist") == hops - 1).join(lists, "node").select("pair_id", "no", *graph.PACKED)
+    near = near.union(placed(inner.select("pair_id", "node"), "node", "_k").filter(wanted(F.col("_k"))).select("pair_id", number(F.col("_k"), 0), *graph.alone()))
+    near = near.union(told.select("pair_id", number(category_of(F.col("node")), 1), *graph.alone()))
+    each = graph.unpacked(near.repartition("pair_id"), "pair_id", "no").groupBy("pair_id", "prefix", "number").agg(F.min("no").alias("no")).withColumn("node", graph.whole_name())
     kept = each.select("pair_id", "node", F.element_at(F.array(*map(F.lit, categories)), F.col("no") % len(categories) + 1).alias("category"))
 
+    if not with_edges:
+        return kept, None
     joins = allowed(category_of(F.col("subject")), category_of(F.col("object")))
     found = graph.first_of_equal(edges.filter(joins), ["subject", "predicate", "object"])
     for c in ("subject", "object"):  # ends that any pair wants, and those that only a pair does whose centre they are

@@ -53,6 +53,38 @@ def test_second_hop_travels_as_lists(spark):
     assert shuffled_rows(spark, nodes) < 200 * 2 * 60 / 5
 
 
+ODD = ["A:007", "A:7", "A:1\n", "A:", ":5", "x", "A:B:3", "A:1234567890", "A:999999999", "A:0", "A:-3", "A: 4", "a:7", "A:٣", "", *(f"A:{i * 40}" for i in range(1, 900)), *(f"plain{i}" for i in range(1100))]
+
+
+def test_packed_names_come_back_whole(spark):
+    """Lists hold numbers; names that aren't a namespace and a number as numbers are written come back as they were."""
+    edges = spark.createDataFrame([("s", "r", n) for n in ODD] * 2 + [("A:7", "r", "s"), ("A:7", "r", None)], "subject string, predicate string, object string")
+    starts = spark.createDataFrame([(1, "s"), (2, "A:7"), (3, None)], "request_id long, node string")
+    got = [(r["request_id"], r["node"], r["dist"]) for r in graph.ego(starts, edges, 2, "outgoing")[0].collect()]
+    want = [(1, "s", 0), *((1, n, 1) for n in ODD), (2, "A:7", 0), (2, "s", 1), *((2, n, 2) for n in ODD if n != "A:7"), (3, None, 0)]
+    assert not set(got) ^ set(want) and len(got) == len(want)
+
+
+def test_second_hop_travels_as_numbers(spark):
+    edges, starts = star_of_parts(spark, orders=2000, shared=400)
+    rows, before = graph.packed(graph.steps_of(edges, "outgoing")), graph.steps_of(edges, "outgoing").distinct()
+    assert rows.select(F.sum(F.size(F.coalesce("wide", F.col("lows").cast("array<int>"))))).first()[0] == before.count() and rows.filter("names is not null").count() == 0
+    assert rows.filter("prefix = 'SUPP:' and lows is not null and wide is null").count() == 5
+    nodes = graph.ego(starts, edges, 2, "outgoing")[0]
+    assert nodes.filter("dist = 2").count() == 2000 * 400
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert "array<smallint>" in plan or "lows" in plan
+
+
+def test_nodes_alone_write_nothing_for_edges(spark, monkeypatch):
+    from kgaudit.plans import store_queries
+
+    tables, real = [], subgraph.written
+    monkeypatch.setattr(subgraph, "written", lambda df: tables.append(df.columns) or real(df))
+    assert store_queries.pair_subgraph_nodes(spark, "/root/testdata/sf0.001").count() > 0
+    assert tables == [["pair_id", "node"]]
+
+
 def test_hops_are_found_from_the_goals(spark):
     edges, starts = star_of_parts(spark)
     kinds = spark.createDataFrame([(f"SUPP:{i}", "supplier") for i in range(60)] + [("ORD:9", "supplier")], "node string, category string")
