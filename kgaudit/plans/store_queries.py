@@ -34,14 +34,14 @@ KINDS = ("customer", "order", "part", "supplier")
 JOINED = (("customer", "order"), ("order", "part"), ("part", "supplier"))
 
 
-def order_subgraphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def order_subgraphs(spark: SparkSession, sf_dir: str, with_edges: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Around each order and its customer, with the suppliers of its large returned lines as evidence."""
     pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair_id"), commerce.named("ORD:", "o_orderkey").alias("subject"), commerce.named("CUST:", "o_custkey").alias("object"))
     returned = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_returnflag = 'R'")
     evidence = returned.select(F.col("l_orderkey").alias("pair_id"), F.explode(F.array(commerce.named("SUPP:", "l_suppkey"), F.lit("PMID:1"))).alias("node"))
     nodes = spark.createDataFrame([], "id string, category string").limit(0)  # Spark knows that it is empty
     category = lambda c: ids.category_of(c, commerce.CATEGORIES)
-    return subgraph.pair_subgraph(pairs, nodes, line_graph(spark, sf_dir), 1, KINDS, lambda a, b: ids.allowed_edge(a, b, JOINED), evidence, category, lambda c: c.startswith("SUPP:"))
+    return subgraph.pair_subgraph(pairs, nodes, line_graph(spark, sf_dir), 1, KINDS, lambda a, b: ids.allowed_edge(a, b, JOINED), evidence, category, lambda c: c.startswith("SUPP:"), with_edges)
 
 
 PAIRS_SQL = """m AS (SELECT 'ORD:' || l_orderkey AS subject, 'contains' AS predicate, 'PART:' || l_partkey AS object, l_quantity AS amount, l_orderkey * 8 + l_linenumber AS ord FROM lineitem
@@ -63,7 +63,7 @@ def pair_subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT pair_id, node, CASE left(node, 3) WHEN 'CUS' THEN 'customer' WHEN 'ORD' THEN 'order' WHEN 'PAR' THEN 'part' ELSE 'supplier' END AS category FROM n""")
 def pair_subgraph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: nodes of subgraphs with evidence centres."""
-    return order_subgraphs(spark, sf_dir)[0].select("pair_id", "node", "category")
+    return order_subgraphs(spark, sf_dir, with_edges=False)[0].select("pair_id", "node", "category")
 
 
 @query("""WITH RECURSIVE pairs AS (SELECT o_orderkey AS pair_id, o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders),
